@@ -2,15 +2,13 @@
 
 ``percentile`` keeps one value -> count map per column in a single reducer.  That is fine for
 a bounded number of cells and impossible for a column of 10^12 distinct doubles.  Above the
-bound the same answer comes from *bracket selection*:
+bound the same answer comes from *bracket selection*.  A rank is known to lie between two
+values; one scan counts the rows in ~2000 slices of that bracket, together with the smallest
+and largest value found in each slice.  The slice that holds the rank becomes the next
+bracket.  It is settled when its smallest and largest value agree (a value that fills a third
+of the table ends there at once), and ordered outright when it holds few rows.
 
-1. one scan builds mergeable sketches and brackets every wanted rank between two values;
-2. one scan counts, for every bracket edge, the values below and up to it;
-3. a rank that falls on an edge is settled; otherwise only the values strictly inside its
-   bracket matter.  If they are few they are ordered, else step 1 repeats inside the bracket.
-
-Edges are excluded from the next round, so a value that fills a third of the table settles at
-once.  Every answer is certified by the counts of step 2, not by the sketch's error bound.
+Each round is one scan that shuffles a few thousand counters, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from tablewarden import config
 from tablewarden.runtime import local_frame, present
 
-ACCURACY = 10_000
+SLICES = 2048
 
 
 def as_double(df: DataFrame, name: str):
@@ -39,33 +37,45 @@ def as_double(df: DataFrame, name: str):
 # Counting against break points
 # --------------------------------------------------------------------------------------
 
-def bucket_counts(df: DataFrame, breaks: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Rows ``(column, bucket, n)``; bucket b holds breaks[b-1] <= x < breaks[b].
+def bucket_stats(df: DataFrame, breaks: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Rows ``(column, bucket, n, lo, hi)``; bucket b holds breaks[b-1] <= x < breaks[b].
 
-    ``breaks`` must be strictly increasing.  Each task folds its batches into at most
-    ``len(breaks) + 1`` counters per column, so the shuffle carries counters, not values.
+    ``breaks`` must be strictly increasing; ``lo`` and ``hi`` are the extreme values found.
+    Each task folds its Arrow batches into at most ``len(breaks) + 1`` entries per column, so
+    the shuffle carries counters and never values.
     """
     names = list(breaks)
     edges = [np.asarray(breaks[c], dtype=float) for c in names]
 
     def fold(batches):
-        totals = [np.zeros(len(e) + 1, dtype=np.int64) for e in edges]
+        counts = [np.zeros(len(e) + 1, dtype=np.int64) for e in edges]
+        lows = [np.full(len(e) + 1, np.inf) for e in edges]
+        highs = [np.full(len(e) + 1, -np.inf) for e in edges]
         for batch in batches:
             for i, e in enumerate(edges):
                 values = batch.column(i).to_numpy(zero_copy_only=False)
-                values = values[~np.isnan(values)]
-                found = np.searchsorted(e, values, side="right")
-                totals[i] += np.bincount(found, minlength=len(e) + 1)
-        for name, total in zip(names, totals):
-            used = np.flatnonzero(total)
+                values = np.sort(values[~np.isnan(values)])
+                starts = np.concatenate([[0], np.searchsorted(values, e, side="left"), [len(values)]])
+                n = np.diff(starts)
+                used = np.flatnonzero(n)
+                counts[i] += n
+                lows[i][used] = np.minimum(lows[i][used], values[starts[used]])
+                highs[i][used] = np.maximum(highs[i][used], values[starts[used + 1] - 1])
+        for name, n, lo, hi in zip(names, counts, lows, highs):
+            used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(used), pa.string()),
-                 pa.array(used.astype(np.int32)), pa.array(total[used])],
-                names=["column", "bucket", "n"])
+                [pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)),
+                 pa.array(n[used]), pa.array(lo[used]), pa.array(hi[used])],
+                names=["column", "bucket", "n", "lo", "hi"])
 
     doubles = df.select(*[as_double(df, c).alias(c) for c in names])
-    return (doubles.mapInArrow(fold, "column string, bucket int, n long")
-            .groupBy("column", "bucket").agg(F.sum("n").alias("n")))
+    return (doubles.mapInArrow(fold, "column string, bucket int, n long, lo double, hi double")
+            .groupBy("column", "bucket")
+            .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+
+
+def bucket_counts(df: DataFrame, breaks: Mapping[str, Sequence[float]]) -> DataFrame:
+    return bucket_stats(df, breaks).select("column", "bucket", "n")
 
 
 def rank_edges(points: Sequence[float]) -> list[float]:
@@ -89,10 +99,7 @@ def rank_counts(df: DataFrame, points: Mapping[str, Sequence[float]]) -> dict[st
     out = {}
     for c, edges in breaks.items():
         # rows strictly below edges[i] lie in buckets 0..i
-        below, running = [], 0
-        for i in range(len(edges)):
-            running += per_bucket[c].get(i, 0)
-            below.append(running)
+        below = np.cumsum([per_bucket[c].get(i, 0) for i in range(len(edges))]).tolist()
         at = lambda value: below[bisect.bisect_left(edges, value)]
         out[c] = {p: (at(p), at(math.nextafter(p, math.inf))) for p in set(points[c])}
     return out
@@ -102,26 +109,21 @@ def rank_counts(df: DataFrame, points: Mapping[str, Sequence[float]]) -> dict[st
 # Quantiles
 # --------------------------------------------------------------------------------------
 
-def _interpolate(low: float, high: float, share: float) -> float:
-    return low if low == high else low + (high - low) * share
-
-
 def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
                     counts: Mapping[str, int] | None = None,
+                    bounds: Mapping[str, tuple[float, float]] | None = None,
                     max_cells: int = config.EXACT_PERCENTILE_CELLS,
                     bracket_rows: int = config.BRACKET_ROWS) -> dict[str, dict[float, float]]:
     """Linearly interpolated quantiles per column, as ``{column: {p: value}}``.
 
-    ``counts`` gives the non-missing rows per column when the caller has profiled the table
-    already.  Columns without values are left out of the answer.
+    ``counts`` (non-missing rows) and ``bounds`` (smallest, largest value) come from a profile
+    when the caller has one, and spare a scan.  Columns without values are left out.
     """
     probs = {c: sorted(set(p)) for c, p in probs.items() if p}
     if not probs:
         return {}
     if counts is None:
-        row = df.agg(*[F.count(as_double(df, c)).alias(f"n{i}")
-                       for i, c in enumerate(probs)]).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(probs)}
+        counts, bounds = _counts_and_bounds(df, list(probs))
     probs = {c: p for c, p in probs.items() if counts[c] > 0}
     if not probs:
         return {}
@@ -131,16 +133,15 @@ def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
             for i, (c, p) in enumerate(probs.items())]).first()
         return {c: dict(zip(p, row[f"q{i}"])) for i, (c, p) in enumerate(probs.items())}
 
-    wanted: dict[str, set[int]] = {}
-    for c, p in probs.items():
-        wanted[c] = {k for x in p for k in _ranks(x, counts[c])[:2]}
-    found = select_ranks(df, wanted, counts, bracket_rows)
+    wanted = {c: {k for x in p for k in _ranks(x, counts[c])[:2]} for c, p in probs.items()}
+    found = select_ranks(df, wanted, counts, bounds, bracket_rows)
     out: dict[str, dict[float, float]] = {}
     for c, p in probs.items():
         out[c] = {}
         for x in p:
             low, high, share = _ranks(x, counts[c])
-            out[c][x] = _interpolate(found[c][low], found[c][high], share)
+            a, b = found[c][low], found[c][high]
+            out[c][x] = a if a == b or share == 0 else a + (b - a) * share
     return out
 
 
@@ -150,111 +151,91 @@ def _ranks(p: float, n: int) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), position - low
 
 
-@dataclass
-class _Bracket:
-    """The 0-based rank ``rank`` lies strictly between low and high (None: no edge yet).
-
-    ``skipped`` rows precede the open part, ``inside`` rows are in it.
-    """
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    skipped: int = 0
-    inside: int = 0
+def _counts_and_bounds(df: DataFrame, columns: list[str]):
+    row = df.agg(*[f(as_double(df, c)).alias(f"{t}{i}") for i, c in enumerate(columns)
+                   for t, f in (("n", F.count), ("a", F.min), ("z", F.max))]).first()
+    return ({c: row[f"n{i}"] for i, c in enumerate(columns)},
+            {c: (row[f"a{i}"], row[f"z{i}"]) for i, c in enumerate(columns)})
 
 
-def select_ranks(df: DataFrame, wanted: Mapping[str, set[int]], counts: Mapping[str, int],
+@dataclass(frozen=True)
+class _Bracket:
+    """``inside`` rows lie in [low, high], ``skipped`` rows below it."""
+    low: float
+    high: float
+    skipped: int
+    inside: int
+
+
+def _slices(b: _Bracket) -> list[float]:
+    """Edges that cut [low, high] into equal slices and separate it from its surroundings."""
+    top = np.finfo(float).max
+    low, high = max(b.low, -top), min(b.high, top)
+    t = np.linspace(0.0, 1.0, SLICES + 1)[1:-1]
+    inner = low * (1.0 - t) + high * t
+    edges = {b.low, math.nextafter(b.high, math.inf)} | {float(x) for x in inner if b.low < x <= b.high}
+    # halving by value stalls when every slice edge rounds to an end; split next to the low end
+    return sorted(edges | {math.nextafter(b.low, math.inf)})
+
+
+def select_ranks(df: DataFrame, wanted: Mapping[str, set[int]], counts: Mapping[str, int] | None = None,
+                 bounds: Mapping[str, tuple[float, float]] | None = None,
                  bracket_rows: int = config.BRACKET_ROWS) -> dict[str, dict[int, float]]:
-    """Values at 0-based ranks of each sorted column, by repeated bracketing."""
+    """Values at 0-based ranks of each sorted column, by repeated slicing."""
     values = df.select(*[as_double(df, c).alias(c) for c in wanted])
-    open_: dict[str, list[_Bracket]] = {
-        c: [_Bracket(rank=k, inside=counts[c]) for k in sorted(ranks)]
-        for c, ranks in wanted.items()}
+    if counts is None or bounds is None:
+        counts, bounds = _counts_and_bounds(values, list(wanted))
     done: dict[str, dict[int, float]] = {c: {} for c in wanted}
-
-    while any(open_.values()):
-        small = {c: [b for b in bs if b.inside <= bracket_rows] for c, bs in open_.items()}
-        if any(small.values()):
-            for c, rank, value in _order_inside(values, small):
-                done[c][rank] = value
-        large = {c: [b for b in bs if b.inside > bracket_rows] for c, bs in open_.items()}
-        if not any(large.values()):
-            break
-        edges = _sketch_edges(values, large)
-        ranks = rank_counts(values, {c: [e for pair in pairs for e in pair]
-                                     for c, pairs in edges.items()})
-        open_ = {c: [] for c in wanted}
-        for c, brackets in large.items():
-            for b, (low, high) in zip(brackets, edges[c]):
-                below_low, upto_low = ranks[c][low]
-                below_high, upto_high = ranks[c][high]
-                if below_low <= b.rank < upto_low:
-                    done[c][b.rank] = low
-                elif below_high <= b.rank < upto_high:
-                    done[c][b.rank] = high
-                elif b.rank < below_low:      # the sketch missed: look left of the bracket
-                    open_[c].append(_Bracket(b.rank, b.low, low, b.skipped, below_low - b.skipped))
-                elif b.rank >= upto_high:     # ... or right of it
-                    open_[c].append(_Bracket(b.rank, high, b.high, upto_high,
-                                             b.skipped + b.inside - upto_high))
+    open_: dict[str, dict[_Bracket, set[int]]] = {
+        c: {_Bracket(*bounds[c], 0, counts[c]): set(ranks)} for c, ranks in wanted.items() if ranks}
+
+    while True:
+        small: dict[str, dict[_Bracket, set[int]]] = {}
+        large: dict[str, dict[_Bracket, set[int]]] = {}
+        for c, brackets in open_.items():
+            for b, ranks in brackets.items():
+                if b.low == b.high:
+                    done[c].update(dict.fromkeys(ranks, b.low))
                 else:
-                    open_[c].append(_Bracket(b.rank, low, high, upto_low, below_high - upto_low))
-    return done
-
-
-def _groups(brackets: list[_Bracket]) -> dict[tuple[float | None, float | None], list[_Bracket]]:
-    grouped: dict[tuple[float | None, float | None], list[_Bracket]] = {}
-    for b in brackets:
-        grouped.setdefault((b.low, b.high), []).append(b)
-    return grouped
-
-
-def _within(name: str, low: float | None, high: float | None):
-    column = F.col(f"`{name}`")
-    inside = column.isNotNull()
-    if low is not None:
-        inside = inside & (column > low)
-    if high is not None:
-        inside = inside & (column < high)
-    return inside
-
-
-def _sketch_edges(values: DataFrame, brackets: Mapping[str, list[_Bracket]]) -> dict[str, list[tuple[float, float]]]:
-    """Two values around every open rank, from one pass of mergeable sketches."""
-    aggregates, places = [], []
-    for c, bs in brackets.items():
-        for (low, high), group in _groups(bs).items():
-            grid: list[float] = []
-            for b in group:
-                share = (b.rank - b.skipped) / max(b.inside - 1, 1)
-                grid += [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)]
-            column = F.when(_within(c, low, high), F.col(f"`{c}`"))
-            aggregates.append(F.percentile_approx(column, grid, ACCURACY).alias(f"a{len(aggregates)}"))
-            places.append((c, group))
-    row = values.agg(*aggregates).first()
-    found: dict[tuple[str, int], tuple[float, float]] = {}
-    for i, (c, group) in enumerate(places):
-        for j, b in enumerate(group):
-            found[c, b.rank] = (row[i][2 * j], row[i][2 * j + 1])
-    return {c: [found[c, b.rank] for b in bs] for c, bs in brackets.items()}
-
-
-def _order_inside(values: DataFrame, brackets: Mapping[str, list[_Bracket]]) -> list[tuple[str, int, float]]:
+                    (small if b.inside <= bracket_rows else large).setdefault(c, {})[b] = ranks
+        for c, rank, value in _order_inside(values, small) if small else ():
+            done[c][rank] = value
+        if not large:
+            return done
+        edges = {c: sorted({e for b in bs for e in _slices(b)}) for c, bs in large.items()}
+        slices: dict[str, dict[int, tuple]] = {c: {} for c in edges}
+        for r in bucket_stats(values, edges).collect():
+            slices[r["column"]][r["bucket"]] = (r["n"], r["lo"], r["hi"])
+        open_ = {}
+        for c, brackets in large.items():
+            for b, ranks in brackets.items():
+                first = bisect.bisect_right(edges[c], b.low)
+                last = bisect.bisect_right(edges[c], b.high)
+                below, waiting = b.skipped, sorted(ranks)
+                for bucket in range(first, last + 1):
+                    n, lo, hi = slices[c].get(bucket, (0, 0.0, 0.0))
+                    mine = {k for k in waiting if below <= k < below + n}
+                    if mine:
+                        open_.setdefault(c, {})[_Bracket(lo, hi, below, n)] = mine
+                    below += n
+
+
+def _order_inside(values: DataFrame, brackets: Mapping[str, Mapping[_Bracket, set[int]]]) -> list[tuple[str, int, float]]:
     """Order the few values inside each small bracket and read off the wanted ranks."""
-    candidates, ranks = [], []
+    candidates, asked = [], []
     for c, bs in brackets.items():
-        for i, ((low, high), group) in enumerate(_groups(bs).items()):
+        column = F.col(f"`{c}`")
+        for i, (b, ranks) in enumerate(bs.items()):
             key = f"{c}\x00{i}"
-            candidates.append(F.when(_within(c, low, high),
-                                     F.struct(F.lit(key).alias("k"), F.col(f"`{c}`").alias("v"))))
-            ranks += [(key, c, b.rank, b.rank - b.skipped) for b in group]
+            candidates.append(F.when(column.between(b.low, b.high),
+                                     F.struct(F.lit(key).alias("k"), column.alias("v"))))
+            asked += [(key, c, k, k - b.skipped) for k in ranks]
     tally = (values.select(F.explode(F.array_compact(F.array(*candidates))).alias("e"))
              .groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v")
-                           .rowsBetween(Window.unboundedPreceding, 0))
-    running = tally.withColumn("upto", upto)
-    asked = local_frame(values.sparkSession, ranks, "k string, c string, rank long, at long")
-    rows = (running.join(F.broadcast(asked), "k")
+    # a window per bracket: at most ``bracket_rows`` values each
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = local_frame(values.sparkSession, asked, "k string, c string, rank long, at long")
+    rows = (tally.withColumn("upto", upto).join(F.broadcast(ranks), "k")
             .where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
             .select("c", "rank", "v").collect())
     return [(r["c"], r["rank"], r["v"]) for r in rows]

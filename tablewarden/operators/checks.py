@@ -152,9 +152,10 @@ class Fence:
         return self.q1 - multiplier * iqr, self.q3 + multiplier * iqr
 
 
-def quartile_fences(df: DataFrame, columns: list[str], counts: Mapping[str, int] | None = None) -> dict[str, Fence]:
+def quartile_fences(df: DataFrame, columns: list[str], counts: Mapping[str, int] | None = None,
+                    bounds: Mapping[str, tuple[float, float]] | None = None) -> dict[str, Fence]:
     """Exact interpolated quartiles per column."""
-    found = exact_quantiles(df, {c: (0.25, 0.75) for c in columns}, counts)
+    found = exact_quantiles(df, {c: (0.25, 0.75) for c in columns}, counts, bounds)
     return {c: Fence(c, q[0.25], q[0.75]) for c, q in found.items()}
 
 
@@ -175,7 +176,8 @@ def outlier_counts(tables: Tables, profile: DataFrame, meta: Meta, multiplier: f
         counts = {c: values[t, c]["n_rows"] - values[t, c]["n_null"]
                   for c in meta[t].numeric_cols if is_numeric(df, c)}
         counts = {c: n for c, n in counts.items() if n >= config.MIN_ROWS_FOR_STATS}
-        fences = {c: f for c, f in quartile_fences(df, list(counts), counts).items() if f.q1 != f.q3}
+        bounds = {c: (values[t, c]["min"], values[t, c]["max"]) for c in counts}
+        fences = {c: f for c, f in quartile_fences(df, list(counts), counts, bounds).items() if f.q1 != f.q3}
         if not fences:
             continue
         row = df.agg(*[F.count_if(beyond(df, f, multiplier)).alias(f"o{i}")

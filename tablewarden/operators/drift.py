@@ -256,8 +256,9 @@ def baseline_drift(tables: Tables, profile: DataFrame, meta: Meta, baseline: Tab
             continue
         names = [c["column"] for c in mine]
         deciles = [float(p) for p in np.linspace(0, 1, config.PSI_BINS + 1)]
+        bounds = {c: (base_stats[t, c]["min"], base_stats[t, c]["max"]) for c in names}
         cuts = {c: sorted(set(q.values())) for c, q in
-                exact_quantiles(ref, {c: deciles for c in names}, counts).items()}
+                exact_quantiles(ref, {c: deciles for c in names}, counts, bounds).items()}
         ref_at, cur_at = rank_counts(ref, cuts), rank_counts(tables[t], cuts)
         bins = []
         for c in names:

@@ -65,7 +65,7 @@ def pick_rows(df: DataFrame, share: float, seed: int, n_rows: int | None = None)
     def border(rows: DataFrame, salt: int, wanted: int, size: int) -> tuple[Column, float, int]:
         h = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("_row.id"), F.col("_row.copy")), F.lit(_BITS)).cast("double")
         hashed = rows.select(h.alias("h"))
-        edge = select_ranks(hashed, {"h": {wanted - 1}}, {"h": size})["h"][wanted - 1]
+        edge = select_ranks(hashed, {"h": {wanted - 1}}, {"h": size}, {"h": (0.0, float(_BITS))})["h"][wanted - 1]
         below, upto = rank_counts(hashed, {"h": [edge]})["h"][edge]
         return h, edge, below, upto
 

@@ -317,7 +317,8 @@ def adhoc_report_lines(ranked: DataFrame, n_issues: int | None = None) -> DataFr
 
 def issue_digest(issues: DataFrame, top: int = config.DIGEST_ISSUES) -> DataFrame:
     """The first issues with rounded numbers and a shortened description."""
-    four = lambda c: F.round(c, 4).alias(c)
+    # rint works on the binary value; round would lift 0.10175 (stored just below) to 0.1018
+    four = lambda c: (F.rint(F.col(c) * 10_000) / 10_000).alias(c)
     return (issues.orderBy("rank").limit(top).select(
         "issue_id", "issue_type", "table", "columns", "severity", four("metric"), "evidence_rows",
         four("impact_score"), four("confidence"),

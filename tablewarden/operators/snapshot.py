@@ -78,7 +78,8 @@ def build_snapshot(tables: Tables, tag: str = "baseline", profile: DataFrame | N
     for t, df in tables.items():
         numeric = numeric_columns(df, stats[t])
         counts = {c: stats[t][c]["n_rows"] - stats[t][c]["n_null"] for c in numeric}
-        q = exact_quantiles(df, {c: config.SNAPSHOT_PROBS for c in numeric}, counts)
+        bounds = {c: (stats[t][c]["min"], stats[t][c]["max"]) for c in numeric}
+        q = exact_quantiles(df, {c: config.SNAPSHOT_PROBS for c in numeric}, counts, bounds)
         edges = {c: histogram_edges(stats[t][c]["min"], stats[t][c]["max"], counts[c]) for c in numeric}
         bins = histograms(df, edges)
         for c in df.columns:
