@@ -234,7 +234,8 @@ GUIDE: dict[str, list[str]] = {
     "invalid_future_dates": [
         "**Why it matters**: placeholder dates in `{c}` keep closed records open in every date filter.", "",
         *_block("**Step 1: which dates**",
-                "SELECT {c}, count(*) AS row_count FROM {t} WHERE try_cast({c} AS date) > DATE '2050-01-01' GROUP BY {c} ORDER BY {c};"),
+                "SELECT {c}, count(*) AS row_count FROM {t} WHERE coalesce(try_cast(cast({c} AS string) AS date), "
+                "try_to_date(cast({c} AS string), 'yyyyMMdd')) > DATE '2050-01-01' GROUP BY {c} ORDER BY {c};"),
         "**Option A**: clear them, `null_future(df, '{c}')`.",
         "**Option B**: use the open-end date, `open_end_future(df, '{c}')`.",
         "**Option C**: drop the rows, `drop_future(df, '{c}')`.", "",
