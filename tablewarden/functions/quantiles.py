@@ -222,20 +222,35 @@ def select_ranks(df: DataFrame, wanted: Mapping[str, set[int]], counts: Mapping[
 
 def _order_inside(values: DataFrame, brackets: Mapping[str, Mapping[_Bracket, set[int]]]) -> list[tuple[str, int, float]]:
     """Order the few values inside each small bracket and read off the wanted ranks."""
-    candidates, asked = [], []
-    for c, bs in brackets.items():
-        column = F.col(f"`{c}`")
-        for i, (b, ranks) in enumerate(bs.items()):
-            key = f"{c}\x00{i}"
-            candidates.append(F.when(column.between(b.low, b.high),
-                                     F.struct(F.lit(key).alias("k"), column.alias("v"))))
+    names = list(brackets)
+    spans: list[list[tuple[int, float, float]]] = []
+    asked: list[tuple[int, str, int, int]] = []
+    for c in names:
+        spans.append([])
+        for b, ranks in brackets[c].items():
+            key = len({k for k, *_ in asked})
+            spans[-1].append((key, b.low, b.high))
             asked += [(key, c, k, k - b.skipped) for k in ranks]
-    tally = (values.select(F.explode(F.array_compact(F.array(*candidates))).alias("e"))
-             .groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n")))
+
+    def inside(batches):
+        for batch in batches:
+            for i, ranges in enumerate(spans):
+                values = batch.column(i).to_numpy(zero_copy_only=False)
+                values = np.sort(values[~np.isnan(values)])
+                for key, low, high in ranges:
+                    found, n = np.unique(values[np.searchsorted(values, low, side="left"):
+                                                np.searchsorted(values, high, side="right")], return_counts=True)
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(found), key, dtype=np.int32)), pa.array(found), pa.array(n.astype(np.int64))],
+                            names=["k", "v", "n"])
+
+    tally = (values.select(*[f"`{c}`" for c in names]).mapInArrow(inside, "k int, v double, n long")
+             .groupBy("k", "v").agg(F.sum("n").alias("n")))
     # a window per bracket: at most ``bracket_rows`` values each
     upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = local_frame(values.sparkSession, asked, "k string, c string, rank long, at long")
-    rows = (tally.withColumn("upto", upto).join(F.broadcast(ranks), "k")
+    ranks = local_frame(values.sparkSession, asked, "k int, c string, rank long, at long")
+    rows = (tally.withColumn("upto", upto).join(F.broadcast(ranks), "k")       # a row per wanted rank
             .where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
             .select("c", "rank", "v").collect())
     return [(r["c"], r["rank"], r["v"]) for r in rows]

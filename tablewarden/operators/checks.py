@@ -21,7 +21,7 @@ from tablewarden.functions.quantiles import as_double, exact_quantiles
 from tablewarden.functions.scoring import severity
 from tablewarden.operators.profile import Tables, profile_tables
 from tablewarden.runtime import (groupable, is_numeric, local_frame, present, quoted, settled,
-                                 union_all)
+                                 side_by_side, union_all)
 from tablewarden.schemas import ISSUE, ISSUE_COLUMNS, TableMeta
 
 log = logging.getLogger(__name__)
@@ -169,26 +169,29 @@ def beyond(df: DataFrame, fence: Fence, multiplier: float) -> Column:
 def outlier_counts(tables: Tables, profile: DataFrame, meta: Meta, multiplier: float) -> DataFrame:
     """Rows ``(table, column, n_values, n_outliers, q1, q3)`` for fact measures with a spread."""
     values = {(r["table"], r["column"]): r for r in profile.collect()}
-    parts = []
-    for pos, (t, df) in enumerate(tables.items()):
-        if not meta[t].is_fact:
-            continue
+
+    def count_table(place: tuple[int, str]) -> DataFrame | None:
+        pos, t = place
+        df = tables[t]
         counts = {c: values[t, c]["n_rows"] - values[t, c]["n_null"]
                   for c in meta[t].numeric_cols if is_numeric(df, c)}
         counts = {c: n for c, n in counts.items() if n >= config.MIN_ROWS_FOR_STATS}
         bounds = {c: (values[t, c]["min"], values[t, c]["max"]) for c in counts}
         fences = {c: f for c, f in quartile_fences(df, list(counts), counts, bounds).items() if f.q1 != f.q3}
         if not fences:
-            continue
+            return None
         row = df.agg(*[F.count_if(beyond(df, f, multiplier)).alias(f"o{i}")
                        for i, f in enumerate(fences.values())])
-        parts.append(row.select(F.inline(F.array(*[
+        return row.select(F.inline(F.array(*[
             F.struct(F.lit(t).alias("table"), F.lit(pos).alias("table_pos"),
                      F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("col_pos"),
                      F.lit(counts[c]).cast("long").alias("n_values"),
                      F.col(f"o{i}").alias("n_outliers"),
                      F.lit(f.q1).alias("q1"), F.lit(f.q3).alias("q3"))
-            for i, (c, f) in enumerate(fences.items())]))))
+            for i, (c, f) in enumerate(fences.items())])))
+
+    facts = [(pos, t) for pos, t in enumerate(tables) if meta[t].is_fact]
+    parts = [p for p in side_by_side(count_table, facts) if p is not None]
     if not parts:
         return local_frame(profile.sparkSession, [], "table string, table_pos int, column string, col_pos int, n_values long, "
                 "n_outliers long, q1 double, q3 double")

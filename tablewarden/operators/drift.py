@@ -21,7 +21,7 @@ from tablewarden.functions.quantiles import as_double, bucket_counts, exact_quan
 from tablewarden.functions.scoring import direction, kolmogorov_p, ks_severity, psi_severity, severity_rank
 from tablewarden.operators.checks import Meta, no_issues
 from tablewarden.operators.profile import Tables, profile_tables
-from tablewarden.runtime import is_numeric, local_copy, local_frame, union_all
+from tablewarden.runtime import is_numeric, local_copy, local_frame, side_by_side, union_all
 from tablewarden.schemas import ISSUE
 
 POINTS = "table string, column string, value double, weight long"
@@ -140,13 +140,13 @@ def snapshot_drift(tables: Tables, profile: DataFrame, meta: Meta, snapshot: Dat
     compared = [c for c in drift_columns(tables, profile, meta)
                 if (c["table"], c["column"]) in reference
                 and reference[c["table"], c["column"]][1].sum() >= config.MIN_REFERENCE_POINTS]
+    breaks_of = {(c["table"], c["column"]): psi_breaks(*reference[c["table"], c["column"]]) for c in compared}
+    scanned = list(dict.fromkeys(c["table"] for c in compared))
+    ranks_of = dict(zip(scanned, side_by_side(lambda t: rank_counts(tables[t], {
+        c: [*reference[t, c][0].tolist(), *breaks] for (own, c), breaks in breaks_of.items() if own == t}), scanned)))
     bins, points, heads = [], [], []
-    for t in {c["table"] for c in compared}:
-        mine = [c for c in compared if c["table"] == t]
-        breaks = {c["column"]: psi_breaks(*reference[t, c["column"]]) for c in mine}
-        ranks = rank_counts(tables[t], {
-            c["column"]: [*reference[t, c["column"]][0].tolist(), *breaks[c["column"]]] for c in mine})
-        for c in mine:
+    for t, ranks in ranks_of.items():
+        for c in (c for c in compared if c["table"] == t):
             name, (values, weights) = c["column"], reference[t, c["column"]]
             total, at = int(weights.sum()), ranks[c["column"]]
             heads.append((t, c["table_pos"], name, c["col_pos"], total, c["n_cur"],
@@ -155,7 +155,7 @@ def snapshot_drift(tables: Tables, profile: DataFrame, meta: Meta, snapshot: Dat
             below = lambda x, side: int(upto[np.searchsorted(values, x, side=side)])
             for v in np.unique(values).tolist():
                 points.append((t, name, below(v, "left"), below(v, "right"), *at[v], total, c["n_cur"]))
-            edges = breaks[name]
+            edges = breaks_of[t, name]
             for j in range(len(edges) - 1):
                 last = j == len(edges) - 2
                 low, high = edges[j], edges[j + 1]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewarden import config
 from tablewarden.functions.quantiles import bucket_counts, exact_quantiles
 from tablewarden.operators.profile import Tables, profile_tables
-from tablewarden.runtime import is_numeric, local_frame, quoted, text_sql, union_all
+from tablewarden.runtime import is_numeric, local_frame, quoted, side_by_side, text_sql, union_all
 from tablewarden.schemas import SNAPSHOT
 
 
@@ -66,22 +66,29 @@ def build_snapshot(tables: Tables, tag: str = "baseline", profile: DataFrame | N
     stats: dict[str, dict[str, object]] = {}
     for r in profile.collect():
         stats.setdefault(r["table"], {})[r["column"]] = r
-    tops = [top_values(df, text).withColumn("table", F.lit(t))
-            for t, df in tables.items()
-            if (text := [c for c in df.columns if c not in numeric_columns(df, stats[t])])]
     fractions: dict[tuple[str, str], dict[str, float]] = {}
-    if tops:
-        for r in union_all(tops).orderBy("table", "column", "place").collect():
+
+    def frequent(_) -> None:
+        tops = [top_values(df, text).withColumn("table", F.lit(t))
+                for t, df in tables.items()
+                if (text := [c for c in df.columns if c not in numeric_columns(df, stats[t])])]
+        for r in union_all(tops).orderBy("table", "column", "place").collect() if tops else ():
             s = stats[r["table"]][r["column"]]
             fractions.setdefault((r["table"], r["column"]), {})[r["value"]] = r["n"] / (s["n_rows"] - s["n_null"])
-    rows = []
-    for t, df in tables.items():
+
+    def numbers(t: str):
+        df = tables[t]
         numeric = numeric_columns(df, stats[t])
         counts = {c: stats[t][c]["n_rows"] - stats[t][c]["n_null"] for c in numeric}
         bounds = {c: (stats[t][c]["min"], stats[t][c]["max"]) for c in numeric}
-        q = exact_quantiles(df, {c: config.SNAPSHOT_PROBS for c in numeric}, counts, bounds)
-        edges = {c: histogram_edges(stats[t][c]["min"], stats[t][c]["max"], counts[c]) for c in numeric}
-        bins = histograms(df, edges)
+        edges = {c: histogram_edges(*bounds[c], counts[c]) for c in numeric}
+        return exact_quantiles(df, {c: config.SNAPSHOT_PROBS for c in numeric}, counts, bounds), edges, histograms(df, edges)
+
+    found = side_by_side(lambda job: job[0](job[1]), [(frequent, None), *((numbers, t) for t in tables)])
+    measured = dict(zip(tables, found[1:]))
+    rows = []
+    for t, df in tables.items():
+        q, edges, bins = measured[t]
         for c in df.columns:
             s = stats[t][c]
             head = (tag, t, c, s["dtype"], s["n_rows"], s["n_null"])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,19 @@ INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 
 
+In = TypeVar("In")
+Out = TypeVar("Out")
+
+
+def side_by_side(fn: Callable[[In], Out], items: Iterable[In], width: int = 4) -> list[Out]:
+    """``fn`` over a few independent jobs, submitted together so that the cluster stays busy."""
+    items = list(items)
+    if len(items) < 2:
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        return list(pool.map(fn, items))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one where none is named."""
     context = spark.sparkContext
