@@ -167,11 +167,11 @@ class _Bracket:
     inside: int
 
 
-def _slices(b: _Bracket) -> list[float]:
-    """Edges that cut [low, high] into equal slices and separate it from its surroundings."""
+def _slices(b: _Bracket, n: int) -> list[float]:
+    """Edges that cut [low, high] into n equal slices and separate it from its surroundings."""
     top = np.finfo(float).max
     low, high = max(b.low, -top), min(b.high, top)
-    t = np.linspace(0.0, 1.0, SLICES + 1)[1:-1]
+    t = np.linspace(0.0, 1.0, max(n, 2) + 1)[1:-1]
     inner = low * (1.0 - t) + high * t
     edges = {b.low, math.nextafter(b.high, math.inf)} | {float(x) for x in inner if b.low < x <= b.high}
     # halving by value stalls when every slice edge rounds to an end; split next to the low end
@@ -202,7 +202,8 @@ def select_ranks(df: DataFrame, wanted: Mapping[str, set[int]], counts: Mapping[
             done[c][rank] = value
         if not large:
             return done
-        edges = {c: sorted({e for b in bs for e in _slices(b)}) for c, bs in large.items()}
+        # the slices of one column's brackets share one budget, so counters per task stay few
+        edges = {c: sorted({e for b in bs for e in _slices(b, SLICES // len(bs))}) for c, bs in large.items()}
         slices: dict[str, dict[int, tuple]] = {c: {} for c in edges}
         for r in bucket_stats(values, edges).collect():
             slices[r["column"]][r["bucket"]] = (r["n"], r["lo"], r["hi"])

@@ -235,18 +235,26 @@ def aligned(left: DataFrame, left_col: str, right: DataFrame, right_col: str) ->
     return a, b
 
 
-def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
+def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str, dim_rows: int | None = None) -> DataFrame:
     """Rows ``(key, n)``: foreign-key values without a dimension row.
 
-    The fact is reduced to one row per key value on the map side before anything moves, so a
-    key that a third of all rows share costs one row per task, and the join that follows meets
-    no hot key.  Spark broadcasts the dimension side only below its own size threshold.
+    A dimension of a counted, bounded size is broadcast and the fact is filtered where it
+    lies; only orphans are grouped.  For a larger one both sides are grouped by key in a
+    single shuffle: the fact sends one row per key and task, so a key that a third of all
+    rows share never gathers anywhere, and no join is needed at all.
     """
     left, right = aligned(df, fk, dim, pk)
-    used = (df.select(left.alias("key")).where(F.col("key").isNotNull())
-            .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    used = df.select(left.alias("key")).where(F.col("key").isNotNull())
     known = dim.select(right.alias("key")).where(F.col("key").isNotNull())
-    return used.join(known, "key", "left_anti")
+    if dim_rows is None:
+        dim_rows = known.limit(config.BROADCAST_ROWS + 1).count()
+    if dim_rows <= config.BROADCAST_ROWS:
+        return (used.join(F.broadcast(known), "key", "left_anti")
+                .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    both = (used.withColumn("n", F.lit(1)).withColumn("known", F.lit(False))
+            .unionByName(known.withColumn("n", F.lit(0)).withColumn("known", F.lit(True))))
+    return (both.groupBy("key").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known"))
+            .where(~F.col("known")).select("key", "n"))
 
 
 def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta) -> DataFrame:
@@ -259,7 +267,7 @@ def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta) -> DataFram
         for i, (fk, (dim, pk)) in enumerate(meta[t].foreign_keys.items()):
             if dim not in tables or not sizes.get(dim) or pk not in tables[dim].columns or fk not in df.columns:
                 continue
-            parts.append(orphan_counts(df, fk, tables[dim], pk)
+            parts.append(orphan_counts(df, fk, tables[dim], pk, sizes[dim])
                          .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"))
                          .select(F.lit(t).alias("table"), F.lit(pos).alias("table_pos"),
                                  F.lit(fk).alias("column"), F.lit(i).alias("col_pos"),

@@ -157,8 +157,12 @@ def inject_issues(tables: Tables, meta: Mapping[str, TableMeta] | None = None, s
     ``keys`` names a unique column per table that already identifies rows; ``pick`` replaces
     the seeded exact choice of rows.
     """
-    meta = infer_metadata(tables) if meta is None else meta
-    keys, pick = keys or {}, pick or pick_rows
+    keys, pick = dict(keys or {}), pick or pick_rows
+    if meta is None:
+        meta = infer_metadata(tables)
+        for t, m in meta.items():          # an inferred fact key is unique: no row numbers needed
+            if m.is_fact and m.primary_keys:
+                keys.setdefault(t, m.primary_keys[0])
     out = dict(tables)
     fact = target_fact(tables, meta)
     m = meta[fact]
