@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewarden import config
 from tablewarden.functions import names
-from tablewarden.functions.scoring import direction, kolmogorov_p
-from tablewarden.operators import checks, drift, metadata, rank, snapshot, verify
+from tablewarden.functions.dates import after_cutoff
+from tablewarden.functions.scoring import direction, kolmogorov_p, psi_severity
+from tablewarden.operators import checks, drift, metadata, snapshot, verify
 from tablewarden.operators.profile import distinct_counts, profile_plan, profile_tables, table_sizes
 from tablewarden.plans import datasets, oracle_views as o
 from tablewarden.plans.registry import DIRTY_META, dirty_issues, dirty_ranked, query, subset
@@ -26,9 +28,10 @@ def six(c: str, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
 
-def flat_issues(df):
+def flat_issues(df, *more):
+    """Issue columns with the column list as text, and any further columns."""
     return df.select("issue_id", "issue_type", "table", F.array_join("columns", ",").alias("columns"),
-                     "severity", "metric", "evidence_rows")
+                     "severity", "metric", "evidence_rows", *more)
 
 
 # ---- sources and catalog ---------------------------------------------------------------
@@ -243,7 +246,7 @@ def column_profile(spark, sf):
 @query("null_issues", f"{o.issues('high')} SELECT {o.COMMON}, description FROM issues WHERE issue_type = 'missing_values'")
 def null_issues(spark, sf):
     found = checks.null_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META), DIRTY_META, "high")
-    return flat_issues(found.withColumn("d", F.col("description"))).join(found.select("issue_id", "description"), "issue_id")
+    return flat_issues(found, "description")
 
 
 @query("null_issues_normal", f"{o.issues('normal')} SELECT {o.COMMON} FROM issues WHERE issue_type = 'missing_values'")
@@ -304,12 +307,7 @@ def future_text(spark, sf):
             .otherwise(F.date_format("order_date", "yyyyMMdd")))
     dated = orders.select("status", text.alias("order_day"))
     return dated.groupBy("status").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(checks_after(dated, "order_day")).alias("n_future"))
-
-
-def checks_after(df, column):
-    from tablewarden.functions.dates import after_cutoff
-    return after_cutoff(df, column)
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(after_cutoff(dated, "order_day")).alias("n_future"))
 
 
 @query("future_dates", f"{o.issues('high')} SELECT {o.COMMON} FROM issues WHERE issue_type = 'invalid_future_dates'")
@@ -437,7 +435,6 @@ def cdf_rebuild(spark, sf):
     clean = datasets.star(spark, sf)
     snap = snapshot.build_snapshot({t: clean[t].select(*DIRTY_META[t].numeric_cols)
                                     for t in ("fact_orders", "fact_lineitems", "fact_events")})
-    from pyspark.sql import Window
     place = F.row_number().over(Window.partitionBy("table", "column").orderBy("value")) - 1
     return (drift.cdf_points(snap).withColumn("place", place.cast("long"))
             .select("table", "column", "place", F.round("value", 6).alias("value")))
@@ -446,7 +443,6 @@ def cdf_rebuild(spark, sf):
 @query("psi", f"""{_DRIFT_HEAD}, {_PSI_SQL} SELECT tbl AS "table", col AS "column", round(psi, 6) AS psi,
 CASE WHEN psi < 0.1 THEN 'low' WHEN psi < 0.25 THEN 'medium' ELSE 'high' END AS severity FROM psi""")
 def psi(spark, sf):
-    from tablewarden.functions.scoring import psi_severity
     return _snapshot_stats(spark, sf).select("table", "column", six("psi"), psi_severity(F.col("psi")).alias("severity"))
 
 
@@ -465,13 +461,21 @@ def drift_direction(spark, sf):
         "table", "column", direction(F.col("ref_mean"), F.col("cur_mean")).alias("direction"))
 
 
-@query("drift_issues", f"""{_DRIFT_HEAD}, {_PSI_SQL}, {_KS_SQL},
-tests AS (SELECT tbl, col, 1 AS pref, CASE WHEN psi < 0.1 THEN 0 WHEN psi < 0.25 THEN 1 ELSE 2 END AS sev, round(least(psi / 0.25, 1), 4) AS metric FROM psi
+_TESTS_SQL = """tests AS (SELECT tbl, col, 1 AS pref, CASE WHEN psi < 0.1 THEN 0 WHEN psi < 0.25 THEN 1 ELSE 2 END AS sev, round(least(psi / 0.25, 1), 4) AS metric FROM psi
   UNION ALL SELECT tbl, col, 2, CASE WHEN p >= 0.05 THEN 0 WHEN p >= 0.01 THEN 1 ELSE 2 END, round(d, 4) FROM pvals),
-best AS (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY sev DESC, pref) AS place FROM tests WHERE sev > 0)
-SELECT 'DRIFT_' || lpad(CAST(row_number() OVER (ORDER BY tpos, cpos) AS VARCHAR), 4, '0') AS issue_id, 'statistical_drift' AS issue_type,
-  tbl AS "table", col AS columns, CASE sev WHEN 2 THEN 'high' ELSE 'medium' END AS severity, metric, CAST(0 AS BIGINT) AS evidence_rows
-FROM best JOIN knots USING (tbl, col) WHERE place = 1""")
+best AS (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY sev DESC, pref) AS place FROM tests WHERE sev > 0),
+drifted AS (SELECT 'DRIFT_' || lpad(CAST(row_number() OVER (ORDER BY tpos, cpos) AS VARCHAR), 4, '0') AS issue_id, 'statistical_drift' AS issue_type,
+  tbl, [col] AS cols, CASE sev WHEN 2 THEN 'high' ELSE 'medium' END AS severity, metric, CAST(0 AS BIGINT) AS evidence_rows
+  FROM best JOIN knots USING (tbl, col) WHERE place = 1)"""
+#: After ``scored``: rule issues and drift together, ranked, with the confidence each would get.
+DRIFT_RANKED = f"""{_POINTS_SQL}, {_CURRENT_SQL}, {_PSI_SQL}, {_KS_SQL}, {_TESTS_SQL},
+everything AS (SELECT issue_id, issue_type, tbl, cols, severity, metric, evidence_rows, bis,
+    CASE WHEN issue_type = 'duplicate_rows' AND len(cols) = 0 THEN 0.5 ELSE 1.0 END AS confidence FROM scored
+  UNION ALL SELECT d.*, round(2.5::DOUBLE * (CASE severity WHEN 'high' THEN 3 ELSE 2 END) * least(metric, 1) * (1.9::DOUBLE / 6.75::DOUBLE), 6), 0.8 FROM drifted d),
+all_ranked AS (SELECT *, row_number() OVER (ORDER BY bis DESC, tbl, issue_type, issue_id) AS rnk FROM everything WHERE bis >= 0.05)"""
+
+
+@query("drift_issues", f"{_DRIFT_HEAD}, {_PSI_SQL}, {_KS_SQL}, {_TESTS_SQL} SELECT {o.COMMON} FROM drifted")
 def drift_issues(spark, sf):
     return flat_issues(drift.drift_issues(_snapshot_stats(spark, sf)))
 

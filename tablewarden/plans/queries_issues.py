@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewarden import config
@@ -9,10 +10,10 @@ from tablewarden.operators import analytics, checks, narrate, rank, textqa
 from tablewarden.operators.profile import profile_tables, table_sizes
 from tablewarden.operators.snapshot import build_snapshot
 from tablewarden.plans import datasets, oracle_views as o
-from tablewarden.plans.queries_checks import flat_issues, scratch
+from tablewarden.plans.queries_checks import DRIFT_RANKED, flat_issues, scratch
 from tablewarden.plans.registry import DIRTY_META, dirty_issues, dirty_ranked, query, subset
 from tablewarden.plans.triage import adhoc_triage, analyze, run_triage
-from tablewarden.runtime import local_copy, local_frame
+from tablewarden.runtime import local_frame
 from tablewarden.sources import stores
 
 _LABEL = "CASE severity WHEN 'high' THEN 'Critical' WHEN 'medium' THEN 'Moderate' WHEN 'low' THEN 'Minor' ELSE 'Unknown' END"
@@ -30,8 +31,7 @@ def missing_value_impact(spark, sf):
     """Which columns miss values, and how much does each matter?"""
     profile = profile_tables(datasets.dirty(spark, sf), DIRTY_META)
     ranked = rank.rank_issues(checks.null_issues(profile, DIRTY_META, "high"), table_sizes(profile))
-    return ranked.select("issue_id", "issue_type", "table", F.array_join("columns", ",").alias("columns"),
-                         "severity", "metric", "evidence_rows", "impact_score")
+    return flat_issues(ranked, "impact_score")
 
 
 @query("bis_scores", f"""{o.scored()} SELECT issue_id, base_weight, severity_weight, round(density, 6) AS evidence_density,
@@ -47,7 +47,7 @@ def bis_scores(spark, sf):
 @query("bis_rank", f"{o.scored()} SELECT {o.COMMON}, bis AS impact_score, rnk AS rank FROM ranked")
 def bis_rank(spark, sf):
     ranked = dirty_ranked(spark, sf)
-    return flat_issues(ranked).join(ranked.select("issue_id", "impact_score", F.col("rank").cast("long").alias("rank")), "issue_id")
+    return flat_issues(ranked, "impact_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("v1_v2_compare", f"""{o.scored()}, v AS (SELECT *, severity_weight * v1_weight * greatest(metric, 0.001) AS v1 FROM scored),
@@ -110,7 +110,6 @@ def fix_text(spark, sf):
 
 
 @query("exec_summary", f"""{o.scored()}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE severity = 'high') AS c FROM ranked),
-h AS (SELECT string_agg(replace(upper(left(issue_type, 1)) || substr(issue_type, 2), '_', ' '), '') AS unused FROM ranked),
 top AS (SELECT string_agg(array_to_string(list_transform(string_split(issue_type, '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')
   || ' in ' || tbl || ' affecting ' || format('{{:,}}', evidence_rows) || ' records.', '|' ORDER BY rnk) AS risks
   FROM (SELECT * FROM ranked WHERE severity = 'high' ORDER BY rnk LIMIT 3))
@@ -149,15 +148,11 @@ def triage_report(spark, sf):
     stored = spark.read.option("wholetext", False).text(f"{path}/triage_report_injected")
     kept = stored.agg(F.count(F.lit(1)).alias("n_stored"))
     return (lines.groupBy("section").agg(F.count(F.lit(1)).alias("n_lines"))
-            .crossJoin(kept).withColumn("total", F.sum("n_lines").over(_whole()))
+            # three rows, one per report section
+            .crossJoin(F.broadcast(kept)).withColumn("total", F.sum("n_lines").over(Window.partitionBy()))
             .where("total = n_stored").select("section", "n_lines"))
 
 
-def _whole():
-    from pyspark.sql import Window
-    return Window.partitionBy()          # three rows: one per report section
-
-
 @query("adhoc_report", f"""{o.scored()}, b(issue_type, body) AS (VALUES {", ".join(f"('{k}', {n})" for k, n in _GUIDE_COUNTS.items())})
 SELECT CAST(15 + sum(14 + body) AS BIGINT) AS n_lines FROM ranked JOIN b USING (issue_type)""")
 def adhoc_report(spark, sf):
@@ -304,24 +299,23 @@ _CONF = "CASE WHEN issue_type = 'duplicate_rows' AND len(cols) = 0 THEN 0.5 ELSE
 def triage_dirty(spark, sf):
     """Whole pipeline with inferred metadata, without a baseline."""
     ranked = run_triage(datasets.dirty(spark, sf), sensitivity="high").ranked
-    more = ranked.select("issue_id", "impact_score", F.col("rank").cast("long").alias("rank"), "confidence")
-    return flat_issues(ranked).join(more, "issue_id")
+    return flat_issues(ranked, "impact_score", F.col("rank").cast("long").alias("rank"), "confidence")
 
 
-@query("triage_drift")
+@query("triage_drift", f"{o.scored()}, {DRIFT_RANKED} SELECT {o.COMMON}, bis AS impact_score, confidence FROM all_ranked WHERE issue_type <> 'empty_table'")
 def triage_drift(spark, sf):
     """Pipeline on dirty tables against the snapshot of the clean ones."""
     names = ("fact_orders", "fact_lineitems", "fact_events", "dim_customers", "dim_parts", "dim_suppliers", "dim_users")
     snapshot = build_snapshot(subset(datasets.star(spark, sf), *names[:3]))
     ranked = run_triage(subset(datasets.dirty(spark, sf), *names), DIRTY_META, snapshot=snapshot).ranked
-    return flat_issues(ranked).join(ranked.select("issue_id", "impact_score", "confidence"), "issue_id")
+    return flat_issues(ranked, "impact_score", "confidence")
 
 
 @query("triage_adhoc", f"{o.scored()} SELECT {o.COMMON}, bis AS impact_score, {_CONF} FROM ranked WHERE tbl IN ('fact_orders', 'dim_customers')")
 def triage_adhoc(spark, sf):
     ranked = adhoc_triage(subset(datasets.dirty(spark, sf), "fact_orders", "dim_customers"))
     # issue ids count within a run; outlier ids agree because orders come first
-    return flat_issues(ranked).join(ranked.select("issue_id", "impact_score", "confidence"), "issue_id")
+    return flat_issues(ranked, "impact_score", "confidence")
 
 
 @query("analyze", f"""{o.scored()} SELECT issue_id, {_case('issue_type', narrate.ACTIONS, narrate.ACTION_UNKNOWN)} AS recommended_action,

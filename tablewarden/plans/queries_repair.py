@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tablewarden.operators import checks, evaluate, inject, investigate, repair
-from tablewarden.operators.profile import profile_tables, table_sizes
 from tablewarden.plans import datasets, oracle_views as o
-from tablewarden.plans.queries_checks import scratch
-from tablewarden.plans.registry import DIRTY_META, dirty_issues, dirty_ranked, query, subset
-from tablewarden.runtime import local_copy, local_frame, union_all
+from tablewarden.operators.snapshot import build_snapshot
+from tablewarden.plans.queries_checks import DRIFT_RANKED, scratch
+from tablewarden.plans.registry import DIRTY_META, dirty_ranked, query, subset
+from tablewarden.plans.triage import evaluate_tables
+from tablewarden.runtime import local_frame, union_all
 from tablewarden.schemas import EVALUATION, TRUTH
 from tablewarden.sources import stores
 
@@ -133,7 +135,7 @@ def inject_all(spark, sf):
     source = clean["fact_orders"]
     # prices made recognisable so that the inflated ones can be counted exactly
     clean["fact_orders"] = source.withColumn("total_price", F.lit(1.0)).withColumn("discount_pct", F.lit(1.0))
-    meta = {"fact_orders": datasets_meta(), "dim_customers": DIRTY_META["dim_customers"]}
+    meta = {"fact_orders": clean_orders_meta(), "dim_customers": DIRTY_META["dim_customers"]}
     out, truth = inject.inject_issues(clean, meta, keys={"fact_orders": "order_id", "dim_customers": "customer_id"})
     facts, dims = out["fact_orders"], out["dim_customers"]
     n_orders = source.agg(F.count(F.lit(1)).alias("n_clean"), F.max("customer_id").alias("top"))
@@ -151,9 +153,8 @@ def inject_all(spark, sf):
         "issue_id", "issue_type", F.array_join("columns", ",").alias("columns"), "row_count", "n_found")
 
 
-def datasets_meta():
+def clean_orders_meta():
     """Metadata of clean orders, where the key is unique."""
-    from dataclasses import replace
     return replace(DIRTY_META["fact_orders"], primary_keys=("order_id",))
 
 
@@ -213,6 +214,28 @@ def eval_store(spark, sf):
     return stores.load_evaluation(spark, path).select(*[c for c in EVALUATION.names if c not in ("wall_seconds", "error")])
 
 
+_STRATEGY_SQL = """{name}_pairs AS (SELECT r.rnk FROM {ranked} r JOIN equal e ON e.pred_type = r.issue_type JOIN truth t ON t.issue_type = e.truth_type AND t.tbl = r.tbl
+  WHERE len(r.cols) = 0 OR len(t.cols) = 0 OR list_has_any(r.cols, t.cols)),
+{name} AS (SELECT '{strategy}' AS strategy, (SELECT count(*) FROM {ranked}) AS n_pred, (SELECT count(*) FROM truth) AS n_truth,
+  (SELECT count(*) FROM {name}_pairs) AS tp, (SELECT count(*) FROM {name}_pairs WHERE rnk <= 5) AS hits)"""
+
+
+@query("eval_strategies", f"""{o.scored('normal')}, {DRIFT_RANKED}, {_TRUTH_SQL}, {_PAIRS_SQL},
+{_STRATEGY_SQL.format(name='a', ranked='ranked', strategy='A_baseline')}, {_STRATEGY_SQL.format(name='b', ranked='ranked', strategy='B_supervisor')},
+{_STRATEGY_SQL.format(name='c', ranked='all_ranked', strategy='C_full')},
+m AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
+SELECT strategy, tp AS true_positives, n_pred - tp AS false_positives, n_truth - tp AS false_negatives, round(tp / n_pred, 4) AS precision,
+  round(tp / n_truth, 4) AS recall, round(2 * (tp / n_pred) * (tp / n_truth) / (tp / n_pred + tp / n_truth), 4) AS f1,
+  round(hits / least(5, n_truth), 4) AS top_5_recall, round((n_pred - tp) / n_pred, 4) AS noise_rate, round(hits / least(5, n_pred), 4) AS summary_accuracy,
+  n_pred AS predicted_issues, n_truth AS ground_truth_issues FROM m""")
+def eval_strategies(spark, sf):
+    """Checks alone, with re-count, and with drift, scored on the dirty views at normal sensitivity."""
+    clean = datasets.star(spark, sf)
+    snapshot = build_snapshot(subset(clean, "fact_orders", "fact_lineitems", "fact_events"))
+    scored = evaluate_tables(datasets.dirty(spark, sf), dirty_truth(spark, sf), snapshot, "normal", DIRTY_META)
+    return scored.select(*[c for c in EVALUATION.names if c not in ("wall_seconds", "error")])
+
+
 # ---- investigation ---------------------------------------------------------------------
 
 @query("orphan_top20", f"""{o.VIEWS} SELECT customer_id AS invalid_fk_value, count(*) AS affected_rows FROM d_fact_orders f

@@ -126,19 +126,20 @@ def inject_source(spark: SparkSession, folders: Mapping[str, str], truth_path: s
 
 
 def evaluate_tables(tables: Tables, truth: DataFrame, snapshot: DataFrame | None = None,
-                    sensitivity: str = "normal") -> DataFrame:
+                    sensitivity: str = "normal", meta: Mapping[str, TableMeta] | None = None) -> DataFrame:
     """Strategies A (checks), B (+ re-count) and C (+ drift) scored against the truth.
 
-    The profile is computed once.  A failing strategy becomes a row with its error.
+    Profile and metadata are computed once.  A failing strategy becomes a row with its error.
     """
     spark = truth.sparkSession
-    profile = profile_tables(tables)
+    profile = profile_tables(tables, meta)
+    meta = infer_metadata(tables, profile, meta)
     truth = local_copy(evaluate.truth_positions(truth))
     predicted, seconds, errors = [], {}, {}
     for name, (verified, drifted) in STRATEGIES.items():
         start = time.perf_counter()
         try:
-            ranked = run_triage(tables, sensitivity=sensitivity, snapshot=snapshot, profile=profile,
+            ranked = run_triage(tables, meta, sensitivity=sensitivity, snapshot=snapshot, profile=profile,
                                 with_verification=verified, with_drift=drifted).ranked
             predicted.append(evaluate.positions(ranked, name).select("run_id", "pred_pos", "issue_type", "table", "columns"))
         except Exception as error:        # noqa: BLE001 - report the strategy, keep the others
