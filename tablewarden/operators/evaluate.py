@@ -72,14 +72,13 @@ def evaluation_metrics(predicted: DataFrame, truth: DataFrame, runs: DataFrame |
     top = (greedy_matches(pairs.where(F.col("pred_pos") <= config.RESPONSE_TOP_ISSUES))
            .groupBy("run_id").agg(F.count(F.lit(1)).alias("hits")))
     sizes = predicted.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    n_truth = truth.agg(F.count(F.lit(1)).alias("n_truth"))
+    n_truth = truth.count()
     runs = sizes.select("run_id") if runs is None else runs
     c = F.col
     zero = lambda name: F.coalesce(c(name), F.lit(0))
     joined = (runs.join(sizes, "run_id", "left").join(tp, "run_id", "left").join(top, "run_id", "left")
-              .crossJoin(F.broadcast(n_truth))          # one row
               .select("run_id", zero("n_pred").alias("n_pred"), zero("tp").alias("tp"),
-                      zero("hits").alias("hits"), "n_truth"))
+                      zero("hits").alias("hits"), F.lit(n_truth).alias("n_truth")))
     precision, recall = _ratio(c("tp"), c("n_pred")), _ratio(c("tp"), c("n_truth"))
     top_k = F.least(F.lit(config.RESPONSE_TOP_ISSUES), c("n_pred"))
     return (joined.withColumn("p", precision).withColumn("r", recall)

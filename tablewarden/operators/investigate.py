@@ -23,8 +23,8 @@ def orphan_values(df: DataFrame, fk: str, dim: DataFrame, pk: str, top: int = TO
 
 
 def duplication_rate(df: DataFrame, n_rows: int | None = None) -> DataFrame:
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return (total.crossJoin(excess_copies(df, groupable(df), n_rows))      # one row each
+    total = df.count() if n_rows is None else n_rows
+    return (excess_copies(df, groupable(df), total).withColumn("total_rows", F.lit(total).cast("long"))
             .select("total_rows", F.col("excess").alias("duplicate_rows"),
                     F.round(F.try_divide(100.0 * F.col("excess"), F.col("total_rows")), 2).alias("dup_pct")))
 
@@ -111,9 +111,10 @@ def orphan_rows(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
 def sigma_rows(df: DataFrame, column: str, sigmas: float = 3.0) -> DataFrame:
     """Rows further than three population standard deviations from the mean."""
     x = as_double(df, column)
-    stats = df.agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"))
-    far = (x < F.col("_mean") - sigmas * F.col("_std")) | (x > F.col("_mean") + sigmas * F.col("_std"))
-    return df.crossJoin(F.broadcast(stats)).where(far).drop("_mean", "_std")     # one row
+    stats = df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).first()
+    if stats["mean"] is None:
+        return df.where(F.lit(False))
+    return df.where((x < stats["mean"] - sigmas * stats["std"]) | (x > stats["mean"] + sigmas * stats["std"]))
 
 
 def drift_stats(df: DataFrame, column: str) -> DataFrame:

@@ -87,9 +87,8 @@ def keep_inside(df: DataFrame, column: str, multiplier: float = REPAIR_MULTIPLIE
 
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
-    mean = df.agg(F.avg(as_double(df, column)).alias("_mean"))
-    return (df.crossJoin(F.broadcast(mean))                                   # one row
-            .withColumn(column, F.coalesce(present(df, column), F.col("_mean"))).drop("_mean"))
+    mean = df.agg(F.avg(as_double(df, column)).alias("mean")).first()["mean"]
+    return df.withColumn(column, F.coalesce(present(df, column), F.lit(mean).cast("double")))
 
 
 def fill_sentinel(df: DataFrame, column: str, value="UNKNOWN") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewarden import config
@@ -146,11 +145,9 @@ def triage_report(spark, sf):
     path = scratch(spark)
     stores.write_report(lines, path, "injected")
     stored = spark.read.option("wholetext", False).text(f"{path}/triage_report_injected")
-    kept = stored.agg(F.count(F.lit(1)).alias("n_stored"))
-    return (lines.groupBy("section").agg(F.count(F.lit(1)).alias("n_lines"))
-            # three rows, one per report section
-            .crossJoin(F.broadcast(kept)).withColumn("total", F.sum("n_lines").over(Window.partitionBy()))
-            .where("total = n_stored").select("section", "n_lines"))
+    if stored.count() != lines.count():
+        raise RuntimeError("the stored report differs from its lines")
+    return lines.groupBy("section").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("adhoc_report", f"""{o.scored()}, b(issue_type, body) AS (VALUES {", ".join(f"('{k}', {n})" for k, n in _GUIDE_COUNTS.items())})
@@ -210,13 +207,10 @@ def needs_review_count(spark, sf):
 
 # ---- text checks -----------------------------------------------------------------------
 
-_BUDGET = 2_000
-
-
 @query("chat_trim", f"""SELECT conv_id, turn, role, length(text) AS n_chars FROM (SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS n FROM conversations
-WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE used <= {_BUDGET} OR n = 1""")
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE used <= {config.CHAT_BUDGET_CHARS} OR n = 1""")
 def chat_trim(spark, sf):
-    kept = textqa.trim_conversations(datasets.read(spark, sf, "conversations"), _BUDGET)
+    kept = textqa.trim_conversations(datasets.read(spark, sf, "conversations"))
     return kept.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
 
 
@@ -322,5 +316,5 @@ def triage_adhoc(spark, sf):
 (SELECT CASE WHEN count(*) FILTER (WHERE severity = 'high') >= 3 THEN 'poor' WHEN count(*) FILTER (WHERE severity = 'high') >= 1 THEN 'fair' ELSE 'good' END FROM ranked) AS overall_data_health FROM ranked""")
 def analyze_dirty(spark, sf):
     _, explained, summary = analyze(datasets.dirty(spark, sf), meta=DIRTY_META)
-    return (explained.select("issue_id", "recommended_action")
-            .crossJoin(F.broadcast(summary.select("overall_data_health"))))       # one row
+    health = summary.first()["overall_data_health"]
+    return explained.select("issue_id", "recommended_action", F.lit(health).alias("overall_data_health"))

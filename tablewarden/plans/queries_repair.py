@@ -138,17 +138,17 @@ def inject_all(spark, sf):
     meta = {"fact_orders": clean_orders_meta(), "dim_customers": DIRTY_META["dim_customers"]}
     out, truth = inject.inject_issues(clean, meta, keys={"fact_orders": "order_id", "dim_customers": "customer_id"})
     facts, dims = out["fact_orders"], out["dim_customers"]
-    n_orders = source.agg(F.count(F.lit(1)).alias("n_clean"), F.max("customer_id").alias("top"))
-    found = facts.crossJoin(F.broadcast(n_orders)).agg(
-        F.count(F.lit(1)).alias("rows"), F.first("n_clean").alias("n_clean"),
-        F.countDistinct("order_id").alias("ids"),
+    before = source.agg(F.count(F.lit(1)).alias("n"), F.max("customer_id").alias("top")).first()
+    found = facts.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("order_id").alias("ids"),
         F.count_if(F.col("order_date") > F.lit("2098-01-01").cast("timestamp_ntz")).alias("I0003"),
-        F.count_if(F.col("customer_id") > F.col("top")).alias("I0004"),
+        F.count_if(F.col("customer_id") > before["top"]).alias("I0004"),
         F.count_if(F.col("total_price") == 10).alias("I0005"), F.count_if(F.col("discount_pct") == 3).alias("I0006"))
-    wide = (found.crossJoin(dims.agg(F.count_if(F.col("customer_name").isNull()).alias("I0007")))
-            .select((F.col("n_clean") - F.col("ids")).alias("I0001"), (F.col("rows") - F.col("n_clean")).alias("I0002"),
-                    "I0003", "I0004", "I0005", "I0006", "I0007"))
-    long = wide.unpivot([], [f"I000{i}" for i in range(1, 8)], "issue_id", "n_found")
+    wide = found.select((before["n"] - F.col("ids")).alias("I0001"), (F.col("rows") - before["n"]).alias("I0002"),
+                        "I0003", "I0004", "I0005", "I0006")
+    unnamed = dims.agg(F.count_if(F.col("customer_name").isNull()).alias("I0007"))
+    long = (wide.unpivot([], wide.columns, "issue_id", "n_found")
+            .unionByName(unnamed.unpivot([], unnamed.columns, "issue_id", "n_found")))
     return truth.join(long, "issue_id").select(
         "issue_id", "issue_type", F.array_join("columns", ",").alias("columns"), "row_count", "n_found")
 
