@@ -20,7 +20,6 @@ ISSUE = _struct(
     evidence_rows=T.LongType(), description=T.StringType(),
     dim_table=T.StringType(), dim_pk=T.StringType(),
 )
-ISSUE_COLUMNS = ISSUE.names
 
 PROFILE = _struct(
     table=T.StringType(), table_pos=T.IntegerType(), column=T.StringType(),
