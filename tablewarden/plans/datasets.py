@@ -23,7 +23,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The clean star: three facts, one empty fact, four dimensions."""
-    t = lambda name, *columns: read(spark, sf_dir, name).selectExpr(*columns)
+    opened: dict[str, DataFrame] = {}
+
+    def t(name: str, *columns: str) -> DataFrame:
+        if name not in opened:                       # one look at the file footers per table
+            opened[name] = read(spark, sf_dir, name)
+        return opened[name].selectExpr(*columns)
+
     return {
         "fact_orders": t(
             "orders", "o_orderkey AS order_id", "o_custkey AS customer_id",
