@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new folder below the shared checkpoint folder, and read from there.
 
@@ -25,7 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     written: nothing after it can need them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     try:
         spark.conf.set(SHUFFLE_CLEANUP, "true")
