@@ -8,6 +8,7 @@ sums of sizes over the whole text are compared; a narrow margin between the best
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,14 +16,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablewarden.llm.common import column, held_out, nonempty
 
 #: Bounds of the training sample: texts for each language, and characters of each that go into its dictionary.
 TEXTS, TEXT_CHARS = 64, 2048
 #: Characters compressed together, and the margin (share of the smallest size) below which a text is rejected.
-BLOCK_CHARS, MARGIN = 1024, 0.01
+BLOCK_CHARS, MARGIN = 1024, 0.002
+#: Texts shorter than this are compressed behind as many bytes of the dictionary.
+LEAD = 256
 UNDETERMINED = "und"
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def train(docs: DataFrame, texts: int = TEXTS, text_chars: int = TEXT_CHARS) -> dict[str, bytes]:
@@ -40,33 +45,48 @@ def train(docs: DataFrame, texts: int = TEXTS, text_chars: int = TEXT_CHARS) ->
     parts: dict[str, list[str]] = {}
     for row in got.orderBy("lang", "mark").collect():
         parts.setdefault(row["lang"], []).append(row["text"])
-    return {lang: " ".join(p).lower().encode() for lang, p in sorted(parts.items())}
+    return {lang: letters(" ".join(p)).encode() for lang, p in sorted(parts.items())}
 
 
 @lru_cache(maxsize=4)
 def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list:
+    """For each language the compressor, the end of its dictionary, and what that takes."""
     made = []
     for _, content in dictionaries:
         words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(level=3)
-        made.append(zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False,
-                                             write_dict_id=False))
+        how = zstandard.ZstdCompressionParameters.from_level(
+            3, dict_size=len(content), source_size=BLOCK_CHARS, min_match=3, strategy=zstandard.STRATEGY_BTOPT,
+            write_content_size=False, write_checksum=False, write_dict_id=False)
+        words.precompute_compress(compression_params=how)
+        compressor, lead = zstandard.ZstdCompressor(compression_params=how, dict_data=words), content[-LEAD:]
+        made.append((compressor, lead, len(compressor.compress(lead))))
     return made
 
 
+def letters(text: str) -> str:
+    """Words in small letters; all else becomes one space."""
+    return _OTHER.sub(" ", text).lower()
+
+
 def sizes(text: str, compressors: list) -> list[int]:
+    """Bytes of the whole text by each dictionary.
+
+    Zstandard stores very short input as it is.  A short text therefore follows the end of the dictionary, and what
+    that takes alone is not counted.
+    """
     blocks = [text[i:i + BLOCK_CHARS].encode() for i in range(0, len(text), BLOCK_CHARS)]
-    return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
+    if len(text) < LEAD:
+        return [max(1, len(c.compress(lead + text.encode())) - alone) for c, lead, alone in compressors]
+    return [sum(len(c.compress(b)) for b in blocks) for c, _, _ in compressors]
 
 
 def decide(text: str | None, langs: list[str], compressors: list) -> tuple[str, float, float]:
     """Language, score and margin.  Score is a share of 1 by how much smaller each language makes a block."""
     if text is None or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0
-    text = text.lower()
     if not langs:
         return UNDETERMINED, 0.0, 0.0
-    total = sizes(text, compressors)
+    total = sizes(letters(text), compressors)
     order = sorted(range(len(langs)), key=lambda i: (total[i], langs[i]))
     best = total[order[0]]
     margin = (total[order[1]] - best) / best if len(order) > 1 else 1.0
@@ -84,7 +104,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     fixed = tuple(sorted(dictionaries.items()))
     langs = [lang for lang, _ in fixed]
     docs = docs.drop("lang_pred", "score", "margin", "accepted")
-    schema = f"{docs.schema.simpleString()[7:-1]},lang_pred:string,score:double,margin:double"
+    made = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("margin", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(fixed)
@@ -95,8 +115,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                    pa.array([f[2] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "lang_pred", "score", "margin"])
 
-    from pyspark.sql.types import StructType
-    made = StructType(docs.schema.fields).add("lang_pred", "string").add("score", "double").add("margin", "double")
-    del schema
     return docs.mapInArrow(score, made).withColumn(
         "accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= margin))
