@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import ann, fst, html_text, idcoder, langid, mips, packing, quality
+from tablewarden.llm import ann, fst, html_text, idcoder, langid, mips, near, packing, quality
 from tablewarden.llm.common import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.train(pages))
+
+
+@query
+def op9_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.similar(table(spark, sf_dir, "documents"))
