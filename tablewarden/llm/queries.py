@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import ann, fst, html_text, idcoder, langid, mips, near, packing, quality
+from tablewarden.llm import ann, fst, html_text, idcoder, langid, mips, near, packing, quality, substrings
 from tablewarden.llm.common import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.similar(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
