@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import column, nonempty
 
 #: Bound of the training sample, in pages; leaves of a training page; hashed path and word features; hidden units.
-PAGES, TRAIN_LEAVES, PATH, WORDS, HIDDEN = 240, 80, 96, 32, 16
+PAGES, TRAIN_LEAVES, PATH, WORDS, HIDDEN = 240, 80, 224, 32, 16
 PAGES_AT_ONCE, BYTES_AT_ONCE = 256, 4_000_000
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
@@ -246,7 +246,7 @@ def _gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: dict[str, np.n
     return grad
 
 
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, batch: int = 24, rate: float = 0.01) -> dict[str, np.ndarray]:
+def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 0.01) -> dict[str, np.ndarray]:
     w = new_weights()
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
@@ -291,10 +291,10 @@ def said_by_elements(leaf: Leaf) -> bool | None:
 
 
 def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[list[Leaf], list[bool]]:
-    """A page of known layout: ``texts`` as main text between pieces of chrome."""
+    """A page of known layout: ``texts`` as main text, or none, between pieces of chrome."""
     page: list[Leaf] = []
     labels: list[bool] = []
-    shell = ["html", "body", *rng.choice([[], [], ["div page"], ["div id wrapper"]])]
+    shell = rng.choice([["html", "body"], ["html", "body"], [], ["html", "body", "div page"], ["html", "body", "div id wrapper"]])
 
     def put(path: list[str], text: str, main: bool) -> None:
         page.append(Leaf(tuple(shell + path), text))
@@ -304,12 +304,12 @@ def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[l
         return [rng.choice(chrome) for _ in range(rng.randint(low, high))]
 
     def long() -> str:
-        return rng.choice(texts) if rng.random() < 0.5 else rng.choice(chrome)
+        return rng.choice(texts) if texts and rng.random() < 0.5 else rng.choice(chrome)
 
     def extra(kind: str, base: list[str]) -> None:
         if kind == "menu":
-            box = rng.choice([["nav", "ul", "li"], ["ul menu", "li"], ["div navbar", "ul", "li"], ["header", "nav", "ul", "li"], ["div nav menu"]])
-            for t in some(2, 8):
+            box = rng.choice([["nav", "ul", "li"], ["ul menu", "li"], ["div navbar", "ul", "li"], ["header", "nav", "ul", "li"], ["div nav menu"], ["nav"]])
+            for t in some(1, 8):
                 put(base + box, t.split(" ")[0], False)
         elif kind == "header":
             put(base + rng.choice([["header"], ["div header"], ["header", "h1"], ["div banner", "p"]]), long()[:60], False)
@@ -335,7 +335,7 @@ def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[l
             for t in some(1, 4):
                 put(base + box, t, False)
 
-    put(["head", "title"], texts[0][:60], False) if rng.random() < 0.8 else None
+    put(["head", "title"], (texts or chrome)[0][:60], False) if rng.random() < 0.8 else None
     if page:
         page[0] = Leaf(("html", "head", "title"), page[0].text)
     for kind in ("header", "menu", "notice", "ad", "side"):
@@ -343,7 +343,7 @@ def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[l
             extra(kind, [])
     box = rng.choice([["article"], ["main"], ["main", "article"], ["div content"], ["div post"], ["section entry content"], ["div id article body"],
                       ["article post"], ["div main"], ["section"], ["article"]])
-    if rng.random() < 0.7:
+    if texts and rng.random() < 0.7:
         put(box + rng.choice([["h1"], ["header", "h1"], ["h2"]]), texts[0][:60], True)
     for t in texts:
         kind = rng.random()
@@ -379,7 +379,7 @@ def train(pages: DataFrame, sample: int = PAGES) -> dict[str, np.ndarray]:
     for _ in range(2 * sample):
         texts = rng.choice(main)
         start = rng.randrange(len(texts))
-        page, labels = laid_out(texts[start:start + rng.randint(1, 25)], chrome, rng)
+        page, labels = laid_out(texts[start:start + rng.randint(1, 25)] if rng.random() < 0.9 else [], chrome, rng)
         page, labels = page[:TRAIN_LEAVES], labels[:TRAIN_LEAVES]
         x.append(vectors(page))
         y.append(np.array(labels, float))

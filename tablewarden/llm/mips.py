@@ -108,8 +108,9 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 10, scale: float =
     opening = queries.select("vec_id", "vec", "qb", F.lit(first).alias("bucket"), F.lit(None).cast("double").alias("floor"))
     seed = stored(meet(opening, blocks.where(F.col("bucket") == first)), "mips-first")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
-    floors = (seed.withColumn("place", place).where(F.col("place") == k)
-              .select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")).distinct())
+    distinct = seed.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    floors = (distinct.withColumn("place", place).where(F.col("place") == k)
+              .select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")))
     by_size = sorted(((b, s) for b, s in edges.items() if b != first), key=lambda x: -x[1])
     open_buckets = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(float(s)).alias("s")) for b, s in by_size)) if by_size else None
     if open_buckets is None:

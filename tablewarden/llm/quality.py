@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> RuleModel:
     stats = statistics(F.col("text"))
     rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "quality", *(c.alias(n) for n, c in stats.items()))
     got = sorted(tuple(r) for r in rows.distinct().collect())
-    data = np.array([r[1:] for r in got], float).reshape(len(got), -1)
-    return fit(data[:, 1:], data[:, 0], list(stats)) if len(got) else fit(np.zeros((0, 1)), np.zeros(0), list(stats))
+    data = np.array([r[1:] for r in got], float).reshape(len(got), 1 + len(stats))
+    return fit(data[:, 1:], data[:, 0], list(stats))
 
 
 def classify(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -> DataFrame:

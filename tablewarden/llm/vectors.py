@@ -44,12 +44,19 @@ def spread(n: int) -> Column:
 
 
 def smallest(order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` smallest values of ``order``, ties to the smaller id."""
-    if len(order) > 4 * k:
-        edge = np.partition(order, k - 1)[k - 1]
-        near = np.flatnonzero(order <= edge)
-        return near[np.lexsort((ids[near], order[near]))[:k]]
-    return np.lexsort((ids, order))[:k]
+    """Positions of the ``k`` smallest values of ``order``, ties to the smaller id; of equal ids only the best."""
+    near = np.arange(len(order))
+    while True:
+        some = 2 * k
+        if len(near) > 4 * some:
+            near = np.flatnonzero(order <= np.partition(order, some - 1)[some - 1])
+        ranked = near[np.lexsort((ids[near], order[near]))]
+        first = np.sort(np.unique(ids[ranked], return_index=True)[1])
+        if len(first) >= k or len(near) == len(order):
+            return ranked[first[:k]]
+        k, wanted = 4 * k, k                                     # many rows share an id: look further
+        found = smallest(order, ids, k)
+        return found[:wanted]
 
 
 def best(found: DataFrame, k: int, ascending: bool) -> DataFrame:
