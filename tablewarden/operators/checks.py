@@ -20,7 +20,7 @@ from tablewarden.functions import names
 from tablewarden.functions.quantiles import as_double, exact_quantiles
 from tablewarden.functions.scoring import severity
 from tablewarden.operators.profile import Tables, profile_tables, table_sizes
-from tablewarden.runtime import (groupable, is_numeric, local_frame, present, quoted, settled,
+from tablewarden.runtime import (comparable_column, is_numeric, is_plain, local_frame, present, quoted, settled,
                                  side_by_side, union_all)
 from tablewarden.schemas import ISSUE, TableMeta
 
@@ -90,27 +90,34 @@ def null_issues(profile: DataFrame, meta: Meta, sensitivity: str = "normal") ->
 # Duplicates
 # --------------------------------------------------------------------------------------
 
-def repeated_groups(df: DataFrame, columns: list[str], n_rows: int | None = None) -> DataFrame:
+def repeated_groups(df: DataFrame, columns: list[str], n_rows: int | None = None,
+                    hash_first: int = HASH_FIRST_ROWS) -> DataFrame:
     """Groups of equal rows over ``columns`` with more than one copy (``copies``).
 
     Wide rows in large tables: a first pass groups 8-byte row hashes and finds which of them
     repeat at all.  Few repeated hashes are broadcast, so only suspect rows are compared in
     full; equal hashes of different rows are told apart there.  With many repeats the full
-    grouping runs directly.
+    grouping runs directly.  Maps and variants are compared in a canonical form; the group shows
+    one of its own values.
     """
-    keys = [F.col(quoted(c)) for c in columns]
-    rows = df.select(*keys)
-    if len(columns) > 1 and (n_rows or 0) > HASH_FIRST_ROWS:
+    forms = {c: f"_key_{i}" for i, c in enumerate(columns) if not is_plain(df.schema[c].dataType)}
+    rows = df.select(*[F.col(quoted(c)) for c in columns],
+                     *[comparable_column(df, c).alias(form) for c, form in forms.items()])
+    keys = [F.col(forms[c] if c in forms else quoted(c)) for c in columns]
+    if len(columns) > 1 and (n_rows or 0) > hash_first:
         hashed = rows.withColumn("_h", F.xxhash64(*keys))
         twice = settled(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"))
         if twice.limit(config.BROADCAST_ROWS + 1).count() <= config.BROADCAST_ROWS:
             rows = hashed.join(F.broadcast(twice), "_h", "left_semi").drop("_h")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    shown = [F.first(F.col(quoted(c))).alias(c) for c in forms]
+    return (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *shown).where("copies > 1")
+            .select(*map(quoted, columns), "copies"))
 
 
-def excess_copies(df: DataFrame, columns: list[str], n_rows: int | None = None) -> DataFrame:
+def excess_copies(df: DataFrame, columns: list[str], n_rows: int | None = None,
+                  hash_first: int = HASH_FIRST_ROWS) -> DataFrame:
     """One row: copies beyond the first of each group; missing keys equal each other."""
-    return (repeated_groups(df, columns, n_rows)
+    return (repeated_groups(df, columns, n_rows, hash_first)
             .agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("excess")))
 
 
@@ -123,7 +130,7 @@ def duplicate_issues(tables: Tables, profile: DataFrame, meta: Meta, sensitivity
         keys = list(meta[t].primary_keys)
         text = ("Detected %d duplicate excess copies in '%s' on primary key columns." if keys else
                 "Detected %d duplicate excess copies in '%s' on all columns (no primary key found).")
-        parts.append(excess_copies(df, keys or groupable(df), sizes[t]).select(
+        parts.append(excess_copies(df, keys or df.columns, sizes[t]).select(
             F.lit(t).alias("table"), F.lit(pos).alias("table_pos"), F.lit(0).alias("col_pos"),
             F.lit(sizes[t]).cast("long").alias("n_rows"), "excess",
             F.array(*[F.lit(k) for k in keys]).cast("array<string>").alias("keys"),
@@ -293,9 +300,11 @@ def reference_issues(tables: Tables, profile: DataFrame, meta: Meta, sensitivity
 # --------------------------------------------------------------------------------------
 
 def empty_table_issues(profile: DataFrame) -> DataFrame:
+    """One issue per empty table, named by the whole table; names that differ in case only stay as they are."""
+    alike = F.count(F.lit(1)).over(Window.partitionBy(F.upper("table")))
     empty = profile.where("n_rows = 0").select("table", "table_pos").distinct()
     return empty.select(
-        F.concat(F.lit("EMPTY_"), F.substring(F.upper("table"), 1, 20)).alias("issue_id"),
+        F.concat(F.lit("EMPTY_"), F.when(alike == 1, F.upper("table")).otherwise(F.col("table"))).alias("issue_id"),
         F.lit("empty_table").alias("issue_type"), "table",
         F.array().cast("array<string>").alias("columns"), F.lit("high").alias("severity"),
         F.lit(1.0).alias("metric"), F.lit(0).cast("long").alias("evidence_rows"),

@@ -10,7 +10,7 @@ from tablewarden.functions.dates import after_cutoff
 from tablewarden.functions.quantiles import as_double, exact_quantiles
 from tablewarden.operators.checks import (Fence, aligned, beyond, excess_copies, orphan_counts,
                                           quartile_fences, repeated_groups)
-from tablewarden.runtime import groupable, present, quoted, settled, small_or_shuffled
+from tablewarden.runtime import comparable_column, present, quoted, settled, small_or_shuffled
 
 TOP = 20
 
@@ -24,7 +24,7 @@ def orphan_values(df: DataFrame, fk: str, dim: DataFrame, pk: str, top: int = TO
 
 def duplication_rate(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     total = df.count() if n_rows is None else n_rows
-    return (excess_copies(df, groupable(df), total).withColumn("total_rows", F.lit(total).cast("long"))
+    return (excess_copies(df, df.columns, total).withColumn("total_rows", F.lit(total).cast("long"))
             .select("total_rows", F.col("excess").alias("duplicate_rows"),
                     F.round(F.try_divide(100.0 * F.col("excess"), F.col("total_rows")), 2).alias("dup_pct")))
 
@@ -35,8 +35,8 @@ def duplicate_rows(df: DataFrame, top: int = TOP, n_rows: int | None = None) ->
     Groups are counted with map-side partial counts and cut to the first ``top`` before they
     are laid out as rows again, so a row with very many copies never fills one task.
     """
-    columns = groupable(df)
-    order = [F.desc("occurrences"), *[F.col(quoted(c)) for c in columns]]
+    columns = df.columns
+    order = [F.desc("occurrences"), *[comparable_column(df, c) for c in columns]]
     groups = (repeated_groups(df, columns, n_rows).withColumnRenamed("copies", "occurrences")
               .orderBy(*order).limit(top))
     return (groups.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("occurrences"), F.lit(top)))))

@@ -293,14 +293,22 @@ def resolution_lines(ranked: DataFrame) -> DataFrame:
 
 def report_lines(ranked: DataFrame, source: str, sensitivity: str, trace: Iterable[str] = (),
                  timing: Mapping[str, float] | None = None, title: str = "Data quality triage report",
-                 n_issues: int | None = None) -> DataFrame:
-    """The whole report as rows ``(section, rank, line_no, text)``; sort by the first three."""
+                 n_issues: int | None = None, failures: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """The whole report as rows ``(section, rank, line_no, text)``; sort by the first three.
+
+    ``failures`` are checks that did not come to an end, with their errors.
+    """
+    failures = list(failures)
     spark = ranked.sparkSession
     n = ranked.count() if n_issues is None else n_issues
     head = [f"# {title}", "", f"**Source**: `{source}` | **Sensitivity**: `{sensitivity}`",
             f"**Total issues detected**: {n}", ""]
     head += (["## Issues and resolution guide", "", f"> {n} issue(s), ranked by Business Impact Score.", ""]
-             if n else ["No issues detected; all checks passed.", ""])
+             if n else ["No issues detected; all checks passed.", ""] if not failures else
+             ["No issues detected by the checks that came to an end.", ""])
+    if failures:
+        head += ["## Failed checks", "", "> These checks did not come to an end; what they look for is not in this report.", "",
+                 *(f"- `{check}`: {' '.join(error.split())[:300]}" for check, error in failures), ""]
     tail = ["## Steps", "", " → ".join(trace), "", "## Timing", ""]
     tail += [f"- `{step}`: {seconds:.3f}s" for step, seconds in (timing or {}).items()]
     fixed = [(0, 0, i, line) for i, line in enumerate(head)] + [(2, 0, i, line) for i, line in enumerate(tail)]

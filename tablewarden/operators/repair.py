@@ -10,7 +10,7 @@ from tablewarden import config
 from tablewarden.functions.dates import after_cutoff, parsed_sql
 from tablewarden.functions.quantiles import as_double
 from tablewarden.operators.checks import aligned, beyond, orphan_counts, quartile_fences
-from tablewarden.runtime import groupable, is_integer, present, quoted, settled, small_or_shuffled
+from tablewarden.runtime import comparable_column, is_integer, is_plain, present, quoted, settled, small_or_shuffled
 
 REPAIR_MULTIPLIER = config.IQR_MULTIPLIER["high"]
 OPEN_END_DATE, OPEN_END_LIMIT = "9999-12-31", "9999-01-01"
@@ -46,7 +46,10 @@ def null_orphans(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates(groupable(df))
+    """One of each set of equal rows.  Maps and variants are compared too, in a canonical form."""
+    forms = {c: f"_key_{i}" for i, c in enumerate(df.columns) if not is_plain(df.schema[c].dataType)}
+    wide = df.withColumns({form: comparable_column(df, c) for c, form in forms.items()}) if forms else df
+    return wide.dropDuplicates([forms.get(c, c) for c in df.columns]).select(*map(quoted, df.columns))
 
 
 def dedupe_on_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -56,10 +59,14 @@ def dedupe_on_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     before the shuffle, so a key with very many rows sends one row per task.
     """
     rest = [order, *[c for c in df.columns if c not in keys and c != order]]
-    first = F.min(F.struct(*[F.col(quoted(c)) for c in rest])).alias("_first")
-    return (df.groupBy(*map(quoted, keys)).agg(first)
-            .select(*[F.col(quoted(c)) if c in keys else F.col(f"_first.{quoted(c)}").alias(c)
-                      for c in df.columns]))
+    plain = all(is_plain(df.schema[c].dataType) for c in df.columns)
+    row = F.struct(*[F.col(quoted(c)) for c in (rest if plain else df.columns)])
+    if plain:
+        return (df.groupBy(*map(quoted, keys)).agg(F.min(row).alias("_first"))
+                .select(*[F.col(quoted(c)) if c in keys else F.col(f"_first.{quoted(c)}").alias(c) for c in df.columns]))
+    placed = F.struct(*[comparable_column(df, c) for c in rest])
+    return (df.groupBy(*[comparable_column(df, c).alias(f"_key_{i}") for i, c in enumerate(keys)])
+            .agg(F.min_by(row, placed).alias("_first")).select("_first.*"))
 
 
 def winsorise(df: DataFrame, column: str, multiplier: float = REPAIR_MULTIPLIER) -> DataFrame:

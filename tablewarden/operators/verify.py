@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden import config
 from tablewarden.functions.dates import parsed_sql
@@ -23,7 +24,6 @@ from tablewarden.runtime import FLOAT_TYPES, is_integer, is_numeric, local_frame
 
 log = logging.getLogger(__name__)
 #: A re-count is (issue id, count) or a fixed confidence.
-COUNTS = "issue_id string, sql_count long, fixed double"
 
 
 def _missing(df: DataFrame, c: str) -> str:
@@ -163,7 +163,9 @@ def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal"
     the failing ones fall back to confidence 0.50 with the check's own count.
     """
     spark = issues.sparkSession
-    rows = issues.collect()                                   # a row per issue
+    found = issues.collect()                                  # a row per issue
+    # the place of an issue names it here: ids come from outside and may repeat
+    rows = [{**r.asDict(), "issue_id": str(n)} for n, r in enumerate(found)]
     fixed = [(i["issue_id"], i["evidence_rows"] if i["issue_type"] != "empty_table" else 0, value)
              for i in rows if (value := _fixed(i, tables)) is not None]
     open_issues = [i for i in rows if _fixed(i, tables) is None]
@@ -195,9 +197,10 @@ def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal"
             spark.catalog.dropTempView(view)
     evidence = {i["issue_id"]: i["evidence_rows"] for i in rows}
     counted = [(k, evidence[k], config.FALLBACK_CONFIDENCE) if n is None else (k, n, f) for k, n, f in counted]
-    counts = local_frame(spark, [*fixed, *counted], COUNTS)
-    return (issues.join(counts, "issue_id", "left")
-            .withColumn("pd_count", F.col("evidence_rows"))
+    counts = {k: (n, value) for k, n, value in [*fixed, *counted]}
+    schema = T.StructType([*issues.schema.fields, T.StructField("sql_count", T.LongType()), T.StructField("fixed", T.DoubleType())])
+    joined = local_frame(spark, [(*r, *counts.get(str(n), (None, None))) for n, r in enumerate(found)], schema)
+    return (joined.withColumn("pd_count", F.col("evidence_rows"))
             .withColumn("confidence", F.coalesce("fixed", confidence(F.col("sql_count"), F.col("pd_count"))))
             .drop("fixed").select(*issues.columns, "sql_count", "pd_count", "confidence"))
 

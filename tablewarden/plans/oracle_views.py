@@ -147,7 +147,7 @@ def issues(sensitivity: str = "high") -> str:
         "[col]", "share", "hits",
         "'Column ''' || col || ''' has ' || hits || ' values not found in ' || dim_table || '.' || dim_pk || '.'",
         "dim_table", "dim_pk")
-    empty_part = """SELECT 'EMPTY_' || left(upper(tbl), 20) AS issue_id, 'empty_table' AS issue_type, tbl, CAST([] AS VARCHAR[]) AS cols,
+    empty_part = """SELECT 'EMPTY_' || upper(tbl) AS issue_id, 'empty_table' AS issue_type, tbl, CAST([] AS VARCHAR[]) AS cols,
         'high' AS severity, 1.0 AS metric, 0 AS evidence_rows, 'Table ''' || tbl || ''' contains zero rows.' AS description,
         '' AS dim_table, '' AS dim_pk FROM (SELECT DISTINCT tbl FROM column_counts WHERE n = 0)"""
     return (f"{VIEWS},\ncolumn_counts AS ({column_counts()}),\noutlier_counts AS ({outlier_source(mult)}),\n"

@@ -38,14 +38,17 @@ class TriageResult:
     failures: list[tuple[str, str]] = field(default_factory=list)
 
     def report(self, source: str, sensitivity: str) -> DataFrame:
-        return narrate.report_lines(self.ranked, source, sensitivity, self.trace, self.timing)
+        return narrate.report_lines(self.ranked, source, sensitivity, self.trace, self.timing, failures=self.failures)
 
 
 def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sensitivity: str = "high",
                snapshot: DataFrame | None = None, baseline: Tables | None = None,
                with_verification: bool = True, with_drift: bool = True,
-               decision: str | None = None, profile: DataFrame | None = None) -> TriageResult:
-    """Infer, check, compare with the baseline, re-count, review, rank."""
+               decision: str | None = None, profile: DataFrame | None = None, strict: bool = False) -> TriageResult:
+    """Infer, check, compare with the baseline, re-count, review, rank.
+
+    A check that fails leaves the others alone and is named in ``failures``; with ``strict`` it is an error.
+    """
     trace: list[str] = []
     timing: dict[str, float] = {}
 
@@ -60,6 +63,8 @@ def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sens
     meta = step("metadata", lambda: infer_metadata(tables, profile, meta))
     sizes = table_sizes(profile)
     issues, failures = step("detector", lambda: checks.run_checks(tables, meta, sensitivity, profile))
+    if strict and failures:
+        raise RuntimeError("checks failed: " + "; ".join(f"{check}: {error}" for check, error in failures))
     if with_drift and (snapshot is not None or baseline is not None):
         found = step("drift_detector", lambda: drift.detect_drift(tables, meta, profile, snapshot, baseline))
         issues = issues.unionByName(found)
@@ -73,8 +78,8 @@ def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sens
 
 
 def triage(tables: Tables, **options) -> DataFrame:
-    """Ranked issues of a set of tables."""
-    return run_triage(tables, **options).ranked
+    """Ranked issues of a set of tables.  A failing check is an error, as no report could name it here."""
+    return run_triage(tables, **{"strict": True, **options}).ranked
 
 
 def adhoc_triage(tables: Tables, baseline: Tables | None = None) -> DataFrame:
@@ -106,7 +111,8 @@ def triage_source(spark: SparkSession, source: str, folders: Mapping[str, str],
     result = run_triage(tables, sensitivity=sensitivity, snapshot=snapshot, decision=decision)
     stores.write_report(result.report(source, sensitivity), out, source)
     stores.write_ranked(result.ranked, f"{out}/ranked_issues", source)
-    entry = stores.run_entry(spark, source, sensitivity, result.ranked.count(), result.trace)
+    entry = stores.run_entry(spark, source, sensitivity, result.ranked.count(), result.trace,
+                             failures=result.failures)
     stores.append_run(entry, f"{out}/run_log")
     return result
 
@@ -140,7 +146,7 @@ def evaluate_tables(tables: Tables, truth: DataFrame, snapshot: DataFrame | None
         start = time.perf_counter()
         try:
             ranked = run_triage(tables, meta, sensitivity=sensitivity, snapshot=snapshot, profile=profile,
-                                with_verification=verified, with_drift=drifted).ranked
+                                with_verification=verified, with_drift=drifted, strict=True).ranked
             predicted.append(evaluate.positions(ranked, name).select("run_id", "pred_pos", "issue_type", "table", "columns"))
         except Exception as error:        # noqa: BLE001 - report the strategy, keep the others
             log.exception("strategy %s failed", name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -9,7 +11,7 @@ from functools import reduce
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,12 +37,26 @@ def side_by_side(fn: Callable[[In], Out], items: Iterable[In], width: int = 4) -
         return list(pool.map(fn, items))
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, and so see the same folders."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one where none is named."""
+    """The cluster's shared checkpoint folder.
+
+    In local mode a temporary folder will do, and goes with the process.  On a cluster executors could not see it, so an
+    unnamed folder is an error there.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablewarden-"))
+        if not named:
+            if not is_local(context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="tablewarden-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -113,13 +129,34 @@ def is_integer(df: DataFrame, name: str) -> bool:
         isinstance(kind, T.DecimalType) and kind.scale == 0)
 
 
-def groupable(df: DataFrame) -> list[str]:
-    """Columns that can take part in grouping (maps and variants cannot)."""
-    def plain(kind: T.DataType) -> bool:
-        if isinstance(kind, T.ArrayType):
-            return plain(kind.elementType)
-        if isinstance(kind, T.StructType):
-            return all(plain(f.dataType) for f in kind.fields)
-        return not isinstance(kind, (T.MapType, T.VariantType))
+def is_plain(kind: T.DataType) -> bool:
+    """Whether Spark can group and order values of a type as they are; maps and variants it cannot."""
+    if isinstance(kind, T.ArrayType):
+        return is_plain(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(is_plain(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
-    return [f.name for f in df.schema.fields if plain(f.dataType)]
+
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """``value`` in a form that can be grouped and ordered, equal exactly where the values are.
+
+    A map becomes its entries in the order of their keys, a variant its canonical JSON text with its type; both at
+    any depth.
+    """
+    if is_plain(kind):
+        return value
+    if isinstance(kind, T.VariantType):
+        return F.struct(F.schema_of_variant(value).alias("kind"), F.to_json(value).alias("text"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[comparable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), fields)
+    entries = F.transform(F.map_entries(value), lambda e: F.struct(
+        e["key"].alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+    return F.sort_array(entries)
+
+
+def comparable_column(df: DataFrame, name: str) -> Column:
+    return comparable(F.col(quoted(name)), df.schema[name].dataType)

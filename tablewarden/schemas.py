@@ -21,6 +21,14 @@ ISSUE = _struct(
     dim_table=T.StringType(), dim_pk=T.StringType(),
 )
 
+#: A ranked issue as stored; the counts are null where nothing was counted again.
+RANKED = T.StructType([*ISSUE.fields, *_struct(
+    sql_count=T.LongType(), pd_count=T.LongType(), confidence=T.DoubleType(), affected_reports=TEXTS,
+    base_weight=T.DoubleType(), severity_weight=T.DoubleType(), evidence_density=T.DoubleType(),
+    report_criticality=T.DoubleType(), score_breakdown=T.StringType(), impact_score=T.DoubleType(),
+    rank=T.IntegerType(),
+).fields])
+
 PROFILE = _struct(
     table=T.StringType(), table_pos=T.IntegerType(), column=T.StringType(),
     col_pos=T.IntegerType(), dtype=T.StringType(), n_rows=T.LongType(),
@@ -47,7 +55,7 @@ SNAPSHOT = _struct(
 
 RUN_LOG = _struct(
     run_id=T.StringType(), source=T.StringType(), sensitivity=T.StringType(),
-    timestamp=T.StringType(), issue_count=T.IntegerType(), agent_trace=TEXTS,
+    timestamp=T.StringType(), issue_count=T.IntegerType(), agent_trace=TEXTS, failures=TEXTS,
 )
 
 EVALUATION = _struct(

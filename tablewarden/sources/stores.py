@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.runtime import local_frame
-from tablewarden.schemas import EVALUATION, RUN_LOG, SNAPSHOT, TRUTH
+from tablewarden.schemas import EVALUATION, RANKED, RUN_LOG, SNAPSHOT, TRUTH
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str, **options) -> DataFrame | None:
@@ -37,20 +39,27 @@ def load_snapshot(spark: SparkSession, path: str, tag: str = "baseline") -> Data
     return None if mine.isEmpty() else mine
 
 
+def _folder_of(path: str, source: str) -> str:
+    return f"{path}/source={quote(source, safe='')}"
+
+
 def write_ranked(ranked: DataFrame, path: str, source: str) -> None:
-    """One partition per source name; other sources stay."""
-    (ranked.withColumn("source", F.lit(source)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("source").json(path))
+    """A folder for each source name, replaced as a whole, also by a run without issues; other sources stay."""
+    ranked.drop("source").write.mode("overwrite").json(_folder_of(path, source))
 
 
 def load_ranked(spark: SparkSession, path: str, source: str) -> DataFrame:
-    return spark.read.json(path).where(F.col("source") == source)
+    """The issues of the last run of a source; none if it never ran or found nothing."""
+    found = _read(spark, _folder_of(path, source), RANKED, "json")
+    return (local_frame(spark, [], RANKED) if found is None else found).withColumn("source", F.lit(source))
 
 
 def run_entry(spark: SparkSession, source: str, sensitivity: str, issue_count: int,
-              trace: list[str], run_id: str | None = None) -> DataFrame:
-    row = (run_id or uuid.uuid4().hex[:12], source, sensitivity,
-           datetime.now(timezone.utc).isoformat(), issue_count, trace)
+              trace: list[str], run_id: str | None = None,
+              failures: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """One line of the run log; ``failures`` are checks that did not come to an end, with their errors."""
+    row = (run_id or uuid.uuid4().hex[:12], source, sensitivity, datetime.now(timezone.utc).isoformat(),
+           issue_count, trace, [f"{check}: {error}" for check, error in failures])
     return local_frame(spark, [row], RUN_LOG)
 
 
