@@ -136,8 +136,6 @@ CSV_MISSING = (
 )
 
 # Scale limits of this library (not rules of the triage).
-#: Cells (rows x columns) up to which the one-reducer ``percentile`` is used.
-EXACT_PERCENTILE_CELLS = 1_000_000
 #: Values inside one quantile bracket that a single window task may order.
 BRACKET_ROWS = 200_000
 #: Rows up to which a counted relation may be broadcast.

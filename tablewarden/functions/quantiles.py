@@ -1,14 +1,13 @@
 """Exact order statistics without gathering a column in one task.
 
-``percentile`` keeps one value -> count map per column in a single reducer.  That is fine for
-a bounded number of cells and impossible for a column of 10^12 distinct doubles.  Above the
-bound the same answer comes from *bracket selection*.  A rank is known to lie between two
-values; one scan counts the rows in ~2000 slices of that bracket, together with the smallest
-and largest value found in each slice.  The slice that holds the rank becomes the next
-bracket.  It is settled when its smallest and largest value agree (a value that fills a third
-of the table ends there at once), and ordered outright when it holds few rows.
-
-Each round is one scan that shuffles a few thousand counters, whatever the size of the table.
+``percentile`` keeps one value -> count map per column in a single reducer, which is impossible for a column of 10^12
+distinct doubles.  The same answer comes from *bracket selection*, at every size.  A mergeable quantile sketch names
+values close to a wanted rank on both sides; a scan counts the rows between them exactly, and the few rows of the bracket
+that holds the rank are ordered outright.  That is three scans for any spread of values, as the sketch goes by rank: up to
+BRACKET_ROWS * SKETCH_ACCURACY / 3 rows, and two more for each further factor of that kind.  A value that fills a third
+of the table is a bracket of its own and ends there.  Few rows are ordered in the first scan.
+
+The shuffles carry sketches and counters, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 from tablewarden import config
 from tablewarden.runtime import local_frame, present
 
-SLICES = 2048
+#: Relative rank error of the sketch is one over this.
+SKETCH_ACCURACY = 50_000
 
 
 def as_double(df: DataFrame, name: str):
@@ -112,7 +112,6 @@ def rank_counts(df: DataFrame, points: Mapping[str, Sequence[float]]) -> dict[st
 def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
                     counts: Mapping[str, int] | None = None,
                     bounds: Mapping[str, tuple[float, float]] | None = None,
-                    max_cells: int = config.EXACT_PERCENTILE_CELLS,
                     bracket_rows: int = config.BRACKET_ROWS) -> dict[str, dict[float, float]]:
     """Linearly interpolated quantiles per column, as ``{column: {p: value}}``.
 
@@ -127,12 +126,6 @@ def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
     probs = {c: p for c, p in probs.items() if counts[c] > 0}
     if not probs:
         return {}
-    if sum(counts[c] for c in probs) <= max_cells:
-        row = df.agg(*[
-            F.percentile(as_double(df, c), F.array(*[F.lit(float(x)) for x in p])).alias(f"q{i}")
-            for i, (c, p) in enumerate(probs.items())]).first()
-        return {c: dict(zip(p, row[f"q{i}"])) for i, (c, p) in enumerate(probs.items())}
-
     wanted = {c: {k for x in p for k in _ranks(x, counts[c])[:2]} for c, p in probs.items()}
     found = select_ranks(df, wanted, counts, bounds, bracket_rows)
     out: dict[str, dict[float, float]] = {}
@@ -167,21 +160,27 @@ class _Bracket:
     inside: int
 
 
-def _slices(b: _Bracket, n: int) -> list[float]:
-    """Edges that cut [low, high] into n equal slices and separate it from its surroundings."""
-    top = np.finfo(float).max
-    low, high = max(b.low, -top), min(b.high, top)
-    t = np.linspace(0.0, 1.0, max(n, 2) + 1)[1:-1]
-    inner = low * (1.0 - t) + high * t
-    edges = {b.low, math.nextafter(b.high, math.inf)} | {float(x) for x in inner if b.low < x <= b.high}
-    # halving by value stalls when every slice edge rounds to an end; split next to the low end
-    return sorted(edges | {math.nextafter(b.low, math.inf)})
+def _edges(values: DataFrame, brackets: Mapping[str, Mapping[_Bracket, set[int]]]) -> dict[str, list[float]]:
+    """Break points around the wanted ranks, by one sketch for each bracket, all in one scan."""
+    asked = [(c, b, ranks) for c, of in brackets.items() for b, ranks in of.items()]
+    sketches = []
+    for i, (c, b, ranks) in enumerate(asked):
+        x = F.col(f"`{c}`")
+        shares = sorted({min(1.0, max(0.0, (k - b.skipped) / b.inside + side * 1.5 / SKETCH_ACCURACY)) for k in ranks for side in (-1, 0, 1)})
+        inside = F.when((x >= F.lit(b.low)) & (x <= F.lit(b.high)), x)
+        sketches.append(F.percentile_approx(inside, F.array(*map(F.lit, shares)), F.lit(SKETCH_ACCURACY)).alias(f"e{i}"))
+    found = values.agg(*sketches).first()
+    out: dict[str, set[float]] = {c: set() for c in brackets}
+    for i, (c, b, _) in enumerate(asked):
+        for point in (b.low, b.high, *found[f"e{i}"]):
+            out[c] |= {point, math.nextafter(point, math.inf)}
+    return {c: sorted(e) for c, e in out.items()}
 
 
 def select_ranks(df: DataFrame, wanted: Mapping[str, set[int]], counts: Mapping[str, int] | None = None,
                  bounds: Mapping[str, tuple[float, float]] | None = None,
                  bracket_rows: int = config.BRACKET_ROWS) -> dict[str, dict[int, float]]:
-    """Values at 0-based ranks of each sorted column, by repeated slicing."""
+    """Values at 0-based ranks of each sorted column."""
     values = df.select(*[as_double(df, c).alias(c) for c in wanted])
     if counts is None or bounds is None:
         counts, bounds = _counts_and_bounds(values, list(wanted))
@@ -202,8 +201,7 @@ def select_ranks(df: DataFrame, wanted: Mapping[str, set[int]], counts: Mapping[
             done[c][rank] = value
         if not large:
             return done
-        # the slices of one column's brackets share one budget, so counters per task stay few
-        edges = {c: sorted({e for b in bs for e in _slices(b, SLICES // len(bs))}) for c, bs in large.items()}
+        edges = _edges(values, large)
         slices: dict[str, dict[int, tuple]] = {c: {} for c in edges}
         for r in bucket_stats(values, edges).collect():
             slices[r["column"]][r["bucket"]] = (r["n"], r["lo"], r["hi"])

@@ -160,9 +160,10 @@ class Fence:
 
 
 def quartile_fences(df: DataFrame, columns: list[str], counts: Mapping[str, int] | None = None,
-                    bounds: Mapping[str, tuple[float, float]] | None = None) -> dict[str, Fence]:
+                    bounds: Mapping[str, tuple[float, float]] | None = None,
+                    bracket_rows: int = config.BRACKET_ROWS) -> dict[str, Fence]:
     """Exact interpolated quartiles per column."""
-    found = exact_quantiles(df, {c: (0.25, 0.75) for c in columns}, counts, bounds)
+    found = exact_quantiles(df, {c: (0.25, 0.75) for c in columns}, counts, bounds, bracket_rows)
     return {c: Fence(c, q[0.25], q[0.75]) for c, q in found.items()}
 
 
@@ -242,7 +243,8 @@ def aligned(left: DataFrame, left_col: str, right: DataFrame, right_col: str) ->
     return a, b
 
 
-def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str, dim_rows: int | None = None) -> DataFrame:
+def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str, dim_rows: int | None = None,
+                  broadcast_rows: int = config.BROADCAST_ROWS) -> DataFrame:
     """Rows ``(key, n)``: foreign-key values without a dimension row.
 
     A dimension of a counted, bounded size is broadcast and the fact is filtered where it
@@ -254,8 +256,8 @@ def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str, dim_rows: int
     used = df.select(left.alias("key")).where(F.col("key").isNotNull())
     known = dim.select(right.alias("key")).where(F.col("key").isNotNull())
     if dim_rows is None:
-        dim_rows = known.limit(config.BROADCAST_ROWS + 1).count()
-    if dim_rows <= config.BROADCAST_ROWS:
+        dim_rows = known.limit(broadcast_rows + 1).count()
+    if dim_rows <= broadcast_rows:
         return (used.join(F.broadcast(known), "key", "left_anti")
                 .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     both = (used.withColumn("n", F.lit(1)).withColumn("known", F.lit(False))
@@ -264,7 +266,8 @@ def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str, dim_rows: int
             .where(~F.col("known")).select("key", "n"))
 
 
-def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta) -> DataFrame:
+def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta,
+                     broadcast_rows: int = config.BROADCAST_ROWS) -> DataFrame:
     """Rows per foreign key: ``n_orphans`` and the dimension it points at."""
     sizes = table_sizes(profile)
     parts = []
@@ -274,7 +277,7 @@ def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta) -> DataFram
         for i, (fk, (dim, pk)) in enumerate(meta[t].foreign_keys.items()):
             if dim not in tables or not sizes.get(dim) or pk not in tables[dim].columns or fk not in df.columns:
                 continue
-            parts.append(orphan_counts(df, fk, tables[dim], pk, sizes[dim])
+            parts.append(orphan_counts(df, fk, tables[dim], pk, sizes[dim], broadcast_rows)
                          .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"))
                          .select(F.lit(t).alias("table"), F.lit(pos).alias("table_pos"),
                                  F.lit(fk).alias("column"), F.lit(i).alias("col_pos"),

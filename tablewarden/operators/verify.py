@@ -45,31 +45,26 @@ def duplicate_sql(view: str, df: DataFrame, issues: list) -> str:
             f"greatest(count(1) - count(DISTINCT {keys}), 0) AS sql_count FROM {view}")
 
 
-def outlier_sql(view: str, df: DataFrame, issues: list, multiplier: float, cells: int) -> str:
-    """Fences from ``percentile_cont`` while a single reducer can hold the values.
+def outlier_sql(view: str, df: DataFrame, issues: list, multiplier: float,
+                bracket_rows: int = config.BRACKET_ROWS) -> str:
+    """Fences from quartiles as literals, and their proof in the same statement.
 
-    Beyond that the quartiles come from distributed selection as literals, and the statement
-    also counts the rows on both sides of each, so a wrong quartile shows up as a null count.
+    ``percentile_cont`` would hold a column in one reducer.  The statement instead counts the rows on both sides of each
+    quartile, so a wrong one shows up as a null count.
     """
     names = sorted({i["columns"][0] for i in issues})
-    if cells <= config.EXACT_PERCENTILE_CELLS:
-        stats = ", ".join(
-            f"percentile_cont({p}) WITHIN GROUP (ORDER BY CASE WHEN NOT {_missing(df, c)} THEN CAST({quoted(c)} AS DOUBLE) END) AS {q}_{k}"
-            for k, c in enumerate(names) for p, q in ((0.25, "q1"), (0.75, "q3")))
-        source, certified = f"{view} CROSS JOIN (SELECT {stats} FROM {view}) stats", ["true"] * len(names)
-    else:
-        found = exact_quantiles(df, {c: (0.25, 0.75) for c in names})
-        literals = ", ".join(f"CAST({found[c][p]!r} AS DOUBLE) AS {q}_{k}"
-                             for k, c in enumerate(names) for p, q in ((0.25, "q1"), (0.75, "q3")))
-        source, certified = f"{view} CROSS JOIN (SELECT {literals}) stats", []
-        for k, c in enumerate(names):
-            x, live = f"CAST({quoted(c)} AS DOUBLE)", f"NOT {_missing(df, c)}"
-            n = f"count(CASE WHEN {live} THEN 1 END)"
-            rank = lambda op, q: f"count(CASE WHEN {live} AND {x} {op} {q}_{k} THEN 1 END)"
-            # position (n-1)p is interpolated between two ranks; both sides must hold it
-            certified.append(" AND ".join(
-                f"{rank('<', q)} <= ({n} - 1) * {p} + 1 AND {rank('<=', q)} >= floor(({n} - 1) * {p}) + 1"
-                for p, q in ((0.25, "q1"), (0.75, "q3"))))
+    found = exact_quantiles(df, {c: (0.25, 0.75) for c in names}, bracket_rows=bracket_rows)
+    literals = ", ".join(f"CAST({found[c][p]!r} AS DOUBLE) AS {q}_{k}"
+                         for k, c in enumerate(names) for p, q in ((0.25, "q1"), (0.75, "q3")))
+    source, certified = f"{view} CROSS JOIN (SELECT {literals}) stats", []          # one row
+    for k, c in enumerate(names):
+        x, live = f"CAST({quoted(c)} AS DOUBLE)", f"NOT {_missing(df, c)}"
+        n = f"count(CASE WHEN {live} THEN 1 END)"
+        rank = lambda op, q: f"count(CASE WHEN {live} AND {x} {op} {q}_{k} THEN 1 END)"
+        # position (n-1)p is interpolated between two ranks; both sides must hold it
+        certified.append(" AND ".join(
+            f"{rank('<', q)} <= ({n} - 1) * {p} + 1 AND {rank('<=', q)} >= floor(({n} - 1) * {p}) + 1"
+            for p, q in ((0.25, "q1"), (0.75, "q3"))))
     counts = []
     for j, i in enumerate(issues):
         k, c = names.index(i["columns"][0]), i["columns"][0]
@@ -132,7 +127,7 @@ def _fixed(issue, tables: Tables) -> float | None:
 
 
 def _statements(tables: Tables, views: Mapping[str, str], open_issues: list, sensitivity: str,
-                sizes: Mapping[str, int]) -> list[tuple[list, callable]]:
+                bracket_rows: int) -> list[tuple[list, callable]]:
     """One statement per (table, type); references and keys get one each."""
     groups: dict[tuple, list] = {}
     for i in open_issues:
@@ -146,8 +141,7 @@ def _statements(tables: Tables, views: Mapping[str, str], open_issues: list, sen
             "missing_values": lambda v=view, d=df, i=issues: null_sql(v, d, i),
             "duplicate_rows": lambda v=view, d=df, i=issues: duplicate_sql(v, d, i),
             "invalid_future_dates": lambda v=view, d=df, i=issues: future_sql(v, d, i),
-            "numeric_outliers": lambda v=view, d=df, i=issues, n=sizes.get(t, 0): outlier_sql(
-                v, d, i, multiplier, n * len(i)),
+            "numeric_outliers": lambda v=view, d=df, i=issues: outlier_sql(v, d, i, multiplier, bracket_rows),
             "referential_integrity_break": lambda v=view, d=df, i=issues: reference_sql(
                 v, d, i[0], views[i[0]["dim_table"]], tables[i[0]["dim_table"]]),
         }[kind]
@@ -156,7 +150,7 @@ def _statements(tables: Tables, views: Mapping[str, str], open_issues: list, sen
 
 
 def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal",
-                  sizes: Mapping[str, int] | None = None) -> DataFrame:
+                  bracket_rows: int = config.BRACKET_ROWS) -> DataFrame:
     """Issues with ``sql_count``, ``pd_count`` (the check's count) and ``confidence``.
 
     Statements of all groups run as one job.  If that fails each group runs alone, and only
@@ -174,10 +168,7 @@ def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal"
     for t, df in tables.items():
         df.createOrReplaceTempView(views[t])
     try:
-        if sizes is None:
-            sizes = {t: tables[t].count() for t in {i["table"] for i in open_issues
-                                                    if i["issue_type"] == "numeric_outliers"}}
-        statements = _statements(tables, views, open_issues, sensitivity, sizes)
+        statements = _statements(tables, views, open_issues, sensitivity, bracket_rows)
         counted: list[tuple] = []
         try:
             if statements:

@@ -11,7 +11,7 @@ from tablewarden import config
 from tablewarden.functions import names
 from tablewarden.functions.dates import after_cutoff
 from tablewarden.functions.scoring import direction, kolmogorov_p, psi_severity
-from tablewarden.operators import checks, drift, metadata, snapshot, verify
+from tablewarden.operators import checks, drift, investigate, metadata, snapshot, verify
 from tablewarden.operators.profile import distinct_counts, profile_plan, profile_tables, table_sizes
 from tablewarden.plans import datasets, oracle_views as o
 from tablewarden.plans.registry import DIRTY_META, dirty_issues, dirty_ranked, query, subset
@@ -261,26 +261,52 @@ def dup_key(spark, sf):
             .withColumn("n_rows", F.lit(lineitem.count()).cast("long")))
 
 
-@query("dup_fullrow", f"""{o.VIEWS} SELECT 'fact_orders' AS "table", count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d_fact_orders)) AS excess FROM d_fact_orders
-UNION ALL SELECT 'lineitem', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) FROM lineitem""")
+_DUP_SQL = f"""{o.VIEWS} SELECT 'fact_orders' AS "table", count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d_fact_orders)) AS excess FROM d_fact_orders
+UNION ALL SELECT 'lineitem', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) FROM lineitem"""
+
+
+@query("dup_fullrow", _DUP_SQL)
 def dup_fullrow(spark, sf):
     orders, lineitem = datasets.dirty(spark, sf)["fact_orders"], datasets.read(spark, sf, "lineitem")
     return union_all(checks.excess_copies(df, df.columns).select(F.lit(t).alias("table"), "excess")
                      for t, df in (("fact_orders", orders), ("lineitem", lineitem)))
 
 
+@query("dup_fullrow_hashed", _DUP_SQL)
+def dup_fullrow_hashed(spark, sf):
+    """The way large tables go: row hashes first."""
+    tables = {"fact_orders": datasets.dirty(spark, sf)["fact_orders"], "lineitem": datasets.read(spark, sf, "lineitem")}
+    return union_all(checks.excess_copies(df, df.columns, 2, hash_first=1).select(F.lit(t).alias("table"), "excess")
+                     for t, df in tables.items())
+
+
+_NESTED_SQL = """SELECT count(*) AS total_rows, count(*) - count(DISTINCT (user_id, event_type, value)) AS duplicate_rows FROM events"""
+
+
+@query("dup_nested", _NESTED_SQL)
+def dup_nested(spark, sf):
+    """Events as maps: copies are told apart by what is in the map."""
+    events = datasets.read(spark, sf, "events")
+    nested = events.select(F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"),
+                                        F.lit("value"), F.col("value").cast("string")).alias("what"))
+    return investigate.duplication_rate(nested).select("total_rows", "duplicate_rows")
+
+
 def _outlier_sql(table: str, column: str, mult: float) -> str:
     return f"""SELECT '{table}.{column}' AS measure, {mult} AS multiplier, round(q1, 6) AS q1, round(q3, 6) AS q3,
     (SELECT count(*) FROM {table} WHERE {column} < q1 - {mult} * (q3 - q1) OR {column} > q3 + {mult} * (q3 - q1)) AS n_outliers
     FROM (SELECT quantile_cont(CAST({column} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({column} AS DOUBLE), 0.75) AS q3 FROM {table})"""
 
 
-@query("iqr_outliers", " UNION ALL ".join(_outlier_sql(t, c, m) for t, c in (("events", "value"), ("documents", "n_chars")) for m in (1.5, 3.0)))
-def iqr_outliers(spark, sf):
+_IQR_MEASURES = (("events", "value"), ("documents", "n_chars"), ("orders", "o_totalprice"), ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"))
+_IQR_SQL = " UNION ALL ".join(_outlier_sql(t, c, m) for t, c in _IQR_MEASURES for m in (1.5, 3.0))
+
+
+def _iqr(spark, sf, bracket_rows):
     out = []
-    for t, c in (("events", "value"), ("documents", "n_chars")):
+    for t, c in _IQR_MEASURES:
         df = datasets.read(spark, sf, t).select(c)
-        fence = checks.quartile_fences(df, [c])[c]
+        fence = checks.quartile_fences(df, [c], bracket_rows=bracket_rows)[c]
         counts = df.agg(*[F.count_if(checks.beyond(df, fence, m)).alias(f"m{i}") for i, m in enumerate((1.5, 3.0))])
         out.append(counts.select(F.inline(F.array(*[
             F.struct(F.lit(f"{t}.{c}").alias("measure"), F.lit(m).alias("multiplier"), F.round(F.lit(fence.q1), 6).alias("q1"),
@@ -289,6 +315,17 @@ def iqr_outliers(spark, sf):
     return union_all(out)
 
 
+@query("iqr_outliers", _IQR_SQL)
+def iqr_outliers(spark, sf):
+    return _iqr(spark, sf, config.BRACKET_ROWS)
+
+
+@query("iqr_outliers_bracketed", _IQR_SQL)
+def iqr_outliers_bracketed(spark, sf):
+    """The way large tables go: brackets from a sketch, counted exactly."""
+    return _iqr(spark, sf, 20)
+
+
 _DATE_INT = "CAST(year(order_date) * 10000 + month(order_date) * 100 + day(order_date) AS BIGINT)"
 
 
@@ -322,6 +359,14 @@ def fk_orphans(spark, sf):
             .select("table", "column", "n_rows", "n_orphans", "dim_table", "dim_pk"))
 
 
+@query("fk_orphans_grouped", f"""{o.VIEWS} SELECT tbl AS "table", col AS "column", n AS n_rows, hits AS n_orphans, dim_table, dim_pk FROM ({o.orphan_source()})""")
+def fk_orphans_grouped(spark, sf):
+    """The way large dimensions go: no broadcast, both sides grouped by key."""
+    tables = datasets.dirty(spark, sf)
+    return (checks.reference_breaks(tables, profile_tables(tables, DIRTY_META), DIRTY_META, broadcast_rows=0)
+            .select("table", "column", "n_rows", "n_orphans", "dim_table", "dim_pk"))
+
+
 @query("empty_tables", f"{o.issues('high')} SELECT {o.COMMON} FROM issues WHERE issue_type = 'empty_table'")
 def empty_tables(spark, sf):
     return flat_issues(checks.empty_table_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META)))
@@ -347,7 +392,14 @@ _VERIFIED_SQL = """, verified AS (SELECT *, CASE WHEN issue_type = 'duplicate_ro
 @query("verify_counts", f"{o.issues('high')} {_VERIFIED_SQL} SELECT {o.COMMON}, evidence_rows AS sql_count, evidence_rows AS pd_count, confidence FROM verified")
 def verify_counts(spark, sf):
     tables, profile, issues = dirty_issues(spark, sf)
-    return (verify.verify_issues(tables, issues, "high", table_sizes(profile))
+    return (verify.verify_issues(tables, issues, "high")
+            .withColumn("columns", F.array_join("columns", ",")).drop("description", "dim_table", "dim_pk"))
+
+
+@query("verify_bracketed", f"{o.issues('high')} {_VERIFIED_SQL} SELECT {o.COMMON}, evidence_rows AS sql_count, evidence_rows AS pd_count, confidence FROM verified")
+def verify_bracketed(spark, sf):
+    tables, _, issues = dirty_issues(spark, sf)
+    return (verify.verify_issues(tables, issues, "high", bracket_rows=20)
             .withColumn("columns", F.array_join("columns", ",")).drop("description", "dim_table", "dim_pk"))
 
 
@@ -360,7 +412,7 @@ def verify_mismatch(spark, sf):
     tables = datasets.dirty(spark, sf)
     profile = profile_tables(tables, DIRTY_META)
     issues = checks.outlier_issues(tables, profile, DIRTY_META, "high")
-    return (verify.verify_issues(tables, issues, "normal", table_sizes(profile))
+    return (verify.verify_issues(tables, issues, "normal")
             .select("issue_id", "pd_count", "sql_count", "confidence"))
 
 
@@ -369,14 +421,14 @@ def verify_mismatch(spark, sf):
        "FROM verified WHERE confidence < 0.7")
 def review_queue(spark, sf):
     tables, profile, issues = dirty_issues(spark, sf)
-    verified = verify.verify_issues(tables, issues, "high", table_sizes(profile))
+    verified = verify.verify_issues(tables, issues, "high")
     return verify.low_confidence(verified).select("issue_id", "confidence", "prompt")
 
 
 @query("needs_review", f"{o.issues('high')} {_VERIFIED_SQL} SELECT bool_or(confidence < 0.7) AS needs_review, count(*) FILTER (WHERE confidence < 0.7) AS n_low FROM verified")
 def needs_review(spark, sf):
     tables, profile, issues = dirty_issues(spark, sf)
-    verified = verify.verify_issues(tables, issues, "high", table_sizes(profile))
+    verified = verify.verify_issues(tables, issues, "high")
     return verified.agg(verify.needs_review(verified).alias("needs_review"),
                         F.count_if(F.col("confidence") < config.REVIEW_BELOW).alias("n_low"))
 

@@ -352,11 +352,29 @@ def fix_placeholder_dim(spark, sf):
     return repair.add_placeholder_dimension(*_with_dim(spark, sf))
 
 
-@query("fix_null_fk", f"{o.VIEWS} SELECT order_id, CASE WHEN NOT ({_ORPHAN}) THEN customer_id END AS customer_id, total_price, status FROM d_fact_orders f")
+_NULL_FK_SQL = f"{o.VIEWS} SELECT order_id, CASE WHEN NOT ({_ORPHAN}) THEN customer_id END AS customer_id, total_price, status FROM d_fact_orders f"
+
+
+@query("fix_null_fk", _NULL_FK_SQL)
 def fix_null_fk(spark, sf):
     return repair.null_orphans(*_with_dim(spark, sf)).select("order_id", "customer_id", "total_price", "status")
 
 
+@query("fix_null_fk_shuffled", _NULL_FK_SQL)
+def fix_null_fk_shuffled(spark, sf):
+    """The way many orphan keys go: a salted shuffle instead of a broadcast."""
+    return repair.null_orphans(*_with_dim(spark, sf), broadcast_rows=0).select("order_id", "customer_id", "total_price", "status")
+
+
+@query("fix_dedupe_nested", """SELECT DISTINCT user_id, event_type, CAST(value AS VARCHAR) AS value FROM events""")
+def fix_dedupe_nested(spark, sf):
+    """Events as maps: only rows whose maps are equal are copies."""
+    events = datasets.read(spark, sf, "events").select("user_id", "event_type", F.col("value").cast("string").alias("value"))
+    nested = events.select(F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), "event_type", F.lit("value"), "value").alias("what"))
+    return repair.dedupe_rows(nested).select(F.col("what")["user"].cast("long").alias("user_id"), F.col("what")["type"].alias("event_type"),
+                                             F.col("what")["value"].alias("value"))
+
+
 @query("fix_dedupe", f"{o.VIEWS} SELECT DISTINCT {_ORDERS}, priority FROM d_fact_orders")
 def fix_dedupe(spark, sf):
     return dated(repair.dedupe_rows(dirty_orders_of(spark, sf))).select(*_SIX, "priority")

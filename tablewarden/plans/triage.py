@@ -70,7 +70,7 @@ def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sens
         issues = issues.unionByName(found)
     reviewed = issues
     if with_verification:
-        reviewed = local_copy(step("verifier", lambda: verify.verify_issues(tables, issues, sensitivity, sizes)))
+        reviewed = local_copy(step("verifier", lambda: verify.verify_issues(tables, issues, sensitivity)))
         if decision is not None and reviewed.agg(verify.needs_review(reviewed)).first()[0]:
             reviewed = step("review", lambda: verify.apply_decision(reviewed, decision))
     ranked = step("ranker", lambda: local_copy(rank_issues(reviewed, sizes)))

@@ -96,7 +96,6 @@ def test_outlier_recount_with_certified_quartiles(make, monkeypatch):
     profile, meta = prepared(tables)
     issues = checks.outlier_issues(tables, profile, meta, "high")
     from tablewarden.operators import verify
-    monkeypatch.setattr(verify.config, "EXACT_PERCENTILE_CELLS", 0)
     assert verify_issues(tables, issues, "high").first()["sql_count"] == 15
     wrong = {"amount": {0.25: 50.0, 0.75: 60.0}}
     monkeypatch.setattr(verify, "exact_quantiles", lambda *a, **k: wrong)

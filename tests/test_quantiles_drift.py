@@ -31,12 +31,25 @@ def samples():
 def test_bracket_selection_is_exact(make, name):
     values = samples()[name]
     df = make("x double", [(float(v),) for v in values] + [(None,), (float("nan"),)])
-    found = exact_quantiles(df, {"x": PROBS}, max_cells=0, bracket_rows=40)["x"]
+    found = exact_quantiles(df, {"x": PROBS}, bracket_rows=40)["x"]
     for p in PROBS:
         assert math.isclose(found[p], float(np.quantile(values, p)), rel_tol=1e-12, abs_tol=1e-300), p
     assert exact_quantiles(df, {"x": PROBS})["x"] == pytest.approx(found)
 
 
+def test_three_scans_for_any_spread(make, monkeypatch):
+    from tablewarden.functions import quantiles
+    scans = []
+    for name in ("_edges", "bucket_stats", "_order_inside", "_counts_and_bounds"):
+        real = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, _real=real, _name=name: (scans.append(_name), _real(*a))[1])
+    values = np.exp(np.random.default_rng(5).uniform(-100, 400, 20_000))
+    df = make("x double", [(float(v),) for v in values])
+    found = quantiles.exact_quantiles(df, {"x": PROBS}, {"x": len(values)}, {"x": (values.min(), values.max())}, bracket_rows=300)["x"]
+    assert all(math.isclose(found[p], float(np.quantile(values, p)), rel_tol=1e-12) for p in PROBS)
+    assert scans == ["_edges", "bucket_stats", "_order_inside"]
+
+
 def test_ranks_and_counts(make):
     df = make("x double", [(v,) for v in (5.0, 1.0, 3.0, 3.0, 3.0, 9.0)])
     assert select_ranks(df, {"x": {0, 2, 5}}, bracket_rows=1)["x"] == {0: 1.0, 2: 3.0, 5: 9.0}
