@@ -24,13 +24,13 @@ _BITS = 1 << 52          # hashes stay exact as doubles
 
 #: (area, impact, severity) recorded for each injected type.
 TRUTH_NOTES = {
-    "missing_key_values": ("sales", "joins on this key lose rows", "high"),
-    "duplicate_transactions": ("sales", "daily totals and top products are overstated", "high"),
-    "invalid_future_dates": ("time", "trends and date totals become unreliable", "medium"),
-    "referential_integrity_break": ("warehouse joins", "dimension joins fail for these rows", "high"),
-    "numeric_outliers": ("sales metrics", "totals and rankings are distorted", "high"),
-    "promotion_drift": ("campaign performance", "promotion reports are misleading", "medium"),
-    "dimension_missing_values": ("customer dimension", "customer breakdowns are incomplete", "medium"),
+    "missing_key_values": ("sales", "one row in fifty has no customer to be joined with", "high"),
+    "duplicate_transactions": ("sales", "copied rows are added up a second time", "high"),
+    "invalid_future_dates": ("time", "rows fall behind the end of every calendar", "medium"),
+    "referential_integrity_break": ("warehouse joins", "inner joins leave these rows out", "high"),
+    "numeric_outliers": ("sales metrics", "a multiplied value outweighs the rest of its group", "high"),
+    "promotion_drift": ("campaign performance", "discounts no longer add up to what was granted", "medium"),
+    "dimension_missing_values": ("customer dimension", "these customers form a group without a name", "medium"),
 }
 
 

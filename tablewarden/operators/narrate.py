@@ -1,7 +1,7 @@
 """Text over issue tables: explanations, priorities, fixes, summaries, reports.
 
-Everything is a column expression or a join with a small template table, so it works the same
-for one run or for the issues of a million runs.
+Everything is a column expression or a join with a small template table.  The issues are those of one run, a row per
+column at most; only ``executive_summary`` takes several runs, by ``run_id``.
 """
 
 from __future__ import annotations
@@ -20,25 +20,30 @@ SEVERITY_LABELS = {"high": "Critical", "medium": "Moderate", "low": "Minor"}
 URGENCY = {"high": "critical", "medium": "high"}
 
 EXPLANATIONS = {
-    "missing_values": "Required values are absent. Counts, sums and averages over this field leave these records out.",
-    "duplicate_rows": "The same record is stored more than once. Revenue, customer and transaction figures come out too high.",
-    "numeric_outliers": "A few numbers lie far from the rest of the column and pull averages and totals with them.",
-    "invalid_future_dates": "Dates lie decades ahead. These records land in periods that do not exist yet and bend every trend.",
-    "referential_integrity_break": "Records point at lookup entries that are not there. Joins drop them silently and reports come out too low.",
-    "empty_table": "A table that should hold data has none. Whatever is built on it returns nothing or fails.",
-    "statistical_drift": "The column's distribution no longer looks like its baseline. A load may have failed, a source may have changed, or business did.",
+    "missing_values": "The share of rows without a value is at or above the limit for this kind of column; keys and dates have the lower limit. "
+                      "Evidence counts the rows without a value.",
+    "duplicate_rows": "Groups of rows are equal in the key columns, or in all columns where no key is known. Evidence counts the rows beyond the "
+                      "first of each group.",
+    "numeric_outliers": "Values lie outside the quartile fences at the multiplier of the chosen sensitivity. Evidence counts these values; rows "
+                        "without a value are never among them.",
+    "invalid_future_dates": f"Values are later than the cutoff {config.FUTURE_CUTOFF_DATE}, which no real event reaches. Evidence counts them.",
+    "referential_integrity_break": "Key values of this column have no row in the dimension that it refers to. Evidence counts the rows that hold such "
+                                   "a key; rows without a key are not among them.",
+    "empty_table": "The table can be read and holds zero rows, so no other check could run on it.",
+    "statistical_drift": "Against the snapshot, the column passes a limit on population stability, distance of distributions, share of missing values "
+                         "or rare categories.",
 }
-EXPLANATION_UNKNOWN = "A kind of problem without a standard explanation. Look at the records by hand."
+EXPLANATION_UNKNOWN = "No rule of this library has this type."
 ACTIONS = {
-    "missing_values": "Fill or drop these rows before the reporting load.",
-    "duplicate_rows": "Keep one record per group and remove the copies.",
-    "numeric_outliers": "Check the rows, then correct them or leave them out of aggregates.",
-    "invalid_future_dates": "Clear the dates and trace them back to the source system.",
-    "referential_integrity_break": "Repair the keys or remove the rows without a match.",
-    "empty_table": "Find the load step that should have filled this table.",
-    "statistical_drift": "Compare this load with the baseline and ask the owners of the source.",
+    "missing_values": "Run null_rate, then one of fill_mean, fill_sentinel, drop_missing and flag_missing.",
+    "duplicate_rows": "Run duplicate_rows to see the groups, then dedupe_on_key or dedupe_rows.",
+    "numeric_outliers": "Run outlier_bounds and extreme_values, then one of winsorise, drop_outliers and keep_inside.",
+    "invalid_future_dates": "Run future_values, then one of null_future, open_end_future and drop_future.",
+    "referential_integrity_break": "Run orphan_values, then one of drop_orphans, add_placeholder_dimension and null_orphans.",
+    "empty_table": "Put require_rows behind the job that loads the table, and load it again.",
+    "statistical_drift": "Run drift_stats against the baseline; build a new snapshot if the change is meant.",
 }
-ACTION_UNKNOWN = "Investigate and repair by hand."
+ACTION_UNKNOWN = "Run sample_rows on the table."
 
 
 def _label() -> Column:
@@ -77,17 +82,22 @@ def merge_priorities(issues: DataFrame, priorities: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------
-# Fix text.  {t} table, {c} first column, {k} all columns, {d} dimension, {p} its key.
+# Fix text.  {t} table, {v} view of the fixed table, {c} first column, {k} all columns as a list, {q} all columns in SQL,
+# {d} dimension, {p} its key.  SQL names are quoted where they have to be.
 # --------------------------------------------------------------------------------------
 
+_LATE = ("coalesce(coalesce(try_cast(cast({c} AS string) AS date), try_to_date(cast({c} AS string), 'yyyyMMdd')) > "
+         f"DATE '{config.FUTURE_CUTOFF_DATE}', false)")
+BY_KEY = "duplicate_rows_by_key"
 SQL_FIX = {
-    "missing_values": "CREATE OR REPLACE TEMP VIEW {t}_fixed AS SELECT * FROM {t} WHERE {c} IS NOT NULL;",
-    "duplicate_rows": "CREATE OR REPLACE TEMP VIEW {t}_fixed AS SELECT DISTINCT * FROM {t};",
+    "missing_values": "CREATE OR REPLACE TEMP VIEW {v} AS SELECT * FROM {t} WHERE {c} IS NOT NULL;",
+    "duplicate_rows": "CREATE OR REPLACE TEMP VIEW {v} AS SELECT DISTINCT * FROM {t};",
+    BY_KEY: "CREATE OR REPLACE TEMP VIEW {v} AS SELECT * EXCEPT (copy_no) FROM "
+            "(SELECT *, row_number() OVER (PARTITION BY {q} ORDER BY {q}) AS copy_no FROM {t}) WHERE copy_no = 1;",
     "numeric_outliers": "SELECT t.* FROM {t} t CROSS JOIN (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM {t}) b "
                         "WHERE t.{c} NOT BETWEEN b.m - 3 * b.s AND b.m + 3 * b.s;",
-    "invalid_future_dates": "CREATE OR REPLACE TEMP VIEW {t}_fixed AS SELECT * EXCEPT ({c}), "
-                            "CASE WHEN {c} <= current_date() THEN {c} END AS {c} FROM {t};",
-    "referential_integrity_break": "SELECT f.* FROM {t} f LEFT ANTI JOIN {d} d ON f.{c} = d.{p};",
+    "invalid_future_dates": "CREATE OR REPLACE TEMP VIEW {v} AS SELECT * EXCEPT ({c}), CASE WHEN NOT " + _LATE + " THEN {c} END AS {c} FROM {t};",
+    "referential_integrity_break": "SELECT f.* FROM {t} f LEFT ANTI JOIN {d} d ON f.{c} = d.{p} WHERE f.{c} IS NOT NULL;",
     "empty_table": "SELECT count(*) AS row_count FROM {t};",
     "statistical_drift": "SELECT avg({c}) AS current_avg, stddev_pop({c}) AS current_std, "
                          "min({c}) AS current_min, max({c}) AS current_max FROM {t};",
@@ -95,10 +105,11 @@ SQL_FIX = {
 SQL_FIX_UNKNOWN = "-- no standard fix for this issue type"
 PYTHON_FIX = {
     "missing_values": "df = df.dropna(subset=['{c}'])",
-    "duplicate_rows": "df = df.dropDuplicates({k})",
+    "duplicate_rows": "df = dedupe_rows(df)",
+    BY_KEY: "df = df.dropDuplicates({k})",
     "numeric_outliers": "df = keep_inside(df, '{c}')",
     "invalid_future_dates": "df = null_future(df, '{c}')",
-    "referential_integrity_break": "df = df.join(dim_df, df['{c}'] == dim_df['{p}'], 'left_semi')",
+    "referential_integrity_break": "df = drop_orphans(df, '{c}', dim_df, '{p}')",
     "empty_table": "df = require_rows(df, '{t}')",
     "statistical_drift": "ks = two_sample_ks(baseline_df, df, ['{c}'], df.count())",
 }
@@ -118,21 +129,39 @@ def _dimension() -> tuple[Column, Column]:
     return read(d, 1, "dimension_table"), read(p, 2, "pk_column")
 
 
-def _filled(text: Column) -> Column:
+def _sql_name(name: Column) -> Column:
+    """The name as SQL takes it: quoted unless it is a plain identifier."""
+    return F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), name).otherwise(
+        F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`")))
+
+
+def _filled(text: Column, sql: Column | bool = False) -> Column:
+    """The marks of a template filled in; in SQL names are quoted where they have to be."""
     d, p = _dimension()
     c = F.coalesce(F.get("columns", F.lit(0)), F.lit("your_column"))
-    k = F.when(F.size("columns") > 0, F.concat(F.lit("['"), F.array_join("columns", "', '"), F.lit("']"))).otherwise("")
-    for mark, value in (("{t}", F.col("table")), ("{c}", c), ("{k}", k), ("{d}", d), ("{p}", p)):
+    sql = F.lit(sql) if isinstance(sql, bool) else sql
+    as_text = lambda x: F.when(sql, _sql_name(x)).otherwise(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")))
+    listed = F.array_join(F.transform("columns", lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))), ", ")
+    k = F.when(F.size("columns") > 0, F.concat(F.lit("["), listed, F.lit("]"))).otherwise("")
+    q = F.array_join(F.transform("columns", _sql_name), ", ")
+    marks = (("{v}", _sql_name(F.concat("table", F.lit("_fixed")))), ("{t}", as_text(F.col("table"))), ("{c}", as_text(c)), ("{k}", k), ("{q}", q),
+             ("{d}", as_text(d)), ("{p}", as_text(p)))
+    for mark, value in marks:
         text = F.replace(text, F.lit(mark), value)
     return text
 
 
+def _kind() -> Column:
+    """The issue type, with duplicates of a known key apart."""
+    return F.when((F.col("issue_type") == "duplicate_rows") & (F.size("columns") > 0), BY_KEY).otherwise(F.col("issue_type"))
+
+
 def fix_text(issues: DataFrame) -> DataFrame:
     """A Spark SQL statement and a PySpark line for every issue."""
     return issues.select(
         "issue_id", "issue_type",
-        _filled(lookup(F.col("issue_type"), SQL_FIX, SQL_FIX_UNKNOWN)).alias("sql_fix"),
-        _filled(lookup(F.col("issue_type"), PYTHON_FIX, PYTHON_FIX_UNKNOWN)).alias("python_fix"))
+        _filled(lookup(_kind(), SQL_FIX, SQL_FIX_UNKNOWN), sql=True).alias("sql_fix"),
+        _filled(lookup(_kind(), PYTHON_FIX, PYTHON_FIX_UNKNOWN)).alias("python_fix"))
 
 
 # --------------------------------------------------------------------------------------
@@ -200,11 +229,11 @@ GUIDE: dict[str, list[str]] = {
                 "LEFT ANTI JOIN {d} d ON f.{c} = d.{p} WHERE f.{c} IS NOT NULL GROUP BY f.{c} "
                 "ORDER BY affected_rows DESC LIMIT 20;"),
         *_block("**Option A: leave these rows out**",
-                "SELECT * FROM {t} WHERE {c} IS NULL OR EXISTS (SELECT 1 FROM {d} d WHERE d.{p} = {t}.{c});"),
+                "SELECT * FROM {t} f WHERE f.{c} IS NULL OR EXISTS (SELECT 1 FROM {d} d WHERE d.{p} = f.{c});"),
         *_block("**Option B: add placeholder dimension rows**",
                 "INSERT INTO {d} ({p}) SELECT DISTINCT f.{c} FROM {t} f LEFT ANTI JOIN {d} d ON f.{c} = d.{p} WHERE f.{c} IS NOT NULL;"),
         *_block("**Option C: clear the unknown keys**",
-                "SELECT f.* EXCEPT ({c}), d.{p} AS {c} FROM {t} f LEFT JOIN {d} d ON f.{c} = d.{p};"),
+                "SELECT f.* EXCEPT ({c}), d.k AS {c} FROM {t} f LEFT JOIN (SELECT DISTINCT {p} AS k FROM {d}) d ON f.{c} = d.k;"),
     ],
     "duplicate_rows": [
         "**Why it matters**: every copy is counted again in revenue, transactions and activity.", "",
@@ -213,6 +242,14 @@ GUIDE: dict[str, list[str]] = {
         *_block("**Option A: keep one row per group**", "SELECT DISTINCT * FROM {t};"),
         "Prevention: make the load step idempotent on the business key.", "",
     ],
+    BY_KEY: [
+        "**Why it matters**: every copy is counted again in revenue, transactions and activity.", "",
+        *_block("**Step 1: how many copies**",
+                "SELECT sum(n) AS total_rows, sum(n - 1) AS duplicate_rows FROM (SELECT count(*) AS n FROM {t} GROUP BY {q});"),
+        *_block("**Option A: keep one row per key**",
+                "SELECT * EXCEPT (copy_no) FROM (SELECT *, row_number() OVER (PARTITION BY {q} ORDER BY {q}) AS copy_no FROM {t}) WHERE copy_no = 1;"),
+        "Prevention: make the load step idempotent on the business key.", "",
+    ],
     "numeric_outliers": [
         "**Why it matters**: a few extreme values of `{c}` move averages, totals and alerts.", "",
         *_block("**Step 1: bounds**",
@@ -270,7 +307,7 @@ def _guide_lines(spark) -> DataFrame:
 
 def resolution_lines(ranked: DataFrame) -> DataFrame:
     """Rows ``(rank, line_no, text)``: a field table and the steps for each issue."""
-    guide = F.when(F.col("issue_type").isin(*GUIDE), F.col("issue_type")).otherwise("")
+    guide = F.when(_kind().isin(*GUIDE), _kind()).otherwise("")
     listed = lambda c, none: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(none))
     head = F.array(
         F.format_string("### Issue #%d: `%s` in `%s`", F.col("rank"), F.col("issue_type"), F.col("table")),
@@ -287,7 +324,7 @@ def resolution_lines(ranked: DataFrame) -> DataFrame:
     heads = ranked.select("rank", F.posexplode(head).alias("line_no", "text"))
     bodies = (ranked.withColumn("guide", guide)
               .join(F.broadcast(_guide_lines(ranked.sparkSession)), "guide")     # fixed templates
-              .select("rank", (F.col("line_no") + n_head).alias("line_no"), _filled(F.col("template")).alias("text")))
+              .select("rank", (F.col("line_no") + n_head).alias("line_no"), _filled(F.col("template"), F.col("template").rlike("^(SELECT|INSERT|CREATE) ")).alias("text")))
     return heads.unionByName(bodies)
 
 

@@ -93,10 +93,10 @@ def merge_priorities(spark, sf):
 
 
 def _fix_case(table: dict[str, str], other: str) -> str:
-    text = _case("issue_type", table, other)
+    text = _case("CASE WHEN issue_type = 'duplicate_rows' AND len(cols) > 0 THEN 'duplicate_rows_by_key' ELSE issue_type END", table, other)
     col = "coalesce(cols[1], 'your_column')"
     keys = "CASE WHEN len(cols) > 0 THEN '[''' || array_to_string(cols, ''', ''') || ''']' ELSE '' END"
-    for mark, value in (("{t}", "tbl"), ("{c}", col), ("{k}", keys),
+    for mark, value in (("{v}", "tbl || '_fixed'"), ("{q}", "array_to_string(cols, ', ')"), ("{t}", "tbl"), ("{c}", col), ("{k}", keys),
                         ("{d}", "coalesce(nullif(dim_table, ''), 'dimension_table')"), ("{p}", "coalesce(nullif(dim_pk, ''), 'pk_column')")):
         text = f"replace({text}, '{mark}', {value})"
     return text

@@ -175,6 +175,39 @@ def test_generated_sql_parses_in_spark(spark, make):
             spark.sql(row["sql_fix"].rstrip(";"))
 
 
+def test_fix_texts_do_what_repairs_do(spark, make):
+    rows = [(1, 10, "20240101"), (1, 11, "20990101"), (2, None, None), (3, 99, "2051-02-03"), (None, 10, "soon")]
+    df, dim = make("`a b` int, `f-k` int, day string", rows), make("pk int, x int", [(10, 1), (10, 2), (11, 1)])
+    df.createOrReplaceTempView("`my table`")
+    dim.createOrReplaceTempView("dim_x")
+
+    def issue(kind, column):
+        row = (f"I_{kind}", kind, "my table", [column], "high", 0.1, 3, "", "dim_x", "pk")
+        return local_frame(spark, [row], ISSUE)
+
+    def fixed(kind, column):
+        text = narrate.fix_text(issue(kind, column)).first()
+        spark.sql(text["sql_fix"].rstrip(";"))
+        namespace = {"df": df, "dim_df": dim, **{n: getattr(repair, n) for n in ("null_future", "drop_orphans", "dedupe_rows", "keep_inside")}}
+        exec(text["python_fix"], namespace)
+        return sorted(map(str, spark.table("`my table_fixed`").select(df.columns).collect())), sorted(map(str, namespace["df"].collect()))
+
+    for kind, column in (("invalid_future_dates", "day"), ("missing_values", "f-k")):
+        by_sql, by_spark = fixed(kind, column)
+        assert by_sql == by_spark
+    by_sql, by_spark = fixed("duplicate_rows", "a b")
+    assert len(by_sql) == len(by_spark) == 4
+    text = narrate.fix_text(issue("referential_integrity_break", "f-k")).first()
+    assert [r["f-k"] for r in spark.sql(text["sql_fix"].rstrip(";")).collect()] == [99]
+    namespace = {"df": df, "dim_df": dim, "drop_orphans": repair.drop_orphans}
+    exec(text["python_fix"], namespace)
+    assert namespace["df"].count() == 4
+    lines = [r["text"] for r in narrate.resolution_lines(issue("referential_integrity_break", "f-k").selectExpr(
+        "*", "1 AS rank", "0.5D AS impact_score", "1.0D AS confidence", "array('r') AS affected_reports")).orderBy("line_no").collect()]
+    options = [x.rstrip(";") for x in lines if x.startswith("SELECT")]
+    assert spark.sql(options[1]).count() == 4 and spark.sql(options[2]).count() == 5      # kept rows; nothing is multiplied
+
+
 # ---- text checks -----------------------------------------------------------------------
 
 def test_response_scores(spark):
