@@ -26,10 +26,10 @@ from tablewarden.llm.common import column, nonempty
 from tablewarden.llm.pieces import shared_encoder, slices
 
 #: Ids of a block; of a frame (whole documents up to about that); ids coded side by side.
-BLOCK, FRAME, AT_ONCE = 2048, 131_072, 4_000_000
+BLOCK, FRAME, AT_ONCE = 1024, 131_072, 6_000_000
 MOST_BITS = 20                       # ids below 2^20 - 1
-_T1, _T2 = 1024, 2048                # context slots of a lane
-_RELEARN = 32                        # steps after which the order-0 table follows its counts
+_T1, _T2 = 512, 1024                # context slots of a lane
+_RELEARN = 64                        # steps after which the order-0 table follows its counts
 _U, _WORD = np.uint64, np.uint64(1 << 32)
 _LOG2 = np.zeros(1 << MOST_BITS, np.uint8)
 for _b in range(MOST_BITS):
@@ -47,13 +47,13 @@ class _Lanes:
         self.n = n
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _U(2**64 - 1))
         self.before, self.last = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        lane = np.arange(n, dtype=np.int32)
+        lane = np.arange(n)
         self.base1, self.base2, self.base = lane * _T1, lane * _T2, lane * 16
-        self.lane = lane
         self.t1, self.t2 = np.zeros(n * _T1, np.int32), np.zeros(n * _T2, np.int32)
         self.joint0, self.joint1 = np.full(n * 16, 600, np.int32), np.full(n * 16, 600, np.int32)
         self.plain0, self.plain1 = np.full(n, 600, np.int32), np.full(n, 600, np.int32)
         self.counts = np.ones((n, MOST_BITS), np.int32)
+        self.flat_counts = self.counts.reshape(-1)
         self.relearn(n)
 
     def relearn(self, m: int) -> None:
@@ -62,9 +62,9 @@ class _Lanes:
         sums = np.cumsum(counts, axis=1)
         upper = sums * (256 - MOST_BITS) // sums[:, -1:] + np.arange(1, MOST_BITS + 1)
         self.ends = np.concatenate([np.zeros((m, 1), upper.dtype), upper], axis=1).astype(np.int32).ravel()
-        steps = np.zeros((m, 257), np.uint8)
-        np.add.at(steps, (np.repeat(np.arange(m), MOST_BITS), upper.ravel()), 1)
-        self.digit_at = np.cumsum(steps[:, :256], axis=1, dtype=np.uint8).ravel()
+        steps = np.zeros(m * 257, np.uint8)
+        steps[(upper + np.arange(m)[:, None] * 257).ravel()] = 1                # all different: each is at least 1
+        self.digit_at = np.cumsum(steps.reshape(m, 257)[:, :256], axis=1, dtype=np.uint8).ravel()
         counts += 1
         counts >>= 1                                                       # older counts fade
 
@@ -77,13 +77,14 @@ class _Lanes:
         self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
         self.context = self.base[:m] + ((self.e2 & 3) * 4 + (self.e1 & 3))
         self.j0, self.j1 = self.joint0.take(self.context), self.joint1.take(self.context)
-        self.f0 = (3 * self.j0 + self.plain0[:m] >> 2) + 1
-        self.f01 = self.f0 + (3 * self.j1 + self.plain1[:m] >> 2) + 1
+        self.f0 = (self.j0 + self.plain0[:m] >> 1) + 1
+        self.f01 = self.f0 + (self.j1 + self.plain1[:m] >> 1) + 1
 
     def narrow(self, m: int, two: np.ndarray, one: np.ndarray) -> None:
         """Take the part of the interval for: order 2 was right (``two``), order 1 was (``one``), neither."""
         each = self.range[:m] >> _U(12)
-        start = np.where(two, 0, np.where(one, self.f0, self.f01))
+        not_two = ~two
+        start = np.where(one, self.f0, self.f01) * not_two
         end = np.where(two, self.f0, np.where(one, self.f01, 4096))
         self.low[:m] += each * start.astype(np.uint64)
         self.range[:m] = each * (end - start).astype(np.uint64)
@@ -98,6 +99,7 @@ class _Lanes:
         fresh = symbol << 2 | 1
         for table, at, held, right in ((self.t1, self.at1, self.e1, self.c1 == symbol), (self.t2, self.at2, self.e2, two)):
             sure = held & 3
+            # right: surer, up to 3; wrong: less sure, and replaced when not sure any more
             table[at] = np.where(right, held + (sure < 3), np.where(sure > 1, held - 1, fresh))
         self.before[:m], self.last[:m] = self.last[:m], symbol
 
@@ -152,7 +154,7 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
             digits = _LOG2.take(value)
             at = rows * (MOST_BITS + 1) + digits
             start, end = state.ends.take(at), state.ends.take(at + 1)
-            state.counts[rows, digits] += 16
+            state.flat_counts[rows * MOST_BITS + digits] += 16
             bits = digits.astype(np.uint64)
             each = state.range.take(rows) >> _U(8)
             low = state.low.take(rows) + each * start.astype(np.uint64)
@@ -212,7 +214,7 @@ def decode_blocks(coded: Sequence[bytes], lengths: Sequence[int]) -> list[np.nda
             digits = state.digit_at.take(rows * 256 + slot)
             at0 = rows * (MOST_BITS + 1) + digits
             start, end = state.ends.take(at0), state.ends.take(at0 + 1)
-            state.counts[rows, digits] += 16
+            state.flat_counts[rows * MOST_BITS + digits] += 16
             bits = digits.astype(np.uint64)
             low += each * start.astype(np.uint64)
             each = each * (end - start).astype(np.uint64) >> bits
