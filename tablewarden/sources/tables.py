@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+import uuid
 from collections.abc import Mapping
 from pathlib import PurePosixPath
 
@@ -23,8 +24,8 @@ _WHOLE = r"^\\s*[+-]?[0-9]+\\s*$"
 # CSV with the cell conventions of the triage
 # --------------------------------------------------------------------------------------
 
-def _text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    return spark.read.options(header=True, inferSchema=False, quote='"', escape='"',
+def _text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    return spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline,
                               encoding=encoding, enforceSchema=False).csv(path)
 
 
@@ -58,12 +59,31 @@ def typed_csv(text: DataFrame) -> tuple[DataFrame, int]:
     return text.selectExpr(*casts), undecodable
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    if schema is not None:
-        return spark.read.schema(schema).options(header=True, quote='"', escape='"').csv(path)
-    df, undecodable = typed_csv(_text_csv(spark, path))
+def given_types(text: DataFrame, schema: T.StructType) -> tuple[DataFrame, int]:
+    """The cells of ``typed_csv`` cast to a given schema, by column name; a cell that does not fit becomes null."""
+    casts, texts = [], []
+    for field in schema.fields:
+        if field.name not in text.columns:
+            casts.append(f"CAST(NULL AS {field.dataType.simpleString()}) AS {quoted(field.name)}")
+            continue
+        if isinstance(field.dataType, T.StringType):
+            texts.append(quoted(field.name))
+        casts.append(f"try_cast({_missing(quoted(field.name))} AS {field.dataType.simpleString()}) AS {quoted(field.name)}")
+    undecodable = text.selectExpr(f"count_if({' OR '.join(f'contains({c}, {chr(39)}�{chr(39)})' for c in texts)}) AS u").first()["u"] if texts else 0
+    return text.selectExpr(*casts), undecodable
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:
+    """A CSV table.  Cells are cleaned alike with and without a schema, which spares the scan that finds types.
+
+    Quoted values may hold line breaks, so a task reads a whole file.  Where no value does, ``multiline=False`` lets Spark
+    split large files.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    typed = typed_csv if schema is None else lambda text: given_types(text, schema)
+    df, undecodable = typed(_text_csv(spark, path, multiline=multiline))
     if undecodable:
-        df, _ = typed_csv(_text_csv(spark, path, "ISO-8859-1"))
+        df, _ = typed(_text_csv(spark, path, "ISO-8859-1", multiline))
     return df
 
 
@@ -95,11 +115,11 @@ def list_tables(spark: SparkSession, folder: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def load_folder(spark: SparkSession, folder: str,
-                schemas: Mapping[str, T.StructType | str] | None = None) -> dict[str, DataFrame]:
+def load_folder(spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType | str] | None = None,
+                multiline: bool = True) -> dict[str, DataFrame]:
     """Every table of a folder.  ``schemas`` spares the typing scan of large CSV tables."""
     return {name: (spark.read.parquet(path) if kind == "parquet"
-                   else read_csv(spark, path, (schemas or {}).get(name)))
+                   else read_csv(spark, path, (schemas or {}).get(name), multiline))
             for name, path, kind in list_tables(spark, folder)}
 
 
@@ -147,23 +167,30 @@ def load_adhoc(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFra
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "csv") -> None:
-    """Replace the folder's content by these tables, one folder of part files each."""
+    """Replace the folder by these tables, one folder of part files each.
+
+    All tables are written beside it first; only then does the new folder take the place of the old one.  A folder that
+    the tables are read from is refused: its files would go before they were read again.
+    """
     root = folder.rstrip("/")
+    spark = next(iter(tables.values())).sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    own = fs.makeQualified(path(root)).toUri().getPath() + "/"
+    for name, df in tables.items():
+        if any(path(f).toUri().getPath().startswith(own) for f in df.inputFiles()):
+            raise ValueError(f"table {name} is read from {root}, which cannot be replaced at the same time")
+    fresh = f"{root}.{uuid.uuid4().hex}"
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer.options(header=True, quote='"', escape='"',
-                           timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-                           timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(f"{root}/{name}.csv")
+            df.write.options(header=True, quote='"', escape='"',
+                             timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+                             timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(f"{fresh}/{name}.csv")
         else:
-            writer.parquet(f"{root}/{name}.parquet")
-    spark = next(iter(tables.values())).sparkSession
-    keep = {f"{n}.{fmt}" for n in tables}
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(path):
-        if status.getPath().getName() not in keep:
-            fs.delete(status.getPath(), True)
+            df.write.parquet(f"{fresh}/{name}.parquet")
+    fs.delete(path(root), True)
+    if not fs.rename(path(fresh), path(root)):
+        raise OSError(f"the tables are in {fresh}; they could not be moved to {root}")
 
 
 # --------------------------------------------------------------------------------------

@@ -155,3 +155,32 @@ def test_injected_dates_keep_their_type(make):
     out, truth = inject_issues(tables, seed=123)
     assert out["fact_a"].where("date_key = 20990101").count() == 2 and truth.count() >= 4
     assert narrate.explain(pipelines.run_triage(out).ranked).count() >= 1
+
+
+def test_csv_line_breaks_and_schema(spark, make, tmp_path):
+    rows = [(1, "two\nlines", "2024-01-01"), (2, 'a "quote", and\r\nmore', "NA"), (3, "café", "x")]
+    folder = str(tmp_path / "breaks")
+    files.write_tables({"t": make("id int, note string, day string", rows)}, folder)
+    plain = files.load_folder(spark, folder)["t"]
+    assert {r["id"]: r["note"].replace("\r\n", "\n") for r in plain.collect()} == {i: n.replace("\r\n", "\n") for i, n, _ in rows}
+    assert dict(plain.dtypes)["id"] == "bigint"
+    typed = files.load_folder(spark, folder, {"t": "id int, note string, day string, gone double"})["t"]
+    assert {(r["id"], r["day"], r["gone"]) for r in typed.collect()} == {(1, "2024-01-01", None), (2, None, None), (3, "x", None)}
+    dated = files.load_folder(spark, folder, {"t": "id int, day date"})["t"]
+    assert sorted((r["id"], str(r["day"])) for r in dated.collect()) == [(1, "2024-01-01"), (2, "None"), (3, "None")]
+
+
+def test_latin_1_with_and_without_schema(spark, tmp_path):
+    (tmp_path / "l.csv").write_bytes("id,name\n1,caf\xe9\n".encode("latin-1"))
+    path = str(tmp_path / "l.csv")
+    assert files.read_csv(spark, path).first()["name"] == files.read_csv(spark, path, "id int, name string").first()["name"] == "café"
+
+
+def test_folder_is_replaced_as_a_whole(spark, make, tmp_path):
+    folder = str(tmp_path / "both")
+    files.write_tables({"a": make("x int", [(1,)]), "b": make("x int", [(2,)])}, folder, "parquet")
+    with pytest.raises(ValueError, match="read from"):
+        files.write_tables(files.load_folder(spark, folder), folder)
+    assert len(files.load_folder(spark, folder)) == 2
+    files.write_tables({"c": make("x int", [(3,)])}, folder)
+    assert set(files.load_folder(spark, folder)) == {"c"}
