@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the folders that ``df``, which ``stored`` returned, was read from, once nothing needs them any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

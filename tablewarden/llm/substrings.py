@@ -2,10 +2,16 @@
 
 Every two positions modulo a period are, after a shift below the period, both in its difference cover.  Two equal
 windows of ``size`` words therefore share an anchor: a shorter window at a cover position in both documents.  Only
-anchors are hashed and shuffled at first, about a fifth of all positions.  Where an anchor occurs in several documents
-it is extended: the windows that contain it are hashed, to 128 bits, and compared.  Groups of equal hashes are reduced
-to their smallest and largest document before they are shuffled, so a passage that a third of all documents share costs
-a row for each task.
+anchors are hashed and shuffled, about a fifth of all positions.  Anchors that occur in several documents are extended:
+
+1. Each carries a hash of its context, which is all windows around it.  Where an earlier document has the same anchor in
+   the same context, every window around it repeats.  That settles the inside of all copies, a row per anchor.
+2. What is left are the first occurrences and the ends of passages.  Of these, anchors that still occur in several
+   documents have their windows hashed one by one, to 128 bits, and compared.  This misses nothing: going from an anchor
+   to an earlier one in the same context ends at a document whose anchor is left.
+
+Groups of equal hashes are reduced to their smallest and largest document before they are shuffled, so a passage that a
+third of all documents share costs a row for each task.
 """
 
 from __future__ import annotations
@@ -18,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tablewarden.llm.common import column, nonempty, stored
+from tablewarden.llm.common import column, discard, nonempty, stored
 from tablewarden.llm.pieces import slices
-from tablewarden.llm.words import find_words, run_hashes, windows
+from tablewarden.llm.words import find_words, mix, run_hashes, windows
 
 SIZE = 50
 #: Difference covers by period: the differences of two members take every value modulo the period.
@@ -33,7 +39,10 @@ def period_for(size: int) -> int:
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(hash, doc_id, at) of every anchor: ``at`` is its first word."""
+    """(hash, context, doc_id, at) of every anchor: ``at`` is its first word.
+
+    The context reaches as far as windows that hold the anchor among their first ``period`` words, or as the document does.
+    """
     period = period_for(size)
     length = size - period + 1
     in_cover = np.zeros(period, bool)
@@ -48,11 +57,15 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
                 place = starts - words.first[rows]
                 keep = in_cover[place % period]
                 starts, rows, place = starts[keep], rows[keep], place[keep]
-                found = run_hashes(words.hashes(), starts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(doc_ids[at + rows]), pa.array(place.astype(np.int32))],
-                                                 ["hash", "doc_id", "at"])
+                hashes = words.hashes()
+                found = run_hashes(hashes, starts, length)
+                before = np.minimum(place, period - 1)
+                after = np.minimum(words.counts[rows] - place, size)
+                context = mix(run_hashes(hashes, starts - before, before + after, 1) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc_ids[at + rows]),
+                                                  pa.array(place.astype(np.int32))], ["hash", "context", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "hash long, doc_id long, at int")
+    return docs.mapInArrow(run, "hash long, context long, doc_id long, at int")
 
 
 def shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -62,12 +75,25 @@ def shared(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, starts): for each document the windows of ``size`` words that also start in one with a smaller doc_id."""
+    """(doc_id, around, starts): for each document the windows of ``size`` words that also start in one with a smaller id.
+
+    ``around`` are anchors of which every window repeats, ``starts`` the first words of other windows.
+    """
     period = period_for(size)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    found = stored(anchors(plain, size), "passage-anchors")
-    flagged = found.join(shared(found, "hash"), "hash").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    flagged = stored(flagged, "passage-flags")
+    every = stored(anchors(plain, size), "passage-anchors")
+    common = stored(shared(every, "hash").select("hash"), "passage-common")
+    found = stored(every.join(common, "hash"), "passage-found")
+    discard(every)
+    discard(common)
+    earlier = shared(found, "hash", "context")
+    placed = stored(found.join(earlier, ["hash", "context"], "left").withColumn("settled", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
+                    .drop("first_doc", "context"), "passage-placed")
+    discard(found)
+    settled = placed.where("settled").select("doc_id", "at")
+    left = placed.where("not settled").select("hash", "doc_id", "at")
+    open_anchors = left.join(shared(left, "hash").select("hash"), "hash").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    open_anchors = stored(open_anchors, "passage-open")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
@@ -76,27 +102,36 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 words = find_words(texts)
                 part = places.slice(at, len(texts))
                 rows = np.repeat(np.arange(len(texts)), part.value_lengths().to_numpy())
-                anchor = part.flatten().to_numpy()
-                # windows that hold the anchor at one of the first ``period`` words
-                maybe = np.zeros(len(words.starts) + 1, np.int32)
-                low = np.maximum(anchor - period + 1, 0)
-                high = np.minimum(anchor + 1, words.counts[rows] - size + 1)
-                fine = low < high
-                base = words.first[rows[fine]]
-                np.add.at(maybe, base + low[fine], 1)
-                np.add.at(maybe, base + high[fine], -1)
-                starts = np.flatnonzero(np.cumsum(maybe)[:-1] > 0)
+                starts = around(part.flatten().to_numpy(), words.first[rows], words.counts[rows], size, period, len(words.starts))
                 row = np.searchsorted(np.cumsum(words.counts), starts, side="right")
                 place = (starts - words.first[row]).astype(np.int32)
                 first, second = (run_hashes(words.hashes(k), starts, size, k).view(np.int64) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(doc_ids[at + row]), pa.array(place)],
                                                  ["hash_a", "hash_b", "doc_id", "at"])
 
-    long = plain.join(flagged, "doc_id").mapInArrow(extend, "hash_a long, hash_b long, doc_id long, at int")
+    long = plain.join(open_anchors, "doc_id").mapInArrow(extend, "hash_a long, hash_b long, doc_id long, at int")
     long = stored(long, "passage-windows")
     both = ["hash_a", "hash_b"]
-    later = long.join(shared(long, *both), both).where("doc_id > first_doc")
-    return stored(later.groupBy("doc_id").agg(F.collect_set("at").alias("starts")), "passage-repeats")
+    later = long.join(shared(long, *both), both).where("doc_id > first_doc").select("doc_id", "at")
+    every_one = settled.withColumn("whole", F.lit(True)).unionByName(later.withColumn("whole", F.lit(False)))
+    lists = every_one.groupBy("doc_id").agg(F.collect_set(F.when(F.col("whole"), F.col("at"))).alias("around"),
+                                            F.collect_set(F.when(~F.col("whole"), F.col("at"))).alias("starts"))
+    out = stored(lists, "passage-repeats")
+    for step in (placed, open_anchors, long):
+        discard(step)
+    return out
+
+
+def around(anchor: np.ndarray, first: np.ndarray, count: np.ndarray, size: int, period: int, n_words: int) -> np.ndarray:
+    """First words of the windows that hold an anchor among their first ``period`` words.
+
+    ``anchor`` counts within a document whose first word is ``first`` and which has ``count`` words.
+    """
+    low = np.maximum(anchor - period + 1, 0)
+    high = np.minimum(anchor + 1, count - size + 1)
+    fine = low < high
+    marks = np.bincount(first[fine] + low[fine], minlength=n_words + 1) - np.bincount(first[fine] + high[fine], minlength=n_words + 1)
+    return np.flatnonzero(np.cumsum(marks)[:n_words] > 0)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -108,7 +143,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     lose nothing.  Rows that share a doc_id do not take words from each other.  Columns of ``docs`` of these names are
     replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "starts")
+    docs = docs.drop("n_words", "n_removed", "kept", "around", "starts")
+    period = period_for(size)
     starts = repeated_windows(docs, size).withColumnRenamed("doc_id", "__repeats_in")
     made = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     names = docs.columns
@@ -116,16 +152,15 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             counts, removed, kept = [], [], []
-            for text, at in zip(column(batch, "text"), column(batch, "starts")):
+            for text, anchor, at in zip(column(batch, "text"), column(batch, "around"), column(batch, "starts")):
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
                 if at.is_valid:
-                    marks = np.zeros(n + 1, np.int32)
-                    first = at.values.to_numpy()
+                    near = anchor.values.to_numpy()
+                    none = np.zeros(len(near), np.int64)
+                    first = np.concatenate([around(near, none, none + n, size, period, n), at.values.to_numpy()])
                     first = first[first + size <= n]
-                    marks[first] += 1
-                    ends = np.bincount(first + size, minlength=n + 1)[:n + 1]
-                    gone = np.cumsum(marks - ends)[:n] > 0
+                    gone = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(first + size, minlength=n + 1))[:n] > 0
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 counts.append(n)
                 removed.append(n - len(words))
