@@ -8,6 +8,7 @@ function and another distribution lies at a step or just before it.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Mapping
 
@@ -21,15 +22,16 @@ from tablewarden.functions.quantiles import as_double, bucket_counts, exact_quan
 from tablewarden.functions.scoring import direction, kolmogorov_p, ks_severity, psi_severity, severity_rank
 from tablewarden.operators.checks import Meta, no_issues
 from tablewarden.operators.profile import Tables, profile_tables
-from tablewarden.runtime import is_numeric, local_copy, local_frame, side_by_side, union_all
+from tablewarden.runtime import is_numeric, local_frame, side_by_side, union_all
 from tablewarden.schemas import ISSUE
+from tablewarden.sources.stores import load_snapshot
 
 POINTS = "table string, column string, value double, weight long"
 STATS = ("table string, table_pos int, column string, col_pos int, n_ref long, n_cur long, "
          "ref_mean double, cur_mean double, psi double, ks_d double")
-#: Values per range bucket in the full two-sample test, and the most buckets used.
-VALUES_PER_BUCKET = 200_000
-MOST_BUCKETS = 20_000
+#: Values per range bucket in the full two-sample test.
+VALUES_PER_BUCKET = 2_000_000
+log = logging.getLogger(__name__)
 
 
 # --------------------------------------------------------------------------------------
@@ -199,9 +201,12 @@ def bucketed_values(df: DataFrame, breaks: Mapping[str, list[float]]) -> DataFra
             .groupBy("column", "bucket", "value").agg(F.sum("n").alias("n")))
 
 
-def range_breaks(df: DataFrame, columns: list[str], n_rows: int) -> dict[str, list[float]]:
-    """Bucket edges that split each column into ranges of bounded size, from one sketch pass."""
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(n_rows / VALUES_PER_BUCKET)))
+def range_breaks(df: DataFrame, columns: list[str], n_rows: int, per_bucket: int | None = None) -> dict[str, list[float]]:
+    """Bucket edges that split each column into ranges of bounded size, from one sketch pass.
+
+    A value that fills more than a range is one row once equal values are counted.
+    """
+    buckets = max(1, math.ceil(n_rows / (per_bucket or VALUES_PER_BUCKET)))
     if buckets == 1:
         return {c: [] for c in columns}
     grid = [i / buckets for i in range(1, buckets)]
@@ -210,13 +215,16 @@ def range_breaks(df: DataFrame, columns: list[str], n_rows: int) -> dict[str, li
     return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
 
 
-def two_sample_ks(reference: DataFrame, current: DataFrame, columns: list[str], n_rows: int) -> DataFrame:
+def two_sample_ks(reference: DataFrame, current: DataFrame, columns: list[str], n_rows: int,
+                  per_bucket: int | None = None) -> DataFrame:
     """Exact KS distance of whole columns: rows ``(column, n_ref, n_cur, ks_d)``.
 
-    Equal values collapse to counts first.  Running sums are local to a range bucket and start
-    from the bucket's offset, so no window spans a whole column.
+    Equal values collapse to counts first.  Running sums are local to a range bucket and start from the bucket's offset, so
+    no window spans a whole column.  The buckets come from both samples together: were they the reference's, a column that
+    has moved would lie in the last one.  ``n_rows`` are the rows of both.
     """
-    breaks = range_breaks(reference, columns, n_rows)
+    pick = lambda df: df.select(*[as_double(df, c).alias(c) for c in columns])
+    breaks = range_breaks(pick(reference).unionByName(pick(current)), columns, n_rows, per_bucket)
     both = (bucketed_values(reference, breaks).select("column", "bucket", "value", F.col("n").alias("r"), F.lit(0).cast("long").alias("c"))
             .unionByName(bucketed_values(current, breaks).select("column", "bucket", "value", F.lit(0).cast("long").alias("r"), F.col("n").alias("c")))
             .groupBy("column", "bucket", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
@@ -225,10 +233,10 @@ def two_sample_ks(reference: DataFrame, current: DataFrame, columns: list[str],
               .groupBy("column", "bucket").agg(F.sum("br").alias("br"), F.sum("bc").alias("bc")))
     before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("column")
-    offsets = local_copy(totals.select(                       # at most MOST_BUCKETS rows per column
+    offsets = totals.select(                                  # a row per bucket: rows / VALUES_PER_BUCKET
         "column", "bucket", F.coalesce(F.sum("br").over(before), F.lit(0)).alias("r0"),
         F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("c0"),
-        F.sum("br").over(whole).alias("n_ref"), F.sum("bc").over(whole).alias("n_cur")))
+        F.sum("br").over(whole).alias("n_ref"), F.sum("bc").over(whole).alias("n_cur"))
     running = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     gaps = (both.withColumn("ru", F.sum("r").over(running)).withColumn("cu", F.sum("c").over(running))
             .join(F.broadcast(offsets), ["column", "bucket"])
@@ -238,7 +246,8 @@ def two_sample_ks(reference: DataFrame, current: DataFrame, columns: list[str],
                                       F.max("gap").alias("ks_d"))
 
 
-def baseline_drift(tables: Tables, profile: DataFrame, meta: Meta, baseline: Tables) -> DataFrame:
+def baseline_drift(tables: Tables, profile: DataFrame, meta: Meta, baseline: Tables,
+                   per_bucket: int | None = None) -> DataFrame:
     """PSI and KS of every fact measure against whole baseline tables."""
     spark = profile.sparkSession
     shared = {t: df for t, df in baseline.items() if t in tables}
@@ -266,7 +275,7 @@ def baseline_drift(tables: Tables, profile: DataFrame, meta: Meta, baseline: Tab
                 low, high, top = cuts[c][j], cuts[c][j + 1], int(j == len(cuts[c]) - 2)
                 bins.append((c, ref_at[c][high][top] - ref_at[c][low][0], cur_at[c][high][top] - cur_at[c][low][0]))
         psi = psi_from_bins(local_frame(spark, bins, "column string, n_ref long, n_cur long"), "column")
-        ks = two_sample_ks(ref, tables[t], names, max(counts.values()))
+        ks = two_sample_ks(ref, tables[t], names, max(counts[c["column"]] + c["n_cur"] for c in mine), per_bucket)
         head = local_frame(spark, [(t, c["table_pos"], c["column"], c["col_pos"],
                                     base_stats[t, c["column"]]["mean"], c["cur_mean"]) for c in mine],
                            "table string, table_pos int, column string, col_pos int, ref_mean double, cur_mean double")
@@ -318,9 +327,14 @@ def drift_issues(stats: DataFrame) -> DataFrame:
 
 
 def detect_drift(tables: Tables, meta: Meta, profile: DataFrame | None = None,
-                 snapshot: DataFrame | None = None, baseline: Tables | None = None) -> DataFrame:
-    """Drift issues against a snapshot if given, else against baseline tables, else none."""
+                 snapshot: DataFrame | None = None, baseline: Tables | None = None,
+                 snapshot_path: str | None = None, tag: str = "baseline") -> DataFrame:
+    """Drift issues against a snapshot if given, else baseline tables, else the saved tag; with none of them a warning."""
     profile = profile_tables(tables, meta) if profile is None else profile
+    if snapshot is None and baseline is None:
+        snapshot = load_snapshot(profile.sparkSession, snapshot_path, tag) if snapshot_path else None
+        if snapshot is None:
+            log.warning("no snapshot %s; drift is skipped", tag)
     if snapshot is not None:
         stats = snapshot_drift(tables, profile, meta, snapshot)
     elif baseline is not None:

@@ -546,6 +546,15 @@ def _baseline_sql(column: str) -> str:
   SELECT round(greatest(sum((cs - rs) * ln(cs / rs)), 0), 6) FROM shares) AS psi"""
 
 
+@query("baseline_ks_ranged", f"{o.VIEWS} {_baseline_sql('total_price')} UNION ALL {_baseline_sql('discount_pct')}")
+def baseline_ks_ranged(spark, sf):
+    """The way large columns go: many ranges, here of 500 values."""
+    tables = subset(datasets.dirty(spark, sf), "fact_orders")
+    baseline = subset(datasets.star(spark, sf), "fact_orders")
+    return (drift.baseline_drift(tables, profile_tables(tables, DIRTY_META), DIRTY_META, baseline, per_bucket=500)
+            .select("column", "n_ref", "n_cur", six("ks_d"), six("psi")))
+
+
 @query("baseline_ks", f"{o.VIEWS} {_baseline_sql('total_price')} UNION ALL {_baseline_sql('discount_pct')}")
 def baseline_ks(spark, sf):
     """Whole-column tests: dirty orders against the clean orders as baseline tables."""

@@ -158,3 +158,27 @@ def test_constant_baseline_uses_ks(make):
     base, now = fact(make, [10.0] * 100), fact(make, [100.0] * 100)
     issue = drift.detect_drift(now, infer_metadata(now), snapshot=build_snapshot(base)).first()
     assert issue["issue_type"] == "statistical_drift" and issue["metric"] == 1.0 and issue["description"].startswith("KS D=1.0000")
+
+
+def test_moved_column_is_spread_over_ranges(make):
+    from tablewarden.operators import drift
+    rng = np.random.default_rng(9)
+    a, b = make("x double", [(float(v),) for v in rng.normal(0, 1, 4000)]), make("x double", [(float(v) + 50,) for v in rng.normal(0, 1, 4000)])
+    breaks = drift.range_breaks(a.unionByName(b), ["x"], 8000, 200)
+    sizes = [r["n"] for df in (a, b) for r in drift.bucket_counts(df, breaks).collect()]
+    assert len(breaks["x"]) > 30 and max(sizes) <= 400
+    assert drift.two_sample_ks(a, b, ["x"], 8000, 200).first()["ks_d"] == 1.0
+
+
+def test_saved_tag_is_the_last_resort(make, tmp_path, caplog):
+    from tablewarden.operators import drift
+    from tablewarden.sources import stores
+    base = {"fact_sales": make("sales_sk long, amount double", [(i, float(i % 50)) for i in range(400)])}
+    now = {"fact_sales": make("sales_sk long, amount double", [(i, float(i % 50) * 9) for i in range(400)])}
+    meta, path = infer_metadata(now), str(tmp_path / "snap")
+    stores.save_snapshot(build_snapshot(base, "march"), path)
+    assert drift.detect_drift(now, meta, snapshot_path=path, tag="march").count() == 1
+    assert drift.detect_drift(now, meta, snapshot=build_snapshot(now), snapshot_path=path, tag="march").count() == 0
+    with caplog.at_level("WARNING"):
+        assert drift.detect_drift(now, meta, snapshot_path=path, tag="april").count() == 0
+    assert "no snapshot april" in caplog.text
