@@ -90,3 +90,42 @@ def op9_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_WORDS = r"""
+RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+"""
+
+ORACLE["op2_repeated_passages"] = f"""
+WITH {_WORDS},
+spans AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS body
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+earliest AS (SELECT body, min(doc_id) AS first_doc FROM spans GROUP BY body),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos
+  FROM spans JOIN earliest USING (body) WHERE doc_id > first_doc),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(gone.pos) AS n_removed,
+    string_agg(word, ' ' ORDER BY placed.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+  FROM placed LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op9_similar_texts"] = f"""
+WITH {_WORDS},
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+meets AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM meets JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 5 * c >= 4 * (sx.n + sy.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS seen FROM words UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON reach.seen = edges.x),
+classes AS (SELECT doc_id, min(seen) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, class_id, (SELECT count(*) FROM edges WHERE edges.x = classes.doc_id) AS n_links FROM classes
+"""
