@@ -52,6 +52,30 @@ def folder_scan(spark, sf):
         for t, df in loaded.items())
 
 
+@query("csv_conversations", " UNION ALL ".join(
+    f"SELECT '{way}' AS way, count(*) AS n_rows, sum(turn) AS turns, sum(length(text)) AS n_chars FROM conversations" for way in ("found types", "given types")))
+def csv_conversations(spark, sf):
+    """Texts with line breaks written as CSV and read back, with types found and with types given."""
+    talks, folder = datasets.read(spark, sf, "conversations"), scratch(spark)
+    files.write_tables({"talks": talks}, folder)
+    ways = {"found types": None, "given types": {"talks": "conv_id long, turn long, role string, text string"}}
+    return union_all(files.load_folder(spark, folder, schemas)["talks"].agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("turn").alias("turns"), F.sum(F.length("text")).alias("n_chars")).select(
+        F.lit(way).alias("way"), "n_rows", "turns", "n_chars") for way, schemas in ways.items())
+
+
+@query("run_lookup", "SELECT 'second' AS source, 'high' AS sensitivity, 7 AS issue_count, 'late: no luck' AS failures")
+def run_lookup(spark, sf):
+    """One run out of a log, with the check that failed in it."""
+    path = scratch(spark)
+    n = dirty_ranked(spark, sf).count()
+    for k, source in enumerate(("first", "second")):
+        failed = [("late", "no luck")] if k else []
+        stores.append_run(stores.run_entry(spark, source, "high", n if not k else 7, ["profiler"], f"run{k}", failed), path)
+    found = stores.get_run(spark, path, "run1")
+    return found.select("source", "sensitivity", F.col("issue_count").cast("int").alias("issue_count"), F.array_join("failures", ",").alias("failures"))
+
+
 @query("table_sizes", f"""{o.VIEWS} {" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM d_{t}" for t in o.TABLES)}""")
 def sizes(spark, sf):
     return profile_plan(datasets.dirty(spark, sf)).select("table", "n_rows").distinct()

@@ -331,6 +331,15 @@ def sample_rows(spark, sf):
     return investigate.sample_rows(dated(dirty_orders_of(spark, sf)))
 
 
+@query("sample_rows_inside", "SELECT least(count(*), 20) AS n_rows, least(count(*), 20) AS n_inside FROM orders")
+def sample_rows_inside(spark, sf):
+    """The sampled rows are rows of the table, and as many as asked for."""
+    orders = datasets.read(spark, sf, "orders")
+    some = local_frame(spark, investigate.sample_rows(orders.select("o_orderkey", "o_custkey")).collect(), "o_orderkey long, o_custkey long")
+    inside = orders.join(F.broadcast(some), ["o_orderkey", "o_custkey"], "left_semi").agg(F.count(F.lit(1)).alias("n_inside"))
+    return some.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(inside)          # one row each
+
+
 # ---- repair ----------------------------------------------------------------------------
 
 _ORPHAN = "customer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_dim_customers c WHERE c.customer_id = f.customer_id)"
