@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import column, nonempty, stored
 from tablewarden.llm.components import components
 from tablewarden.llm.pieces import ranges, slices
-from tablewarden.llm.words import find_words, mix, run_hashes, windows
+from tablewarden.llm.words import WORK_BYTES, find_words, mix, run_hashes, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: MinHash values; bands and values of a band (the first BANDS * ROWS of them); values compared at a time; tolerance.
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             doc_ids = column(batch, "doc_id")
-            for at, texts in slices(column(batch, "text")):
+            for at, texts in slices(column(batch, "text"), WORK_BYTES):
                 values, counts = shingle_sets(texts, size)
                 some = counts > 0
                 firsts = (np.cumsum(counts) - counts)[some]
@@ -241,6 +241,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
                                                   F.min_by("bands", "doc_id").alias("bands")), "near-classes")
     keys = classes.select("rep", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
+    buckets = stored(buckets, "near-buckets")             # a plain shuffle on both sides of the join can be split by Spark
     members = keys.join(buckets, "band").groupBy("rep", "hub").count().drop("count")
     members = stored(members, "near-members")
     hubs = members.groupBy("rep").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))          # at most BANDS
@@ -248,7 +249,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            for at, part in slices(column(batch, "text")):
+            for at, part in slices(column(batch, "text"), WORK_BYTES):
                 values, counts = shingle_sets(part, size)
                 ends = np.cumsum(counts).tolist()
                 data = [values[e - c:e].tobytes() for e, c in zip(ends, counts.tolist())]

@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from tablewarden.llm.common import column, discard, nonempty, stored
 from tablewarden.llm.pieces import slices
-from tablewarden.llm.words import find_words, mix, run_hashes, windows
+from tablewarden.llm.words import WORK_BYTES, find_words, mix, run_hashes, windows
 
 SIZE = 50
 #: Difference covers by period: the differences of two members take every value modulo the period.
@@ -51,7 +51,7 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             doc_ids = column(batch, "doc_id").to_numpy()
-            for at, texts in slices(column(batch, "text")):
+            for at, texts in slices(column(batch, "text"), WORK_BYTES):
                 words = find_words(texts)
                 starts, rows = windows(words, length)
                 place = starts - words.first[rows]
@@ -86,19 +86,22 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     found = stored(every.join(common, "hash"), "passage-found")
     discard(every)
     discard(common)
-    earlier = shared(found, "hash", "context")
+    # each side of a join is a plain shuffle of a stored table, which Spark can split where a key has very many rows
+    earlier = stored(shared(found, "hash", "context"), "passage-earlier")
     placed = stored(found.join(earlier, ["hash", "context"], "left").withColumn("settled", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
                     .drop("first_doc", "context"), "passage-placed")
     discard(found)
+    discard(earlier)
     settled = placed.where("settled").select("doc_id", "at")
     left = placed.where("not settled").select("hash", "doc_id", "at")
-    open_anchors = left.join(shared(left, "hash").select("hash"), "hash").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    several = stored(shared(left, "hash").select("hash"), "passage-several")
+    open_anchors = left.join(several, "hash").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     open_anchors = stored(open_anchors, "passage-open")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             doc_ids, places = column(batch, "doc_id").to_numpy(), column(batch, "places")
-            for at, texts in slices(column(batch, "text")):
+            for at, texts in slices(column(batch, "text"), WORK_BYTES):
                 words = find_words(texts)
                 part = places.slice(at, len(texts))
                 rows = np.repeat(np.arange(len(texts)), part.value_lengths().to_numpy())
@@ -112,12 +115,13 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     long = plain.join(open_anchors, "doc_id").mapInArrow(extend, "hash_a long, hash_b long, doc_id long, at int")
     long = stored(long, "passage-windows")
     both = ["hash_a", "hash_b"]
-    later = long.join(shared(long, *both), both).where("doc_id > first_doc").select("doc_id", "at")
+    repeats = stored(shared(long, *both), "passage-both")
+    later = long.join(repeats, both).where("doc_id > first_doc").select("doc_id", "at")
     every_one = settled.withColumn("whole", F.lit(True)).unionByName(later.withColumn("whole", F.lit(False)))
     lists = every_one.groupBy("doc_id").agg(F.collect_set(F.when(F.col("whole"), F.col("at"))).alias("around"),
                                             F.collect_set(F.when(~F.col("whole"), F.col("at"))).alias("starts"))
     out = stored(lists, "passage-repeats")
-    for step in (placed, open_anchors, long):
+    for step in (placed, several, open_anchors, long, repeats):
         discard(step)
     return out
 

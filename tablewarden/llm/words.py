@@ -18,6 +18,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _U = np.uint64
+#: Bytes of text worked on at once: powers and running sums take 8 bytes for each of them, several times.
+WORK_BYTES = 1_000_000
 _powers: dict[int, np.ndarray] = {}
 
 
