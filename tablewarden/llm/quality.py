@@ -154,6 +154,8 @@ def classify(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -> DataF
     docs = docs.drop("score", "predicted")
     names = {n: f"__stat_{n}" for n in model.names}
     wide = docs.select("*", *(c.alias(names[n]) for n, c in statistics(docs["text"]).items()))
-    score = model.score({n: F.col(names[n]) for n in model.names})
-    return (wide.withColumn("score", score).drop(*names.values())
-            .withColumn("predicted", (F.col("score") >= accept).cast("int")))
+    # a row out of an array of one: a filter on the score cannot be pushed below it, where each rule would be written
+    # out with the whole expression of its statistics
+    held = wide.select(*(f"`{c}`" for c in docs.columns), F.explode(F.array(F.struct(*names.values()))).alias("__stats"))
+    score = model.score({n: F.col("__stats")[c] for n, c in names.items()})
+    return held.withColumn("score", score).drop("__stats").withColumn("predicted", (F.col("score") >= accept).cast("int"))
