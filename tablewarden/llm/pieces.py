@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered by a worker.  Later new pieces are encoded each time they occur, so memory is bounded.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: Bytes of text that are worked on at once; one longer text is its own slice.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 Encode = Callable[[Sequence[str]], list[Sequence[int]]]
 
