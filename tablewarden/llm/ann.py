@@ -3,7 +3,8 @@
 Vectors are centred, scaled to length 1 and rotated at random; the code keeps one sign bit of each coordinate, packed,
 with two scalars: the length, and the inner product of vector and code.  The product of code and query over that
 scalar estimates the inner product of vector and query, with an error that is bounded with high probability.  Only
-vectors whose lower bound of the distance is within the k-th upper bound are looked at in full.
+vectors whose lower bound of the distance is within the k-th upper bound are looked at in full; a vec_id counts once
+for that, however many rows it has.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
                 turned = (q - middle[d]) @ rotation(d).T
                 size, fit, own = lengths[at], aligned[at], ids[at]
                 error = WIDTH * np.sqrt(np.maximum(1 - fit ** 2, 0) / max(1, d - 1)) / fit
+                by_id = np.argsort(own, kind="stable")
+                kinds, starts = np.unique(own[by_id], return_index=True)
                 for first in range(0, len(mine), 256):
                     part = turned[first:first + 256]
                     norm = np.linalg.norm(part, axis=1)
@@ -105,7 +108,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
                     for i in range(len(part)):
                         row = mine[first + i]
                         other = own != query_ids[row]
-                        upper = (middle_of[i] + slack[i])[other]
+                        # one bound for each id, the smallest of its rows: k rows of one id are one neighbour
+                        upper = np.minimum.reduceat((middle_of[i] + slack[i])[by_id], starts)[kinds != query_ids[row]]
                         if not len(upper):
                             continue
                         edge = np.partition(upper, min(k, len(upper)) - 1)[min(k, len(upper)) - 1]

@@ -90,6 +90,22 @@ def test_neighbours_recall_and_scores(spark, each):
             assert s == np.sqrt(((vectors[i] - vectors[q]) ** 2).sum())
 
 
+@pytest.mark.parametrize("each", [90, 8192])
+def test_rows_of_one_id_hide_no_neighbours(spark, each):
+    rng = np.random.default_rng(4)
+    at, others = rng.standard_normal(64), rng.standard_normal((300, 64))
+    made = [(100, at.astype("float32").tolist(), 0.0)]
+    made += [(7, (at + 0.01 * rng.standard_normal(64)).astype("float32").tolist(), 0.0) for _ in range(25)]
+    made += [(1001 + i, v.astype("float32").tolist(), 0.0) for i, v in enumerate(others) if (1001 + i) % 100]
+    frame = spark.createDataFrame(made, SCHEMA).repartition(4)
+    nearest, q = {}, np.array(made[0][1], "float32").astype(float)
+    for i, v, _ in made[1:]:
+        s = float(np.sqrt(((np.array(v, "float32").astype(float) - q) ** 2).sum()))
+        nearest[i] = min(s, nearest.get(i, s))
+    want = sorted((s, i) for i, s in nearest.items())[:10]
+    assert answer(ann.nearest(frame, asked(), rows_each=each)) == {100: [(i, s) for s, i in want]}
+
+
 def test_recall_on_the_table(spark):
     frame = table(spark, "/root/testdata/sf0.1", "embeddings")
     vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in frame.collect()}
