@@ -22,8 +22,10 @@ from tablewarden.llm.common import column, held_out, nonempty
 
 #: Bounds of the training sample: texts for each language, and characters of each that go into its dictionary.
 TEXTS, TEXT_CHARS = 64, 2048
-#: Characters compressed together, and the margin (share of the smallest size) below which a text is rejected.
-BLOCK_CHARS, MARGIN = 1024, 0.002
+#: Characters compressed together.
+BLOCK_CHARS = 1024
+#: Least lead of the best language over the next, as a share of the smallest size and in bytes; below, a text is rejected.
+MARGIN, LEAST_BYTES = 0.08, 3
 #: Texts shorter than this are compressed behind as many bytes of the dictionary.
 LEAD = 256
 UNDETERMINED = "und"
@@ -80,31 +82,33 @@ def sizes(text: str, compressors: list) -> list[int]:
     return [sum(len(c.compress(b)) for b in blocks) for c, _, _ in compressors]
 
 
-def decide(text: str | None, langs: list[str], compressors: list) -> tuple[str, float, float]:
-    """Language, score and margin.  Score is a share of 1 by how much smaller each language makes a block."""
+def decide(text: str | None, langs: list[str], compressors: list) -> tuple[str, float, float, int]:
+    """Language, score, margin and the margin in bytes.  Score is a share of 1 by how much smaller each language makes a block."""
     if text is None or not any(map(str.isalpha, text)):
-        return UNDETERMINED, 0.0, 0.0
+        return UNDETERMINED, 0.0, 0.0, 0
     if not langs:
-        return UNDETERMINED, 0.0, 0.0
+        return UNDETERMINED, 0.0, 0.0, 0
     total = sizes(letters(text), compressors)
     order = sorted(range(len(langs)), key=lambda i: (total[i], langs[i]))
     best = total[order[0]]
-    margin = (total[order[1]] - best) / best if len(order) > 1 else 1.0
+    lead = total[order[1]] - best if len(order) > 1 else max(best, LEAST_BYTES)
+    margin = lead / best if len(order) > 1 else 1.0
     share = 1 / sum(math.exp(-min(60.0, 100 * (t - best) / best)) for t in total)
-    return langs[order[0]], share, margin
+    return langs[order[0]], share, margin, lead
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1), margin and accepted.
 
     ``lang_pred`` is a learned language, or ``und`` for a null text, one without a letter, or where no language was
-    learned; these score 0.  ``accepted`` is false for ``und`` and where the margin is below ``margin``.  Columns of
-    ``docs`` with one of these names are replaced.  Rows are scored one by one: repeated rows score alike.
+    learned; these score 0.  ``accepted`` is false for ``und`` and where the margin is below ``margin`` or fewer than
+    ``least_bytes`` (one byte of a short text is a wide margin and says nothing).  Columns of ``docs`` with one
+    of these names are replaced.  Rows are scored one by one: repeated rows score alike.
     """
     fixed = tuple(sorted(dictionaries.items()))
     langs = [lang for lang, _ in fixed]
     docs = docs.drop("lang_pred", "score", "margin", "accepted")
-    made = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("margin", "double")
+    made = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("margin", "double").add("accepted", "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(fixed)
@@ -112,8 +116,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             texts = column(batch, "text")
             found = [decide(texts[i].as_py(), langs, compressors) for i in range(len(texts))]
             out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-                   pa.array([f[2] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "lang_pred", "score", "margin"])
+                   pa.array([f[2] for f in found], pa.float64()),
+                   pa.array([f[0] != UNDETERMINED and f[2] >= margin and f[3] >= least_bytes for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "lang_pred", "score", "margin", "accepted"])
 
-    return docs.mapInArrow(score, made).withColumn(
-        "accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= margin))
+    return docs.mapInArrow(score, made)

@@ -53,6 +53,20 @@ def test_language_learns_only_from_its_rows(spark):
     assert langid.train(frame) == {}
 
 
+def test_language_rejects_mixed_and_unlearned_texts(spark):
+    docs = table(spark, SF, "documents")
+    own = collections.defaultdict(list)
+    for r in docs.where(held_out() & (F.length("text") > 600)).orderBy("doc_id").collect():
+        own[r["lang"]].append(r["text"])
+    mixed = [a[:n] + " " + b[:n] for x, y in (("en", "de"), ("fr", "es"), ("de", "fr")) for n in (300, 600) for a, b in zip(own[x][:15], own[y][:15])]
+    draw = random.Random(3)
+    noise = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 10))) for _ in range(n)) for n in (5, 20, 100, 400) for _ in range(25)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(mixed + noise)], "doc_id long, text string").repartition(4)
+    accepted = {r["doc_id"]: r["accepted"] for r in langid.identify(frame, langid.train(docs)).collect()}
+    assert len(mixed) > 50 and np.mean([accepted[i] for i in range(len(mixed))]) < 0.4
+    assert np.mean([accepted[i] for i in range(len(mixed), len(accepted))]) < 0.05
+
+
 # ---- quality
 
 def test_quality_held_out_accuracy(spark):
