@@ -36,14 +36,17 @@ def train(docs: DataFrame, texts: int = TEXTS, text_chars: int = TEXT_CHARS) ->
     """A dictionary for each non-null ``lang`` of ``docs``, from rows that are not held out.
 
     The sample takes, for each language and each of ``texts`` slots, the row with the smallest hash: an aggregate of
-    whole numbers with partial sums, whatever share of rows a language has.  What comes to the driver is bounded by
-    ``texts * text_chars`` characters for each language.
+    whole numbers with partial sums, whatever share of rows a language has.  A longer text gives ``text_chars``
+    characters from a place chosen by hash, not its start, where many share a heading.  What comes to the driver is
+    bounded by ``texts * text_chars`` characters for each language.
     """
     rows = (docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
             .select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")).alias("mark")))
     chosen = rows.groupBy("lang", F.pmod(F.col("mark"), F.lit(texts)).alias("slot")).agg(F.min("mark").alias("mark"))
     few = F.broadcast(chosen.select("lang", "mark"))
-    got = rows.join(few, ["lang", "mark"]).select("lang", "mark", F.substring("text", 1, text_chars).alias("text")).distinct()
+    places = F.greatest(F.length("text") - text_chars, F.lit(0)) + 1
+    start = (1 + F.pmod(F.xxhash64("mark"), places)).cast("int")
+    got = rows.join(few, ["lang", "mark"]).select("lang", "mark", F.col("text").substr(start, F.lit(text_chars)).alias("text")).distinct()
     parts: dict[str, list[str]] = {}
     for row in got.orderBy("lang", "mark").collect():
         parts.setdefault(row["lang"], []).append(row["text"])

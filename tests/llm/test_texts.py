@@ -67,6 +67,15 @@ def test_language_rejects_mixed_and_unlearned_texts(spark):
     assert np.mean([accepted[i] for i in range(len(mixed), len(accepted))]) < 0.05
 
 
+def test_language_learns_from_all_of_a_text(spark):
+    free = [i for i in range(300) if not held(i)]
+    frame = spark.createDataFrame([(i, "heading " * 50 + f"inside{i} " * 200, "xx") for i in free] + [(1000 + i, "short words", "yy") for i in free],
+                                  "doc_id long, text string, lang string")
+    learned = langid.train(frame, texts=16, text_chars=200)
+    assert learned["xx"].count(b"inside") > learned["xx"].count(b"heading") and len(learned["xx"]) <= 16 * 201
+    assert set(learned["yy"].split()) == {b"short", b"words"} and learned == langid.train(frame.repartition(7), texts=16, text_chars=200)
+
+
 # ---- quality
 
 def test_quality_held_out_accuracy(spark):
