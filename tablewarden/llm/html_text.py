@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm.common import column, nonempty
 
-#: Bound of the training sample, in pages; leaves of a training page; hashed path and word features; hidden units.
+#: Bound of the training sample, in pages; leaves of a piece of a page that not all elements tell about; hashed path and word features; hidden units.
 PAGES, TRAIN_LEAVES, PATH, WORDS, HIDDEN = 240, 80, 224, 32, 16
 PAGES_AT_ONCE, BYTES_AT_ONCE = 256, 4_000_000
+#: Leaves of a training page that are learned in one piece; a longer page is several pieces.
+WHOLE_LEAVES = 512
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -246,7 +248,8 @@ def _gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: dict[str, np.n
     return grad
 
 
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 0.01) -> dict[str, np.ndarray]:
+def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 0.01, of=lambda page: page) -> dict[str, np.ndarray]:
+    """Weights from pages and their labels; ``of`` makes the matrix of a page, when its batch is due."""
     w = new_weights()
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
@@ -261,7 +264,7 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batc
             x, y, mask = np.zeros((len(group), steps, INPUTS)), np.zeros((len(group), steps)), np.zeros((len(group), steps), bool)
             for r, i in enumerate(group):
                 n = len(pages[i])
-                x[r, :n], y[r, :n], mask[r, :n] = pages[i], labels[i], True
+                x[r, :n], y[r, :n], mask[r, :n] = of(pages[i]), labels[i], True
             step += 1
             for k, g in _gradients(x, y, mask, w).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -356,15 +359,27 @@ def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[l
     return page, labels
 
 
-def train(pages: DataFrame, sample: int = PAGES) -> dict[str, np.ndarray]:
+def pieces(page: list[Leaf], told: list[bool | None], whole: int, part: int) -> Iterator[tuple[list[Leaf], np.ndarray]]:
+    """Leaves and labels of all pieces of a page that can be learned from: of ``whole`` leaves where all are told, else of ``part``."""
+    each = whole if all(t is not None for t in told) else part
+    for at in range(0, len(page), each):
+        labels = told[at:at + each]
+        if all(t is not None for t in labels):
+            yield page[at:at + each], np.array(labels, float)
+
+
+def train(pages: DataFrame, sample: int = PAGES, whole: int = WHOLE_LEAVES, part: int = TRAIN_LEAVES) -> dict[str, np.ndarray]:
     """Weights from at most ``sample`` of the pages: from each hash slot the page with the smallest hash.
 
+    All leaves of a page are looked at.  Pages up to ``whole`` leaves are learned in one piece, longer ones in several;
+    of a page with leaves that its elements do not tell about, the pieces of ``part`` leaves without such a leaf.
+
     Without a usable page the weights come from layouts of a few fixed words.
     """
     rows = pages.where(F.col("html").isNotNull()).select("html", F.xxhash64("html").alias("mark"))
     chosen = rows.groupBy(F.pmod("mark", F.lit(sample)).alias("slot")).agg(F.min("mark").alias("mark"))
     got = rows.join(F.broadcast(chosen.select("mark")), "mark").dropDuplicates(["mark"]).orderBy("mark").collect()
-    parsed = [leaves(r["html"])[:TRAIN_LEAVES] for r in got]
+    parsed = [leaves(r["html"]) for r in got]
     told = [[said_by_elements(leaf) for leaf in page] for page in parsed]
     main = [[leaf.text for leaf, s in zip(page, t) if s] for page, t in zip(parsed, told)]
     chrome = [leaf.text for page, t in zip(parsed, told) for leaf, s in zip(page, t) if s is False] or ["menu", "home page", "all rights reserved"]
@@ -373,17 +388,16 @@ def train(pages: DataFrame, sample: int = PAGES) -> dict[str, np.ndarray]:
     rng = random.Random(17)
     x, y = [], []
     for page, t in zip(parsed, told):
-        if page and all(s is not None for s in t):
-            x.append(vectors(page))
-            y.append(np.array(t, float))
+        for leaf_piece, labels in pieces(page, t, whole, part):
+            x.append(leaf_piece)
+            y.append(labels)
     for _ in range(2 * sample):
         texts = rng.choice(main)
         start = rng.randrange(len(texts))
         page, labels = laid_out(texts[start:start + rng.randint(1, 25)] if rng.random() < 0.9 else [], chrome, rng)
-        page, labels = page[:TRAIN_LEAVES], labels[:TRAIN_LEAVES]
-        x.append(vectors(page))
+        x.append(page)
         y.append(np.array(labels, float))
-    return fit(x, y)
+    return fit(x, y, of=vectors)
 
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:

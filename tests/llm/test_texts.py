@@ -304,3 +304,17 @@ def test_unseen_layouts():
     x, y = pages(80, random.Random(6))
     wrong = sum(((p >= 0.5) != t).sum() for p, t in zip(html_text.chances(x, weights), y))
     assert wrong / sum(map(len, y)) < 0.06
+
+
+def test_main_text_learns_from_whole_pages(spark, monkeypatch):
+    page = ("<html><body><article>" + "".join(f"<p>paragraph {i} of a long page</p>" for i in range(100)) + "</article><section class='comments'>"
+            + "".join(f"<p>comment {i}</p>" for i in range(20)) + "</section><footer>the end</footer></body></html>")
+    seen = []
+    monkeypatch.setattr(html_text, "fit", lambda x, y, **_: seen.append((x, y)))
+    html_text.train(spark.createDataFrame([(page,)], "html string"), sample=4)
+    x, y = seen[0]
+    real = list(zip(x, y))[:-8]                                       # the made layouts come last, two for each page of the sample
+    assert [len(p) for p, _ in real] == [121] and real[0][1].tolist() == [1] * 100 + [0] * 21
+    told = [None if i == 90 else True for i in range(170)]
+    got = [(p[0].text, len(t)) for p, t in html_text.pieces([html_text.Leaf((), str(i)) for i in range(170)], told, 512, 80)]
+    assert got == [("0", 80), ("160", 10)]
