@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usable(rows: DataFrame, vector: str = "embedding", zero: bool = True) -> DataFrame:
-    """vec_id and ``vec`` (doubles) of the rows that can take part.
+def usable(rows: DataFrame, vector: str = "embedding", zero: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, ``vec`` (doubles) and the columns ``also`` of the rows that can take part.
 
     Left out: null ids, null or empty vectors, vectors with a null, NaN or infinite component, and zero vectors unless
     ``zero`` is set.
@@ -19,7 +19,7 @@ def usable(rows: DataFrame, vector: str = "embedding", zero: bool = True) -> Dat
     rows = rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).where(~bad)
     if not zero:
         rows = rows.where(F.exists(vec, lambda x: x != 0))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"), *also)
 
 
 def by_dimension(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
