@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import ann, fim, fst, html_text, idcoder, langid, mips, near, negatives, packing, quality, substrings
+from tablewarden.llm import ann, fim, fst, html_text, idcoder, langid, mips, near, negatives, packing, quality, substrings, suffixes
 from tablewarden.llm.common import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,33 @@ ranked AS (
   WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_repeated_bytes"] = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS body
+  FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM bytes WHERE n >= 100)),
+repeats AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS place FROM starts) WHERE place > 1),
+marked AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM repeats),
+islands AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b
+  FROM (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked) GROUP BY doc_id, island),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM islands
+  UNION ALL SELECT doc_id, coalesce(max(islands.b), 0), any_value(n) FROM bytes LEFT JOIN islands USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM islands GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM bytes JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
