@@ -112,7 +112,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(doc_ids[at + row]), pa.array(place)],
                                                  ["hash_a", "hash_b", "doc_id", "at"])
 
-    long = plain.join(open_anchors, "doc_id").mapInArrow(extend, "hash_a long, hash_b long, doc_id long, at int")
+    long = plain.hint("merge").join(open_anchors, "doc_id").mapInArrow(extend, "hash_a long, hash_b long, doc_id long, at int")
     long = stored(long, "passage-windows")
     both = ["hash_a", "hash_b"]
     repeats = stored(shared(long, *both), "passage-both")
@@ -145,18 +145,19 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     words whose words also start in a document with a smaller doc_id; windows are judged on the input.  ``kept`` is
     what remains, joined by one space.  A null text has no words.  A null doc_id is never smaller nor larger: its rows
     lose nothing.  Rows that share a doc_id do not take words from each other.  Columns of ``docs`` of these names are
-    replaced; an empty table gives an empty result.
+    replaced, all others stay; an empty table gives an empty result.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "around", "starts")
+    docs = docs.drop("n_words", "n_removed", "kept")
     period = period_for(size)
-    starts = repeated_windows(docs, size).withColumnRenamed("doc_id", "__repeats_in")
+    starts = repeated_windows(docs, size).select(F.col("doc_id").alias("__repeats_in"), F.col("around").alias("__repeats_around"),
+                                                 F.col("starts").alias("__repeats_starts"))
     made = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             counts, removed, kept = [], [], []
-            for text, anchor, at in zip(column(batch, "text"), column(batch, "around"), column(batch, "starts")):
+            for text, anchor, at in zip(column(batch, "text"), column(batch, "__repeats_around"), column(batch, "__repeats_starts")):
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
                 if at.is_valid:
@@ -172,5 +173,6 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                                               pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    wide = docs.join(starts, F.col("doc_id").cast("long") == F.col("__repeats_in"), "left").drop("__repeats_in")
+    # what repeats grows with the texts, so the join is a shuffle at every size
+    wide = docs.hint("merge").join(starts, F.col("doc_id").cast("long") == F.col("__repeats_in"), "left").drop("__repeats_in")
     return wide.mapInArrow(cut, made)

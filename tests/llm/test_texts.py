@@ -224,6 +224,8 @@ def test_covers():
 
 
 def test_passages_edge_rows(edge_docs, no_docs):
+    kept = substrings.remove_repeats(edge_docs.withColumn("around", F.lit(1)).withColumn("starts", F.lit("mine")))
+    assert {(r["around"], r["starts"]) for r in kept.collect()} == {(1, "mine")}
     cut = substrings.remove_repeats(edge_docs)
     assert set(cut.columns) == set(edge_docs.columns) | {"n_removed", "kept"}
     rows = {r["doc_id"]: r for r in cut.collect()}
