@@ -38,13 +38,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of similar texts; repeated rows once, null ids untouched."""
     classes = stored(near.similar(docs.select("doc_id", "text")), "pipeline-classes")
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    several = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(several)
+    per_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    odd = per_id.where("class_id <> doc_id or n > 1").select(F.col("doc_id").alias("__odd_id"), (F.col("class_id") != F.col("doc_id")).alias("__gone"))
+    odd = stored(odd, "pipeline-odd")
+    # one join moves each row once; what goes grows with the documents, so it is a shuffle at every size
+    kept = docs.hint("merge").join(odd, F.col("doc_id") == F.col("__odd_id"), "left").where("__gone is null or not __gone")
+    if odd.where("not __gone").isEmpty():
+        return kept.select(docs.columns)
+    kept = stored(kept, "pipeline-kept")
+    once = kept.where("__gone is not null").dropDuplicates(["doc_id"])
+    return kept.where("__gone is null").unionByName(once).select(docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
