@@ -140,3 +140,4 @@ CSV_MISSING = (
 BRACKET_ROWS = 200_000
 #: Rows up to which a counted relation may be broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20

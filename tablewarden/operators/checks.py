@@ -20,6 +20,7 @@ from tablewarden.functions import names
 from tablewarden.functions.quantiles import as_double, exact_quantiles
 from tablewarden.functions.scoring import severity
 from tablewarden.operators.profile import Tables, profile_tables, table_sizes
+from tablewarden.operators.references import Link, key_uses
 from tablewarden.runtime import (comparable_column, is_numeric, is_plain, local_frame, present, quoted, settled,
                                  side_by_side, union_all)
 from tablewarden.schemas import ISSUE, TableMeta
@@ -234,59 +235,26 @@ def future_date_issues(profile: DataFrame, meta: Meta | None = None) -> DataFram
 # Broken references
 # --------------------------------------------------------------------------------------
 
-def aligned(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> tuple[Column, Column]:
-    """Both key columns in one comparable type: as they are, or as text when kinds differ."""
-    a, b = present(left, left_col), present(right, right_col)
-    if left.schema[left_col].dataType != right.schema[right_col].dataType and \
-            not (is_numeric(left, left_col) and is_numeric(right, right_col)):
-        return a.cast("string"), b.cast("string")
-    return a, b
+def reference_links(tables: Tables, sizes: Mapping[str, int], meta: Meta) -> list[tuple[Link, int, int]]:
+    """Foreign keys that can be checked, with the places of their table and of the key in it."""
+    return [(Link(t, fk, dim, pk), pos, i)
+            for pos, (t, df) in enumerate(tables.items()) if meta[t].is_fact and sizes.get(t)
+            for i, (fk, (dim, pk)) in enumerate(meta[t].foreign_keys.items())
+            if dim in tables and sizes.get(dim) and pk in tables[dim].columns and fk in df.columns]
 
 
-def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str, dim_rows: int | None = None,
-                  broadcast_rows: int = config.BROADCAST_ROWS) -> DataFrame:
-    """Rows ``(key, n)``: foreign-key values without a dimension row.
-
-    A dimension of a counted, bounded size is broadcast and the fact is filtered where it
-    lies; only orphans are grouped.  For a larger one both sides are grouped by key in a
-    single shuffle: the fact sends one row per key and task, so a key that a third of all
-    rows share never gathers anywhere, and no join is needed at all.
-    """
-    left, right = aligned(df, fk, dim, pk)
-    used = df.select(left.alias("key")).where(F.col("key").isNotNull())
-    known = dim.select(right.alias("key")).where(F.col("key").isNotNull())
-    if dim_rows is None:
-        dim_rows = known.limit(broadcast_rows + 1).count()
-    if dim_rows <= broadcast_rows:
-        return (used.join(F.broadcast(known), "key", "left_anti")
-                .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    both = (used.withColumn("n", F.lit(1)).withColumn("known", F.lit(False))
-            .unionByName(known.withColumn("n", F.lit(0)).withColumn("known", F.lit(True))))
-    return (both.groupBy("key").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known"))
-            .where(~F.col("known")).select("key", "n"))
-
-
-def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta,
-                     broadcast_rows: int = config.BROADCAST_ROWS) -> DataFrame:
-    """Rows per foreign key: ``n_orphans`` and the dimension it points at."""
+def reference_breaks(tables: Tables, profile: DataFrame, meta: Meta) -> DataFrame:
+    """Rows per foreign key: ``n_orphans`` and the dimension it points at.  Every table is read once for all its keys."""
     sizes = table_sizes(profile)
-    parts = []
-    for pos, (t, df) in enumerate(tables.items()):
-        if not meta[t].is_fact or not sizes.get(t):
-            continue
-        for i, (fk, (dim, pk)) in enumerate(meta[t].foreign_keys.items()):
-            if dim not in tables or not sizes.get(dim) or pk not in tables[dim].columns or fk not in df.columns:
-                continue
-            parts.append(orphan_counts(df, fk, tables[dim], pk, sizes[dim], broadcast_rows)
-                         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"))
-                         .select(F.lit(t).alias("table"), F.lit(pos).alias("table_pos"),
-                                 F.lit(fk).alias("column"), F.lit(i).alias("col_pos"),
-                                 F.lit(sizes[t]).cast("long").alias("n_rows"), "n_orphans",
-                                 F.lit(dim).alias("dim_table"), F.lit(pk).alias("dim_pk")))
-    if not parts:
-        return local_frame(profile.sparkSession, [], "table string, table_pos int, column string, col_pos int, n_rows long, "
-                "n_orphans long, dim_table string, dim_pk string")
-    return union_all(parts)
+    links = reference_links(tables, sizes, meta)
+    catalog = local_frame(
+        profile.sparkSession, [(k, x.table, pos, x.fk, i, sizes[x.table], x.dim, x.pk) for k, (x, pos, i) in enumerate(links)],
+        "link int, table string, table_pos int, column string, col_pos int, n_rows long, dim_table string, dim_pk string")
+    shape = [F.col(c) for c in ("table", "table_pos", "column", "col_pos", "n_rows", "n_orphans", "dim_table", "dim_pk")]
+    if not links:
+        return catalog.withColumn("n_orphans", F.lit(0).cast("long")).select(*shape)
+    broken = key_uses(tables, [x for x, _, _ in links]).where("NOT known").groupBy("link").agg(F.sum("rows").alias("n"))
+    return (catalog.join(broken, "link", "left").withColumn("n_orphans", F.coalesce("n", F.lit(0)).cast("long")).select(*shape))
 
 
 def reference_issues(tables: Tables, profile: DataFrame, meta: Meta, sensitivity: str = "normal") -> DataFrame:

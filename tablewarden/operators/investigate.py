@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tablewarden import config
 from tablewarden.functions.dates import after_cutoff
 from tablewarden.functions.quantiles import as_double, exact_quantiles
-from tablewarden.operators.checks import (Fence, aligned, beyond, excess_copies, orphan_counts,
-                                          quartile_fences, repeated_groups)
-from tablewarden.runtime import comparable_column, present, quoted, settled, small_or_shuffled
+from tablewarden.operators.checks import (Fence, beyond, excess_copies, quartile_fences, repeated_groups)
+from tablewarden.operators.references import HOT_ROWS, marked, orphan_counts
+from tablewarden.runtime import comparable_column, present, quoted
 
 TOP = 20
 
@@ -94,18 +94,11 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def orphan_rows(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
-    """Whole fact rows whose key has no dimension row.
-
-    The orphan key values are found first on counted keys.  When few, they are broadcast and
-    the fact is filtered where it lies; otherwise the join shuffles (adaptive execution splits
-    a hot key).
-    """
-    keys = settled(orphan_counts(df, fk, dim, pk).select("key"))
-    left, _ = aligned(df, fk, dim, pk)
-    return (df.withColumn("_key", left)
-            .join(small_or_shuffled(keys.withColumnRenamed("key", "_key")), "_key", "left_semi")
-            .select(*[quoted(c) for c in df.columns]))
+def orphan_rows(df: DataFrame, fk: str, dim: DataFrame, pk: str, broadcast_rows: int = config.BROADCAST_ROWS,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Whole fact rows whose key has no dimension row.  Rows without a key, and those of very frequent keys, are not shuffled."""
+    rows, orphan = marked(df, fk, dim, pk, broadcast_rows, hot_rows)
+    return rows.where(F.col(orphan)).drop(orphan)
 
 
 def sigma_rows(df: DataFrame, column: str, sigmas: float = 3.0) -> DataFrame:

@@ -9,48 +9,19 @@ from pyspark.sql import types as T
 from tablewarden import config
 from tablewarden.functions.dates import after_cutoff, parsed_sql
 from tablewarden.functions.quantiles import as_double
-from tablewarden.operators.checks import aligned, beyond, orphan_counts, quartile_fences
-from tablewarden.runtime import comparable_column, is_integer, is_plain, present, quoted, settled
+from tablewarden.operators.checks import beyond, quartile_fences
+from tablewarden.operators.references import HOT_ROWS, marked, orphan_counts
+from tablewarden.runtime import comparable_column, is_integer, is_plain, present, quoted
 
 REPAIR_MULTIPLIER = config.IQR_MULTIPLIER["high"]
-#: Parts of one key in a shuffled repair.
-SALTS = 16
 OPEN_END_DATE, OPEN_END_LIMIT = "9999-12-31", "9999-01-01"
 
 
-def _orphan_keys(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
-    return settled(orphan_counts(df, fk, dim, pk).select(F.col("key").alias("_key")))
-
-
-def _keyed(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
-    return df.withColumn("_key", aligned(df, fk, dim, pk)[0])
-
-
-def _marked(df: DataFrame, fk: str, dim: DataFrame, pk: str, broadcast_rows: int) -> DataFrame:
-    """``df`` with ``_orphan``, true where the key is unknown.
-
-    Few orphan keys are broadcast.  Otherwise rows without a key stay out of the shuffle, which would gather them in
-    one task, and a key with very many rows is spread over the salts: each orphan key meets each of them.
-    """
-    orphans = _orphan_keys(df, fk, dim, pk)
-    keyed = _keyed(df, fk, dim, pk)
-    if orphans.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = keyed.join(F.broadcast(orphans.withColumn("_orphan", F.lit(True))), "_key", "left")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        known_to_miss = orphans.withColumn("_orphan", F.lit(True)).withColumn("_salt", salts)
-        # a hash of the row, not a random number: a task that runs again must deal its rows out alike
-        row = [F.col(quoted(c)) for c in df.columns if is_plain(df.schema[c].dataType)]
-        salted = keyed.where("_key IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int"))
-        joined = (salted.join(known_to_miss, ["_key", "_salt"], "left").drop("_salt")
-                  .unionByName(keyed.where("_key IS NULL").withColumn("_orphan", F.lit(None).cast("boolean"))))
-    return joined.withColumn("_orphan", F.coalesce("_orphan", F.lit(False))).drop("_key")
-
-
-def drop_orphans(df: DataFrame, fk: str, dim: DataFrame, pk: str,
-                 broadcast_rows: int = config.BROADCAST_ROWS) -> DataFrame:
+def drop_orphans(df: DataFrame, fk: str, dim: DataFrame, pk: str, broadcast_rows: int = config.BROADCAST_ROWS,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fact rows with a known key; rows without any key are kept."""
-    return _marked(df, fk, dim, pk, broadcast_rows).where("NOT _orphan").select(*map(quoted, df.columns))
+    rows, orphan = marked(df, fk, dim, pk, broadcast_rows, hot_rows)
+    return rows.where(~F.col(orphan)).drop(orphan)
 
 
 def add_placeholder_dimension(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:
@@ -60,11 +31,12 @@ def add_placeholder_dimension(df: DataFrame, fk: str, dim: DataFrame, pk: str) -
     return dim.unionByName(missing, allowMissingColumns=True)
 
 
-def null_orphans(df: DataFrame, fk: str, dim: DataFrame, pk: str,
-                 broadcast_rows: int = config.BROADCAST_ROWS) -> DataFrame:
+def null_orphans(df: DataFrame, fk: str, dim: DataFrame, pk: str, broadcast_rows: int = config.BROADCAST_ROWS,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Unknown keys become missing; all rows stay."""
-    fixed = F.when(~F.col("_orphan"), F.col(quoted(fk))).alias(fk)
-    return _marked(df, fk, dim, pk, broadcast_rows).select(*[fixed if c == fk else F.col(quoted(c)) for c in df.columns])
+    rows, orphan = marked(df, fk, dim, pk, broadcast_rows, hot_rows)
+    fixed = F.when(~F.col(orphan), F.col(quoted(fk))).alias(fk)
+    return rows.select(*[fixed if c == fk else F.col(quoted(c)) for c in df.columns])
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tablewarden.functions.dates import parsed_sql
 from tablewarden.functions.quantiles import exact_quantiles
 from tablewarden.functions.scoring import confidence
 from tablewarden.operators.profile import Tables
-from tablewarden.runtime import FLOAT_TYPES, is_integer, is_numeric, local_frame, quoted, text_sql
+from tablewarden.runtime import FLOAT_TYPES, NUMERIC_TYPES, is_integer, local_frame, quoted, text_sql
 
 log = logging.getLogger(__name__)
 #: A re-count is (issue id, count) or a fixed confidence.
@@ -33,52 +33,34 @@ def _missing(df: DataFrame, c: str) -> str:
     return f"{column} IS NULL"
 
 
-def null_sql(view: str, df: DataFrame, issues: list) -> str:
-    counts = ", ".join(f"count(CASE WHEN {_missing(df, i['columns'][0])} THEN 1 END) AS n{k}"
-                       for k, i in enumerate(issues))
-    return _unpivoted(f"SELECT {counts} FROM {view}", issues)
+def null_counts(df: DataFrame, issues: list) -> list[str]:
+    return [f"count(CASE WHEN {_missing(df, i['columns'][0])} THEN 1 END)" for i in issues]
 
 
-def duplicate_sql(view: str, df: DataFrame, issues: list) -> str:
-    keys = ", ".join(quoted(c) for c in issues[0]["columns"])
-    return (f"SELECT {text_sql(issues[0]['issue_id'])} AS issue_id, "
-            f"greatest(count(1) - count(DISTINCT {keys}), 0) AS sql_count FROM {view}")
-
-
-def outlier_sql(view: str, df: DataFrame, issues: list, multiplier: float,
-                bracket_rows: int = config.BRACKET_ROWS) -> str:
+def outlier_counts(df: DataFrame, issues: list, multiplier: float, bracket_rows: int = config.BRACKET_ROWS) -> list[str]:
     """Fences from quartiles as literals, and their proof in the same statement.
 
     ``percentile_cont`` would hold a column in one reducer.  The statement instead counts the rows on both sides of each
     quartile, so a wrong one shows up as a null count.
     """
-    names = sorted({i["columns"][0] for i in issues})
-    found = exact_quantiles(df, {c: (0.25, 0.75) for c in names}, bracket_rows=bracket_rows)
-    literals = ", ".join(f"CAST({found[c][p]!r} AS DOUBLE) AS {q}_{k}"
-                         for k, c in enumerate(names) for p, q in ((0.25, "q1"), (0.75, "q3")))
-    source, certified = f"{view} CROSS JOIN (SELECT {literals}) stats", []          # one row
-    for k, c in enumerate(names):
+    found = exact_quantiles(df, {c: (0.25, 0.75) for c in sorted({i["columns"][0] for i in issues})}, bracket_rows=bracket_rows)
+    counts = []
+    for c in (i["columns"][0] for i in issues):
+        q1, q3 = (f"CAST({found[c][p]!r} AS DOUBLE)" for p in (0.25, 0.75))
         x, live = f"CAST({quoted(c)} AS DOUBLE)", f"NOT {_missing(df, c)}"
         n = f"count(CASE WHEN {live} THEN 1 END)"
-        rank = lambda op, q: f"count(CASE WHEN {live} AND {x} {op} {q}_{k} THEN 1 END)"
+        rank = lambda op, q: f"count(CASE WHEN {live} AND {x} {op} {q} THEN 1 END)"        # noqa: E731
         # position (n-1)p is interpolated between two ranks; both sides must hold it
-        certified.append(" AND ".join(
-            f"{rank('<', q)} <= ({n} - 1) * {p} + 1 AND {rank('<=', q)} >= floor(({n} - 1) * {p}) + 1"
-            for p, q in ((0.25, "q1"), (0.75, "q3"))))
-    counts = []
-    for j, i in enumerate(issues):
-        k, c = names.index(i["columns"][0]), i["columns"][0]
-        x = f"CAST({quoted(c)} AS DOUBLE)"
-        outside = (f"NOT {_missing(df, c)} AND ({x} < q1_{k} - {multiplier} * (q3_{k} - q1_{k}) "
-                   f"OR {x} > q3_{k} + {multiplier} * (q3_{k} - q1_{k}))")
-        counts.append(f"CASE WHEN {certified[k]} THEN count(CASE WHEN {outside} THEN 1 END) END AS n{j}")
-    return _unpivoted(f"SELECT {', '.join(counts)} FROM {source}", issues)
+        certified = " AND ".join(f"{rank('<', q)} <= ({n} - 1) * {p} + 1 AND {rank('<=', q)} >= floor(({n} - 1) * {p}) + 1"
+                                 for p, q in ((0.25, q1), (0.75, q3)))
+        outside = f"{live} AND ({x} < {q1} - {multiplier} * ({q3} - {q1}) OR {x} > {q3} + {multiplier} * ({q3} - {q1}))"
+        counts.append(f"CASE WHEN {certified} THEN count(CASE WHEN {outside} THEN 1 END) END")
+    return counts
 
 
-def future_sql(view: str, df: DataFrame, issues: list) -> str:
+def future_counts(df: DataFrame, issues: list) -> list[str]:
     counts = []
-    for k, i in enumerate(issues):
-        c = i["columns"][0]
+    for c in (i["columns"][0] for i in issues):
         column = quoted(c)
         if is_integer(df, c):
             hit = f"{column} > {config.FUTURE_CUTOFF_INT}"
@@ -86,25 +68,73 @@ def future_sql(view: str, df: DataFrame, issues: list) -> str:
             hit = f"CAST({parsed_sql(column)} AS DATE) > DATE '{config.FUTURE_CUTOFF_DATE}'"
         else:
             hit = f"TRY_CAST({column} AS DATE) > DATE '{config.FUTURE_CUTOFF_DATE}'"
-        counts.append(f"count(CASE WHEN {hit} THEN 1 END) AS n{k}")
-    return _unpivoted(f"SELECT {', '.join(counts)} FROM {view}", issues)
+        counts.append(f"count(CASE WHEN {hit} THEN 1 END)")
+    return counts
+
 
+def counting_sql(view: str, df: DataFrame, issues: list, multiplier: float, bracket_rows: int) -> str:
+    """Missing values, outliers and future dates of one table as filtered counts of one scan."""
+    by_type = {"missing_values": null_counts, "invalid_future_dates": future_counts,
+               "numeric_outliers": lambda d, i: outlier_counts(d, i, multiplier, bracket_rows)}
+    named = []
+    for kind, build in by_type.items():
+        mine = [i for i in issues if i["issue_type"] == kind]
+        named += zip(mine, build(df, mine)) if mine else []
+    counts = ", ".join(f"{expression} AS n{k}" for k, (_, expression) in enumerate(named))
+    pairs = ", ".join(f"named_struct('issue_id', {text_sql(i['issue_id'])}, 'sql_count', n{k})" for k, (i, _) in enumerate(named))
+    return f"SELECT inline(array({pairs})) FROM (SELECT {counts} FROM {view}) counted"
 
-def reference_sql(view: str, df: DataFrame, issue, dim_view: str, dim: DataFrame) -> str:
-    """LEFT JOIN ... IS NULL over the used key values (grouped first, so no key is hot)."""
-    fk, pk = issue["columns"][0], issue["dim_pk"]
-    cast = "" if is_numeric(df, fk) == is_numeric(dim, pk) else "STRING"
-    side = lambda alias, c: f"CAST({alias}.{quoted(c)} AS STRING)" if cast else f"{alias}.{quoted(c)}"
-    return (f"SELECT {text_sql(issue['issue_id'])} AS issue_id, "
-            f"coalesce(sum(CASE WHEN d.k IS NULL THEN f.n END), 0) AS sql_count "
-            f"FROM (SELECT {side('t', fk)} AS k, count(1) AS n FROM {view} t WHERE NOT {_missing(df, fk)} GROUP BY 1) f "
-            f"LEFT JOIN (SELECT DISTINCT {side('t', pk)} AS k FROM {dim_view} t) d ON f.k = d.k")
 
+def _key_text(df: DataFrame, c: str, other: DataFrame, other_c: str) -> str:
+    """A key as text that is equal for equal keys of both columns, and null for a missing one.
 
-def _unpivoted(one_row: str, issues: list) -> str:
-    pairs = ", ".join(f"named_struct('issue_id', {text_sql(i['issue_id'])}, 'sql_count', n{k})"
-                      for k, i in enumerate(issues))
-    return f"SELECT inline(array({pairs})) FROM ({one_row}) counted"
+    A double meets whole numbers and decimals by its exact value, never the other way round.
+    """
+    kind, against = df.schema[c].dataType, other.schema[other_c].dataType
+    x = f"CASE WHEN NOT {_missing(df, c)} THEN {quoted(c)} END"
+    as_text = f"CAST({x} AS STRING)"
+    if not (isinstance(kind, NUMERIC_TYPES) and isinstance(against, NUMERIC_TYPES)):
+        return f"CAST(unix_micros({x}) AS STRING)" if kind == against == T.TimestampType() else as_text
+    scale = max(k.scale if isinstance(k, T.DecimalType) else 0 for k in (kind, against))
+    exact = f"DECIMAL(38,{scale})"
+    if not isinstance(kind, FLOAT_TYPES):
+        return f"coalesce(CAST(TRY_CAST({x} AS {exact}) AS STRING), {as_text})"
+    x = f"CAST({x} AS DOUBLE)"
+    if isinstance(against, FLOAT_TYPES):
+        return f"CAST({x} + CAST(0 AS DOUBLE) AS STRING)"
+    near = f"TRY_CAST({x} AS {exact})"
+    held = f"CASE WHEN CAST({near} AS DOUBLE) = {x} THEN CAST({near} AS STRING) ELSE concat('~', {x}) END"
+    if scale:
+        return held
+    return f"CASE WHEN {x} % 1 = 0 AND abs({x}) < 9223372036854775808D THEN CAST(TRY_CAST({x} AS BIGINT) AS STRING) ELSE {held} END"
+
+
+def keys_sql(view: str, df: DataFrame, issues: list, tables: Tables, views: Mapping[str, str]) -> str:
+    """Copies of keys and broken references of one table, from one scan that groups all their keys together.
+
+    A reference is LEFT JOIN ... IS NULL over its used values, which are counted first, so no key is hot.  Copies are the rows beyond
+    one for each different key; rows with a missing key part are copies of nothing.
+    """
+    items, known = [], []
+    for k, i in enumerate(issues):
+        if i["issue_type"] == "duplicate_rows":
+            whole = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in i["columns"])
+            fields = ", ".join(f"'k{n}', {quoted(c)}" for n, c in enumerate(i["columns"]))
+            key = f"CASE WHEN {whole} THEN to_json(named_struct({fields})) END"
+        else:
+            fk, pk, dim = i["columns"][0], i["dim_pk"], tables[i["dim_table"]]
+            key = _key_text(df, fk, dim, pk)
+            known.append(f"SELECT {k} AS place, {_key_text(dim, pk, df, fk)} AS held FROM {views[i['dim_table']]}")
+        items.append(f"named_struct('place', {k}, 'used', {key})")
+    used = f"SELECT place, used, count(1) AS n FROM (SELECT inline(array({', '.join(items)})) FROM {view}) t GROUP BY place, used"
+    held = f"SELECT DISTINCT place, held FROM ({' UNION ALL '.join(known)}) h" if known else "SELECT -1 AS place, '' AS held"
+    cases = " ".join(
+        f"WHEN {k} THEN " + ("greatest(coalesce(sum(u.n), 0) - count(u.used), 0)" if i["issue_type"] == "duplicate_rows" else
+                             "coalesce(sum(CASE WHEN u.used IS NOT NULL AND d.held IS NULL THEN u.n END), 0)")
+        for k, i in enumerate(issues))
+    ids = ", ".join(f"named_struct('issue_id', {text_sql(i['issue_id'])}, 'place', {k})" for k, i in enumerate(issues))
+    return (f"SELECT any_value(i.issue_id) AS issue_id, CASE i.place {cases} END AS sql_count FROM (SELECT inline(array({ids}))) i "
+            f"LEFT JOIN ({used}) u ON u.place = i.place LEFT JOIN ({held}) d ON d.place = u.place AND d.held = u.used GROUP BY i.place")
 
 
 def _fixed(issue, tables: Tables) -> float | None:
@@ -126,26 +156,22 @@ def _fixed(issue, tables: Tables) -> float | None:
     return config.FALLBACK_CONFIDENCE
 
 
-def _statements(tables: Tables, views: Mapping[str, str], open_issues: list, sensitivity: str,
-                bracket_rows: int) -> list[tuple[list, callable]]:
-    """One statement per (table, type); references and keys get one each."""
+KEYED = ("duplicate_rows", "referential_integrity_break")
+
+
+def _statements(tables: Tables, views: Mapping[str, str], open_issues: list, sensitivity: str, bracket_rows: int,
+                alone: bool = False) -> list[tuple[list, callable]]:
+    """A statement that counts and one that groups keys for each table; ``alone``: one for each (table, type), and each key."""
     groups: dict[tuple, list] = {}
     for i in open_issues:
-        single = i["issue_type"] in ("referential_integrity_break", "duplicate_rows")
-        groups.setdefault((i["table"], i["issue_type"], i["issue_id"] if single else ""), []).append(i)
+        keyed = i["issue_type"] in KEYED
+        groups.setdefault((i["table"], keyed, (i["issue_type"], keyed and i["issue_id"]) if alone else None), []).append(i)
     multiplier = config.IQR_MULTIPLIER[sensitivity]
     out = []
-    for (t, kind, _), issues in groups.items():
+    for (t, keyed, _), issues in groups.items():
         view, df = views[t], tables[t]
-        build = {
-            "missing_values": lambda v=view, d=df, i=issues: null_sql(v, d, i),
-            "duplicate_rows": lambda v=view, d=df, i=issues: duplicate_sql(v, d, i),
-            "invalid_future_dates": lambda v=view, d=df, i=issues: future_sql(v, d, i),
-            "numeric_outliers": lambda v=view, d=df, i=issues: outlier_sql(v, d, i, multiplier, bracket_rows),
-            "referential_integrity_break": lambda v=view, d=df, i=issues: reference_sql(
-                v, d, i[0], views[i[0]["dim_table"]], tables[i[0]["dim_table"]]),
-        }[kind]
-        out.append((issues, build))
+        out.append((issues, (lambda v=view, d=df, i=issues: keys_sql(v, d, i, tables, views)) if keyed else
+                    (lambda v=view, d=df, i=issues: counting_sql(v, d, i, multiplier, bracket_rows))))
     return out
 
 
@@ -153,8 +179,8 @@ def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal"
                   bracket_rows: int = config.BRACKET_ROWS) -> DataFrame:
     """Issues with ``sql_count``, ``pd_count`` (the check's count) and ``confidence``.
 
-    Statements of all groups run as one job.  If that fails each group runs alone, and only
-    the failing ones fall back to confidence 0.50 with the check's own count.
+    Each table is scanned once for counts and once for keys, all as one job.  If that fails each issue type of a
+    table runs alone, and only the failing ones fall back to confidence 0.50 with the check's own count.
     """
     spark = issues.sparkSession
     found = issues.collect()                                  # a row per issue
@@ -177,7 +203,7 @@ def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal"
         except Exception as error:        # noqa: BLE001 - find the failing group
             log.warning("joint re-count failed, running groups alone: %s", error)
             counted = []
-            for group, build in statements:
+            for group, build in _statements(tables, views, open_issues, sensitivity, bracket_rows, alone=True):
                 try:
                     counted += [(r["issue_id"], r["sql_count"], None) for r in spark.sql(build()).collect()]
                 except Exception as single:   # noqa: BLE001

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from tablewarden import config
 from tablewarden.functions import names
 from tablewarden.functions.dates import after_cutoff
 from tablewarden.functions.scoring import direction, kolmogorov_p, psi_severity
-from tablewarden.operators import checks, drift, investigate, metadata, snapshot, verify
+from tablewarden.operators import checks, drift, investigate, metadata, references, snapshot, verify
 from tablewarden.operators.profile import distinct_counts, profile_plan, profile_tables, table_sizes
 from tablewarden.plans import datasets, oracle_views as o
 from tablewarden.plans.registry import DIRTY_META, dirty_issues, dirty_ranked, query, subset
 from tablewarden.runtime import checkpoint_dir, local_copy, union_all
+from tablewarden.schemas import TableMeta
 from tablewarden.sources import stores, tables as files
 
 
@@ -385,9 +387,50 @@ def fk_orphans(spark, sf):
 
 @query("fk_orphans_grouped", f"""{o.VIEWS} SELECT tbl AS "table", col AS "column", n AS n_rows, hits AS n_orphans, dim_table, dim_pk FROM ({o.orphan_source()})""")
 def fk_orphans_grouped(spark, sf):
-    """The way large dimensions go: no broadcast, both sides grouped by key."""
+    """Key by key, each link in a grouping of its own."""
     tables = datasets.dirty(spark, sf)
-    return (checks.reference_breaks(tables, profile_tables(tables, DIRTY_META), DIRTY_META, broadcast_rows=0)
+    sizes = table_sizes(profile_tables(tables, DIRTY_META))
+    return union_all(references.orphan_counts(tables[x.table], x.fk, tables[x.dim], x.pk).agg(
+        F.lit(x.table).alias("table"), F.lit(x.fk).alias("column"), F.lit(sizes[x.table]).alias("n_rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"), F.lit(x.dim).alias("dim_table"), F.lit(x.pk).alias("dim_pk"))
+        for x, _, _ in checks.reference_links(tables, sizes, DIRTY_META))
+
+
+#: Keys of orders and customers as other number types, some beyond what a double tells apart, some with fractions.
+_MIXED = {
+    "big_double": ("CAST({c} + 9007199254740992 AS BIGINT)", "CAST({c} + 9007199254740992 AS DOUBLE)"),
+    "double_big": ("CAST({c} AS DOUBLE) + CASE WHEN {c} % 7 = 0 THEN 0.5 ELSE 0 END", "CAST({c} AS BIGINT)"),
+    "big_decimal": ("CAST({c} AS BIGINT)", "CAST({c} AS DECIMAL(20,2)) + CAST(CASE WHEN {c} % 5 = 0 THEN 0.25 ELSE 0 END AS DECIMAL(20,2))"),
+    "decimal_double": ("CAST({c} * 0.25 AS DECIMAL(18,2))", "CAST({c} AS DOUBLE) * 0.25"),
+    "double_double": ("CAST({c} AS DOUBLE) / 8", "CAST({c} AS FLOAT) / 8"),
+}
+#: What DuckDB compares: all keys as exact decimals, fractions of a double with two places more than any decimal here.
+_EXACT = "CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS HUGEINT) AS DECIMAL(38,6)) ELSE CAST({x} AS DECIMAL(38,6)) END"
+
+
+def _mixed_sql(name: str, fact: str, dim: str) -> str:
+    exact = lambda side, sql: (_EXACT if "DOUBLE" in sql or "FLOAT" in sql else "CAST({x} AS DECIMAL(38,6))").format(x=side)        # noqa: E731
+    f, d = fact.format(c="o_custkey"), dim.format(c="c_custkey")
+    return f"""SELECT 'fact_{name}' AS "table", 'k' AS "column", (SELECT count(*) FROM orders) AS n_rows, count(*) AS n_orphans,
+    'dim_{name}' AS dim_table, 'k' AS dim_pk FROM (SELECT {f} AS k FROM orders) f
+    WHERE k IS NOT NULL AND {exact('f.k', fact)} NOT IN (SELECT {exact('d.k', dim)} FROM (SELECT {d} AS k FROM customer WHERE c_custkey % 3 <> 0) d)"""
+
+
+@query("fk_orphans_mixed", " UNION ALL ".join(_mixed_sql(n, *sides) for n, sides in _MIXED.items()))
+def fk_orphans_mixed(spark, sf):
+    """Keys of different number types are compared exactly, in the check and in the re-count."""
+    orders, customers = datasets.read(spark, sf, "orders"), datasets.read(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    tables, meta = {}, {}
+    for name, (fact, dim) in _MIXED.items():
+        tables[f"fact_{name}"] = orders.selectExpr(f"{fact.format(c='o_custkey')} AS k")
+        tables[f"dim_{name}"] = customers.selectExpr(f"{dim.format(c='c_custkey')} AS k")
+        meta[f"fact_{name}"] = TableMeta("fact", "x", (), {"k": (f"dim_{name}", "k")}, (), (), ())
+        meta[f"dim_{name}"] = TableMeta("dimension", name, ("k",), {}, (), (), ())
+    profile = profile_tables(tables, meta)
+    found = checks.reference_breaks(tables, profile, meta)
+    again = verify.verify_issues(tables, checks.reference_issues(tables, profile, meta)).select(F.col("table").alias("t"), "sql_count")
+    return (found.join(again, found["table"] == again["t"], "left")
+            .withColumn("n_orphans", F.when(F.col("n_orphans") == F.coalesce("sql_count", F.lit(0)), F.col("n_orphans")))
             .select("table", "column", "n_rows", "n_orphans", "dim_table", "dim_pk"))
 
 
@@ -420,6 +463,23 @@ def verify_counts(spark, sf):
             .withColumn("columns", F.array_join("columns", ",")).drop("description", "dim_table", "dim_pk"))
 
 
+@query("verify_key_copies", f"""{o.VIEWS} SELECT 'fact_orders' AS "table", 'order_id' AS "columns", count(*) - count(DISTINCT order_id) AS evidence_rows,
+  count(*) - count(DISTINCT order_id) AS sql_count, 1.0 AS confidence FROM d_fact_orders
+UNION ALL SELECT 'fact_lineitems', 'order_id,line_number', count(*) - count(DISTINCT (order_id, line_number)), count(*) - count(DISTINCT (order_id, line_number)), 1.0
+FROM (SELECT * FROM d_fact_lineitems UNION ALL SELECT * FROM d_fact_lineitems WHERE order_id % 5 = 0)""")
+def verify_key_copies(spark, sf):
+    """Copies of a key and of a key of two columns, counted by the check and again beside the references of their tables."""
+    tables = datasets.dirty(spark, sf)
+    lines = tables["fact_lineitems"]
+    tables["fact_lineitems"] = lines.unionByName(lines.where("order_id % 5 = 0"))
+    keys = {"fact_orders": ("order_id",), "fact_lineitems": ("order_id", "line_number")}
+    meta = {t: replace(m, primary_keys=keys.get(t, m.primary_keys)) for t, m in DIRTY_META.items()}
+    profile = profile_tables(tables, meta)
+    issues = checks.duplicate_issues(tables, profile, meta, "high").unionByName(checks.reference_issues(tables, profile, meta))
+    found = verify.verify_issues(tables, issues, "high").where("issue_type = 'duplicate_rows'")
+    return found.select("table", F.array_join("columns", ",").alias("columns"), "evidence_rows", "sql_count", "confidence")
+
+
 @query("verify_bracketed", f"{o.issues('high')} {_VERIFIED_SQL} SELECT {o.COMMON}, evidence_rows AS sql_count, evidence_rows AS pd_count, confidence FROM verified")
 def verify_bracketed(spark, sf):
     tables, _, issues = dirty_issues(spark, sf)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.operators import checks, repair, snapshot, textqa
+from tablewarden.operators import checks, investigate, references, repair, snapshot, textqa, verify
 from tablewarden.operators.profile import profile_plan
 
 
@@ -21,23 +21,73 @@ def hot(make):
     return make("fk long", rows), make("pk long, name string", [(i, "n") for i in range(45)] + [(None, "x")])
 
 
-def test_orphans_agree_on_both_paths(hot):
+def test_orphans_of_a_hot_key(hot):
     fact, dim = hot
-    small = sorted(map(tuple, checks.orphan_counts(fact, "fk", dim, "pk").collect()))
-    large = sorted(map(tuple, checks.orphan_counts(fact, "fk", dim, "pk", dim_rows=10**9).collect()))
-    assert small == large and dict(small)[99] == 300 and dict(small)[45] == 14
-    text = plan(checks.orphan_counts(fact, "fk", dim, "pk", dim_rows=10**9))
+    found = dict(map(tuple, references.orphan_counts(fact, "fk", dim, "pk").collect()))
+    assert found[99] == 300 and found[45] == 14 and set(found) == {45, 46, 47, 48, 49, 99}
+    text = plan(references.orphan_counts(fact, "fk", dim, "pk"))
     assert "Join" not in text and "partial_sum" in text
 
 
-def test_repairs_agree_when_orphans_are_many(hot, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [10, 200, 10**9])
+def test_repairs_agree_when_orphans_are_many(hot, hot_rows):
     fact, dim = hot
-    first = [f(fact, "fk", dim, "pk").groupBy("fk").count() for f in (repair.drop_orphans, repair.null_orphans)]
-    expected = [sorted(map(tuple, df.collect()), key=str) for df in first]
-    monkeypatch.setattr(checks.config, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(repair, "small_or_shuffled", lambda df: df)
-    again = [f(fact, "fk", dim, "pk").groupBy("fk").count() for f in (repair.drop_orphans, repair.null_orphans)]
-    assert expected == [sorted(map(tuple, df.collect()), key=str) for df in again]
+    fact = fact.withColumns({c: F.lit(c) for c in ("key_n", "KEY_S", "orphan", "_key", "rows", "n", "sure")})
+    for f in (repair.drop_orphans, repair.null_orphans, investigate.orphan_rows):
+        few, many = f(fact, "fk", dim, "pk"), f(fact, "fk", dim, "pk", broadcast_rows=0, hot_rows=hot_rows)
+        assert few.columns == many.columns == fact.columns
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert repair.drop_orphans(fact, "fk", dim, "pk", 0, hot_rows).groupBy("fk").count().where("fk = 7 or fk is null").count() == 2
+    assert repair.null_orphans(fact, "fk", dim, "pk", 0, hot_rows).where("fk is null").count() == 20 + 300 + 14 * 5
+
+
+def test_hot_and_missing_keys_are_not_shuffled(hot):
+    fact, dim = hot
+    rows, _ = references.marked(fact, "fk", dim, "pk", broadcast_rows=0, hot_rows=200)
+    seen = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert seen.count("BroadcastExchange") >= 1 and "SortMergeJoin" in seen
+    shuffled = seen.split("SortMergeJoin", 1)[1]
+    assert "isnull(sure" in shuffled and ("isnotnull(fk" in shuffled or "isnotnull(key_n" in shuffled)
+
+
+def test_one_scan_a_table_for_all_keys(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    tables = {"f": lines, "p": spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "s": spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")}
+    links = [references.Link("f", "l_partkey", "p", "p_partkey"), references.Link("f", "l_suppkey", "s", "s_suppkey"), references.Link("f", "l_orderkey", "p", "p_partkey")]
+    uses = references.key_uses(tables, links)
+    text = plan(uses).split("== Physical Plan ==")[1]
+    assert text.count("FileScan") == 3 and "Join" not in text and "partial_sum" in text and "l_extendedprice" not in text
+    total = {r["link"]: (r["rows"], r["n"]) for r in uses.groupBy("link").agg(F.sum("rows").alias("rows"), F.count_if(F.col("rows") > 0).alias("n")).collect()}
+    assert {k: v[0] for k, v in total.items()} == {0: lines.count(), 1: lines.count(), 2: lines.count()}
+
+
+@pytest.mark.parametrize("left,right,pairs", [
+    ("bigint", "double", [(9007199254740993, 9007199254740992.0, False), (9007199254740992, 9007199254740992.0, True), (-5, -5.0, True),
+                          (0, -0.0, True), (4611686018427387904, 4.611686018427387904e18, True), (9223372036854775807, 9.223372036854775808e18, False),
+                          (2, 2.5, False), (3, float("inf"), False)]),
+    ("decimal(20,2)", "double", [("0.10", 0.1, True), ("0.10", 0.1000000001, False), ("5.00", 5.0, True), ("90071992547409.93", 90071992547409.92, False)]),
+    ("decimal(38,0)", "double", [("100000000000000000000", 1e20, True), ("100000000000000000001", 1e20, False)]),
+    ("decimal(20,2)", "bigint", [("7.00", 7, True), ("7.01", 7, False), ("9007199254740993.00", 9007199254740993, True)]),
+    ("decimal(38,0)", "int", [("12", 12, True), ("99999999999999999999999999999999999999", 12, False)]),
+    ("float", "double", [(0.5, 0.5, True), (0.1, 0.1, False), (-0.0, 0.0, True)]),
+    ("string", "bigint", [("12", 12, True), ("12.0", 12, False)]),
+    ("timestamp", "timestamp", [("2020-01-01 00:00:00", "2020-01-01 00:00:00", True)]),
+    ("binary", "binary", [("ab", "ab", True), ("ab", "ba", False)]), ("date", "date", [("2020-02-01", "2020-02-01", True)]),
+])
+def test_keys_of_two_types_are_compared_exactly(spark, left, right, pairs):
+    """The check and the re-count, in both directions."""
+    for a, b, same in pairs:
+        def literal(v, kind):
+            return F.lit(v if not isinstance(v, float) else float(v)).cast(kind) if not isinstance(v, int) else F.lit(str(v)).cast(kind)
+        sides = spark.range(1).select(literal(a, left).alias("a"), literal(b, right).alias("b"))
+        for one, two in (("a", "b"), ("b", "a")):
+            fact, dim = sides.select(F.col(one).alias("k")).union(sides.select(F.lit(None).cast(left if one == "a" else right))), sides.select(F.col(two).alias("k"))
+            missing = references.orphan_counts(fact, "k", dim, "k").collect()
+            assert (missing == []) == same, (left, right, a, b, one)
+            fact.createOrReplaceTempView("key_fact"), dim.createOrReplaceTempView("key_dim")
+            issue = {"issue_id": "x", "issue_type": "referential_integrity_break", "columns": ["k"], "dim_table": "d", "dim_pk": "k"}
+            text = verify.keys_sql("key_fact", fact, [issue], {"f": fact, "d": dim}, {"f": "key_fact", "d": "key_dim"})
+            assert spark.sql(text).first()["sql_count"] == (0 if same else 1), (left, right, a, b, one)
 
 
 def test_no_cross_join_and_partial_aggregates(hot, make):
