@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewarden import config
 from tablewarden.functions.quantiles import bucket_counts, exact_quantiles
 from tablewarden.operators.profile import Tables, profile_tables
-from tablewarden.runtime import is_numeric, local_frame, quoted, side_by_side, text_sql, union_all
+from tablewarden.runtime import is_numeric, local_frame, quoted, settled, side_by_side, small_or_shuffled, text_sql, union_all
 from tablewarden.schemas import SNAPSHOT
 
 
@@ -33,22 +33,68 @@ def histograms(df: DataFrame, edges: Mapping[str, list[float]]) -> dict[str, lis
     return out
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows ``(column, value, n)`` over the text form of non-missing values, in one scan."""
+#: Values a frequency sketch keeps, and its guarantee: no value of more than 2 x SKETCH_ERROR / TRACKED of the rows is missed.
+TRACKED, SKETCH_ERROR = 2048, 2.625
+
+
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows ``(column, value, h)`` of the non-missing values as text, with their 8-byte hash; one scan."""
     cells = ", ".join(f"struct({text_sql(c)} AS column, CAST({quoted(c)} AS STRING) AS value)" for c in columns)
-    return (df.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL")
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    return df.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL").withColumn("h", F.xxhash64("value"))
+
+
+def _sketched(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], list[tuple[str, int]]]:
+    """Non-missing values of each column, and the hashes of its frequent ones, from one scan with mergeable sketches."""
+    asked = []
+    for k, c in enumerate(columns):
+        x = f"CAST({quoted(c)} AS STRING)"
+        asked += [F.expr(f"count({x})").alias(f"n{k}"),
+                  F.expr(f"approx_top_k(CASE WHEN {x} IS NOT NULL THEN xxhash64({x}) END, {TRACKED}, {TRACKED})").alias(f"top{k}")]
+    row = df.agg(*asked).first()
+    found = [(c, item["item"]) for k, c in enumerate(columns) for item in row[f"top{k}"] or () if item["item"] is not None]
+    return {c: row[f"n{k}"] for k, c in enumerate(columns)}, found
+
+
+def _by_hash(df: DataFrame, columns: list[str], top: int) -> DataFrame:
+    """(column, h) of every value that can be among the first, when no sketch can tell: all values grouped by hash.
+
+    Only hashes, counts and the first seven bytes are shuffled.  Values that tie with the last one in count and in these
+    bytes all stay.
+    """
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("value", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    groups = _cells(df, columns).groupBy("column", "h").agg(F.count(F.lit(1)).alias("n"), F.min(start).alias("start"))
+    place = F.rank().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc("start")))
+    return groups.withColumn("place", place).where(F.col("place") <= top).select("column", "h")
+
+
+def _recounted(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """Exact counts, by text, of the values whose hash is wanted."""
+    chosen = _cells(df, columns).join(wanted, ["column", "h"], "left_semi")
+    return chosen.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(df: DataFrame, columns: list[str], top: int = config.SNAPSHOT_TOP_VALUES) -> DataFrame:
-    """The most frequent values per column; equal counts are ordered by value.
+    """The most frequent values per column (column, value, n, place); equal counts are ordered by value.  Exact.
 
-    The rank limit is applied inside each task before rows move, so one column with very many
-    values does not gather in one window task.
+    A sketch over hashes names the frequent values and one scan counts these by text.  That settles a column whose
+    candidates are all its values, or whose last place is more frequent than anything the sketch may have missed.
+    Other columns, such as texts that are all different, are grouped by hash.  No text leaves its task but candidates.
     """
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (value_counts(df, columns).withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= top))
+    n_values, frequent = _sketched(df, columns)
+    spark = df.sparkSession
+    wanted = local_frame(spark, frequent, "column string, h long")                 # at most TRACKED for each column
+    counted = settled(_recounted(df, columns, F.broadcast(wanted)))
+    ranked = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    sums = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    last = {r["column"]: r["n"] for r in ranked.where(F.col("place") == top).select("column", "n").collect()}
+    open_ = [c for c in columns if sums.get(c, 0) != n_values[c] and last.get(c, 0) <= 2 * SKETCH_ERROR / TRACKED * n_values[c]]
+    if not open_:
+        return ranked
+    wanted = settled(_by_hash(df, open_, top))
+    again = _recounted(df, open_, small_or_shuffled(wanted))
+    again = again.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return ranked.where(~F.col("column").isin(open_)).unionByName(again)
 
 
 def numeric_columns(df: DataFrame, rows: Mapping[str, object]) -> list[str]:
@@ -60,7 +106,7 @@ def build_snapshot(tables: Tables, tag: str = "baseline", profile: DataFrame | N
     """One row per column of every table.
 
     Three scans per table: the shared profile, the quantiles, and histogram counters; text
-    columns add one grouped scan.  The result is a row per column.
+    columns add a sketch, a count of its candidates, and a grouping by hash where that settles nothing.  The result is a row per column.
     """
     profile = profile_tables(tables) if profile is None else profile
     stats: dict[str, dict[str, object]] = {}
@@ -69,9 +115,8 @@ def build_snapshot(tables: Tables, tag: str = "baseline", profile: DataFrame | N
     fractions: dict[tuple[str, str], dict[str, float]] = {}
 
     def frequent(_) -> None:
-        tops = [top_values(df, text).withColumn("table", F.lit(t))
-                for t, df in tables.items()
-                if (text := [c for c in df.columns if c not in numeric_columns(df, stats[t])])]
+        texts = {t: cs for t, df in tables.items() if (cs := [c for c in df.columns if c not in numeric_columns(df, stats[t])])}
+        tops = side_by_side(lambda t: top_values(tables[t], texts[t]).withColumn("table", F.lit(t)), texts)
         for r in union_all(tops).orderBy("table", "column", "place").collect() if tops else ():
             s = stats[r["table"]][r["column"]]
             fractions.setdefault((r["table"], r["column"]), {})[r["value"]] = r["n"] / (s["n_rows"] - s["n_null"])

@@ -138,19 +138,26 @@ def snapshot_hist(spark, sf):
     return union_all(out)
 
 
-@query("snapshot_topk", f"""{o.VIEWS}, cells AS (SELECT 'status' AS "column", status AS value FROM fact_orders
-UNION ALL SELECT 'priority', priority FROM fact_orders
-UNION ALL SELECT 'order_date', strftime(order_date, '%Y-%m-%d %H:%M:%S') FROM fact_orders)
-SELECT "column", value, n, round(n / total, 6) AS share FROM (
-  SELECT "column", value, count(*) AS n, sum(count(*)) OVER (PARTITION BY "column") AS total,
-         row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS place FROM cells GROUP BY 1, 2)
+#: All text columns, and one of dates.
+_TEXTS = {"fact_orders": ("status", "priority", "order_date"), "fact_events": ("event_type",), "dim_customers": ("customer_name", "segment"),
+          "dim_parts": ("part_name", "brand"), "dim_suppliers": ("supplier_name",), "dim_users": ("user_name",),
+          "documents": ("text", "lang", "source"), "conversations": ("role", "text"), "pages": ("url", "html"), "benchmark": ("text",)}
+_TEXT_CELLS = " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", {"strftime(order_date, '%Y-%m-%d %H:%M:%S')" if c == "order_date" else c} AS value FROM {t}"""
+    for t, cs in _TEXTS.items() for c in cs)
+
+
+@query("snapshot_topk", f"""{o.VIEWS}, cells AS ({_TEXT_CELLS})
+SELECT "table", "column", value, n, round(n / total, 6) AS share FROM (
+  SELECT "table", "column", value, count(*) AS n, sum(count(*)) OVER (PARTITION BY "table", "column") AS total,
+         row_number() OVER (PARTITION BY "table", "column" ORDER BY count(*) DESC, value) AS place FROM cells WHERE value IS NOT NULL GROUP BY 1, 2, 3)
 WHERE place <= 50""")
 def snapshot_topk(spark, sf):
-    orders = datasets.star(spark, sf)["fact_orders"].select("status", "priority", "order_date")
-    snap = snapshot.build_snapshot({"fact_orders": orders})
+    star = datasets.star(spark, sf)
+    tables = {t: (star[t] if t in star else datasets.read(spark, sf, t)).select(*cs) for t, cs in _TEXTS.items()}
     n = F.col("n_rows") - F.col("n_null")
-    return (snap.select("column", n.alias("total"), F.explode("top_value_fracs").alias("value", "share"))
-            .select("column", "value", F.round(F.col("share") * F.col("total")).cast("long").alias("n"),
+    return (snapshot.build_snapshot(tables).select("table", "column", n.alias("total"), F.explode("top_value_fracs").alias("value", "share"))
+            .select("table", "column", "value", F.round(F.col("share") * F.col("total")).cast("long").alias("n"),
                     F.round("share", 6).alias("share")))
 
 

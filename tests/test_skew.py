@@ -1,5 +1,6 @@
 """Hot keys, equal results on every path, and plans that must not gather or cross."""
 
+import collections
 import random
 
 import pytest
@@ -105,6 +106,24 @@ def test_top_values_with_a_hot_value(make):
     assert len(rows) == 50 and (rows[0]["value"], rows[0]["n"]) == ("hot", 400) and rows[1]["value"] == "v000"
 
 
+def test_top_values_of_a_flat_column(make, monkeypatch):
+    """More values than the sketch keeps, most of them once: settled by hash, and no text but candidates is shuffled."""
+    monkeypatch.setattr(snapshot, "TRACKED", 16)
+    rows = [(f"{'same start ' if i % 2 else ''}{i:05d}" + "x" * 500, f"k{i % 700}", None if i % 3 else "") for i in range(5000)] + [("twice", "often", "a")] * 2 + [("b", "often", "b")] * 900
+    df = make("a string, b string, c string", rows)
+    got = {(r["column"], r["value"]): (r["n"], r["place"]) for r in snapshot.top_values(df, ["a", "b", "c"]).collect()}
+    want = {}
+    for k, c in enumerate("abc"):
+        counts = collections.Counter(r[k] for r in rows if r[k] is not None)
+        for place, (v, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50]):
+            want[c, v] = n, place + 1
+    assert got == want
+    text = plan(snapshot._by_hash(df, ["a"], 50))
+    assert "partial_count" in text and "WindowGroupLimit" in text
+    exchanged = [line for line in text.split("== Physical Plan ==")[1].split("\n") if "partial_count" in line]
+    assert exchanged and all("value" not in line.split("output=")[-1] for line in exchanged)
+
+
 def test_trim_keeps_missing_ids_and_turns(make):
     rows = [(None, 1, "aaaa"), (None, 2, "bb"), (1, None, "cc"), (1, 5, "dd"), (1, 4, "x" * 50)]
     got = textqa.trim_conversations(make("conv_id long, turn long, text string", rows), 10)
