@@ -283,6 +283,9 @@ def empty_table_issues(profile: DataFrame) -> DataFrame:
         F.lit("").alias("dim_table"), F.lit("").alias("dim_pk"))
 
 
+#: What the checks read off the profile.
+NEEDS = ("missing", "future", "range")
+
 CHECKS: dict[str, Callable[..., DataFrame]] = {
     "missing_values": lambda tables, profile, meta, s: null_issues(profile, meta, s),
     "duplicate_rows": duplicate_issues,
@@ -299,7 +302,7 @@ def run_checks(tables: Tables, meta: Meta, sensitivity: str = "normal",
     Returns the issues and the checks that failed with their error.  One failing check never
     hides the others.  Checks are submitted from a few driver threads so their jobs overlap.
     """
-    profile = profile_tables(tables, meta) if profile is None else profile
+    profile = profile_tables(tables, meta, NEEDS) if profile is None else profile
     spark = profile.sparkSession
     sizes = table_sizes(profile)
     filled = {t: df for t, df in tables.items() if sizes.get(t)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.functions import names
-from tablewarden.operators.profile import Tables, distinct_counts, profile_tables
+from tablewarden.operators.profile import DISTINCT_ERROR, Tables, distinct_counts, profile_tables
 from tablewarden.runtime import is_numeric, local_copy, local_frame
 from tablewarden.schemas import TableMeta
 
@@ -41,10 +41,21 @@ def key_candidates(catalog: DataFrame) -> DataFrame:
             .where(F.col("own") | ~F.col("any_own")).drop("any_own"))
 
 
+def key_columns(tables: Tables) -> dict[str, list[str]]:
+    """Columns that can be keys by their names, for which a profile should tell the number of distinct values."""
+    out: dict[str, list[str]] = {}
+    for r in column_meta(tables).where("is_key").select("table", "column").collect():
+        out.setdefault(r["table"], []).append(r["column"])
+    return out
+
+
 def _cannot_be_unique(row) -> bool:
-    """Proof from the profile alone: missing values, or more rows than integers in the range."""
+    """What the profile alone rules out: missing values, far fewer distinct values than rows by a sketch, or more rows
+    than integers in the range."""
     if row["n_null"] > 0:
         return True
+    if row["n_about"] is not None and row["n_about"] < (1 - DISTINCT_ERROR) * row["n_rows"]:
+        return True
     whole = row["dtype"] in ("tinyint", "smallint", "int", "bigint")
     return bool(whole and row["n_rows"] and row["max"] - row["min"] < 0.999 * (row["n_rows"] - 1))
 
@@ -116,7 +127,7 @@ def infer_metadata(tables: Tables, profile: DataFrame | None = None,
     """Role, keys and column kinds for every table; ``override`` entries are taken as given."""
     if override and all(t in override for t in tables):
         return {t: override[t] for t in tables}
-    profile = profile_tables(tables) if profile is None else profile
+    profile = profile_tables(tables, measures=("missing", "range"), about=key_columns(tables)) if profile is None else profile
     catalog = local_copy(column_meta(tables))
     keys = primary_keys(tables, profile, catalog)
     links: dict[str, dict[str, tuple[str, str]]] = {}

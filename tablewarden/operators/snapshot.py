@@ -108,7 +108,7 @@ def build_snapshot(tables: Tables, tag: str = "baseline", profile: DataFrame | N
     Three scans per table: the shared profile, the quantiles, and histogram counters; text
     columns add a sketch, a count of its candidates, and a grouping by hash where that settles nothing.  The result is a row per column.
     """
-    profile = profile_tables(tables) if profile is None else profile
+    profile = profile_tables(tables, measures=("missing", "range", "moments")) if profile is None else profile
     stats: dict[str, dict[str, object]] = {}
     for r in profile.collect():
         stats.setdefault(r["table"], {})[r["column"]] = r

@@ -80,7 +80,7 @@ def run_lookup(spark, sf):
 
 @query("table_sizes", f"""{o.VIEWS} {" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM d_{t}" for t in o.TABLES)}""")
 def sizes(spark, sf):
-    return profile_plan(datasets.dirty(spark, sf)).select("table", "n_rows").distinct()
+    return profile_plan(datasets.dirty(spark, sf), measures=()).select("table", "n_rows").distinct()
 
 
 @query("preview_orders", f"""{o.VIEWS} SELECT order_id, customer_id, total_price, status FROM d_fact_orders
@@ -237,7 +237,7 @@ def pk_candidates(spark, sf):
     asked: dict[str, list[str]] = {}
     for r in metadata.key_candidates(metadata.column_meta(tables)).collect():
         asked.setdefault(r["table"], []).append(r["column"])
-    n_rows = profile_plan(tables).select("table", "column", "n_rows")
+    n_rows = profile_plan(tables, measures=()).select("table", "column", "n_rows")
     return (distinct_counts(tables, asked).join(n_rows, ["table", "column"])
             .withColumn("is_unique", F.col("n_distinct") == F.col("n_rows")))
 
@@ -273,18 +273,18 @@ def fk_map(spark, sf):
 SELECT tbl AS "table", col AS "column", n AS n_rows, nulls AS n_null, round(coalesce(nulls / nullif(n, 0), 0), 6) AS null_share FROM column_counts""")
 def column_profile(spark, sf):
     share = F.round(F.coalesce(F.try_divide("n_null", "n_rows"), F.lit(0.0)), 6).alias("null_share")
-    return profile_plan(datasets.dirty(spark, sf)).select("table", "column", "n_rows", "n_null", share)
+    return profile_plan(datasets.dirty(spark, sf), measures=("missing",)).select("table", "column", "n_rows", "n_null", share)
 
 
 @query("null_issues", f"{o.issues('high')} SELECT {o.COMMON}, description FROM issues WHERE issue_type = 'missing_values'")
 def null_issues(spark, sf):
-    found = checks.null_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META), DIRTY_META, "high")
+    found = checks.null_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META, ("missing",)), DIRTY_META, "high")
     return flat_issues(found, "description")
 
 
 @query("null_issues_normal", f"{o.issues('normal')} SELECT {o.COMMON} FROM issues WHERE issue_type = 'missing_values'")
 def null_issues_normal(spark, sf):
-    return flat_issues(checks.null_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META), DIRTY_META, "normal"))
+    return flat_issues(checks.null_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META, ("missing",)), DIRTY_META, "normal"))
 
 
 @query("dup_key", """SELECT count(*) AS n_rows, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS excess FROM lineitem""")
@@ -365,7 +365,7 @@ _DATE_INT = "CAST(year(order_date) * 10000 + month(order_date) * 100 + day(order
 @query("future_int", f"{o.VIEWS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE {_DATE_INT} > 20500101) AS n_future FROM d_fact_orders")
 def future_int(spark, sf):
     orders = datasets.dirty(spark, sf)["fact_orders"].selectExpr(f"{_DATE_INT} AS date_key")
-    return profile_plan({"fact_orders": orders}).select("n_rows", "n_future")
+    return profile_plan({"fact_orders": orders}, measures=("future",)).select("n_rows", "n_future")
 
 
 @query("future_text", f"{o.VIEWS} SELECT status, count(*) AS n_rows, count(*) FILTER (WHERE order_date > TIMESTAMP '2050-01-01') AS n_future FROM d_fact_orders GROUP BY status")
@@ -382,13 +382,13 @@ def future_text(spark, sf):
 
 @query("future_dates", f"{o.issues('high')} SELECT {o.COMMON} FROM issues WHERE issue_type = 'invalid_future_dates'")
 def future_dates(spark, sf):
-    return flat_issues(checks.future_date_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META)))
+    return flat_issues(checks.future_date_issues(profile_tables(datasets.dirty(spark, sf), DIRTY_META, ("future",))))
 
 
 @query("fk_orphans", f"""{o.VIEWS} SELECT tbl AS "table", col AS "column", n AS n_rows, hits AS n_orphans, dim_table, dim_pk FROM ({o.orphan_source()})""")
 def fk_orphans(spark, sf):
     tables = datasets.dirty(spark, sf)
-    return (checks.reference_breaks(tables, profile_tables(tables, DIRTY_META), DIRTY_META)
+    return (checks.reference_breaks(tables, profile_tables(tables, DIRTY_META, ()), DIRTY_META)
             .select("table", "column", "n_rows", "n_orphans", "dim_table", "dim_pk"))
 
 
@@ -396,7 +396,7 @@ def fk_orphans(spark, sf):
 def fk_orphans_grouped(spark, sf):
     """Key by key, each link in a grouping of its own."""
     tables = datasets.dirty(spark, sf)
-    sizes = table_sizes(profile_tables(tables, DIRTY_META))
+    sizes = table_sizes(profile_tables(tables, DIRTY_META, ()))
     return union_all(references.orphan_counts(tables[x.table], x.fk, tables[x.dim], x.pk).agg(
         F.lit(x.table).alias("table"), F.lit(x.fk).alias("column"), F.lit(sizes[x.table]).alias("n_rows"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"), F.lit(x.dim).alias("dim_table"), F.lit(x.pk).alias("dim_pk"))

@@ -50,7 +50,7 @@ def subset(tables: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
 def dirty_issues(spark: SparkSession, sf_dir: str, sensitivity: str = "high"):
     """Tables, profile and rule issues of the dirty views."""
     tables = datasets.dirty(spark, sf_dir)
-    profile = profile_tables(tables, DIRTY_META)
+    profile = profile_tables(tables, DIRTY_META, checks.NEEDS)
     issues, failures = checks.run_checks(tables, DIRTY_META, sensitivity, profile)
     if failures:
         raise RuntimeError(f"checks failed: {failures}")

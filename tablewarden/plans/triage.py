@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.operators import checks, drift, evaluate, inject, narrate, verify
-from tablewarden.operators.metadata import infer_metadata
+from tablewarden.operators.metadata import infer_metadata, key_columns
 from tablewarden.operators.profile import Tables, profile_tables, table_sizes
 from tablewarden.operators.rank import rank_issues
 from tablewarden.operators.snapshot import build_snapshot
@@ -41,6 +41,12 @@ class TriageResult:
         return narrate.report_lines(self.ranked, source, sensitivity, self.trace, self.timing, failures=self.failures)
 
 
+def _profile(tables: Tables, meta: Mapping[str, TableMeta] | None, compared: bool) -> DataFrame:
+    """What the checks, the comparison with a baseline and the inference of keys need, and no more."""
+    inferred = meta is None or any(t not in meta for t in tables)
+    return profile_tables(tables, meta, checks.NEEDS + (("moments",) if compared else ()), key_columns(tables) if inferred else None)
+
+
 def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sensitivity: str = "high",
                snapshot: DataFrame | None = None, baseline: Tables | None = None,
                with_verification: bool = True, with_drift: bool = True,
@@ -59,13 +65,14 @@ def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sens
         timing[name] = round(time.perf_counter() - start, 3)
         return out
 
-    profile = step("profiler", lambda: profile_tables(tables, meta) if profile is None else profile)
+    compared = with_drift and (snapshot is not None or baseline is not None)
+    profile = step("profiler", lambda: _profile(tables, meta, compared) if profile is None else profile)
     meta = step("metadata", lambda: infer_metadata(tables, profile, meta))
     sizes = table_sizes(profile)
     issues, failures = step("detector", lambda: checks.run_checks(tables, meta, sensitivity, profile))
     if strict and failures:
         raise RuntimeError("checks failed: " + "; ".join(f"{check}: {error}" for check, error in failures))
-    if with_drift and (snapshot is not None or baseline is not None):
+    if compared:
         found = step("drift_detector", lambda: drift.detect_drift(tables, meta, profile, snapshot, baseline))
         issues = issues.unionByName(found)
     reviewed = issues
@@ -138,7 +145,7 @@ def evaluate_tables(tables: Tables, truth: DataFrame, snapshot: DataFrame | None
     Profile and metadata are computed once.  A failing strategy becomes a row with its error.
     """
     spark = truth.sparkSession
-    profile = profile_tables(tables, meta)
+    profile = _profile(tables, meta, snapshot is not None)
     meta = infer_metadata(tables, profile, meta)
     truth = local_copy(evaluate.truth_positions(truth))
     predicted, seconds, errors = [], {}, {}

@@ -33,7 +33,7 @@ PROFILE = _struct(
     table=T.StringType(), table_pos=T.IntegerType(), column=T.StringType(),
     col_pos=T.IntegerType(), dtype=T.StringType(), n_rows=T.LongType(),
     n_null=T.LongType(), n_future=T.LongType(), min=T.DoubleType(),
-    max=T.DoubleType(), mean=T.DoubleType(), std=T.DoubleType(),
+    max=T.DoubleType(), mean=T.DoubleType(), std=T.DoubleType(), n_about=T.LongType(),
 )
 
 TRUTH = _struct(

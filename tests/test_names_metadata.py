@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from tablewarden.functions import names
+from tablewarden.operators import metadata
 from tablewarden.operators.metadata import infer_metadata, mismatched_links
-from tablewarden.operators.profile import profile_tables
+from tablewarden.operators.profile import distinct_counts, profile_plan, profile_tables
 from tablewarden.schemas import TableMeta
 
 
@@ -68,3 +69,26 @@ def test_profile_counts_nan_as_missing(make):
     rows = {r["column"]: r for r in profile_tables({"t": df}).collect()}
     assert (rows["x"]["n_rows"], rows["x"]["n_null"], rows["x"]["mean"], rows["x"]["max"]) == (4, 2, 3.0, 4.0)
     assert rows["d"]["n_null"] == 1 and rows["d"]["min"] is None
+
+
+def test_sketch_rules_out_clear_non_keys(make, monkeypatch):
+    """No exact distinct count of a column that is far from unique; one that is nearly unique is still counted exactly."""
+    rows = [(i, f"c{i % 40}", i // 2 * 3 if i < 20 else i * 3) for i in range(2000)]
+    tables = {"fact_sale": make("sale_key long, code_id string, near_id long", rows)}
+    profile = profile_tables(tables, measures=("missing", "range"), about=metadata.key_columns(tables))
+    about = {r["column"]: r["n_about"] for r in profile.collect()}
+    assert abs(about["code_id"] - 40) <= 4 and about["sale_key"] > 1800
+    counted = []
+    monkeypatch.setattr(metadata, "distinct_counts", lambda t, asked: counted.append(asked) or distinct_counts(t, asked))
+    found = metadata.unique_columns(tables, profile, {"fact_sale": ["sale_key", "code_id", "near_id"]})
+    assert found == {("fact_sale", "sale_key")} and counted == [{"fact_sale": ["sale_key", "near_id"]}]
+
+
+def test_profile_holds_only_what_is_asked(spark):
+    lines = {"t": spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")}
+    text = lambda **more: profile_plan(lines, **more)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]        # noqa: E731
+    sizes, missing, everything = text(measures=()), text(measures=("missing",)), text()
+    assert "ReadSchema: struct<>" in sizes
+    assert "stddev" not in missing and "max(" not in missing and "l_tax" in missing and "stddev" in everything
+    row = profile_plan(lines, measures=("missing",)).where("column = 'l_tax'").first()
+    assert row["n_rows"] > 0 and row["n_null"] == 0 and row["mean"] is None and row["min"] is None
