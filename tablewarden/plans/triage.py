@@ -47,40 +47,97 @@ def _profile(tables: Tables, meta: Mapping[str, TableMeta] | None, compared: boo
     return profile_tables(tables, meta, checks.NEEDS + (("moments",) if compared else ()), key_columns(tables) if inferred else None)
 
 
+class Stages:
+    """The steps of a triage over one set of tables.  Each runs when first asked for and its result is kept, with its seconds or
+    its error, so that several compositions share them."""
+
+    def __init__(self, tables: Tables, meta: Mapping[str, TableMeta] | None = None, sensitivity: str = "high",
+                 snapshot: DataFrame | None = None, baseline: Tables | None = None, profile: DataFrame | None = None):
+        self.tables, self.given, self.sensitivity = tables, meta, sensitivity
+        self.snapshot, self.baseline, self.given_profile = snapshot, baseline, profile
+        self.results: dict[str, object] = {}
+        self.seconds: dict[str, float] = {}
+
+    @property
+    def compared(self) -> bool:
+        return self.snapshot is not None or self.baseline is not None
+
+    def get(self, name: str):
+        if name not in self.results:
+            before, start = sum(self.seconds.values()), time.perf_counter()
+            try:
+                self.results[name] = getattr(self, f"_{name}")()
+            except Exception as error:        # noqa: BLE001 - every composition that needs this stage meets the error
+                self.results[name] = error
+            spent = time.perf_counter() - start - (sum(self.seconds.values()) - before)       # without stages asked for inside
+            self.seconds[name] = round(spent, 3)
+        if isinstance(self.results[name], Exception):
+            raise self.results[name]
+        return self.results[name]
+
+    def _profiler(self) -> DataFrame:
+        return _profile(self.tables, self.given, self.compared) if self.given_profile is None else self.given_profile
+
+    def _metadata(self) -> dict[str, TableMeta]:
+        return infer_metadata(self.tables, self.get("profiler"), self.given)
+
+    def _detector(self) -> tuple[DataFrame, list[tuple[str, str]]]:
+        return checks.run_checks(self.tables, self.get("metadata"), self.sensitivity, self.get("profiler"))
+
+    def _drift_detector(self) -> DataFrame:
+        return local_copy(drift.detect_drift(self.tables, self.get("metadata"), self.get("profiler"), self.snapshot, self.baseline))
+
+    def _verifier(self) -> DataFrame:
+        return local_copy(verify.verify_issues(self.tables, self.get("detector")[0], self.sensitivity))
+
+    def _drift_verifier(self) -> DataFrame:
+        return local_copy(verify.verify_issues(self.tables, self.get("drift_detector"), self.sensitivity))
+
+
 def run_triage(tables: Tables, meta: Mapping[str, TableMeta] | None = None, sensitivity: str = "high",
                snapshot: DataFrame | None = None, baseline: Tables | None = None,
                with_verification: bool = True, with_drift: bool = True,
-               decision: str | None = None, profile: DataFrame | None = None, strict: bool = False) -> TriageResult:
+               decision: str | None = None, profile: DataFrame | None = None, strict: bool = False,
+               stages: Stages | None = None) -> TriageResult:
     """Infer, check, compare with the baseline, re-count, review, rank.
 
-    A check that fails leaves the others alone and is named in ``failures``; with ``strict`` it is an error.
+    A check that fails leaves the others alone and is named in ``failures``; with ``strict`` it is an error.  ``stages``, if given,
+    holds results that other runs over the same tables share; it then says what is triaged.
     """
+    stages = stages or Stages(tables, meta, sensitivity, snapshot, baseline, profile)
     trace: list[str] = []
     timing: dict[str, float] = {}
 
-    def step(name, build):
+    def step(name: str):
+        out = stages.get(name)
+        trace.append(name)
+        timing[name] = stages.seconds[name]
+        return out
+
+    def own(name: str, build):
         start = time.perf_counter()
         out = build()
         trace.append(name)
         timing[name] = round(time.perf_counter() - start, 3)
         return out
 
-    compared = with_drift and (snapshot is not None or baseline is not None)
-    profile = step("profiler", lambda: _profile(tables, meta, compared) if profile is None else profile)
-    meta = step("metadata", lambda: infer_metadata(tables, profile, meta))
+    profile, meta = step("profiler"), step("metadata")
     sizes = table_sizes(profile)
-    issues, failures = step("detector", lambda: checks.run_checks(tables, meta, sensitivity, profile))
+    issues, failures = step("detector")
     if strict and failures:
         raise RuntimeError("checks failed: " + "; ".join(f"{check}: {error}" for check, error in failures))
+    compared = with_drift and stages.compared
     if compared:
-        found = step("drift_detector", lambda: drift.detect_drift(tables, meta, profile, snapshot, baseline))
-        issues = issues.unionByName(found)
+        issues = issues.unionByName(step("drift_detector"))
     reviewed = issues
     if with_verification:
-        reviewed = local_copy(step("verifier", lambda: verify.verify_issues(tables, issues, sensitivity)))
+        reviewed = step("verifier")
+        if compared:                                              # a re-count looks at one issue at a time
+            reviewed = local_copy(reviewed.unionByName(stages.get("drift_verifier")))
+            timing["verifier"] = round(timing["verifier"] + stages.seconds["drift_verifier"], 3)
         if decision is not None and reviewed.agg(verify.needs_review(reviewed)).first()[0]:
-            reviewed = step("review", lambda: verify.apply_decision(reviewed, decision))
-    ranked = step("ranker", lambda: local_copy(rank_issues(reviewed, sizes)))
+            reviewed = own("review", lambda: verify.apply_decision(reviewed, decision))
+    ranked = own("ranker", lambda: local_copy(rank_issues(reviewed, sizes)))
     return TriageResult(ranked, issues, meta, sizes, trace, timing, failures)
 
 
@@ -142,23 +199,23 @@ def evaluate_tables(tables: Tables, truth: DataFrame, snapshot: DataFrame | None
                     sensitivity: str = "normal", meta: Mapping[str, TableMeta] | None = None) -> DataFrame:
     """Strategies A (checks), B (+ re-count) and C (+ drift) scored against the truth.
 
-    Profile and metadata are computed once.  A failing strategy becomes a row with its error.
+    Stages run once and are shared; a strategy's seconds are those of the stages it is made of.  A failing strategy becomes
+    a row with its error.
     """
     spark = truth.sparkSession
-    profile = _profile(tables, meta, snapshot is not None)
-    meta = infer_metadata(tables, profile, meta)
+    stages = Stages(tables, meta, sensitivity, snapshot)
     truth = local_copy(evaluate.truth_positions(truth))
     predicted, seconds, errors = [], {}, {}
     for name, (verified, drifted) in STRATEGIES.items():
         start = time.perf_counter()
         try:
-            ranked = run_triage(tables, meta, sensitivity=sensitivity, snapshot=snapshot, profile=profile,
-                                with_verification=verified, with_drift=drifted, strict=True).ranked
-            predicted.append(evaluate.positions(ranked, name).select("run_id", "pred_pos", "issue_type", "table", "columns"))
+            result = run_triage(tables, with_verification=verified, with_drift=drifted, strict=True, stages=stages)
+            predicted.append(evaluate.positions(result.ranked, name).select("run_id", "pred_pos", "issue_type", "table", "columns"))
+            seconds[name] = round(sum(result.timing.values()), 3)
         except Exception as error:        # noqa: BLE001 - report the strategy, keep the others
             log.exception("strategy %s failed", name)
             errors[name] = str(error)
-        seconds[name] = round(time.perf_counter() - start, 3)
+            seconds[name] = round(time.perf_counter() - start, 3)
     rows: list[tuple] = []
     if predicted:
         runs = local_frame(spark, [(n,) for n in STRATEGIES if n not in errors], "run_id string")

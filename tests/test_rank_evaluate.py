@@ -1,3 +1,4 @@
+import collections
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from tablewarden.operators import analytics, evaluate, inject
 from tablewarden.operators.metadata import infer_metadata
 from tablewarden.operators.rank import (compare_scores, dedupe_issues, evidence_density, linear_score, rank_issues,
                                         report_criticality, score_issues)
+from tablewarden.plans import triage
 from tablewarden.plans.triage import evaluate_tables
 from tablewarden.operators.snapshot import build_snapshot
 from tablewarden.runtime import local_frame
@@ -169,3 +171,33 @@ def test_analytics(spark):
     assert analytics.issues_by_type(ranked).first()["issue_type"] == "missing_values"
     assert analytics.impact_by_table(ranked).count() == 2
     assert analytics.issue_kpis(ranked.where("false")).first()["avg_impact"] == 0.0
+
+
+def test_strategies_share_their_stages(make, monkeypatch):
+    clean = {"fact_sale": make("sale_key long, amount double", [(i, float(i % 50)) for i in range(400)])}
+    dirty = {"fact_sale": make("sale_key long, amount double", [(i % 300, None if i % 3 else 500.0) for i in range(400)])}
+    runs = collections.Counter()
+
+    def counting(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: runs.update([name]) or real(*a, **k))
+
+    counting(triage.checks, "run_checks"), counting(triage.drift, "detect_drift"), counting(triage, "profile_tables"), counting(triage, "infer_metadata")
+    truth = local_frame(next(iter(clean.values())).sparkSession, [], TRUTH)
+    rows = evaluate_tables(dirty, truth, build_snapshot(clean), "high").collect()
+    assert [r["strategy"] for r in rows] == sorted(triage.STRATEGIES) and all(r["error"] is None and r["wall_seconds"] > 0 for r in rows)
+    assert runs == {"run_checks": 1, "detect_drift": 1, "profile_tables": 1, "infer_metadata": 1}
+    alone = {n: triage.run_triage(dirty, None, "high", build_snapshot(clean), with_verification=v, with_drift=d).ranked for n, (v, d) in triage.STRATEGIES.items()}
+    stages = triage.Stages(dirty, None, "high", build_snapshot(clean))
+    for n, (v, d) in triage.STRATEGIES.items():
+        shared = triage.run_triage(dirty, with_verification=v, with_drift=d, stages=stages)
+        assert sorted(map(str, shared.ranked.collect())) == sorted(map(str, alone[n].collect()))
+        assert set(shared.timing) == set(shared.trace) and ("drift_detector" in shared.trace) == d
+
+
+def test_a_failing_stage_fails_only_who_needs_it(make, monkeypatch):
+    tables = {"fact_sale": make("sale_key long, amount double", [(i, float(i)) for i in range(50)])}
+    monkeypatch.setattr(triage.drift, "detect_drift", lambda *a: 1 / 0)
+    truth = local_frame(next(iter(tables.values())).sparkSession, [], TRUTH)
+    rows = {r["strategy"]: r["error"] for r in evaluate_tables(tables, truth, build_snapshot(tables)).collect()}
+    assert rows["A_baseline"] is None and rows["B_supervisor"] is None and "division" in rows["C_full"]
