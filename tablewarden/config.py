@@ -141,3 +141,11 @@ BRACKET_ROWS = 200_000
 #: Rows up to which a counted relation may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+
+# Fixed values of the text checks: patterns of names in prose, SQL and code, and the texts of a failed response.
+QUOTED_NAME = r"[`\"']([a-zA-Z_][a-zA-Z0-9_]*)[`\"'](?!\s*:)"
+QUOTED_SQL_NAME = r"[\"`]([a-zA-Z_][a-zA-Z0-9_]*)[\"`]"
+SQL_TARGET = r"(?i)\b(?:FROM|JOIN|UPDATE|TABLE|INTO)\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+FRAME_COLUMN = r"df\[['\"]([a-zA-Z_][a-zA-Z0-9_]*)['\"]\]"
+RESPONSE_FAILED = "Overall score %.2f is below threshold %.2f. [factual=%.2f schema=%.2f complete=%.2f conf=%.2f]"
+RESPONSE_EMPTY = "LLM returned an empty response."

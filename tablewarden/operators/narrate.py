@@ -30,8 +30,8 @@ EXPLANATIONS = {
     "referential_integrity_break": "Key values of this column have no row in the dimension that it refers to. Evidence counts the rows that hold such "
                                    "a key; rows without a key are not among them.",
     "empty_table": "The table can be read and holds zero rows, so no other check could run on it.",
-    "statistical_drift": "Against the snapshot, the column passes a limit on population stability, distance of distributions, share of missing values "
-                         "or rare categories.",
+    "statistical_drift": "Against the snapshot, the column passes a limit on population stability, or its distribution differs more than chance "
+                         "allows (PSI and the KS test). Missing values and rare categories are not part of this test.",
 }
 EXPLANATION_UNKNOWN = "No rule of this library has this type."
 ACTIONS = {
@@ -111,7 +111,7 @@ PYTHON_FIX = {
     "invalid_future_dates": "df = null_future(df, '{c}')",
     "referential_integrity_break": "df = drop_orphans(df, '{c}', dim_df, '{p}')",
     "empty_table": "df = require_rows(df, '{t}')",
-    "statistical_drift": "ks = two_sample_ks(baseline_df, df, ['{c}'], df.count())",
+    "statistical_drift": "ks = two_sample_ks(baseline_df, df, ['{c}'], baseline_df.count() + df.count())",
 }
 PYTHON_FIX_UNKNOWN = "# no standard fix for this issue type"
 

@@ -247,9 +247,10 @@ m AS (SELECT response_id, text, list_filter({list(config.ISSUE_TYPES)}, lambda t
   list_distinct(list_transform(list_filter(regexp_extract_all(text, '[`"''][a-zA-Z_][a-zA-Z0-9_]*[`"''](\\s*:)?'), lambda x: NOT regexp_matches(x, ':$')), lambda x: lower(x[2:-2]))) AS idents,
   (SELECT count(*) FROM top WHERE contains(lower(r.text), tbl) OR len(list_filter(cols, lambda c: contains(lower(r.text), c))) > 0) AS hit, (SELECT count(*) FROM top) AS n_top FROM r),
 s AS (SELECT response_id, CASE WHEN len(said) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(said, types)) / len(said) END AS f,
-  CASE WHEN len(idents) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(idents, names)) / len(idents) END AS sc, hit / n_top AS c FROM m, ctx)
+  CASE WHEN len(idents) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(idents, names)) / len(idents) END AS sc, hit / n_top AS c FROM m, ctx),
+t AS (SELECT *, round(f * 0.3::DOUBLE + sc * 0.4::DOUBLE + c * 0.2::DOUBLE + 0.1::DOUBLE, 4) AS total FROM s)
 SELECT response_id, round(f, 4) AS factual_consistency_score, round(sc, 4) AS schema_compliance_score, round(c, 4) AS completeness_score, 1.0 AS confidence_score,
-  round(f * 0.3::DOUBLE + sc * 0.4::DOUBLE + c * 0.2::DOUBLE + 0.1::DOUBLE, 4) AS overall_score, round(f * 0.3::DOUBLE + sc * 0.4::DOUBLE + c * 0.2::DOUBLE + 0.1::DOUBLE, 4) >= 0.7 AS passed FROM s""")
+  total AS overall_score, total >= 0.7 AS passed, CASE WHEN total >= 0.7 THEN '' ELSE printf('Overall score %.2f is below threshold 0.70. [factual=%.2f schema=%.2f complete=%.2f conf=1.00]', total, f, sc, c) END AS failure_reason FROM t""")
 def response_score(spark, sf):
     ranked = dirty_ranked(spark, sf)
     responses = replies(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("response_id"), "text")

@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Mapping
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,35 @@ _WHOLE = r"^\\s*[+-]?[0-9]+\\s*$"
 # CSV with the cell conventions of the triage
 # --------------------------------------------------------------------------------------
 
-def _text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
-    return spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline,
-                              encoding=encoding, enforceSchema=False).csv(path)
+def _text_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", multiline: bool = True,
+              schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline,
+                          encoding=encoding, enforceSchema=False).csv(path)
+
+
+def broken_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files of a CSV table whose quoted values hold line breaks, and the others.
+
+    A value that goes on behind a line break leaves a line with an odd number of quotes.  One scan counts them line by line,
+    in which any file is split; it returns a row per file.
+    """
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path)                 # a quote is the same byte in all encodings read here
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    found = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(odd).alias("odd")).collect()
+    files = {flag: [unquote(r["file"]) for r in found if r["odd"] == flag] for flag in (True, False)}
+    return files[True], files[False]
+
+
+def _cells_of(spark: SparkSession, path: str, encoding: str, multiline: bool | None) -> DataFrame:
+    """A CSV table as text.  Where ``multiline`` is None, only files with line breaks inside values are read by one task each."""
+    if multiline is not None:
+        return _text_csv(spark, path, encoding, multiline)
+    whole, split = broken_files(spark, path)
+    if not whole or not split:
+        return _text_csv(spark, path, encoding, bool(whole))
+    schema = _text_csv(spark, path, encoding).schema
+    return _text_csv(spark, split, encoding, False, schema).unionByName(_text_csv(spark, whole, encoding, True, schema))
 
 
 def _missing(column: str) -> str:
@@ -73,17 +100,17 @@ def given_types(text: DataFrame, schema: T.StructType) -> tuple[DataFrame, int]:
     return text.selectExpr(*casts), undecodable
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool | None = None) -> DataFrame:
     """A CSV table.  Cells are cleaned alike with and without a schema, which spares the scan that finds types.
 
-    Quoted values may hold line breaks, so a task reads a whole file.  Where no value does, ``multiline=False`` lets Spark
-    split large files.
+    Quoted values may hold line breaks.  A scan of the lines finds the files where they do, which a task reads as a whole each;
+    others are split however large they are.  ``multiline`` True or False spares that scan and holds for all files.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     typed = typed_csv if schema is None else lambda text: given_types(text, schema)
-    df, undecodable = typed(_text_csv(spark, path, multiline=multiline))
+    df, undecodable = typed(_cells_of(spark, path, "UTF-8", multiline))
     if undecodable:
-        df, _ = typed(_text_csv(spark, path, "ISO-8859-1", multiline))
+        df, _ = typed(_cells_of(spark, path, "ISO-8859-1", multiline))
     return df
 
 
@@ -116,7 +143,7 @@ def list_tables(spark: SparkSession, folder: str) -> list[tuple[str, str, str]]:
 
 
 def load_folder(spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType | str] | None = None,
-                multiline: bool = True) -> dict[str, DataFrame]:
+                multiline: bool | None = None) -> dict[str, DataFrame]:
     """Every table of a folder.  ``schemas`` spares the typing scan of large CSV tables."""
     return {name: (spark.read.parquet(path) if kind == "parquet"
                    else read_csv(spark, path, (schemas or {}).get(name), multiline))
@@ -188,9 +215,12 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "csv")
                              timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(f"{fresh}/{name}.csv")
         else:
             df.write.parquet(f"{fresh}/{name}.parquet")
-    fs.delete(path(root), True)
+    aside = f"{root}.{uuid.uuid4().hex}.old"
+    if fs.exists(path(root)) and not fs.rename(path(root), path(aside)):           # the old tables exist until the new ones do
+        raise OSError(f"the tables are in {fresh}; {root} could not be moved aside")
     if not fs.rename(path(fresh), path(root)):
-        raise OSError(f"the tables are in {fresh}; they could not be moved to {root}")
+        raise OSError(f"the tables are in {fresh} and the former ones in {aside}; they could not be moved to {root}")
+    fs.delete(path(aside), True)
 
 
 # --------------------------------------------------------------------------------------

@@ -223,6 +223,8 @@ def test_response_scores(spark):
     assert rows["column"]["schema_compliance_score"] == 0.0 and not rows["column"]["passed"]
     assert rows["type"]["factual_consistency_score"] == 0.0
     assert rows["json"]["schema_compliance_score"] == 1.0            # object keys are not claims
+    assert rows["good"]["failure_reason"] == "" and rows["empty"]["failure_reason"] == rows["blank"]["failure_reason"] != ""
+    assert rows["column"]["failure_reason"].startswith("Overall score 0.") and "schema=0.00" in rows["column"]["failure_reason"]
 
 
 def test_code_and_input_checks(spark):

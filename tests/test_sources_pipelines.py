@@ -184,3 +184,32 @@ def test_folder_is_replaced_as_a_whole(spark, make, tmp_path):
     assert len(files.load_folder(spark, folder)) == 2
     files.write_tables({"c": make("x int", [(3,)])}, folder)
     assert set(files.load_folder(spark, folder)) == {"c"}
+
+
+def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "some data" / "sales.csv"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("id,note\n" + "".join(f'{i},"said ""yes"", {i}"\n' for i in range(4000)))
+    (folder / "b.csv").write_text('id,note\n9001,"two\nlines"\n9002,plain\n9003,"three\n\nlines, ""quoted\n"""\n')
+    whole, split = files.broken_files(spark, str(folder))
+    assert [f.rsplit("/", 1)[1] for f in whole] == ["b.csv"] and [f.rsplit("/", 1)[1] for f in split] == ["a.csv"]
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "16k")
+        found, old = files.read_csv(spark, str(folder)), files.read_csv(spark, str(folder), multiline=True)
+        assert found.rdd.getNumPartitions() > 4 and old.rdd.getNumPartitions() <= 2
+        assert found.dtypes == old.dtypes == [("id", "bigint"), ("note", "string")]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, old.collect())) and found.count() == 4003
+        given = files.read_csv(spark, str(folder), "id int, note string")
+        assert sorted(map(tuple, given.collect())) == sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_no_moment_without_the_old_or_the_new_tables(spark, make, tmp_path):
+    root = tmp_path / "out"
+    files.write_tables({"t": make("a long", [(1,)])}, str(root))
+    files.write_tables({"t": make("a long", [(2,), (3,)])}, str(root))
+    assert sorted(r["a"] for r in files.load_folder(spark, str(root))["t"].collect()) == [2, 3]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
