@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden import config
-from tablewarden.functions.quantiles import as_double, bucket_counts, exact_quantiles, rank_counts
+from tablewarden.functions.quantiles import as_double, exact_quantiles, rank_counts
 from tablewarden.functions.scoring import direction, kolmogorov_p, ks_severity, psi_severity, severity_rank
 from tablewarden.operators.checks import Meta, no_issues
 from tablewarden.operators.profile import Tables, profile_tables
-from tablewarden.runtime import is_numeric, local_frame, side_by_side, union_all
+from tablewarden.runtime import is_numeric, local_frame, settled, side_by_side, union_all
 from tablewarden.schemas import ISSUE
 from tablewarden.sources.stores import load_snapshot
 
@@ -180,66 +180,64 @@ def snapshot_drift(tables: Tables, profile: DataFrame, meta: Meta, snapshot: Dat
 # Whole baseline tables
 # --------------------------------------------------------------------------------------
 
-def bucketed_values(df: DataFrame, breaks: Mapping[str, list[float]]) -> DataFrame:
-    """Rows ``(column, bucket, value, n)``: value counts, tagged with their range bucket."""
-    names = list(breaks)
-    edges = [np.asarray(breaks[c], dtype=float) for c in names]
-
+def value_counts(df: DataFrame, columns: list[str], held: int = 500_000) -> DataFrame:
+    """Rows ``(column, value, n)``; a task counts equal values before they leave it, ``held`` values of a column at a time."""
     def fold(batches):
+        waiting = [[np.zeros(0), np.zeros(0, np.int64)] for _ in columns]
+
+        def flush(i):
+            values, n = waiting[i]
+            waiting[i] = [np.zeros(0), np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array([columns[i]] * len(values), pa.string()), pa.array(values), pa.array(n)],
+                                              names=["column", "value", "n"])
+
         for batch in batches:
-            for i, (name, e) in enumerate(zip(names, edges)):
+            for i in range(len(columns)):
                 values = batch.column(i).to_numpy(zero_copy_only=False)
-                values, n = np.unique(values[~np.isnan(values)], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(values), pa.string()),
-                     pa.array(np.searchsorted(e, values, side="right").astype(np.int32)),
-                     pa.array(values), pa.array(n.astype(np.int64))],
-                    names=["column", "bucket", "value", "n"])
+                values, n = np.unique(values[~np.isnan(values)] + 0.0, return_counts=True)        # no sign on a zero
+                both, place = np.unique(np.concatenate([waiting[i][0], values]), return_inverse=True)
+                waiting[i] = [both, np.bincount(place, np.concatenate([waiting[i][1], n]), len(both)).astype(np.int64)]
+                if len(both) > held:
+                    yield flush(i)
+        for i in range(len(columns)):
+            yield flush(i)
 
-    return (df.select(*[as_double(df, c).alias(c) for c in names])
-            .mapInArrow(fold, "column string, bucket int, value double, n long")
-            .groupBy("column", "bucket", "value").agg(F.sum("n").alias("n")))
+    return df.select(*[as_double(df, c).alias(c) for c in columns]).mapInArrow(fold, "column string, value double, n long")
 
 
-def range_breaks(df: DataFrame, columns: list[str], n_rows: int, per_bucket: int | None = None) -> dict[str, list[float]]:
-    """Bucket edges that split each column into ranges of bounded size, from one sketch pass.
+def ranged_counts(reference: DataFrame, current: DataFrame, columns: list[str], ranges: int) -> DataFrame:
+    """Rows ``(column, value, r, c, part)``: both samples' counts of each value, sorted by range over ``ranges`` partitions.
 
-    A value that fills more than a range is one row once equal values are counted.
+    Spark draws the ranges from both samples, so a column that has moved is split as well.  Counts are added up where the ranges
+    lie, without another shuffle, and written, so that every later step sees the same parts.
     """
-    buckets = max(1, math.ceil(n_rows / (per_bucket or VALUES_PER_BUCKET)))
-    if buckets == 1:
-        return {c: [] for c in columns}
-    grid = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(as_double(df, c), grid, max(10_000, 4 * buckets)).alias(f"a{i}")
-                   for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
+    zero = F.lit(0).cast("long")
+    both = (value_counts(reference, columns).select("column", "value", F.col("n").alias("r"), zero.alias("c"))
+            .unionByName(value_counts(current, columns).select("column", "value", zero.alias("r"), F.col("n").alias("c"))))
+    dealt = both.repartitionByRange(ranges, "column", "value")
+    added = dealt.groupBy("column", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    return settled(added.withColumn("part", F.spark_partition_id()))
 
 
 def two_sample_ks(reference: DataFrame, current: DataFrame, columns: list[str], n_rows: int,
                   per_bucket: int | None = None) -> DataFrame:
     """Exact KS distance of whole columns: rows ``(column, n_ref, n_cur, ks_d)``.
 
-    Equal values collapse to counts first.  Running sums are local to a range bucket and start from the bucket's offset, so
-    no window spans a whole column.  The buckets come from both samples together: were they the reference's, a column that
-    has moved would lie in the last one.  ``n_rows`` are the rows of both.
+    Equal values collapse to counts first, and these are sorted by range.  Running sums are local to a part and start from the
+    part's offset, one row each, so no window spans a whole column and the plan holds no values.  ``n_rows`` are the rows
+    of both.
     """
-    pick = lambda df: df.select(*[as_double(df, c).alias(c) for c in columns])
-    breaks = range_breaks(pick(reference).unionByName(pick(current)), columns, n_rows, per_bucket)
-    both = (bucketed_values(reference, breaks).select("column", "bucket", "value", F.col("n").alias("r"), F.lit(0).cast("long").alias("c"))
-            .unionByName(bucketed_values(current, breaks).select("column", "bucket", "value", F.lit(0).cast("long").alias("r"), F.col("n").alias("c")))
-            .groupBy("column", "bucket", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
-    totals = (bucket_counts(reference, breaks).select("column", "bucket", F.col("n").alias("br"), F.lit(0).cast("long").alias("bc"))
-              .unionByName(bucket_counts(current, breaks).select("column", "bucket", F.lit(0).cast("long").alias("br"), F.col("n").alias("bc")))
-              .groupBy("column", "bucket").agg(F.sum("br").alias("br"), F.sum("bc").alias("bc")))
-    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = max(1, math.ceil(n_rows * len(columns) / (per_bucket or VALUES_PER_BUCKET)))
+    counted = ranged_counts(reference, current, columns, ranges)
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("column")
-    offsets = totals.select(                                  # a row per bucket: rows / VALUES_PER_BUCKET
-        "column", "bucket", F.coalesce(F.sum("br").over(before), F.lit(0)).alias("r0"),
-        F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("c0"),
-        F.sum("br").over(whole).alias("n_ref"), F.sum("bc").over(whole).alias("n_cur"))
-    running = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gaps = (both.withColumn("ru", F.sum("r").over(running)).withColumn("cu", F.sum("c").over(running))
-            .join(F.broadcast(offsets), ["column", "bucket"])
+    offsets = counted.groupBy("column", "part").agg(F.sum("r").alias("pr"), F.sum("c").alias("pc")).select(
+        "column", "part", F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("r0"),
+        F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("c0"),
+        F.sum("pr").over(whole).alias("n_ref"), F.sum("pc").over(whole).alias("n_cur"))
+    running = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    gaps = (counted.withColumn("ru", F.sum("r").over(running)).withColumn("cu", F.sum("c").over(running))
+            .join(offsets, ["column", "part"])
             .withColumn("gap", F.abs((F.col("r0") + F.col("ru")) / F.col("n_ref")
                                      - (F.col("c0") + F.col("cu")) / F.col("n_cur"))))
     return gaps.groupBy("column").agg(F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),

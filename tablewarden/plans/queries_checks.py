@@ -632,33 +632,47 @@ def drift_issues(spark, sf):
     return flat_issues(drift.drift_issues(_snapshot_stats(spark, sf)))
 
 
-def _baseline_sql(column: str) -> str:
-    """PSI and KS of one whole column of the dirty orders against the whole clean column."""
-    return f"""SELECT '{column}' AS "column", (SELECT count({column}) FROM fact_orders) AS n_ref, (SELECT count({column}) FROM d_fact_orders) AS n_cur, (
-  SELECT round(max(abs(fr - fc)), 6) FROM (SELECT sum(sum(r)) OVER (ORDER BY x) / (SELECT count({column}) FROM fact_orders) AS fr,
-    sum(sum(c)) OVER (ORDER BY x) / (SELECT count({column}) FROM d_fact_orders) AS fc
-    FROM (SELECT {column} AS x, 1 AS r, 0 AS c FROM fact_orders UNION ALL SELECT {column}, 0, 1 FROM d_fact_orders) GROUP BY x)) AS ks_d, (
-  WITH cuts AS (SELECT DISTINCT unnest(quantile_cont({column}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS low FROM fact_orders),
+#: Measures of the facts, and a copy of the line items whose prices have moved beyond all former ones.
+_BASELINE = {"fact_orders": ("total_price", "discount_pct"), "fact_lineitems": ("line_number", "quantity", "price", "discount", "tax"), "fact_events": ("value",)}
+
+
+def _baseline_sql(table: str, column: str, now: str, as_table: str | None = None) -> str:
+    """PSI and KS of one whole column of ``now`` against the whole clean column."""
+    return f"""SELECT '{as_table or table}' AS "table", '{column}' AS "column", (SELECT count({column}) FROM {table}) AS n_ref, (SELECT count({column}) FROM {now}) AS n_cur, (
+  SELECT round(max(abs(fr - fc)), 6) FROM (SELECT sum(sum(r)) OVER (ORDER BY x) / (SELECT count({column}) FROM {table}) AS fr,
+    sum(sum(c)) OVER (ORDER BY x) / (SELECT count({column}) FROM {now}) AS fc
+    FROM (SELECT {column} AS x, 1 AS r, 0 AS c FROM {table} UNION ALL SELECT {column}, 0, 1 FROM {now}) GROUP BY x)) AS ks_d, (
+  WITH cuts AS (SELECT DISTINCT unnest(quantile_cont({column}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS low FROM {table}),
   spans AS (SELECT low, lead(low) OVER (ORDER BY low) AS high, lead(low, 2) OVER (ORDER BY low) IS NULL AS last FROM cuts),
-  bins AS (SELECT (SELECT count(*) FROM fact_orders WHERE {column} >= low AND ({column} < high OR (last AND {column} = high))) AS r,
-    (SELECT count(*) FROM d_fact_orders WHERE {column} >= low AND ({column} < high OR (last AND {column} = high))) AS c FROM spans WHERE high IS NOT NULL),
+  bins AS (SELECT (SELECT count(*) FROM {table} WHERE {column} >= low AND ({column} < high OR (last AND {column} = high))) AS r,
+    (SELECT count(*) FROM {now} WHERE {column} >= low AND ({column} < high OR (last AND {column} = high))) AS c FROM spans WHERE high IS NOT NULL),
   shares AS (SELECT CASE WHEN r = 0 THEN 0.0001 ELSE r / sum(r) OVER () END AS rs, CASE WHEN c = 0 THEN 0.0001 ELSE c / sum(c) OVER () END AS cs FROM bins)
   SELECT round(greatest(sum((cs - rs) * ln(cs / rs)), 0), 6) FROM shares) AS psi"""
 
 
-@query("baseline_ks_ranged", f"{o.VIEWS} {_baseline_sql('total_price')} UNION ALL {_baseline_sql('discount_pct')}")
+_BASELINE_SQL = f"{o.VIEWS}, moved AS (SELECT * REPLACE (price + 1000000 AS price) FROM fact_lineitems) " + " UNION ALL ".join(
+    [_baseline_sql(t, c, f"d_{t}") for t, cs in _BASELINE.items() for c in cs]
+    + [_baseline_sql("fact_lineitems", "price", "moved", "fact_moved")])
+
+
+def _baseline(spark, sf, per_bucket=None):
+    """Dirty facts against the clean ones as baseline tables, and prices that have moved."""
+    star = datasets.star(spark, sf)
+    tables, baseline = subset(datasets.dirty(spark, sf), *_BASELINE), subset(star, *_BASELINE)
+    baseline["fact_moved"] = star["fact_lineitems"].select("price")
+    tables["fact_moved"] = baseline["fact_moved"].withColumn("price", F.col("price") + 1000000)
+    meta = {**DIRTY_META, "fact_moved": TableMeta("fact", "moved", (), {}, (), ("price",), ())}
+    return (drift.baseline_drift(tables, profile_tables(tables, meta), meta, baseline, per_bucket=per_bucket)
+            .select("table", "column", "n_ref", "n_cur", six("ks_d"), six("psi")))
+
+
+@query("baseline_ks_ranged", _BASELINE_SQL)
 def baseline_ks_ranged(spark, sf):
-    """The way large columns go: many ranges, here of 500 values."""
-    tables = subset(datasets.dirty(spark, sf), "fact_orders")
-    baseline = subset(datasets.star(spark, sf), "fact_orders")
-    return (drift.baseline_drift(tables, profile_tables(tables, DIRTY_META), DIRTY_META, baseline, per_bucket=500)
-            .select("column", "n_ref", "n_cur", six("ks_d"), six("psi")))
+    """The way large columns go: many ranges, here of about 20,000 values."""
+    return _baseline(spark, sf, per_bucket=20_000)
 
 
-@query("baseline_ks", f"{o.VIEWS} {_baseline_sql('total_price')} UNION ALL {_baseline_sql('discount_pct')}")
+@query("baseline_ks", _BASELINE_SQL)
 def baseline_ks(spark, sf):
-    """Whole-column tests: dirty orders against the clean orders as baseline tables."""
-    tables = subset(datasets.dirty(spark, sf), "fact_orders")
-    baseline = subset(datasets.star(spark, sf), "fact_orders")
-    return (drift.baseline_drift(tables, profile_tables(tables, DIRTY_META), DIRTY_META, baseline)
-            .select("column", "n_ref", "n_cur", six("ks_d"), six("psi")))
+    """Whole-column tests of every measure of every fact."""
+    return _baseline(spark, sf)

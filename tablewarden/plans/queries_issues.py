@@ -207,11 +207,24 @@ def needs_review_count(spark, sf):
 
 # ---- text checks -----------------------------------------------------------------------
 
-@query("chat_trim", f"""SELECT conv_id, turn, role, length(text) AS n_chars FROM (SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS n FROM conversations
-WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE used <= {config.CHAT_BUDGET_CHARS} OR n = 1""")
+def _trim_sql(source: str, budget: int = config.CHAT_BUDGET_CHARS) -> str:
+    return f"""SELECT conv_id, turn, role, text FROM (SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS n FROM ({source})
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, md5(text) DESC ROWS UNBOUNDED PRECEDING)) WHERE used <= {budget} OR n = 1"""
+
+
+@query("chat_trim", _trim_sql("SELECT * FROM conversations"))
 def chat_trim(spark, sf):
-    kept = textqa.trim_conversations(datasets.read(spark, sf, "conversations"))
-    return kept.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    return textqa.trim_conversations(datasets.read(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query("chat_trim_ties", _trim_sql("""SELECT conv_id % 3 AS conv_id, CASE WHEN turn % 5 <> 0 THEN turn // 3 END AS turn, role,
+  text || ' ' || conv_id || '/' || turn AS text FROM conversations""", 9000))
+def chat_trim_ties(spark, sf):
+    """A few long conversations whose turns repeat or are missing: newest by the hash of their texts, in blocks of 16."""
+    talks = datasets.read(spark, sf, "conversations").selectExpr(
+        "conv_id % 3 AS conv_id", "CASE WHEN turn % 5 <> 0 THEN turn DIV 3 END AS turn", "role",
+        "text || ' ' || conv_id || '/' || turn AS text")
+    return textqa.trim_conversations(talks, 9000, turns_per_block=16).select("conv_id", "turn", "role", "text")
 
 
 def replies(spark, sf):

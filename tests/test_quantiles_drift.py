@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewarden.functions.quantiles import exact_quantiles, rank_counts, select_ranks
 from tablewarden.operators import drift
@@ -164,9 +165,13 @@ def test_moved_column_is_spread_over_ranges(make):
     from tablewarden.operators import drift
     rng = np.random.default_rng(9)
     a, b = make("x double", [(float(v),) for v in rng.normal(0, 1, 4000)]), make("x double", [(float(v) + 50,) for v in rng.normal(0, 1, 4000)])
-    breaks = drift.range_breaks(a.unionByName(b), ["x"], 8000, 200)
-    sizes = [r["n"] for df in (a, b) for r in drift.bucket_counts(df, breaks).collect()]
-    assert len(breaks["x"]) > 30 and max(sizes) <= 400
+    counted = drift.ranged_counts(a, b, ["x"], 40)
+    sizes = [r["n"] for r in counted.groupBy("part").agg(F.sum(F.col("r") + F.col("c")).alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 2000                     # both samples are split, not the reference's alone
+    edges = counted.groupBy("part").agg(F.min("value").alias("low"), F.max("value").alias("high")).orderBy("part").collect()
+    assert all(x["high"] < y["low"] for x, y in zip(edges, edges[1:]))
+    text = drift.two_sample_ks(a, b, ["x"], 8000, 200)._jdf.queryExecution().toString()
+    assert "LocalTableScan" not in text.split("== Physical Plan ==")[1] and "rebroadcast" not in text
     assert drift.two_sample_ks(a, b, ["x"], 8000, 200).first()["ks_d"] == 1.0
 
 

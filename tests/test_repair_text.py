@@ -266,3 +266,25 @@ def test_trim_matches_a_walk_over_messages(spark, make, block):
         expected |= {(r[0], r[1]) for r in kept or newest[:1]}
     got = textqa.trim_conversations(make("conv_id long, turn long, text string", rows), budget, block)
     assert {(r["conv_id"], r["turn"]) for r in got.collect()} == expected and got.columns == ["conv_id", "turn", "text"]
+
+
+def test_trim_with_equal_and_missing_turns(make):
+    """No block above its bound, and one defined answer."""
+    import hashlib
+    import random
+    rng = random.Random(4)
+    rows = [(c, None if c == 1 or rng.random() < 0.2 else rng.randint(0, 3), f"{i} " + "x" * rng.choice([0, 3, 30])) for i in range(900) for c in (rng.choice([0, 1, None]),)]
+    expected = []
+    for conv in (0, 1, None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(r[2].encode()).hexdigest()), reverse=True)
+        used = 0
+        for k, r in enumerate(own):
+            used += len(r[2])
+            if used > 700 and k:
+                break
+            expected.append(r)
+    messages = make("conv_id long, turn long, text string", rows)
+    for block in (4, 32, 4096):
+        got = textqa.trim_conversations(messages.withColumn("chars", F.lit("mine")), 700, block)
+        assert got.columns == ["conv_id", "turn", "text", "chars"]
+        assert sorted(map(str, ((r["conv_id"], r["turn"], r["text"]) for r in got.collect()))) == sorted(map(str, expected))
