@@ -43,15 +43,16 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL").withColumn("h", F.xxhash64("value"))
 
 
-def _sketched(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], list[tuple[str, int]]]:
-    """Non-missing values of each column, and the hashes of its frequent ones, from one scan with mergeable sketches."""
+def _sketched(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], dict[str, list[tuple[int, int]]]]:
+    """Non-missing values of each column, and hashes of its frequent ones with estimated counts, from one scan with
+    mergeable sketches."""
     asked = []
     for k, c in enumerate(columns):
         x = f"CAST({quoted(c)} AS STRING)"
         asked += [F.expr(f"count({x})").alias(f"n{k}"),
                   F.expr(f"approx_top_k(CASE WHEN {x} IS NOT NULL THEN xxhash64({x}) END, {TRACKED}, {TRACKED})").alias(f"top{k}")]
     row = df.agg(*asked).first()
-    found = [(c, item["item"]) for k, c in enumerate(columns) for item in row[f"top{k}"] or () if item["item"] is not None]
+    found = {c: [(i["item"], i["count"]) for i in row[f"top{k}"] or () if i["item"] is not None] for k, c in enumerate(columns)}
     return {c: row[f"n{k}"] for k, c in enumerate(columns)}, found
 
 
@@ -82,19 +83,24 @@ def top_values(df: DataFrame, columns: list[str], top: int = config.SNAPSHOT_TOP
     """
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     n_values, frequent = _sketched(df, columns)
-    spark = df.sparkSession
-    wanted = local_frame(spark, frequent, "column string, h long")                 # at most TRACKED for each column
-    counted = settled(_recounted(df, columns, F.broadcast(wanted)))
-    ranked = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
-    sums = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    last = {r["column"]: r["n"] for r in ranked.where(F.col("place") == top).select("column", "n").collect()}
-    open_ = [c for c in columns if sums.get(c, 0) != n_values[c] and last.get(c, 0) <= 2 * SKETCH_ERROR / TRACKED * n_values[c]]
-    if not open_:
-        return ranked
-    wanted = settled(_by_hash(df, open_, top))
-    again = _recounted(df, open_, small_or_shuffled(wanted))
-    again = again.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
-    return ranked.where(~F.col("column").isin(open_)).unionByName(again)
+    missed = {c: 2 * SKETCH_ERROR / TRACKED * n for c, n in n_values.items()}
+    hopeful = [c for c in columns if sum(n for _, n in frequent[c]) >= n_values[c]
+               or sum(n > missed[c] for _, n in frequent[c]) >= top]               # estimates are never too small
+    parts, open_ = [], [c for c in columns if c not in hopeful]
+    if hopeful:
+        wanted = local_frame(df.sparkSession, [(c, h) for c in hopeful for h, _ in frequent[c]], "column string, h long")   # TRACKED a column
+        counted = settled(_recounted(df, hopeful, F.broadcast(wanted)))
+        ranked = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+        sums = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        last = {r["column"]: r["n"] for r in ranked.where(F.col("place") == top).select("column", "n").collect()}
+        unsettled = [c for c in hopeful if sums.get(c, 0) != n_values[c] and last.get(c, 0) <= missed[c]]
+        open_ += unsettled
+        parts.append(ranked.where(~F.col("column").isin(unsettled)))
+    if open_:
+        wanted = settled(_by_hash(df, open_, top))
+        again = _recounted(df, open_, small_or_shuffled(wanted))
+        parts.append(again.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top))
+    return union_all(parts)
 
 
 def numeric_columns(df: DataFrame, rows: Mapping[str, object]) -> list[str]:
