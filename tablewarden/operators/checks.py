@@ -21,7 +21,7 @@ from tablewarden.functions.quantiles import as_double, exact_quantiles
 from tablewarden.functions.scoring import severity
 from tablewarden.operators.profile import Tables, profile_tables, table_sizes
 from tablewarden.operators.references import Link, key_uses
-from tablewarden.runtime import (comparable_column, is_numeric, is_plain, local_frame, present, quoted, settled,
+from tablewarden.runtime import (comparable_column, is_numeric, is_plain, local_frame, quoted, settled,
                                  side_by_side, union_all)
 from tablewarden.schemas import ISSUE, TableMeta
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
