@@ -23,12 +23,14 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def products(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers held as doubles; beyond 64 bits they saturate."""
+    """Exact inner products of whole numbers held as doubles; one that does not fit into 64 bits is an error."""
     most = float(np.abs(matrix).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query)
     if most < 2 ** 53:
         return (matrix @ query).astype(np.int64)
     exact = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in matrix]
-    return np.array([max(-2 ** 63, min(2 ** 63 - 1, x)) for x in exact], np.int64)
+    if any(not -2 ** 63 <= x < 2 ** 63 for x in exact):
+        raise OverflowError("an inner product does not fit into 64 bits")
+    return np.array(exact, np.int64)
 
 
 def candidates(matrix: np.ndarray, lengths: np.ndarray, query: np.ndarray, floor: float) -> np.ndarray:
