@@ -1,5 +1,6 @@
 """Pieces, packing, id files and the transducer against the libraries and brute force."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -54,33 +55,92 @@ def test_special_strings_are_plain_text():
 
 # ---- packing
 
-@settings(max_examples=100, deadline=None)
-@given(counts=st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
-def test_sweep_is_best_fit_decreasing(counts):
-    capacity, gaps = 40, []
+def best_fit_decreasing(counts, capacity):
+    """Number of sequences when pieces, longest first, each take the smallest gap that holds them."""
+    gaps = []
     for length in sorted(counts, reverse=True):
         for _ in range(counts[length]):
-            fits = [g for g in gaps if g >= length]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - length)
-            else:
-                gaps.append(capacity - length)
-    runs, opened = packing.sweep(counts, capacity)
-    assert opened == len(gaps)
+            at = bisect.bisect_left(gaps, length)
+            gap = gaps.pop(at) if at < len(gaps) else capacity
+            bisect.insort(gaps, gap - length)
+    return len(gaps)
+
+
+@settings(max_examples=200, deadline=None)
+@given(rows=st.lists(st.tuples(st.sampled_from([packing.PIECE, packing.GAP]), st.integers(1, 40), st.integers(1, 6)), max_size=14))
+def test_sweep_gives_every_piece_the_successor_that_longer_ones_left(rows):
+    capacity, seen, at = 40, [], [0, 0]
+    for kind, size, count in rows:
+        seen.append((size, kind, at[kind], count))
+        at[kind] += count
+    out = packing.sweep(*(np.array(c, np.int64) for c in zip(*seen)), capacity) if seen else []
+    sizes = {first + i: size for size, kind, first, n in seen for i in range(n) if kind == packing.GAP}
+    free, want, left = sorted((g, s) for s, g in sizes.items()), {}, []
+    for size, kind, first, n in sorted(seen, key=lambda r: (-r[0], r[2])):
+        room, sequence = 0, None
+        for piece in range(first, first + n) if kind == packing.PIECE else ():
+            if room < size and free and free[-1][0] >= size:
+                room, sequence = free.pop(bisect.bisect_left(free, (size,)))
+            if room < size:
+                left.append((piece, size))
+                continue
+            room -= size
+            want.setdefault(sequence, []).append((size, piece))
+    got, rest = {}, []
+    for kind, size, first, n, sequence, each, offset in out:
+        for i in range(n) if kind == packing.PLACED else ():
+            got.setdefault(sequence + i // each, []).append((size, first + i))
+        rest += [(first + i, size) for i in range(n)] if kind == packing.PIECE else []
+    assert sorted(rest) == sorted(left)
+    assert sorted((sizes[s], sorted(v)) for s, v in got.items()) == sorted((sizes[s], sorted(v)) for s, v in want.items())
+    after = {first + i: size for kind, size, first, n, *_ in out if kind == packing.GAP for i in range(n)}
+    assert after == {s: g - sum(x for x, _ in got.get(s, [])) for s, g in sizes.items() if g > sum(x for x, _ in got.get(s, []))}
+
+
+@pytest.mark.parametrize("counts, capacity", [
+    ({n: 1 + n * 37 % 23 for n in range(1, 65)}, 64),
+    ({n: 40 for n in range(9, 31, 3)}, 100),
+    ({1: 1000, 33: 400, 64: 3}, 64),             # a third of the pieces has one length
+    ({64: 5}, 64), ({1: 1}, 64), ({33: 7, 31: 7}, 64)])
+def test_rounds_place_every_piece_in_about_as_few_sequences_as_best_fit_decreasing(spark, counts, capacity):
+    rounds, sequences = packing.plan(spark.createDataFrame(list(counts.items()), "length long, n long"), capacity)
+    fill, ranks = {}, []
+    runs = packing.placements(rounds).T.tolist()
+    ends = [first for first, *_ in runs[1:]] + [sum(counts.values())]
+    for (first, sequence, each, offset, length), end in zip(runs, ends):
+        for i in range(end - first):
+            ranks.append((first + i, length))
+            fill.setdefault(sequence + i // each, []).append((offset + i % each * length, length))
+    assert ranks == list(enumerate(n for n in sorted(counts, reverse=True) for _ in range(counts[n])))
+    assert set(fill) == set(range(sequences))
+    for places in fill.values():
+        assert [o for o, _ in sorted(places)] == np.cumsum([0] + [n for _, n in sorted(places)])[:-1].tolist()
+        assert sum(n for _, n in places) <= capacity
+    best = best_fit_decreasing(counts, capacity)
+    assert sequences <= best + 1 + best // 100
+
+
+def test_pack_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs, WORD).collect()
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}
+    want, counts, library = {}, {}, Tokenizer.from_file(WORD)
+    library.encode_special_tokens = True
+    for r in docs.select("doc_id", "text").collect():
+        ids = np.array(library.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start:start + 4096]
+            want[r["doc_id"], piece] = (start, len(part), zlib.crc32(part.tobytes()))
+            counts[len(part)] = counts.get(len(part), 0) + 1
+    assert len(rows) == len(want) and got == want
     fill = {}
-    total = sum(counts.values())
-    for rank in range(total):
-        run = runs[np.searchsorted(runs[:, 0], rank, side="right") - 1]
-        inside = rank - run[0]
-        fill.setdefault(run[1] + inside // run[2], []).append((run[3] + inside % run[2] * run[4], run[4]))
+    for r in rows:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for places in fill.values():
-        at = 0
-        for offset, length in sorted(places):
-            assert offset == at
-            at += length
-        assert at <= capacity
-    assert sorted(g for g in gaps) == sorted(capacity - sum(n for _, n in p) for p in fill.values())
+        assert [o for o, _ in sorted(places)] == np.cumsum([0] + [n for _, n in sorted(places)])[:-1].tolist()
+        assert sum(n for _, n in places) <= 4096
+    best = best_fit_decreasing(counts, 4096)
+    assert len(fill) <= best + 1 + best // 100
 
 
 def test_pack_edge_texts(edge_docs):
