@@ -2,7 +2,7 @@
 
 A page becomes its sequence of leaves: runs of text between block tags, each with the path of tags above it.  A
 bidirectional LSTM in numpy reads, leaf by leaf, hashed vectors of the path and of all words, and labels every leaf
-as main text or not from the whole page.  It is trained here on a bounded sample of the pages: their own leaves,
+as main text or not from the whole page.  Class names that training did not see often are all one to it.  It is trained here on a bounded sample of the pages: their own leaves,
 labelled where the page's elements say what they are, and the same texts laid out anew in many other ways, where the
 layout is known because it was made.
 """
@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +26,14 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import column, nonempty
 
 #: Bound of the training sample, in pages; leaves of a piece of a page that not all elements tell about; hashed path and word features; hidden units.
-PAGES, TRAIN_LEAVES, PATH, WORDS, HIDDEN = 240, 80, 224, 32, 16
+PAGES, TRAIN_LEAVES, PATH, WORDS, HIDDEN = 240, 80, 256, 32, 20
 PAGES_AT_ONCE, BYTES_AT_ONCE = 256, 4_000_000
 #: Leaves of a training page that are learned in one piece; a longer page is several pieces.
 WHOLE_LEAVES = 512
+#: Training pages in which a class name must occur to be told from others, and what stands for all others.
+KNOWN_IN, UNNAMED = 5, "unnamed"
+#: Made layouts for each page of the sample's bound, and how often all pages are gone through.
+LAYOUTS, EPOCHS = 6, 6
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -128,7 +133,8 @@ class _Slots(dict):
 
 _PATHS, _WORDS = _Slots(PATH), _Slots(WORDS)
 _PATH_VECTORS: dict[tuple[str, ...], np.ndarray] = {}
-INPUTS = PATH + WORDS + 4
+MEASURES = 7
+INPUTS = PATH + WORDS + MEASURES
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
@@ -143,15 +149,26 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
             if depth == len(path) - 1:
                 keys.append(f"last:{tag}")
         for key in keys:
-            slot = _PATHS[key]
-            vector[slot >> 1] += 1 if slot & 1 else -1
+            for slot in (_PATHS[key], _PATHS[f"2{key}"]):              # two places, so that one shared by chance says little
+                vector[slot >> 1] += 1 if slot & 1 else -1
         if len(_PATH_VECTORS) < 20_000:
             _PATH_VECTORS[path] = vector
     return vector
 
 
+def _common(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """How many elements two paths begin with alike."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def vectors(page: list[Leaf]) -> np.ndarray:
-    """One row per leaf: hashed path, hashed words, and four measures of its length and punctuation."""
+    """One row per leaf: hashed path, hashed words, measures of its length and punctuation, and what it shares with its neighbours' paths."""
+    together = [0, *(_common(a.path, b.path) for a, b in zip(page, page[1:])), 0]
     out = np.zeros((len(page), INPUTS), np.float32)
     for i, leaf in enumerate(page):
         words = leaf.text.split(" ")
@@ -160,10 +177,26 @@ def vectors(page: list[Leaf]) -> np.ndarray:
         out[i, PATH:PATH + WORDS] = (slots[1::2] - slots[::2]) / np.sqrt(len(words))
         n = len(leaf.text)
         out[i, PATH + WORDS:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, (leaf.text.count(".") + leaf.text.count(",")) / n * 10,
-                                 leaf.text[-1] in ".!?:;")
+                                 leaf.text[-1] in ".!?:;", len(leaf.path) / 4, (len(leaf.path) - together[i]) / 2,
+                                 (len(leaf.path) - together[i + 1]) / 2)
     return out
 
 
+def names_in(page: list[Leaf]) -> set[str]:
+    """The words of all class names, ids and roles above the leaves of a page."""
+    return {w for name in {name for leaf in page for name in leaf.path} for w in _WORD.findall(name.partition(" ")[2])}
+
+
+def renamed(page: list[Leaf], known: frozenset[str]) -> list[Leaf]:
+    """The leaves with one word in place of every name that is not known, so that no two unknown names differ."""
+    def plain(name: str) -> str:
+        tag, _, rest = name.partition(" ")
+        return " ".join([tag, *sorted({w if w in known else UNNAMED for w in _WORD.findall(rest)})])
+
+    paths = {path: tuple(map(plain, path)) for path in {leaf.path for leaf in page}}
+    return [Leaf(paths[leaf.path], leaf.text) for leaf in page]
+
+
 # ---- the network
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,7 +249,7 @@ def chances(pages: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarra
         x, mask = np.zeros((len(group), steps, INPUTS), np.float32), np.zeros((len(group), steps), bool)
         for r, i in enumerate(group):
             x[r, :len(pages[i])], mask[r, :len(pages[i])] = pages[i], True
-        small = {k: v.astype(np.float32) for k, v in w.items()}
+        small = {k: v.astype(np.float32) for k, v in w.items() if k != "names"}
         both = np.concatenate([_run(x, mask, small, "f"), _run(x, mask, small, "b")], axis=2)
         p = _sigmoid(both @ small["V"] + small["c"])
         for r, i in enumerate(group):
@@ -243,7 +276,7 @@ def _gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: dict[str, np.n
             dz_all[:, t] = dz
             du += h.T @ dz
             dh, dc = np.where(on, 0, dh) + dz @ w[f"U{side}"].T, np.where(on, dcn * f, dc)
-        grad[f"W{side}"] = np.einsum("nti,ntk->ik", x, dz_all)
+        grad[f"W{side}"] = x.reshape(-1, INPUTS).T @ dz_all.reshape(-1, 4 * HIDDEN)
         grad[f"U{side}"], grad[f"b{side}"] = du, dz_all.sum(axis=(0, 1))
     return grad
 
@@ -266,18 +299,30 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batc
                 n = len(pages[i])
                 x[r, :n], y[r, :n], mask[r, :n] = of(pages[i]), labels[i], True
             step += 1
+            now = rate * max(0.05, 1 - step / (epochs * len(groups)))              # smaller and smaller steps
             for k, g in _gradients(x, y, mask, w).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                w[k] -= rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)
+                w[k] -= now * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)
     return w
 
 
 # ---- what it learns from
 
 _CHROME = frozenset("nav footer aside form header head title menu button select option label dialog fieldset".split())
-_CHROME_NAMES = frozenset("ad ads advert advertisement banner comment comments cookie cookies consent footer header menu nav navbar notice "
-                          "newsletter promo related share sidebar social sponsored subscribe widget breadcrumb popup".split())
+#: Kinds of blocks that are no main text: elements of their own, names that tell them, fewest and most leaves.
+_EXTRAS = {"menu": ("nav menu", "breadcrumb menu nav navbar", 1, 8), "header": ("header", "banner header", 1, 2),
+           "ad": ("aside", "ad ads advert advertisement banner promo sponsored", 1, 2),
+           "notice": ("dialog", "consent cookie cookies notice popup", 1, 2),
+           "side": ("aside", "related share sidebar social widget", 1, 5), "form": ("form fieldset", "newsletter subscribe", 1, 4),
+           "comments": ("", "comment comments", 1, 7), "footer": ("footer", "footer", 1, 4)}
+_CHROME_NAMES = frozenset(name for _, names, _, _ in _EXTRAS.values() for name in names.split())
+#: What lies between a block of a kind and its text.
+_INNER = {"header": (["h1"], ["h1"], ["p"], [], ["div"]), "menu": (["ul", "li"], ["ul", "li"], ["li"], []), "form": ([], ["label"], ["p"], ["button"], ["div", "label"]),
+          "comments": (["p"], ["div comment", "p"], ["article comment", "p"], ["li", "p"], ["ul", "li"])}
+#: Elements around main text whose names tell it.
+_BOXES = (["article"], ["main"], ["main", "article"], ["div content"], ["div post"], ["section entry content"], ["div id article body"],
+          ["article post"], ["div main"], ["section"], [])
 
 
 def said_by_elements(leaf: Leaf) -> bool | None:
@@ -293,50 +338,67 @@ def said_by_elements(leaf: Leaf) -> bool | None:
     return True if inside else None
 
 
+def _nameless(rng: random.Random) -> str:
+    """A class name that says nothing."""
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 7)))
+
+
+def _short(text: str, rng: random.Random) -> str:
+    """A few words from anywhere in a text, or a number."""
+    if rng.random() < 0.2:
+        return str(rng.randint(0, 10 ** rng.randint(1, 5)))
+    words = text.split(" ")
+    at = rng.randrange(len(words))
+    return " ".join(words[at:at + rng.choice([1, 1, 2, 3, 5, 8, 12])])
+
+
+def _main_block(text: str, rng: random.Random) -> list[tuple[list[str], str]]:
+    """A block of main text: paths inside the main element, and the text of each leaf."""
+    few = lambda low, high: range(rng.randint(low, high))      # noqa: E731
+    kind = rng.choices(["p", "bare", "quote", "head", "list", "table", "pre", "terms", "figure"], [56, 5, 4, 8, 14, 6, 4, 3, 2])[0]
+    if kind == "list":
+        path = [rng.choice(["ul", "ol"]), "li"] + rng.choice([[], [], ["p"]])
+        return [(path, _short(text, rng) if rng.random() < 0.7 else text) for _ in few(1, 7)]
+    if kind == "table":
+        rows = ["table"] + rng.choice([[], ["tbody"]]) + ["tr"]
+        heads = [(["table", "tr", "th"], _short(text, rng)) for _ in few(0, 4)]
+        return heads + [(rows + ["td"], _short(text, rng)) for _ in few(1, 10)]
+    if kind == "terms":
+        return [(["dl", rng.choice(["dt", "dd"])], _short(text, rng)) for _ in few(2, 6)]
+    if kind in ("head", "figure"):
+        return [([rng.choice(["h2", "h3", "h4"])] if kind == "head" else ["figure", "figcaption"], _short(text, rng))]
+    if kind == "pre":
+        return [(["pre"], rng.choice([f"{_short(text, rng)} = {_short(text, rng)}()", _short(text, rng), text]))]
+    path = {"p": ["p"], "bare": [], "quote": ["blockquote"] + rng.choice([[], ["p"]])}[kind]
+    return [(path, text if rng.random() < 0.85 else _short(text, rng))]
+
+
 def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[list[Leaf], list[bool]]:
     """A page of known layout: ``texts`` as main text, or none, between pieces of chrome."""
     page: list[Leaf] = []
     labels: list[bool] = []
     shell = rng.choice([["html", "body"], ["html", "body"], [], ["html", "body", "div page"], ["html", "body", "div id wrapper"]])
+    shell = shell + [f"div {_nameless(rng)}" for _ in range(rng.choice([0, 0, 0, 1, 2]))]
 
     def put(path: list[str], text: str, main: bool) -> None:
         page.append(Leaf(tuple(shell + path), text))
         labels.append(main)
 
-    def some(low: int, high: int) -> list[str]:
-        return [rng.choice(chrome) for _ in range(rng.randint(low, high))]
-
-    def long() -> str:
-        return rng.choice(texts) if texts and rng.random() < 0.5 else rng.choice(chrome)
-
     def extra(kind: str, base: list[str]) -> None:
-        if kind == "menu":
-            box = rng.choice([["nav", "ul", "li"], ["ul menu", "li"], ["div navbar", "ul", "li"], ["header", "nav", "ul", "li"], ["div nav menu"], ["nav"]])
-            for t in some(1, 8):
-                put(base + box, t.split(" ")[0], False)
-        elif kind == "header":
-            put(base + rng.choice([["header"], ["div header"], ["header", "h1"], ["div banner", "p"]]), long()[:60], False)
-        elif kind == "ad":
-            put(base + rng.choice([["div ad"], ["div ads"], ["aside advert", "p"], ["div sponsored", "p"], ["section promo"]]), long(), False)
-        elif kind == "notice":
-            put(base + rng.choice([["div cookie notice", "p"], ["div notice"], ["div consent", "p"], ["dialog", "p"]]), long(), False)
-        elif kind == "side":
-            box = rng.choice([["aside"], ["div sidebar"], ["aside sidebar", "ul", "li"], ["div related", "ul", "li"], ["aside", "p"]])
-            for t in some(1, 5):
-                put(base + box, t if rng.random() < 0.5 else long(), False)
-        elif kind == "form":
-            box = rng.choice([["form", "label"], ["form newsletter", "p"], ["form"], ["div subscribe", "form", "button"]])
-            for t in some(1, 3):
-                put(base + box, t, False)
-        elif kind == "comments":
-            box = rng.choice([["section comments", "p"], ["div comments", "div comment", "p"], ["div comments", "ul", "li"], ["section comments", "article comment", "p"], ["ol comment list", "li", "p"]])
-            put(base + box[:1] + ["h3"], rng.choice(chrome)[:30], False)
-            for _ in range(rng.randint(1, 6)):
-                put(base + box, long(), False)
+        own, names, low, high = _EXTRAS[kind]
+        told = rng.choice(names.split()) + (f" {_nameless(rng)}" if rng.random() < 0.3 else "")
+        if own and rng.random() < 0.5:
+            box = [rng.choice(own.split()) + rng.choice(["", "", f" {told}", f" {_nameless(rng)}"])]
         else:
-            box = rng.choice([["footer"], ["div footer"], ["footer", "p"], ["div footer", "ul", "li"]])
-            for t in some(1, 4):
-                put(base + box, t, False)
+            box = [f"{rng.choice(['div', 'div', 'section', 'aside', 'ul' if kind == 'menu' else 'p'])} {told}"]
+        if rng.random() < 0.2:
+            box = [f"div {_nameless(rng)}"] + box
+        choices = _INNER.get(kind, ([], ["p"], ["p"], ["ul", "li"], ["h3"], [f"div {_nameless(rng)}"]))
+        inner = rng.choice(choices)
+        for _ in range(rng.randint(low, high)):
+            long = rng.choice(texts) if texts and rng.random() < 0.5 else rng.choice(chrome)
+            text = long if kind != "menu" and rng.random() < 0.7 else _short(long, rng)
+            put(base + box + (inner if rng.random() < 0.9 else rng.choice(choices)), text, False)
 
     put(["head", "title"], (texts or chrome)[0][:60], False) if rng.random() < 0.8 else None
     if page:
@@ -344,15 +406,17 @@ def laid_out(texts: list[str], chrome: list[str], rng: random.Random) -> tuple[l
     for kind in ("header", "menu", "notice", "ad", "side"):
         if rng.random() < 0.5:
             extra(kind, [])
-    box = rng.choice([["article"], ["main"], ["main", "article"], ["div content"], ["div post"], ["section entry content"], ["div id article body"],
-                      ["article post"], ["div main"], ["section"], ["article"]])
+    box = rng.choice(_BOXES) if rng.random() < 0.6 else [
+        f"{rng.choice(['div', 'div', 'section'])} {_nameless(rng)}" for _ in range(rng.randint(1, 3))]
     if texts and rng.random() < 0.7:
-        put(box + rng.choice([["h1"], ["header", "h1"], ["h2"]]), texts[0][:60], True)
+        told = any(part.split(" ")[0] in ("article", "main") for part in box)
+        put(box + rng.choice([["h1"], ["h1"], ["h2"], ["h3"], ["header", "h1"] if told else ["h2"]]), texts[0][:60] if rng.random() < 0.5 else _short(texts[0], rng), True)
     for t in texts:
-        kind = rng.random()
-        put(box + (["p"] if kind < 0.8 else [] if kind < 0.85 else ["ul", "li"] if kind < 0.9 else ["blockquote", "p"] if kind < 0.95 else ["h2"]), t, True)
-        if rng.random() < 0.05:
-            extra(rng.choice(["ad", "form", "side"]), box)
+        part = [f"div {_nameless(rng)}"] if rng.random() < 0.1 else []
+        for path, text in _main_block(t, rng):
+            put(box + part + path, text, True)
+        if rng.random() < 0.1:
+            extra(rng.choice(["ad", "ad", "form", "side"]), box)
     for kind in ("comments", "side", "ad", "form", "notice", "menu", "footer"):
         if rng.random() < (0.8 if kind == "footer" else 0.4):
             extra(kind, box if kind in ("comments", "form") and rng.random() < 0.2 else [])
@@ -379,7 +443,12 @@ def train(pages: DataFrame, sample: int = PAGES, whole: int = WHOLE_LEAVES, part
     rows = pages.where(F.col("html").isNotNull()).select("html", F.xxhash64("html").alias("mark"))
     chosen = rows.groupBy(F.pmod("mark", F.lit(sample)).alias("slot")).agg(F.min("mark").alias("mark"))
     got = rows.join(F.broadcast(chosen.select("mark")), "mark").dropDuplicates(["mark"]).orderBy("mark").collect()
-    parsed = [leaves(r["html"]) for r in got]
+    return learn([r["html"] for r in got], sample, whole, part)
+
+
+def learn(pages: list[str], sample: int = PAGES, whole: int = WHOLE_LEAVES, part: int = TRAIN_LEAVES) -> dict[str, np.ndarray]:
+    """Weights from all of ``pages`` and ``LAYOUTS`` * ``sample`` made layouts of their texts."""
+    parsed = [leaves(p) for p in pages]
     told = [[said_by_elements(leaf) for leaf in page] for page in parsed]
     main = [[leaf.text for leaf, s in zip(page, t) if s] for page, t in zip(parsed, told)]
     chrome = [leaf.text for page, t in zip(parsed, told) for leaf, s in zip(page, t) if s is False] or ["menu", "home page", "all rights reserved"]
@@ -391,13 +460,20 @@ def train(pages: DataFrame, sample: int = PAGES, whole: int = WHOLE_LEAVES, part
         for leaf_piece, labels in pieces(page, t, whole, part):
             x.append(leaf_piece)
             y.append(labels)
-    for _ in range(2 * sample):
+    for _ in range(LAYOUTS * sample):
         texts = rng.choice(main)
         start = rng.randrange(len(texts))
         page, labels = laid_out(texts[start:start + rng.randint(1, 25)] if rng.random() < 0.9 else [], chrome, rng)
         x.append(page)
         y.append(np.array(labels, float))
-    return fit(x, y, of=vectors)
+    known = names_known(x)
+    return {**fit([renamed(page, known) for page in x], y, epochs=EPOCHS, of=vectors), "names": np.array(sorted(known), str)}
+
+
+def names_known(pages: list[list[Leaf]]) -> frozenset[str]:
+    """Names that occur in at least ``KNOWN_IN`` of the pages."""
+    seen = Counter(name for page in pages for name in names_in(page))
+    return frozenset(name for name, n in seen.items() if n >= KNOWN_IN)
 
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
@@ -406,6 +482,8 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     The leaves labelled main text, in order, joined by one space.  A null, empty or textless page gives an empty text.
     Extra columns are not read; repeated rows each give a row.
     """
+    known = frozenset(weights["names"].tolist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             sizes = np.cumsum(pc.fill_null(pc.binary_length(column(batch, "html")), 0).to_numpy(zero_copy_only=False))
@@ -414,7 +492,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
                 stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")))
                 part = batch.slice(at, stop - at)
                 at = stop
-                parsed = [leaves(p) for p in column(part, "html").to_pylist()]
+                parsed = [renamed(leaves(p), known) for p in column(part, "html").to_pylist()]
                 found = chances([vectors(p) for p in parsed], weights)
                 texts = [" ".join(leaf.text for leaf, p in zip(page, ps) if p >= 0.5) for page, ps in zip(parsed, found)]
                 yield pa.RecordBatch.from_arrays([column(part, "page_id"), column(part, "url"), pa.array(texts, pa.string()),

@@ -15,6 +15,7 @@ from tablewarden.llm.common import held_out, table
 from tablewarden.llm.components import components
 
 from .conftest import EDGE_TEXTS
+from .hand_pages import made_pages
 
 SF = "/root/testdata/sf0.01"
 
@@ -294,6 +295,20 @@ def test_main_text_of_pages(spark):
     assert html_text.extract(edge.limit(0), html_text.train(edge.limit(0))).count() == 0
 
 
+def test_main_text_of_held_out_and_hand_made_pages(spark):
+    pages = table(spark, SF, "pages")
+    mine = F.crc32(F.col("page_id").cast("string").cast("binary")) % 4 == 2
+    weights = html_text.train(pages.where(~mine))
+    for r in html_text.extract(pages.where(mine), weights).join(pages.select("page_id", "html"), "page_id").collect():
+        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        assert r["text"] == " ".join(leaf.text for leaf in html_text.leaves(inside))
+    made = list(made_pages())
+    frame = spark.createDataFrame([(i, None, page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(frame, weights).collect()}
+    right = sum(got[i] == " ".join(leaf.text for leaf in html_text.leaves(inside)) for i, (_, inside) in enumerate(made))
+    assert right >= 0.95 * len(made) and len(made) >= 40
+
+
 def test_unseen_layouts():
     rng = random.Random(5)
     main = [[f"Sentence {k} of text number {n}, with some more words in it." * rng.randint(1, 4) for k in range(12)] for n in range(30)]
@@ -312,10 +327,10 @@ def test_main_text_learns_from_whole_pages(spark, monkeypatch):
     page = ("<html><body><article>" + "".join(f"<p>paragraph {i} of a long page</p>" for i in range(100)) + "</article><section class='comments'>"
             + "".join(f"<p>comment {i}</p>" for i in range(20)) + "</section><footer>the end</footer></body></html>")
     seen = []
-    monkeypatch.setattr(html_text, "fit", lambda x, y, **_: seen.append((x, y)))
+    monkeypatch.setattr(html_text, "fit", lambda x, y, **_: seen.append((x, y)) or {})
     html_text.train(spark.createDataFrame([(page,)], "html string"), sample=4)
     x, y = seen[0]
-    real = list(zip(x, y))[:-8]                                       # the made layouts come last, two for each page of the sample
+    real = list(zip(x, y))[:-4 * html_text.LAYOUTS]                   # the made layouts come last
     assert [len(p) for p, _ in real] == [121] and real[0][1].tolist() == [1] * 100 + [0] * 21
     told = [None if i == 90 else True for i in range(170)]
     got = [(p[0].text, len(t)) for p, t in html_text.pieces([html_text.Leaf((), str(i)) for i in range(170)], told, 512, 80)]
