@@ -20,6 +20,8 @@ _WORD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _U = np.uint64
 #: Bytes of text worked on at once: powers and running sums take 8 bytes for each of them, several times.
 WORK_BYTES = 1_000_000
+#: Bytes hashed at once, of a text longer than that: what powers and sums of bytes take does not grow with the text.
+PART_BYTES = 2_000_000
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,11 +59,30 @@ class Words:
         return np.cumsum(self.counts) - self.counts
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        base = _BYTE[which]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + _U(1)) * _power(base, len(self.data)))])
-        back = _power(_inverse(base), len(self.data) + 1)
-        length = (self.ends - self.starts).astype(np.uint64)
-        return mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + length * _U(0x9FB21C651E98DF25))
+        """The hash of each word; a word's hash does not depend on where it stands, so long slices are hashed in parts."""
+        base, sizes = _BYTE[which], self.ends - self.starts
+        values, at = np.zeros(len(self.starts), np.uint64), 0
+        while at < len(self.starts):
+            start = int(self.starts[at])
+            stop = int(np.searchsorted(self.ends, start + PART_BYTES, side="right"))
+            if stop <= at:                                       # one word longer than a part
+                values[at], at = _sum(self.data[start:int(self.ends[at])], base), at + 1
+                continue
+            part = self.data[start:int(self.ends[stop - 1])].astype(np.uint64) + _U(1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _power(base, len(part)))])
+            first, last = self.starts[at:stop] - start, self.ends[at:stop] - start
+            values[at:stop] = (sums[last] - sums[first]) * _power(_inverse(base), len(part) + 1)[first]
+            at = stop
+        return mix(values + sizes.astype(np.uint64) * _U(0x9FB21C651E98DF25))
+
+
+def _sum(data: np.ndarray, base: int) -> np.uint64:
+    """The polynomial of a run of bytes of any length."""
+    total = 0
+    for at in range(0, len(data), PART_BYTES):
+        part = data[at:at + PART_BYTES].astype(np.uint64) + _U(1)
+        total += int((part * _power(base, len(part))).sum(dtype=np.uint64)) * pow(base, at, 1 << 64)
+    return _U(total % (1 << 64))
 
 
 def find_words(texts: pa.Array) -> Words:

@@ -4,13 +4,15 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.llm import html_text, langid, near, quality, substrings
+from tablewarden.llm import html_text, langid, near, quality, substrings, words
 from tablewarden.llm.common import held_out, table
 from tablewarden.llm.components import components
 
@@ -24,6 +26,26 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
+def test_words_are_hashed_alike_in_parts(monkeypatch):
+    texts = pa.array(["some words of a text", None, "", "a" * 40 + " b " + "c" * 7 + "  d", "ä" * 30, "words of a"])
+    found = words.find_words(texts)
+    want = [found.hashes(k).tolist() for k in (0, 1)]
+    for size in (1, 3, 7, 8, 40, 64):
+        monkeypatch.setattr(words, "PART_BYTES", size)
+        assert [found.hashes(k).tolist() for k in (0, 1)] == want
+    assert want[0][-3:] == [want[0][k] for k in (1, 2, 3)]              # "words of a" again
+
+
+@pytest.mark.parametrize("text", ["seven77 " * 2_500_000, "x" * 20_000_000])
+def test_hashing_a_long_text_takes_little_memory(text):
+    found = words.find_words(pa.array([text]))
+    tracemalloc.start()
+    assert len(found.hashes()) == len(text.split())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250_000_000                              # a sum and powers over all bytes alone would be 480 MB
+
+
 def test_held_out_is_crc32_of_the_id(spark):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), held_out().alias("h")).collect()
     assert all(r["h"] == held(r["doc_id"]) for r in rows)
