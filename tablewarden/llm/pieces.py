@@ -1,8 +1,9 @@
 """Tokenising columns of whole texts piece by piece, each different piece once.
 
-A piece is a run without spaces together with the one space before it.  The tokenizers used here never merge
-across the start of such a piece, so their output on a text is the output on its pieces in order.  The one
-exception is a space that follows other white space; texts that hold one are given to the encoder whole.
+A piece starts where the splitting patterns of the tokenizers used here end a match whatever follows, so their output on
+a text is the output on its pieces in order.  That is so where white space begins, between an ASCII letter and an ASCII mark
+behind it, and between a letter and a single line break or tab before it.  Inside a run of white space, where patterns look
+ahead, no piece starts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,18 @@ import pyarrow.compute as pc
 
 #: Pieces remembered by a worker.  Later new pieces are encoded each time they occur, so memory is bounded.
 REMEMBERED = 500_000
+#: Bytes of the longest piece that is remembered.
+LONGEST = 256
 #: Bytes of text that are worked on at once; one longer text is its own slice.
 SLICE_BYTES = 2_000_000
 
 Encode = Callable[[Sequence[str]], list[Sequence[int]]]
 
+#: Kinds of bytes; from ``_SOLID`` on they may end a piece before white space.  Control characters are of no kind.
+_SPACE, _SOLID, _LETTER, _MARK = 1, 2, 3, 4
+_KIND = np.array([_SPACE if b in b"\t\n\v\f\r " else 0 if b < 0x20 or b == 0x7F else _LETTER if chr(b).isalpha() and b < 0x80
+                  else _SOLID if b >= 0x80 or chr(b).isdigit() else _MARK for b in range(256)], np.uint8)
+
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Parts of a string array, with the row they start at, of about ``most`` bytes."""
@@ -42,69 +50,78 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces start in the UTF-8 bytes of texts that lie one after the other, text i from ``bounds[i]`` on."""
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    kind = _KIND[data]
+    runs = np.flatnonzero((kind[1:] == _SPACE) & (kind[:-1] >= _SOLID)) + 1
+    far = runs[data[runs - 1] >= 0x80]                       # behind a character of several bytes: is it white space?
+    second, third = data[far - 2], data[np.maximum(far - 3, 0)]
+    unsure = (second == 0xC2) | ((third == 0xE2) & ((second == 0x80) | (second == 0x81)))
+    unsure |= ((third == 0xE1) & ((second == 0x9A) | (second == 0xA0))) | ((third == 0xE3) & (second == 0x80))
+    cut[runs] = True
+    cut[far[unsure]] = False
+    lines = runs[(data[runs] != 0x20) & (runs < n - 1)]
+    cut[lines[cut[lines] & (kind[lines + 1] == _LETTER)] + 1] = True
+    cut[1:n] |= (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+    cut[bounds] = True
+    return np.flatnonzero(cut[:n])
+
+
 class PieceEncoder:
     """Token ids of every text of a column by ``encode``, which maps texts to id sequences."""
 
     def __init__(self, encode: Encode, remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
-        self.known: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.known: dict[bytes, int] = {}
+        self.pool, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.n_ids = self.n_pieces = 0
 
-    def _add(self, ids: list[np.ndarray], odd: bool = False) -> None:
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        lengths = np.array([len(i) for i in ids], np.int32)
-        while self.n_ids + len(flat) > len(self.pool):
+    def _add(self, ids: list[Sequence[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(lengths.sum())
+        while self.n_ids + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         while self.n_pieces + len(ids) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         to = slice(self.n_pieces, self.n_pieces + len(ids))
-        self.pool[self.n_ids:self.n_ids + len(flat)] = flat
+        self.pool[self.n_ids:self.n_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts[to] = self.n_ids + np.cumsum(lengths) - lengths
-        self.lengths[to] = -1 if odd else lengths
-        self.n_ids, self.n_pieces = self.n_ids + len(flat), to.stop
+        self.lengths[to] = lengths
+        self.n_ids, self.n_pieces = self.n_ids + total, to.stop
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Where each piece is in the arrays; new ones are encoded and added."""
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each piece is in the arrays; new ones are encoded and added, those to remember first."""
         at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        for odd in (False, True):
-            new = [i for i in np.flatnonzero(at < 0).tolist() if (pieces[i][-1:].isspace() if pieces[i] else False) is odd]
-            base, keep = self.n_pieces, max(0, self.remembered - len(self.known))
-            texts = [pieces[i] for i in new]
-            self._add([np.zeros(0, np.uint32)] * len(texts) if odd else
-                      [np.array(ids, np.uint32) for ids in self.encode(texts)] if texts else [], odd)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            new.sort(key=lambda i: len(pieces[i]) > LONGEST)
+            base = self.n_pieces
+            self._add(self.encode([pieces[i].decode() for i in new]))
             at[new] = np.arange(base, base + len(new))
-            self.known.update(zip(texts[:keep], range(base, base + keep)))
+            keep = max(0, self.remembered - len(self.known))
+            self.known.update((pieces[i], base + k) for k, i in enumerate(new[:keep]) if len(pieces[i]) <= LONGEST)
         return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the number of ids of each text; a null text has none."""
-        n = len(texts)
-        parts = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        flat = parts.values.slice(bounds[0], bounds[-1] - bounds[0])
-        bounds = bounds - bounds[0]
-        first = np.zeros(len(flat), bool)
-        first[bounds[:-1]] = True
-        space, nothing = pa.scalar(" ", flat.type), pa.scalar("", flat.type)
-        spaced = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(space, flat, nothing))
-        coded = spaced.dictionary_encode()
-        before = self.n_ids, self.n_pieces, len(self.known)
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        if data is None or bounds[-1] == bounds[0]:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        data, bounds = data.slice(int(bounds[0]), int(bounds[-1] - bounds[0])), bounds - bounds[0]
+        starts = piece_starts(np.frombuffer(data, np.uint8), bounds)
+        edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, edges, data]).dictionary_encode()
         which = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        taken = self.lengths[which].astype(np.int64)
-        odd = taken < 0
-        taken[odd] = 0
+        taken = self.lengths[which]
         out = self.pool[ranges(self.starts[which], taken)]
-        if self.n_pieces - before[1] > len(self.known) - before[2]:      # full: what was just added is not kept
-            self.n_pieces = before[1] if len(self.known) == before[2] else self.n_pieces
-            self.n_ids = before[0] if len(self.known) == before[2] else self.n_ids
-        edges = np.concatenate([[0], np.cumsum(taken)])[bounds]
-        if not odd.any():
-            return out, np.diff(edges)
-        whole = np.flatnonzero(np.add.reduceat(odd, bounds[:-1]) > 0)
-        again = dict(zip(whole.tolist(), self.encode([texts[int(i)].as_py() or "" for i in whole])))
-        rows = [np.array(again[i], np.uint32) if i in again else out[edges[i]:edges[i + 1]] for i in range(n)]
-        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+        self.n_pieces = len(self.known)                                # what is not remembered goes
+        self.n_ids = int(self.starts[self.n_pieces - 1] + self.lengths[self.n_pieces - 1]) if self.n_pieces else 0
+        before = np.concatenate([[0], np.cumsum(taken)])
+        return out, np.diff(before[np.searchsorted(starts, bounds)])
 
 
 @lru_cache(maxsize=4)
@@ -129,23 +146,22 @@ def library_encoder(path: str) -> Encode:
         return [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def stands_alone(mark: str) -> bool:
-        joined, left, right, alone = each([f"a{mark} b", "a", " b", mark])
-        return len(alone) == 1 and joined == [*left, *alone, *right]
+        return all(len(alone) == 1 and joined == [*left, *alone, *right] for joined, left, right, alone in
+                   (each([left + mark + right, left, right, mark]) for left, right in (("a", " b"), ("A.", "b,"), ("'s", ".b"))))
 
     mark = next((m for m in ("\n", "7") if stands_alone(m)), None)
     mark_id = each([mark])[0][0] if mark else None
 
     def encode(texts: Sequence[str]) -> list[Sequence[int]]:
         out: list[Sequence[int] | None] = [None] * len(texts)
-        short = [i for i, t in enumerate(texts) if mark and len(t) < 64 and mark not in t and t[:1] == " " and t.isprintable()]
+        short = [i for i, t in enumerate(texts) if mark and 0 < len(t) < 64 and mark not in t and t.isprintable()
+                 and t[0].isascii() and t[-1] != " " and t[:2] != "  "]
         groups = [short[i:i + 500] for i in range(0, len(short), 500)]
         for group, ids in zip(groups, each([mark.join(texts[i] for i in g) for g in groups])):
-            ids = np.array(ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark_id)
+            cuts = np.flatnonzero(np.array(ids) == mark_id).tolist()
             if len(cuts) == len(group) - 1:
-                bounds = [0, *(cuts + 1).tolist(), len(ids) + 1]
-                for i, a, b in zip(group, bounds, bounds[1:]):
-                    out[i] = ids[a:b - 1]
+                for i, a, b in zip(group, [-1, *cuts], [*cuts, len(ids)]):
+                    out[i] = ids[a + 1:b]
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, each([texts[i] for i in rest])):
             out[i] = ids

@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -39,6 +40,39 @@ def test_pieces_equal_whole_texts(path, texts):
     assert [flat[e - n:e].tolist() for e, n in zip(ends, counts)] == [whole(path, t) for t in texts]
 
 
+MIXED = st.text(alphabet="aBé.,'!_-5 \n\t\r\x00\x1f\u0301\xa0\x85»\u1680\u180e\u2009\u2029\u202f\u205f\u3000、日İſK😀", max_size=24)
+
+
+@lru_cache
+def loaded(path):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.one_of(MIXED, st.lists(MIXED, max_size=6).map(" ".join), st.lists(MIXED, max_size=6).map("\n".join)), max_size=6))
+def test_pieces_cut_at_marks_and_lines_equal_whole_texts(path, texts):
+    shared, library = shared_encoder(path), loaded(path)
+    for encoder in (shared, PieceEncoder(shared.encode, remembered=4)):
+        for part in (pa.array([None, *texts], pa.string()), pa.array(["it's", *texts], pa.string()).slice(1)):
+            flat, counts = encoder(part)
+            ends = np.cumsum(counts)
+            assert [flat[e - n:e].tolist() for e, n in zip(ends, counts)] == [library.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+
+
+def test_a_word_is_encoded_once_whatever_mark_follows():
+    asked = []
+    library = library_encoder(BYTE)
+    encoder = PieceEncoder(lambda texts: asked.extend(texts) or library(texts))
+    for text in (" word, word. word; word", " word: word\n word! word?"):
+        assert encoder(pa.array([text]))[0].tolist() == whole(BYTE, text)
+    assert asked.count(" word") == 1
+    long = "x" * 5000
+    assert encoder(pa.array([long]))[0].tolist() == whole(BYTE, long) and long.encode() not in encoder.known
+
+
 def test_full_memory_changes_nothing():
     small = PieceEncoder(library_encoder(BYTE), remembered=3)
     texts = pa.array(["one two three four five", None, "six seven one", "a  b", ""] * 3)
