@@ -265,6 +265,21 @@ def test_transducer_equals_library(tik, text):
     assert "".join(fst.decode(ids, made.word_of)) == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.one_of(MIXED, st.lists(MIXED, max_size=6).map("\n".join)), max_size=5))
+def test_transducer_on_pieces_cut_at_marks_and_lines_equals_library(tik, texts):
+    flat, counts = fst.shared_transducer(RANKS, P.PATTERN)[1](pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    assert [flat[e - n:e].tolist() for e, n in zip(ends, counts)] == [tik.encode_ordinary(t) for t in texts]
+
+
+def test_transducer_reads_a_word_once_whatever_mark_follows(tik):
+    asked = []
+    encoder = PieceEncoder(lambda texts: asked.extend(texts) or [tik.encode_ordinary(t) for t in texts])
+    encoder(pa.array([" unreadably, unreadably. unreadably\nUnreadably!"]))
+    assert sorted(asked) == sorted([" unreadably", ",", ".", "\n", "Unreadably", "!"])
+
+
 def test_transducer_starts_anew_when_full(tik):
     made = fst.Transducer(fst.read_ranks(RANKS), most_states=20)
     for word in ("internationalization", " understandings", "zzzzzzzzqqqq", "日本語テキスト"):
