@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, whatever
 else these hold.  ``run`` writes what a stage returns to the shared checkpoint folder and reads it for the next.
+All stages share the executors and their Python workers, so those that send whole texts to Python bound the batches
+of the session.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import langid, near, packing, quality, substrings
-from tablewarden.llm.common import stored, table
+from tablewarden.llm.common import bounded_batches, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +31,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages by a clear margin; all of them where no language was learned."""
+    bounded_batches(spark)
     dictionaries = langid.train(docs)
     if not dictionaries:
         return docs
@@ -37,6 +40,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of similar texts; repeated rows once, null ids untouched."""
+    bounded_batches(spark)
     classes = stored(near.similar(docs.select("doc_id", "text")), "pipeline-classes")
     per_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
     odd = per_id.where("class_id <> doc_id or n > 1").select(F.col("doc_id").alias("__odd_id"), (F.col("class_id") != F.col("doc_id")).alias("__gone"))
@@ -52,6 +56,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that stand in an earlier one; other texts stay as they are."""
+    bounded_batches(spark)
     cut = substrings.remove_repeats(_carried(docs, "text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     out = cut.select("row.*", text.alias("text"))
@@ -62,6 +67,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tablewarden.runtime import checkpoint_dir
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches of this session that go to Python workers end at BATCH_BYTES, or at a lower limit that is set.
+
+    Else a batch is 10,000 rows or 64 MB.  An executor holds it several times over, outside the heap and in the worker,
+    for each running task.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_LIMIT)) > BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

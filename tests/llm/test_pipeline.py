@@ -3,13 +3,14 @@
 import zlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from oracle import differences, duck
 from tablewarden.llm import langid, quality
-from tablewarden.llm.common import stored, table
+from tablewarden.llm.common import BATCH_BYTES, BATCH_LIMIT, stored, table
 from tablewarden.llm.queries import ORACLE, QUERIES
 
 from .test_texts import brute_near, brute_passages
@@ -68,3 +69,22 @@ def test_edge_rows_go_through(spark, edge_docs, no_docs):
             if name in ("near_copies", "repeated_passages") and docs.count():
                 ids = [r["doc_id"] for r in after.collect()]
                 assert None in ids and (ids.count(7) <= 1 if name == "near_copies" else True)
+
+
+def test_stages_send_whole_texts_to_python_in_bounded_batches(spark):
+    """A batch of 10,000 such rows has 30 MB, which an executor holds several times over for each task."""
+    before = spark.conf.get(BATCH_LIMIT)
+    docs = stored(spark.range(10_000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 500) AS text", "'en' AS lang").coalesce(1), "test-batches")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    try:
+        for stage in (pipeline.known_language, pipeline.without_near_copies, pipeline.without_repeated_passages, pipeline.packed):
+            spark.conf.unset(BATCH_LIMIT)
+            stage(spark, docs.limit(3), SF)
+            seen = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in seen) == 10_000 and max(r["bytes"] for r in seen) <= 2 * BATCH_BYTES, stage.__name__
+    finally:
+        spark.conf.set(BATCH_LIMIT, before)
