@@ -48,59 +48,69 @@ class _Lanes:
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _U(2**64 - 1))
         self.before, self.last = np.zeros(n, np.int32), np.zeros(n, np.int32)
         lane = np.arange(n)
-        self.base1, self.base2, self.base = lane * _T1, lane * _T2, lane * 16
-        self.t1, self.t2 = np.zeros(n * _T1, np.int32), np.zeros(n * _T2, np.int32)
-        self.joint0, self.joint1 = np.full(n * 16, 600, np.int32), np.full(n * 16, 600, np.int32)
-        self.plain0, self.plain1 = np.full(n, 600, np.int32), np.full(n, 600, np.int32)
+        # arrays of two rows are of order 2 and of order 1: both are worked on at once
+        self.base = np.stack([lane * _T2, lane * _T1 + n * _T2])
+        self.tables = np.zeros(n * (_T1 + _T2), np.int32)
+        self.joint = np.full(n * 16, 600 << 16 | 600, np.int32)          # that of order 1 above 16 bits of that of order 2
+        self.joint_base = lane * 16
+        self.plain = np.full((2, n), 600, np.int32)
         self.counts = np.ones((n, MOST_BITS), np.int32)
         self.flat_counts = self.counts.reshape(-1)
-        self.relearn(n)
 
-    def relearn(self, m: int) -> None:
-        """The order-0 table of each lane: its counts scaled to 256, none below 1."""
+    def relearn(self, m: int, decoding: bool = False) -> None:
+        """The order-0 table of each lane: its counts scaled to 256, none below 1.  A digit's start is above 16 bits of its width."""
         counts = self.counts[:m]
         sums = np.cumsum(counts, axis=1)
-        upper = sums * (256 - MOST_BITS) // sums[:, -1:] + np.arange(1, MOST_BITS + 1)
-        self.ends = np.concatenate([np.zeros((m, 1), upper.dtype), upper], axis=1).astype(np.int32).ravel()
-        steps = np.zeros(m * 257, np.uint8)
-        steps[(upper + np.arange(m)[:, None] * 257).ravel()] = 1                # all different: each is at least 1
-        self.digit_at = np.cumsum(steps.reshape(m, 257)[:, :256], axis=1, dtype=np.uint8).ravel()
+        upper = (sums * (256 - MOST_BITS) // sums[:, -1:] + np.arange(1, MOST_BITS + 1)).astype(np.int32)
+        width = np.diff(upper, axis=1, prepend=np.int32(0))
+        self.spans = ((upper - width << 16) | width).ravel()
+        if decoding:
+            self.digit_at = np.repeat(np.tile(np.arange(MOST_BITS, dtype=np.uint8), m), width.ravel())
         counts += 1
         counts >>= 1                                                       # older counts fade
 
     def predict(self, m: int) -> None:
-        a, b = self.last[:m], self.before[:m]
-        mixed = a * np.int32(40503)
-        self.at1 = self.base1[:m] + (mixed >> 5 & _T1 - 1)
-        self.at2 = self.base2[:m] + ((mixed ^ b * np.int32(30271)) >> 4 & _T2 - 1)
-        self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
-        self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
-        self.context = self.base[:m] + ((self.e2 & 3) * 4 + (self.e1 & 3))
-        self.j0, self.j1 = self.joint0.take(self.context), self.joint1.take(self.context)
-        self.f0 = (self.j0 + self.plain0[:m] >> 1) + 1
-        self.f01 = self.f0 + (self.j1 + self.plain1[:m] >> 1) + 1
-
-    def narrow(self, m: int, two: np.ndarray, one: np.ndarray) -> None:
-        """Take the part of the interval for: order 2 was right (``two``), order 1 was (``one``), neither."""
+        mixed = self.last[:m] * np.int32(40503)
+        self.at = np.empty((2, m), np.int64)
+        np.add(self.base[1, :m], mixed >> 5 & _T1 - 1, out=self.at[1])
+        mixed ^= self.before[:m] * np.int32(30271)
+        np.add(self.base[0, :m], mixed >> 4 & _T2 - 1, out=self.at[0])
+        self.held = self.tables.take(self.at)
+        self.ids, self.sure = self.held >> 2, self.held & 3
+        self.context = self.joint_base[:m] + (self.sure[0] * 4 + self.sure[1])
+        pair, self.j = self.joint.take(self.context), np.empty((2, m), np.int32)
+        np.bitwise_and(pair, 0xFFFF, out=self.j[0])
+        np.right_shift(pair, 16, out=self.j[1])
+        share = self.j + self.plain[:, :m]
+        share >>= 1
+        share += 1
+        self.f0, self.f1 = share
+        self.f01 = self.f0 + self.f1
+
+    def narrow(self, m: int, hits: np.ndarray) -> np.ndarray:
+        """Take the part of the interval for: order 2 was right, order 1 was (``hits``), neither.  Lanes of the last."""
+        two, one = hits
+        none = ~(two | one)
         each = self.range[:m] >> _U(12)
-        not_two = ~two
-        start = np.where(one, self.f0, self.f01) * not_two
-        end = np.where(two, self.f0, np.where(one, self.f01, 4096))
+        start = self.f0 * one + self.f01 * none
+        width = self.f0 * two + self.f1 * one + (4096 - self.f01) * none
         self.low[:m] += each * start.astype(np.uint64)
-        self.range[:m] = each * (end - start).astype(np.uint64)
-
-    def update(self, m: int, symbol: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        """``symbol`` is the id plus 1."""
-        t0, t1 = two * np.int32(4080), one * np.int32(4080)
-        self.joint0[self.context] = self.j0 + (t0 - self.j0 >> 4)
-        self.joint1[self.context] = self.j1 + (t1 - self.j1 >> 4)
-        self.plain0[:m] += t0 - self.plain0[:m] >> 6
-        self.plain1[:m] += t1 - self.plain1[:m] >> 6
-        fresh = symbol << 2 | 1
-        for table, at, held, right in ((self.t1, self.at1, self.e1, self.c1 == symbol), (self.t2, self.at2, self.e2, two)):
-            sure = held & 3
-            # right: surer, up to 3; wrong: less sure, and replaced when not sure any more
-            table[at] = np.where(right, held + (sure < 3), np.where(sure > 1, held - 1, fresh))
+        np.multiply(each, width.astype(np.uint64), out=self.range[:m])
+        return np.flatnonzero(none)
+
+    def update(self, m: int, symbol: np.ndarray, right: np.ndarray, hits: np.ndarray) -> None:
+        """``symbol`` is the id plus 1; ``right`` are the predictions equal to it, ``hits`` the first of each lane."""
+        target = hits * np.int32(4080)
+        step = target - self.j
+        step >>= 4
+        step += self.j
+        self.joint[self.context] = step[1] << 16 | step[0]
+        target -= self.plain[:, :m]
+        target >>= 6
+        self.plain[:, :m] += target
+        # right: surer, up to 3; wrong: less sure, and replaced when not sure any more
+        change = (right & (self.sure < 3)).view(np.int8) - (~right).view(np.int8)
+        self.tables[self.at] = np.where(right | (self.sure > 1), self.held + change, symbol << 2 | 1)
         self.before[:m], self.last[:m] = self.last[:m], symbol
 
     def short(self, m: int) -> np.ndarray:
@@ -122,54 +132,56 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
     sizes, longest = lengths[order], int(lengths.max())
-    ids = np.zeros((longest, len(blocks)), np.int32)
+    ids = np.zeros((len(blocks), longest), np.int32)
     for lane, i in enumerate(order):
-        ids[:sizes[lane], lane] = blocks[i]
+        ids[lane, :sizes[lane]] = blocks[i]
     if ids.size and int(ids.max()) + 1 >= 1 << MOST_BITS:
         raise ValueError(f"ids must be below {(1 << MOST_BITS) - 1}")
     state = _Lanes(len(blocks))
-    width = 2 * longest + 4
-    out, fill = np.zeros(len(blocks) * width, ">u4"), np.arange(len(blocks)) * width
+    number = np.uint16 if len(blocks) < 1 << 16 else np.int64                # short ones are sorted by digits
+    lanes: list[np.ndarray] = []
+    out: list[np.ndarray] = []
     busy = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
 
     def emit(rows: np.ndarray) -> None:
         if len(rows):
-            at = fill[rows]
-            out[at] = state.words
-            fill[rows] = at + 1
+            lanes.append(rows.astype(number))
+            out.append(state.words.astype(np.uint32))
 
     for step in range(longest):
         m = int(busy[step])
-        if step and step % _RELEARN == 0:
+        if step % _RELEARN == 0:
             state.relearn(m)
-        symbol = ids[step, :m] + np.int32(1)
+            symbols = np.ascontiguousarray(ids[:, step:step + _RELEARN].T) + np.int32(1)
+        symbol = symbols[step % _RELEARN, :m]
         state.predict(m)
-        two = symbol == state.c2
-        one = (symbol == state.c1) & ~two
-        state.narrow(m, two, one)
+        right = state.ids == symbol
+        hits = right.copy()
+        hits[1] &= ~right[0]
+        rows = state.narrow(m, hits)
         emit(state.short(m))
-        rows = np.flatnonzero(~(two | one))
         if len(rows):
             value = symbol.take(rows)
             digits = _LOG2.take(value)
-            at = rows * (MOST_BITS + 1) + digits
-            start, end = state.ends.take(at), state.ends.take(at + 1)
-            state.flat_counts[rows * MOST_BITS + digits] += 16
+            at = rows * MOST_BITS + digits
+            span = state.spans.take(at)
+            state.flat_counts[at] += 16
             bits = digits.astype(np.uint64)
             each = state.range.take(rows) >> _U(8)
-            low = state.low.take(rows) + each * start.astype(np.uint64)
-            each = each * (end - start).astype(np.uint64) >> bits
+            low = state.low.take(rows) + each * (span >> 16).astype(np.uint64)
+            each = each * (span & 0xFFFF).astype(np.uint64) >> bits
             state.low[rows] = low + each * (value.astype(np.uint64) - (_U(1) << bits))
             state.range[rows] = each
             emit(state.short(m))
-        state.update(m, symbol, two, one)
-    fill_end = fill - np.arange(len(blocks)) * width
+        state.update(m, symbol, right, hits)
     coded: list[bytes] = [b""] * len(blocks)
-    last = state.low + np.minimum(state.range - _U(1), _WORD - _U(1)) >> _U(32)      # one more word lies inside
+    last = (state.low + np.minimum(state.range - _U(1), _WORD - _U(1)) >> _U(32)).astype(np.uint32)      # one more word lies inside
+    lane_of = np.concatenate([*lanes, np.arange(len(blocks), dtype=number)])
+    words = np.concatenate([*out, last])[np.argsort(lane_of, kind="stable")].astype(">u4")
+    ends = np.cumsum(np.bincount(lane_of, minlength=len(blocks)))
     for lane, i in enumerate(order):
         if sizes[lane]:
-            begin = lane * width
-            coded[i] = out[begin:begin + fill_end[lane]].tobytes() + int(last[lane]).to_bytes(4, "big")
+            coded[i] = words[ends[lane - 1] if lane else 0:ends[lane]].tobytes()
     return coded
 
 
@@ -180,14 +192,15 @@ def decode_blocks(coded: Sequence[bytes], lengths: Sequence[int]) -> list[np.nda
     lengths = np.array(lengths)
     order = np.argsort(-lengths, kind="stable")
     sizes, longest = lengths[order], int(lengths.max())
-    words = np.frombuffer(b"".join(coded[i] + bytes(8) for i in order), ">u4").astype(np.uint64)
+    words = np.frombuffer(b"".join(coded[i] + bytes(8) for i in order), ">u4").astype(np.uint32)
     spans = np.array([len(coded[i]) // 4 + 2 for i in order])
     at = np.cumsum(spans) - spans
-    code = words[at] << _U(32) | words[at + 1]
+    code = words[at].astype(np.uint64) << _U(32) | words[at + 1]
     ends = np.cumsum(spans) - 1                                        # behind the end: a word of zeros
     at += 2
     state = _Lanes(len(coded))
-    ids = np.zeros((longest, len(coded)), np.int32)
+    ids = np.zeros((len(coded), longest), np.uint32)
+    symbols = np.zeros((_RELEARN, len(coded)), np.int32)
     busy = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
 
     def absorb(rows: np.ndarray) -> None:
@@ -198,36 +211,39 @@ def decode_blocks(coded: Sequence[bytes], lengths: Sequence[int]) -> list[np.nda
 
     for step in range(longest):
         m = int(busy[step])
-        if step and step % _RELEARN == 0:
-            state.relearn(m)
+        if step % _RELEARN == 0:
+            state.relearn(m, decoding=True)
         state.predict(m)
         each, ahead = state.range[:m] >> _U(12), code[:m] - state.low[:m]
-        two = ahead < each * state.f0.astype(np.uint64)
-        one = (ahead < each * state.f01.astype(np.uint64)) & ~two
-        state.narrow(m, two, one)
+        hits = np.empty((2, m), bool)
+        np.less(ahead, each * state.f0.astype(np.uint64), out=hits[0])
+        np.less(ahead, each * state.f01.astype(np.uint64), out=hits[1])
+        hits[1] &= ~hits[0]
+        rows = state.narrow(m, hits)
         absorb(state.short(m))
-        symbol = np.where(two, state.c2, state.c1)
-        rows = np.flatnonzero(~(two | one))
+        symbol = np.where(hits[0], state.ids[0], state.ids[1])
         if len(rows):
             each, low, here = state.range.take(rows) >> _U(8), state.low.take(rows), code.take(rows)
             slot = np.minimum((here - low) // each, _U(255)).astype(np.int64)
             digits = state.digit_at.take(rows * 256 + slot)
-            at0 = rows * (MOST_BITS + 1) + digits
-            start, end = state.ends.take(at0), state.ends.take(at0 + 1)
-            state.flat_counts[rows * MOST_BITS + digits] += 16
+            place = rows * MOST_BITS + digits
+            span = state.spans.take(place)
+            state.flat_counts[place] += 16
             bits = digits.astype(np.uint64)
-            low += each * start.astype(np.uint64)
-            each = each * (end - start).astype(np.uint64) >> bits
+            low += each * (span >> 16).astype(np.uint64)
+            each = each * (span & 0xFFFF).astype(np.uint64) >> bits
             rest = np.minimum((here - low) // each, (_U(1) << bits) - _U(1))
             state.low[rows] = low + each * rest
             state.range[rows] = each
             symbol[rows] = (rest + (_U(1) << bits)).astype(np.int32)
             absorb(state.short(m))
-        ids[step, :m] = symbol - 1
-        state.update(m, symbol, two, one)
+        symbols[step % _RELEARN, :m] = symbol
+        if (step + 1) % _RELEARN == 0 or step + 1 == longest:
+            ids[:, step - step % _RELEARN:step + 1] = (symbols[:step % _RELEARN + 1] - np.int32(1)).T
+        state.update(m, symbol, state.ids == symbol, hits)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for lane, i in enumerate(order):
-        out[i] = ids[:sizes[lane], lane].astype(np.uint32)
+        out[i] = ids[lane, :sizes[lane]]
     return out
 
 

@@ -9,6 +9,7 @@ ahead, no piece starts.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, repeat
@@ -25,6 +26,7 @@ LONGEST = 256
 SLICE_BYTES = 2_000_000
 
 Encode = Callable[[Sequence[str]], list[Sequence[int]]]
+Flat = tuple[np.ndarray, np.ndarray]
 
 #: Kinds of bytes; from ``_SOLID`` on they may end a piece before white space.  Control characters are of no kind.
 _SPACE, _SOLID, _LETTER, _MARK = 1, 2, 3, 4
@@ -69,39 +71,48 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def flattened(ids: Sequence[Sequence[int]]) -> Flat:
+    """All ids one after the other, and how many each sequence has."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
 class PieceEncoder:
-    """Token ids of every text of a column by ``encode``, which maps texts to id sequences."""
+    """Token ids of every text of a column by ``encode``, which maps texts to id sequences.
+
+    An ``encode`` with an attribute ``flat`` is asked by that: it maps UTF-8 pieces to all their ids and the number of each.
+    """
 
     def __init__(self, encode: Encode, remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
+        self.flat: Callable[[list[bytes]], Flat] = getattr(encode, "flat", None) or (lambda pieces: flattened(encode([p.decode() for p in pieces])))
         self.known: dict[bytes, int] = {}
         self.pool, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.n_ids = self.n_pieces = 0
 
-    def _add(self, ids: list[Sequence[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while self.n_ids + total > len(self.pool):
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.n_ids + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        while self.n_pieces + len(ids) > len(self.starts):
+        while self.n_pieces + len(lengths) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        to = slice(self.n_pieces, self.n_pieces + len(ids))
-        self.pool[self.n_ids:self.n_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        to = slice(self.n_pieces, self.n_pieces + len(lengths))
+        self.pool[self.n_ids:self.n_ids + len(ids)] = ids
         self.starts[to] = self.n_ids + np.cumsum(lengths) - lengths
         self.lengths[to] = lengths
-        self.n_ids, self.n_pieces = self.n_ids + total, to.stop
+        self.n_ids, self.n_pieces = self.n_ids + len(ids), to.stop
 
     def _numbers(self, pieces: list[bytes]) -> np.ndarray:
         """Where each piece is in the arrays; new ones are encoded and added, those to remember first."""
         at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            new.sort(key=lambda i: len(pieces[i]) > LONGEST)
-            base = self.n_pieces
-            self._add(self.encode([pieces[i].decode() for i in new]))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            long = np.fromiter((len(pieces[i]) for i in new.tolist()), np.int64, len(new)) > LONGEST
+            new = new[np.argsort(long, kind="stable")]
+            base, asked = self.n_pieces, [pieces[i] for i in new.tolist()]
+            self._add(*self.flat(asked))
             at[new] = np.arange(base, base + len(new))
-            keep = max(0, self.remembered - len(self.known))
-            self.known.update((pieces[i], base + k) for k, i in enumerate(new[:keep]) if len(pieces[i]) <= LONGEST)
+            keep = min(max(0, self.remembered - len(self.known)), len(new) - int(long.sum()))
+            self.known.update(zip(asked[:keep], range(base, base + keep)))
         return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,4 +178,30 @@ def library_encoder(path: str) -> Encode:
             out[i] = ids
         return out
 
+    # pieces of printable ASCII and Latin letters, told by their bytes, as in ``encode`` by their characters
+    alone = re.compile(rb"(?!  )[%b](?:[%b]|[\xc3-\xc5][\x80-\xbf]){0,62}(?<! )" % ((rb" -68-~" if mark == "7" else rb" -~",) * 2)).fullmatch
+
+    def flat(pieces: list[bytes]) -> Flat:
+        many = np.fromiter((mark is not None and alone(p) is not None for p in pieces), bool, len(pieces))
+        short, rest = np.flatnonzero(many), np.flatnonzero(~many).tolist()
+        places = [short[i:i + 500] for i in range(0, len(short), 500)]
+        lines = [mark.encode().join([pieces[i] for i in g.tolist()]).decode() for g in places] if mark else []
+        lengths, found, order = np.zeros(len(pieces), np.int64), [], []
+        for group, ids in zip(places, each(lines)):
+            ids = np.array(ids, np.uint32)
+            cuts = np.flatnonzero(ids == mark_id)
+            if len(cuts) == len(group) - 1:
+                lengths[group] = np.diff(cuts, prepend=-1, append=len(ids)) - 1
+                found.append(np.delete(ids, cuts))
+                order.append(group)
+            else:
+                rest.extend(group.tolist())
+        ids, lengths[rest] = flattened(encode([pieces[i].decode() for i in rest]))
+        found.append(ids)
+        order = np.concatenate([*order, np.array(rest, np.int64)])
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(found)[ranges(starts, lengths)], lengths
+
+    encode.flat = flat
     return encode

@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import random
+import sys
 import zlib
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tablewarden.llm import fst, idcoder, packing
+from tablewarden.llm import fst, idcoder, packing, pieces
 from tablewarden.llm.common import scratch_path
 from tablewarden.llm.pieces import PieceEncoder, library_encoder, shared_encoder
 
@@ -83,6 +84,32 @@ def test_full_memory_changes_nothing():
     assert len(small.known) == 3
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text(min_size=1, max_size=70), st.sampled_from([" word", "7", " 7a", "a\nb", "\n", "  x", "x ", " é", "Éa", " ж", " a\u00ad", "ſ", "<|endoftext|>"])), max_size=30))
+def test_new_pieces_are_encoded_together_as_one_by_one(texts):
+    for path in (BYTE, WORD):
+        ids, lengths = shared_encoder(path).encode.flat([t.encode() for t in texts])
+        assert [i.tolist() for i in np.split(ids, np.cumsum(lengths))[:-1]] == [loaded(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_short_new_words_take_no_python_step_each():
+    """Words of ASCII and Latin letters are told by their bytes, and their ids cut out of long lists in numpy."""
+    encoder = PieceEncoder(library_encoder(BYTE))
+    texts = pa.array([" ".join(f"wörd{i}x" for i in range(k, k + 500)) for k in range(0, 5000, 500)])
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "call" and frame.f_code.co_filename == pieces.__file__ and frame.f_code.co_name in ("<lambda>", "encode", "each")
+
+    sys.setprofile(count)
+    try:
+        ids, _ = encoder(texts)
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == [i for t in texts.to_pylist() for i in loaded(BYTE).encode(t, add_special_tokens=False).ids] and steps < 10
+
+
 def test_special_strings_are_plain_text():
     assert shared_encoder(BYTE)(pa.array(["<|endoftext|> x"]))[0].tolist() == whole(BYTE, "<|endoftext|> x")
 
@@ -222,6 +249,13 @@ def test_blocks_repeat_cheaply_and_alone():
         idcoder.encode_blocks([np.array([1 << 20])])
 
 
+def test_block_bytes_stay_and_words_are_gathered_by_lane():
+    """Files that are there stay readable: the bytes of fixed blocks, of many lengths, as of the first version of the steps."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.zipf(1.3, n) % 50_000 for n in (1024, 1024, 700, 1, 64, 65, 0, 333)]
+    assert zlib.crc32(b"|".join(idcoder.encode_blocks(blocks))) == 715018294
+
+
 def test_files_of_edge_texts(spark, edge_docs):
     path = scratch_path(spark, "test-ids")
     idcoder.write_ids(edge_docs, path, BYTE)
