@@ -31,9 +31,6 @@ MOST_BITS = 20                       # ids below 2^20 - 1
 _T1, _T2 = 512, 1024                # context slots of a lane
 _RELEARN = 64                        # steps after which the order-0 table follows its counts
 _U, _WORD = np.uint64, np.uint64(1 << 32)
-_LOG2 = np.zeros(1 << MOST_BITS, np.uint8)
-for _b in range(MOST_BITS):
-    _LOG2[1 << _b:2 << _b] = _b
 
 
 class _Lanes:
@@ -48,17 +45,21 @@ class _Lanes:
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _U(2**64 - 1))
         self.before, self.last = np.zeros(n, np.int32), np.zeros(n, np.int32)
         lane = np.arange(n)
-        # arrays of two rows are of order 2 and of order 1: both are worked on at once
-        self.base = np.stack([lane * _T2, lane * _T1 + n * _T2])
+        # arrays of two rows are of order 2 and of order 1: both are worked on at once.  A slot of all lanes lies together,
+        # so that slots in common use stay in the processor's cache
+        self.base = np.stack([lane, lane + n * _T2])
         self.tables = np.zeros(n * (_T1 + _T2), np.int32)
         self.joint = np.full(n * 16, 600 << 16 | 600, np.int32)          # that of order 1 above 16 bits of that of order 2
         self.joint_base = lane * 16
         self.plain = np.full((2, n), 600, np.int32)
         self.counts = np.ones((n, MOST_BITS), np.int32)
-        self.flat_counts = self.counts.reshape(-1)
+        self.seen: list[np.ndarray] = []                                   # places in the counts of ids coded since the last relearn
 
     def relearn(self, m: int, decoding: bool = False) -> None:
         """The order-0 table of each lane: its counts scaled to 256, none below 1.  A digit's start is above 16 bits of its width."""
+        if self.seen:
+            self.counts += 16 * np.bincount(np.concatenate(self.seen), minlength=self.counts.size).reshape(self.counts.shape).astype(np.int32)
+            self.seen.clear()
         counts = self.counts[:m]
         sums = np.cumsum(counts, axis=1)
         upper = (sums * (256 - MOST_BITS) // sums[:, -1:] + np.arange(1, MOST_BITS + 1)).astype(np.int32)
@@ -72,9 +73,10 @@ class _Lanes:
     def predict(self, m: int) -> None:
         mixed = self.last[:m] * np.int32(40503)
         self.at = np.empty((2, m), np.int64)
-        np.add(self.base[1, :m], mixed >> 5 & _T1 - 1, out=self.at[1])
+        np.multiply(mixed >> 5 & _T1 - 1, self.n, out=self.at[1])
         mixed ^= self.before[:m] * np.int32(30271)
-        np.add(self.base[0, :m], mixed >> 4 & _T2 - 1, out=self.at[0])
+        np.multiply(mixed >> 4 & _T2 - 1, self.n, out=self.at[0])
+        self.at += self.base[:, :m]
         self.held = self.tables.take(self.at)
         self.ids, self.sure = self.held >> 2, self.held & 3
         self.context = self.joint_base[:m] + (self.sure[0] * 4 + self.sure[1])
@@ -153,6 +155,7 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
         if step % _RELEARN == 0:
             state.relearn(m)
             symbols = np.ascontiguousarray(ids[:, step:step + _RELEARN].T) + np.int32(1)
+            log2 = (symbols.astype(np.float32).view(np.int32) >> 23) - 127         # exponents: symbols are exact below 2^24
         symbol = symbols[step % _RELEARN, :m]
         state.predict(m)
         right = state.ids == symbol
@@ -162,10 +165,10 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
         emit(state.short(m))
         if len(rows):
             value = symbol.take(rows)
-            digits = _LOG2.take(value)
+            digits = log2[step % _RELEARN].take(rows)
             at = rows * MOST_BITS + digits
             span = state.spans.take(at)
-            state.flat_counts[at] += 16
+            state.seen.append(at)
             bits = digits.astype(np.uint64)
             each = state.range.take(rows) >> _U(8)
             low = state.low.take(rows) + each * (span >> 16).astype(np.uint64)
@@ -228,7 +231,7 @@ def decode_blocks(coded: Sequence[bytes], lengths: Sequence[int]) -> list[np.nda
             digits = state.digit_at.take(rows * 256 + slot)
             place = rows * MOST_BITS + digits
             span = state.spans.take(place)
-            state.flat_counts[place] += 16
+            state.seen.append(place)
             bits = digits.astype(np.uint64)
             low += each * (span >> 16).astype(np.uint64)
             each = each * (span & 0xFFFF).astype(np.uint64) >> bits

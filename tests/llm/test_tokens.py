@@ -92,6 +92,63 @@ def test_new_pieces_are_encoded_together_as_one_by_one(texts):
         assert [i.tolist() for i in np.split(ids, np.cumsum(lengths))[:-1]] == [loaded(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def many_words(n):
+    rng = np.random.default_rng(n)
+    return [rng.integers(97, 123, k, np.uint8).tobytes().decode() for k in rng.integers(1, 24, n)]
+
+
+def test_remembered_short_pieces_are_looked_up_all_at_once():
+    """Only pieces of more than 16 bytes go one by one through the dictionary once the short ones are in the index."""
+    encoder = PieceEncoder(library_encoder(BYTE))
+    words = many_words(40_000)
+    texts = pa.array([" ".join(words[k:k + 100]) for k in range(0, len(words), 100)])
+    first, counts = encoder(texts)
+    assert first.tolist() == [i for t in texts.to_pylist() for i in loaded(BYTE).encode(t, add_special_tokens=False).ids]
+    asked, numbers = [], encoder._numbers
+    encoder._numbers = lambda part: asked.extend(part) or numbers(part)
+    again, counts_again = encoder(texts)
+    assert again.tolist() == first.tolist() and counts_again.tolist() == counts.tolist()
+    assert asked and min(map(len, asked)) > pieces.SHORT
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_that_look_alike_are_told_apart_in_the_index(path):
+    odd = ["a", "a\0", "a\0\0", "\0a", "b" * 8, "b" * 9, "b" * 16, "b" * 17, "b" * 16 + "c", "b" * 15 + "c", "c" + "b" * 15, "é" * 8, "é" * 8 + "x"]
+    encoder = PieceEncoder(library_encoder(path))
+    encoder(pa.array([" ".join(many_words(40_000))]))
+    assert len(encoder.index) > 10_000
+    for text in (" ".join(odd), " ".join(o[:-1] for o in odd), "\0", " ", "\n\n"):
+        for _ in range(2):
+            flat, counts = encoder(pa.array([text, "", None, text]))
+            ids = loaded(path).encode(text, add_special_tokens=False).ids
+            assert flat.tolist() == 2 * ids and counts.tolist() == [len(ids), 0, 0, len(ids)]
+            encoder._move()                                                 # the odd ones are in the index the second time
+    data = np.frombuffer("".join(odd).encode(), np.uint8)
+    size = np.array([len(o.encode()) for o in odd])
+    short = size <= pieces.SHORT
+    mixed, _ = pieces.hashed(data, np.cumsum(size) - size, size)
+    assert len(set(mixed[short].tolist())) == short.sum()
+
+
+def test_spaced_words_need_no_separator_where_ids_stand_for_bytes():
+    lines = []
+
+    class Spy:
+        def __init__(self, inner): self.inner = inner
+        def __getattr__(self, name): return getattr(self.inner, name)
+        def __setattr__(self, name, value): self.__dict__.__setitem__(name, value) if name == "inner" else setattr(self.inner, name, value)
+        def encode_batch_fast(self, texts, **kw): return lines.extend(texts) or self.inner.encode_batch_fast(texts, **kw)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tokenizers.Tokenizer", type("T", (), {"from_file": staticmethod(lambda p: Spy(Tokenizer.from_file(p)))}))
+        flat = library_encoder(BYTE).flat
+    lines.clear()
+    words = [" one", " two7", " 77", " Ärger", " it's", " ×÷", " ...", " <|endoftext|>"] * 100
+    ids, lengths = flat([w.encode() for w in words])
+    assert [i.tolist() for i in np.split(ids, np.cumsum(lengths))[:-1]] == [loaded(BYTE).encode(w, add_special_tokens=False).ids for w in words]
+    assert "".join(lines) == "".join(words)
+
+
 def test_short_new_words_take_no_python_step_each():
     """Words of ASCII and Latin letters are told by their bytes, and their ids cut out of long lists in numpy."""
     encoder = PieceEncoder(library_encoder(BYTE))
