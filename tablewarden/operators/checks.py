@@ -21,7 +21,7 @@ from tablewarden.functions.quantiles import as_double, exact_quantiles
 from tablewarden.functions.scoring import severity
 from tablewarden.operators.profile import Tables, profile_tables, table_sizes
 from tablewarden.operators.references import Link, key_uses
-from tablewarden.runtime import (comparable_column, is_numeric, is_plain, local_frame, quoted, settled,
+from tablewarden.runtime import (INTEGER_TYPES, comparable_column, is_numeric, is_plain, local_frame, quoted, settled,
                                  side_by_side, union_all)
 from tablewarden.schemas import ISSUE, TableMeta
 
@@ -98,14 +98,15 @@ def repeated_groups(df: DataFrame, columns: list[str], n_rows: int | None = None
     Wide rows in large tables: a first pass groups 8-byte row hashes and finds which of them
     repeat at all.  Few repeated hashes are broadcast, so only suspect rows are compared in
     full; equal hashes of different rows are told apart there.  With many repeats the full
-    grouping runs directly.  Maps and variants are compared in a canonical form; the group shows
-    one of its own values.
+    grouping runs directly, as it does for two whole numbers, hardly wider than a hash.  Maps and
+    variants are compared in a canonical form; the group shows one of its own values.
     """
     forms = {c: f"_key_{i}" for i, c in enumerate(columns) if not is_plain(df.schema[c].dataType)}
     rows = df.select(*[F.col(quoted(c)) for c in columns],
                      *[comparable_column(df, c).alias(form) for c, form in forms.items()])
     keys = [F.col(forms[c] if c in forms else quoted(c)) for c in columns]
-    if len(columns) > 1 and (n_rows or 0) > hash_first:
+    narrow = len(columns) <= 2 and all(isinstance(df.schema[c].dataType, INTEGER_TYPES) for c in columns)
+    if len(columns) > 1 and not narrow and (n_rows or 0) > hash_first:
         hashed = rows.withColumn("_h", F.xxhash64(*keys))
         twice = settled(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"))
         if twice.limit(config.BROADCAST_ROWS + 1).count() <= config.BROADCAST_ROWS:

@@ -81,17 +81,21 @@ def _forms(fact: DataFrame, fk: str, dim: DataFrame, pk: str) -> tuple[Column, C
 def key_uses(tables: Mapping[str, DataFrame], links: Sequence[Link]) -> DataFrame:
     """(link, n, s, rows, known) for each key of each link, given by its place: rows of the fact, and whether the dimension has it."""
     emitted: dict[str, list[Column]] = {}
+    # keys that are all whole numbers are grouped without the text, which would be empty
+    whole = all(isinstance(tables[t].schema[c].dataType, INTEGER_TYPES) for x in links for t, c in ((x.table, x.fk), (x.dim, x.pk)))
+    keys = ["link", "n"] if whole else ["link", "n", "s"]
     for i, link in enumerate(links):
         used, held = _forms(tables[link.table], link.fk, tables[link.dim], link.pk)
         for t, form, rows, known in ((link.table, used, 1, False), (link.dim, held, 0, True)):
-            item = F.struct(F.lit(i).alias("link"), form["n"].alias("n"), form["s"].alias("s"),
+            item = F.struct(F.lit(i).alias("link"), *[form[k].alias(k) for k in keys[1:]],
                             F.lit(rows).cast("long").alias("rows"), F.lit(known).alias("known"))
             emitted.setdefault(t, []).append(F.when(form.isNotNull(), item))
     parts = []
     for t, items in emitted.items():
         one = items[0] if len(items) == 1 else F.explode(F.array(*items))
         parts.append(tables[t].select(one.alias("key")).where("key IS NOT NULL").select("key.*"))
-    return union_all(parts).groupBy("link", "n", "s").agg(F.sum("rows").alias("rows"), F.bool_or("known").alias("known"))
+    found = union_all(parts).groupBy(*keys).agg(F.sum("rows").alias("rows"), F.bool_or("known").alias("known"))
+    return found.select("link", "n", F.lit("").alias("s") if whole else "s", "rows", "known")
 
 
 def orphan_counts(df: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:

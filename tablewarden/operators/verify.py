@@ -20,7 +20,7 @@ from tablewarden.functions.dates import parsed_sql
 from tablewarden.functions.quantiles import exact_quantiles
 from tablewarden.functions.scoring import confidence
 from tablewarden.operators.profile import Tables
-from tablewarden.runtime import FLOAT_TYPES, NUMERIC_TYPES, is_integer, local_frame, quoted, text_sql
+from tablewarden.runtime import FLOAT_TYPES, INTEGER_TYPES, NUMERIC_TYPES, is_integer, local_frame, quoted, text_sql
 
 log = logging.getLogger(__name__)
 #: A re-count is (issue id, count) or a fixed confidence.
@@ -72,6 +72,13 @@ def future_counts(df: DataFrame, issues: list) -> list[str]:
     return counts
 
 
+def _one_row(issues: list, counts: list[str], source: str) -> str:
+    """(issue_id, sql_count) of issues from aggregates of one source."""
+    named = ", ".join(f"{expression} AS n{k}" for k, expression in enumerate(counts))
+    pairs = ", ".join(f"named_struct('issue_id', {text_sql(i['issue_id'])}, 'sql_count', n{k})" for k, i in enumerate(issues))
+    return f"SELECT inline(array({pairs})) FROM (SELECT {named} FROM {source}) counted"
+
+
 def counting_sql(view: str, df: DataFrame, issues: list, multiplier: float, bracket_rows: int) -> str:
     """Missing values, outliers and future dates of one table as filtered counts of one scan."""
     by_type = {"missing_values": null_counts, "invalid_future_dates": future_counts,
@@ -80,9 +87,7 @@ def counting_sql(view: str, df: DataFrame, issues: list, multiplier: float, brac
     for kind, build in by_type.items():
         mine = [i for i in issues if i["issue_type"] == kind]
         named += zip(mine, build(df, mine)) if mine else []
-    counts = ", ".join(f"{expression} AS n{k}" for k, (_, expression) in enumerate(named))
-    pairs = ", ".join(f"named_struct('issue_id', {text_sql(i['issue_id'])}, 'sql_count', n{k})" for k, (i, _) in enumerate(named))
-    return f"SELECT inline(array({pairs})) FROM (SELECT {counts} FROM {view}) counted"
+    return _one_row([i for i, _ in named], [expression for _, expression in named], view)
 
 
 def _key_text(df: DataFrame, c: str, other: DataFrame, other_c: str) -> str:
@@ -109,32 +114,49 @@ def _key_text(df: DataFrame, c: str, other: DataFrame, other_c: str) -> str:
     return f"CASE WHEN {x} % 1 = 0 AND abs({x}) < 9223372036854775808D THEN CAST(TRY_CAST({x} AS BIGINT) AS STRING) ELSE {held} END"
 
 
-def keys_sql(view: str, df: DataFrame, issues: list, tables: Tables, views: Mapping[str, str]) -> str:
-    """Copies of keys and broken references of one table, from one scan that groups all their keys together.
+def _copied(df: DataFrame, c: str) -> str:
+    """A part of a key as its copies are counted: whole numbers, decimals and plain text as they are, all else by its JSON text."""
+    kind, column = df.schema[c].dataType, quoted(c)
+    if isinstance(kind, (*INTEGER_TYPES, T.DecimalType)) or kind.simpleString() == "string":
+        return column
+    return f"CASE WHEN {column} IS NOT NULL THEN to_json(named_struct('k', {column})) END"
+
+
+def copies_sql(view: str, df: DataFrame, issues: list) -> str:
+    """Copies of the keys of one table: the rows beyond one for each different key; a row with a missing key part has no key."""
+    counts = [f"count(1) - count(DISTINCT {', '.join(_copied(df, c) for c in i['columns'])})" for i in issues]
+    return _one_row(issues, counts, view)
+
 
-    A reference is LEFT JOIN ... IS NULL over its used values, which are counted first, so no key is hot.  Copies are the rows beyond
-    one for each different key; rows with a missing key part are copies of nothing.
+def references_sql(view: str, df: DataFrame, issues: list, tables: Tables, views: Mapping[str, str]) -> str:
+    """Broken references of one table, from one scan that groups all their keys together.
+
+    A reference is LEFT JOIN ... IS NULL over its used values, which are counted first, so no key is hot.  What finds nothing is
+    summed where it lies; rows of one reference never meet in one task.  Keys that are whole numbers on both sides stay so.
     """
+    def key(place: int, one: DataFrame, c: str, other: DataFrame, other_c: str) -> str:
+        whole = isinstance(one.schema[c].dataType, INTEGER_TYPES) and isinstance(other.schema[other_c].dataType, INTEGER_TYPES)
+        n, s = (f"CAST({quoted(c)} AS BIGINT)", "''") if whole else ("0L", _key_text(one, c, other, other_c))
+        return f"named_struct('place', {place}, 'n', {n}, 's', {s})"
+
     items, known = [], []
     for k, i in enumerate(issues):
-        if i["issue_type"] == "duplicate_rows":
-            whole = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in i["columns"])
-            fields = ", ".join(f"'k{n}', {quoted(c)}" for n, c in enumerate(i["columns"]))
-            key = f"CASE WHEN {whole} THEN to_json(named_struct({fields})) END"
-        else:
-            fk, pk, dim = i["columns"][0], i["dim_pk"], tables[i["dim_table"]]
-            key = _key_text(df, fk, dim, pk)
-            known.append(f"SELECT {k} AS place, {_key_text(dim, pk, df, fk)} AS held FROM {views[i['dim_table']]}")
-        items.append(f"named_struct('place', {k}, 'used', {key})")
-    used = f"SELECT place, used, count(1) AS n FROM (SELECT inline(array({', '.join(items)})) FROM {view}) t GROUP BY place, used"
-    held = f"SELECT DISTINCT place, held FROM ({' UNION ALL '.join(known)}) h" if known else "SELECT -1 AS place, '' AS held"
-    cases = " ".join(
-        f"WHEN {k} THEN " + ("greatest(coalesce(sum(u.n), 0) - count(u.used), 0)" if i["issue_type"] == "duplicate_rows" else
-                             "coalesce(sum(CASE WHEN u.used IS NOT NULL AND d.held IS NULL THEN u.n END), 0)")
-        for k, i in enumerate(issues))
-    ids = ", ".join(f"named_struct('issue_id', {text_sql(i['issue_id'])}, 'place', {k})" for k, i in enumerate(issues))
-    return (f"SELECT any_value(i.issue_id) AS issue_id, CASE i.place {cases} END AS sql_count FROM (SELECT inline(array({ids}))) i "
-            f"LEFT JOIN ({used}) u ON u.place = i.place LEFT JOIN ({held}) d ON d.place = u.place AND d.held = u.used GROUP BY i.place")
+        fk, pk, dim = i["columns"][0], i["dim_pk"], tables[i["dim_table"]]
+        items.append(key(k, df, fk, dim, pk))
+        known.append(f"SELECT inline(array({key(k, dim, pk, df, fk)})) FROM {views[i['dim_table']]}")
+    used = (f"SELECT place, n, s, count(1) AS uses FROM (SELECT inline(array({', '.join(items)})) FROM {view}) t "
+            "WHERE n IS NOT NULL AND s IS NOT NULL GROUP BY place, n, s")
+    held = f"SELECT DISTINCT place, n, s FROM ({' UNION ALL '.join(known)}) h"
+    broken = f"SELECT u.place, u.uses FROM ({used}) u LEFT JOIN ({held}) d ON d.place = u.place AND d.n = u.n AND d.s = u.s WHERE d.place IS NULL"
+    return _one_row(issues, [f"coalesce(sum(CASE WHEN place = {k} THEN uses END), 0)" for k in range(len(issues))], f"({broken}) b")
+
+
+def keys_sql(view: str, df: DataFrame, issues: list, tables: Tables, views: Mapping[str, str]) -> str:
+    """Copies of keys and broken references of one table; a scan for each of the two, as what they shuffle has nothing in common."""
+    copies = [i for i in issues if i["issue_type"] == "duplicate_rows"]
+    broken = [i for i in issues if i["issue_type"] != "duplicate_rows"]
+    parts = ([copies_sql(view, df, copies)] if copies else []) + ([references_sql(view, df, broken, tables, views)] if broken else [])
+    return " UNION ALL ".join(parts)
 
 
 def _fixed(issue, tables: Tables) -> float | None:
@@ -179,7 +201,7 @@ def verify_issues(tables: Tables, issues: DataFrame, sensitivity: str = "normal"
                   bracket_rows: int = config.BRACKET_ROWS) -> DataFrame:
     """Issues with ``sql_count``, ``pd_count`` (the check's count) and ``confidence``.
 
-    Each table is scanned once for counts and once for keys, all as one job.  If that fails each issue type of a
+    Each table is scanned once for counts, once for copies of keys and once for references, all as one job.  If that fails each issue type of a
     table runs alone, and only the failing ones fall back to confidence 0.50 with the check's own count.
     """
     spark = issues.sparkSession

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,81 @@ def test_keys_of_two_types_are_compared_exactly(spark, left, right, pairs):
             assert spark.sql(text).first()["sql_count"] == (0 if same else 1), (left, right, a, b, one)
 
 
+def keyed_issue(i, kind, columns, dim="", pk=""):
+    return {"issue_id": f"i{i}", "issue_type": kind, "columns": columns, "dim_table": dim, "dim_pk": pk}
+
+
+def test_recount_of_keys_is_summed_where_rows_lie(hot, spark):
+    """No shuffle by the place of an issue alone, which would bring all keys of a table together, and no text for whole numbers."""
+    fact, dim = hot
+    fact = fact.withColumn("part", F.lit(1))
+    tables, views = {"f": fact, "d": dim}, {"f": "key_fact", "d": "key_dim"}
+    fact.createOrReplaceTempView("key_fact"), dim.createOrReplaceTempView("key_dim")
+    issues = [keyed_issue(0, "duplicate_rows", ["fk", "part"]), keyed_issue(1, "referential_integrity_break", ["fk"], "d", "pk"),
+              keyed_issue(2, "duplicate_rows", ["part"])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.sql(verify.keys_sql("key_fact", fact, issues, tables, views))
+        text = plan(found).split("== Physical Plan ==")[1]
+        assert "hashpartitioning(" in text and "json" not in text
+        assert not re.search(r"hashpartitioning\(place#\d+, \d+\)", text) and "partial_sum" in text
+        assert dict(map(tuple, found.collect())) == {"i0": 1520 - 51, "i1": 300 + 14 * 5, "i2": 1519}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_narrow_keys_are_not_hashed_first(make, monkeypatch):
+    """Two whole numbers are grouped as they are in a table of any size; no pass over their hashes is written."""
+    df = make("a long, b int, c string", [(1, 1, "x")] * 3 + [(1, 2, "x"), (None, 1, "x"), (None, 1, "x")])
+    hashed = checks.repeated_groups(df, ["a", "c"], 6, hash_first=1)
+    assert sorted(map(tuple, hashed.collect()), key=str) == [(1, "x", 4), (None, "x", 2)]
+
+    def never(df):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(checks, "settled", never)
+    found = checks.repeated_groups(df, ["a", "b"], 6, hash_first=1)
+    assert "xxhash64" not in plan(found) and sorted(map(tuple, found.collect()), key=str) == [(1, 1, 3), (None, 1, 2)]
+    with pytest.raises(AssertionError):
+        checks.repeated_groups(df, ["a", "c"], 6, hash_first=1)
+
+
+def test_whole_keys_of_all_references_are_grouped_without_text(hot, make):
+    fact, dim = hot
+    names = make("name string", [("n",), ("z",)])
+    whole = references.key_uses({"f": fact, "d": dim}, [references.Link("f", "fk", "d", "pk")])
+    mixed = references.key_uses({"f": fact, "d": dim, "m": names}, [references.Link("f", "fk", "d", "pk"), references.Link("m", "name", "d", "name")])
+    assert whole.columns == mixed.columns and whole.dtypes == mixed.dtypes
+    grouped = plan(whole).split("== Physical Plan ==")[1].split("hashpartitioning(")[1].split(")")[0]
+    assert "n#" in grouped and "s#" not in grouped
+    assert sorted(whole.collect()) == sorted(mixed.where("link = 0").collect())
+    assert {(r["s"], r["rows"], r["known"]) for r in mixed.where("link = 1").collect()} == {(":n", 1, True), (":z", 1, False), (":x", 0, True)}
+
+
+def test_recount_of_copies_by_kind_of_key(make, spark):
+    """Whole numbers and text as they are, other parts by their JSON text; a row with a missing part has no key."""
+    rows = [(1, "a", 0.5, {"x": 1}), (1, "a", 0.5, {"x": 1}), (1, None, 0.5, {"x": 2}), (1, None, 0.5, None), (None, "a", float("nan"), {"x": 1}),
+            (2, "a", float("nan"), {}), (2, "b", None, {}), (2, '"b', 1.5, {"x": 1}), (2, '"b', 1.5, {"x": 1})]
+    df = make("a int, b string, c double, m map<string,int>", rows)
+    df = df.withColumn("d", F.col("a").cast("decimal(9,2)"))
+    df.createOrReplaceTempView("key_fact")
+    keys = [["a"], ["b"], ["a", "b"], ["c"], ["b", "c"], ["m"], ["d", "b"], ["a"]]
+    issues = [keyed_issue(i, "duplicate_rows", k) for i, k in enumerate(keys)]
+    place = {c: i for i, c in enumerate(["a", "b", "c", "m"])} | {"d": 0}
+
+    def excess(columns):
+        return len(rows) - len({str(v) for r in rows if None not in (v := tuple(r[place[c]] for c in columns))})
+
+    want = {f"i{i}": excess(k) for i, k in enumerate(keys)}
+    for some in (issues, *([i] for i in issues)):
+        got = spark.sql(verify.keys_sql("key_fact", df, some, {"f": df}, {"f": "key_fact"})).collect()
+        assert dict(map(tuple, got)) == {i["issue_id"]: want[i["issue_id"]] for i in some}
+    empty = df.limit(0)
+    empty.createOrReplaceTempView("key_fact")
+    assert spark.sql(verify.keys_sql("key_fact", empty, issues[:1], {"f": empty}, {"f": "key_fact"})).first()["sql_count"] == 0
+
+
 def test_no_cross_join_and_partial_aggregates(hot, make):
     fact, _ = hot
     assert "partial_count" in plan(checks.excess_copies(fact, ["fk"]))
